@@ -2,8 +2,8 @@
 
 Each function takes the wide view (or just the columns it needs) and returns one
 aggregate.  Rounded ratios use exact integer arithmetic on the aggregated rows.
-Ranks over places do not use a window, because the number of places may grow with
-the data: see ``rango_denso``.
+The number of places may grow with the data, so ranks over places use a window only
+while the aggregate is known to be small: see ``rangos_densos``.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from balanza.functions.clases import clase_eficiencia, clase_volumen, clase_volumen_total
 from balanza.functions.redondeo import porcentaje, promedio, razon, variacion
-from balanza.operators.frecuencias import acumular, rango_denso, tabla
+from balanza.operators.frecuencias import acumular, rangos_densos, tabla
 from balanza.sesion import cortar
 
 # Fixed values of the reports.
@@ -82,9 +82,12 @@ def performance_distrito(vista: DataFrame) -> DataFrame:
         F.countDistinct("materia").alias("materias_manejadas"),
         F.countDistinct("tipo_fiscalia").alias("tipos_fiscalia_activos"),
     )
-    base = cortar(base.withColumn("_razon", _dividir("total_atendidos", "total_ingresados")))
-    conv = rango_denso(base, "total_ingresados", "ranking_volumen", ["anio"], descendente=True)
-    r = rango_denso(conv, "_razon", "ranking_eficiencia", ["anio"], descendente=True)
+    base = base.withColumn("_razon", _dividir("total_atendidos", "total_ingresados"))
+    r = rangos_densos(
+        base,
+        {"ranking_volumen": ("total_ingresados", True), "ranking_eficiencia": ("_razon", True)},
+        ["anio"],
+    )
     return r.select(
         "distrito_fiscal",
         "departamento",
@@ -140,10 +143,14 @@ def top_performers(vista: DataFrame, minimo: int = VOLUMEN_MINIMO) -> DataFrame:
         .filter(F.col("total_ingresados") >= minimo)
         .withColumn("tasa_atencion", razon(F.col("total_atendidos"), F.col("total_ingresados")))
     )
-    r = cortar(base)
-    r = rango_denso(r, "tasa_atencion", "ranking_eficiencia", descendente=True)
-    r = rango_denso(r, "total_ingresados", "ranking_volumen", descendente=True)
-    r = rango_denso(r, "consistencia_tasa", "ranking_consistencia")
+    r = rangos_densos(
+        base,
+        {
+            "ranking_eficiencia": ("tasa_atencion", True),
+            "ranking_volumen": ("total_ingresados", True),
+            "ranking_consistencia": ("consistencia_tasa", False),
+        },
+    )
     return r.withColumns(
         {
             "clasificacion_eficiencia": clase_eficiencia(F.col("tasa_atencion")),

@@ -5,11 +5,10 @@ fences.  A window over raw rows would send whole groups through one task, so the
 work goes in two steps that both stay spread over the cluster:
 
 1. ``tabla_larga`` / ``tabla`` count equal values (map-side combine, one shuffle);
-2. ``acumular`` gives every distinct value its position.  Values are cut into
-   buckets by a fixed monotone function, the bucket totals (a bounded number) are
-   summed up in order, and the order inside each bucket is found separately.
-
-No group is ever held whole: a bucket spans 1/4096 of an octave.
+2. ``acumular`` gives every distinct value its position.  A table known to be small
+   is ordered by a window.  Otherwise values are cut into buckets by a fixed monotone
+   function, the bucket totals (a bounded number) are summed up in order, and the order
+   inside each bucket, 1/4096 of an octave, is found separately.
 """
 
 from __future__ import annotations
@@ -21,8 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from balanza.sesion import cortar, filas
+
 CUBOS_POR_OCTAVA = 4096
 _DESPLAZAMIENTO = 1100 * CUBOS_POR_OCTAVA
+CUBO_NULO = 2**62
+# Largest frequency table, in rows, that is ordered by a plain window.
+LIMITE_VENTANA = 1_000_000
 
 
 def tabla(df: DataFrame, columnas: Sequence[str]) -> DataFrame:
@@ -51,9 +55,9 @@ def cubo(c: Column) -> Column:
     return F.when(x > 0, k).when(x < 0, -k).otherwise(F.lit(0).cast("long"))
 
 
-def igualdad(a: DataFrame, b: DataFrame, claves: Sequence[str]) -> Column:
-    """Null-safe equality on all keys."""
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in claves])
+def iguales(claves: Sequence[str], izq: str = "a", der: str = "b") -> list[Column]:
+    """Null-safe equality of each key between two aliased frames."""
+    return [F.col(f"{izq}.{k}").eqNullSafe(F.col(f"{der}.{k}")) for k in claves]
 
 
 def acumular(
@@ -61,55 +65,81 @@ def acumular(
     claves: Sequence[str] = (),
     valor: str = "valor",
     n: str = "n",
+    nulos: bool = False,
+    limite: int | None = None,
 ) -> DataFrame:
     """Positions of the distinct values inside each group of ``claves``.
 
-    ``freq`` has one row per ``(claves, valor)``; rows with a null value are left
-    out.  Added columns: ``previos`` (rows with a smaller value), ``orden`` (dense
-    rank from 1), ``total`` (rows of the group) and ``total_valores``.
+    ``freq`` has one row per ``(claves, valor)``.  Added columns: ``previos`` (rows
+    with a smaller value), ``orden`` (dense rank from 1), ``total`` (rows of the
+    group) and ``total_valores``.  Rows with a null value are left out, or come
+    last when ``nulos`` is set.
+
+    The frequency table is cut, which tells its exact size.  Up to ``limite`` rows
+    (by default ``LIMITE_VENTANA``) one window does the work; beyond that the
+    positions are found bucket by bucket, so that no group is held in one task.
     """
     claves = list(claves)
-    base = (
-        freq.filter(F.col(valor).isNotNull())
-        .select(*claves, F.col(valor), F.col(n))
-        .withColumn("_cubo", cubo(F.col(valor)))
+    limite = LIMITE_VENTANA if limite is None else limite
+    freq = cortar(freq)
+    base = freq if nulos else freq.filter(F.col(valor).isNotNull())
+    base = base.select(*claves, F.col(valor), F.col(n))
+    if filas(freq) <= limite:
+        return _acumular_ventana(base, claves, valor, n)
+    return _acumular_cubos(base, claves, valor, n)
+
+
+def _antes(w) -> object:
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _acumular_ventana(base: DataFrame, claves: list[str], valor: str, n: str) -> DataFrame:
+    grupo = Window.partitionBy(*claves)
+    orden = grupo.orderBy(F.asc_nulls_last(valor))
+    return base.select(
+        "*",
+        F.coalesce(F.sum(n).over(_antes(orden)), F.lit(0)).alias("previos"),
+        F.row_number().over(orden).cast("long").alias("orden"),
+        F.sum(n).over(grupo).alias("total"),
+        F.count(F.lit(1)).over(grupo).alias("total_valores"),
     )
+
+
+def _acumular_cubos(base: DataFrame, claves: list[str], valor: str, n: str) -> DataFrame:
+    base = base.withColumn("_cubo", F.coalesce(cubo(F.col(valor)), F.lit(CUBO_NULO)))
     por_cubo = base.groupBy(*claves, "_cubo").agg(
         F.sum(n).alias("_n"), F.count(F.lit(1)).alias("_v")
     )
     # Only bucket totals pass through these windows: their number does not grow with the data.
     grupo = Window.partitionBy(*claves)
-    antes = grupo.orderBy("_cubo").rowsBetween(Window.unboundedPreceding, -1)
+    orden = grupo.orderBy("_cubo")
     inicio = por_cubo.select(
         *claves,
         "_cubo",
-        F.coalesce(F.sum("_n").over(antes), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum("_v").over(antes), F.lit(0)).alias("_v0"),
+        F.coalesce(F.sum("_n").over(_antes(orden)), F.lit(0)).alias("_n0"),
+        F.coalesce(F.sum("_v").over(_antes(orden)), F.lit(0)).alias("_v0"),
         F.sum("_n").over(grupo).alias("total"),
         F.sum("_v").over(grupo).alias("total_valores"),
     )
     dentro = Window.partitionBy(*claves, "_cubo").orderBy(valor)
     local = base.select(
         "*",
-        F.coalesce(
-            F.sum(n).over(dentro.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_na"),
+        F.coalesce(F.sum(n).over(_antes(dentro)), F.lit(0)).alias("_na"),
         F.row_number().over(dentro).alias("_ra"),
     )
-    a, b = local.alias("a"), inicio.alias("b")
-    cond = reduce(
-        lambda x, y: x & y,
-        [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in claves]
-        + [F.col("a._cubo") == F.col("b._cubo")],
-    )
-    return a.join(b, cond).select(
-        *[F.col(f"a.{k}").alias(k) for k in claves],
-        F.col(f"a.{valor}").alias(valor),
-        F.col(f"a.{n}").alias(n),
-        (F.col("_n0") + F.col("_na")).alias("previos"),
-        (F.col("_v0") + F.col("_ra")).alias("orden"),
-        "total",
-        "total_valores",
+    cond = reduce(Column.__and__, iguales([*claves, "_cubo"]))
+    return (
+        local.alias("a")
+        .join(inicio.alias("b"), cond)
+        .select(
+            *[F.col(f"a.{k}").alias(k) for k in claves],
+            F.col(f"a.{valor}").alias(valor),
+            F.col(f"a.{n}").alias(n),
+            (F.col("_n0") + F.col("_na")).alias("previos"),
+            (F.col("_v0") + F.col("_ra")).alias("orden"),
+            "total",
+            "total_valores",
+        )
     )
 
 
@@ -158,43 +188,46 @@ def gini_agregado(valor: str = "valor", n: str = "n") -> Column:
     ) / total
 
 
-def rango_denso(
+def rangos_densos(
     df: DataFrame,
-    columna: str,
-    alias: str,
+    rangos: Mapping[str, tuple[str, bool]],
     claves: Sequence[str] = (),
-    descendente: bool = False,
+    limite: int | None = None,
 ) -> DataFrame:
-    """Dense rank of ``columna`` inside ``claves`` without a window over the group.
+    """Add dense ranks: ``rangos`` maps the new column to ``(column, descending)``.
 
-    Nulls rank after every value.  ``df`` should be cheap to read twice (an
-    aggregate that was cut with ``cortar``).
+    Nulls come last in ascending order and first in descending order.  ``df`` is an
+    aggregate; it is cut, and small results are ranked by a window while large ones
+    get their ranks from frequency tables (exact for values below 2**53).
     """
     claves = list(claves)
-    acc = acumular(tabla(df, [*claves, columna]), claves, columna)
-    orden = F.col("orden")
-    if descendente:
-        orden = F.col("total_valores") - F.col("orden") + 1
-    r = acc.select(
-        *[F.col(k).alias(f"_{k}") for k in claves],
-        F.col(columna).alias("_valor"),
-        orden.cast("int").alias("_rango"),
-    )
-    cond = reduce(
-        lambda x, y: x & y,
-        [df[k].eqNullSafe(r[f"_{k}"]) for k in claves] + [df[columna] == r["_valor"]],
+    limite = LIMITE_VENTANA if limite is None else limite
+    df = cortar(df)
+    if filas(df) <= limite:
+        grupo = Window.partitionBy(*claves)
+        nuevos = {}
+        for alias, (columna, desc) in rangos.items():
+            o = F.desc_nulls_first(columna) if desc else F.asc_nulls_last(columna)
+            nuevos[alias] = F.dense_rank().over(grupo.orderBy(o))
+        return df.withColumns(nuevos)
+    columnas = sorted({c for c, _ in rangos.values()})
+    acc = cortar(
+        acumular(
+            tabla_larga(df, columnas, claves), [*claves, "variable"], nulos=True, limite=limite
+        )
     )
-    unido = df.join(r, cond, "left").drop(*[f"_{k}" for k in claves], "_valor")
-    nulos = F.col(columna).isNull()
-    maximo = acc.groupBy(*claves).agg(F.max("total_valores").alias("_max"))
-    if claves:
-        m = maximo.select(*[F.col(k).alias(f"_{k}") for k in claves], "_max")
-        cm = reduce(lambda x, y: x & y, [unido[k].eqNullSafe(m[f"_{k}"]) for k in claves])
-        con_max = unido.join(m, cm, "left").drop(*[f"_{k}" for k in claves])
-        tope = F.coalesce(F.col("_max"), F.lit(0))
-    else:
-        con_max = unido
-        tope = F.coalesce(maximo.scalar(), F.lit(0))
-    return con_max.withColumn(
-        alias, F.when(nulos, (tope + 1).cast("int")).otherwise(F.col("_rango"))
-    ).drop("_rango", "_max")
+    salida = df
+    for alias, (columna, desc) in rangos.items():
+        orden = F.col("total_valores") - F.col("orden") + 1 if desc else F.col("orden")
+        r = acc.filter(F.col("variable") == columna).select(
+            *claves, "valor", orden.cast("int").alias(alias)
+        )
+        cond = reduce(
+            Column.__and__,
+            [
+                *iguales(claves),
+                F.col(f"a.{columna}").cast("double").eqNullSafe(F.col("b.valor")),
+            ],
+        )
+        salida = salida.alias("a").join(r.alias("b"), cond, "left").select("a.*", f"b.{alias}")
+    return salida

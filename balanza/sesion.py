@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,41 @@ def asegurar_checkpoint(spark: SparkSession) -> None:
     sc.setCheckpointDir(carpeta)
 
 
+# Exact row counts of the frames returned by ``cortar``.
+_FILAS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
 def cortar(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 
     Used where a compact aggregate feeds several branches, so that the pass over
-    the row-level data runs once and survives the loss of executors.
+    the row-level data runs once and survives the loss of executors.  A frame that
+    was cut before is returned as it is.
     """
+    if df in _FILAS:
+        return df
     asegurar_checkpoint(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cortado = df.checkpoint(eager=True)
+    _FILAS[cortado] = cortado.count()
+    return cortado
+
+
+def filas(df: DataFrame) -> int:
+    """Exact row count of a frame returned by ``cortar``."""
+    return _FILAS[df]
+
+
+# Split counts of scans by path, so that a session plans each scan once.
+_CORTES: dict[str, int] = {}
+
+
+def repartir_si_angosto(df: DataFrame, ruta: str, claves: Sequence[str]) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    A small file with a single row group would keep one core busy and leave the
+    others idle.  Data large enough to matter has many splits and is left alone.
+    """
+    nucleos = df.sparkSession.sparkContext.defaultParallelism
+    if ruta not in _CORTES:
+        _CORTES[ruta] = df.rdd.getNumPartitions()
+    return df if _CORTES[ruta] >= nucleos else df.repartition(nucleos, *claves)
