@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from balanza.operators import bi
+from balanza.operators import bi, calidad, dimensiones, estrella
 from balanza.operators.vista import vista_desde_casos
 from balanza.sources.demo import casos
 
@@ -52,5 +53,50 @@ def _consultas_bi() -> dict[str, Consulta]:
     }
 
 
+def _estrella(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    df = casos(spark, d)
+    dims = estrella.construir_dimensiones(df, region=F.col("region_geografica"))
+    return dims, estrella.construir_hechos(df, dims)
+
+
+def _vista_completa(spark: SparkSession, d: str) -> DataFrame:
+    v = estrella.vista_casos_completo(*_estrella(spark, d))
+    return v.drop("id_caso").withColumn("tasa_atencion", F.col("tasa_atencion").cast("double"))
+
+
+def _consultas_dimension() -> dict[str, Consulta]:
+    dim = dimensiones
+    simples = {
+        "dim_tipos_caso": (dim.dim_tipos_caso, ("tipo_caso",)),
+        "dim_fiscalias_especializadas": (dim.dim_fiscalias_especializadas, ("especializada",)),
+        "dim_materias": (dim.dim_materias, ("materia",)),
+        "dim_especialidades": (dim.dim_especialidades, ("especialidad", "materia")),
+        "dim_ubicaciones": (
+            dim.dim_ubicaciones,
+            ("ubigeo_pjfs", "dpto_pjfs", "prov_pjfs", "dist_pjfs"),
+        ),
+        "dim_distritos": (dim.dim_distritos, ("distrito_fiscal", "ubigeo_pjfs", "dpto_pjfs")),
+        "dim_tipos_fiscalia": (dim.dim_tipos_fiscalia, ("tipo_fiscalia",)),
+        "dim_tiempo": (dim.dim_tiempo, ("anio", "periodo")),
+        "especializacion": (dim.especializacion, ("especializada",)),
+    }
+    salida: dict[str, Consulta] = {
+        nombre: (lambda s, d, f=f, cols=cols: f(casos(s, d, cols)))
+        for nombre, (f, cols) in simples.items()
+    }
+    salida["distritos_por_departamento"] = lambda s, d: dim.distritos_por_departamento(
+        dim.dim_distritos(casos(s, d, ("distrito_fiscal", "ubigeo_pjfs", "dpto_pjfs")))
+    )
+    salida["tipos_caso_por_categoria"] = lambda s, d: dim.conteo_por_clase(
+        dim.dim_tipos_caso(casos(s, d, ("tipo_caso",))), "categoria"
+    )
+    salida["especialidades_por_materia"] = lambda s, d: dim.conteo_por_clase(
+        dim.dim_especialidades(casos(s, d, ("especialidad", "materia"))), "materia_asociada"
+    )
+    salida["vista_completa"] = _vista_completa
+    salida["dq_violaciones"] = lambda s, d: calidad.violaciones(*_estrella(s, d))
+    return salida
+
+
 def consultas() -> dict[str, Consulta]:
-    return {**_consultas_bi()}
+    return {**_consultas_bi(), **_consultas_dimension()}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,12 @@ def cortar(df: DataFrame) -> DataFrame:
     return cortado
 
 
+def cortar_varios(marcos: Mapping[str, DataFrame], hilos: int = 8) -> dict[str, DataFrame]:
+    """Cut several independent frames; their jobs are submitted side by side."""
+    with ThreadPoolExecutor(hilos) as grupo:
+        return dict(zip(marcos, grupo.map(cortar, marcos.values())))
+
+
 def filas(df: DataFrame) -> int:
     """Exact row count of a frame returned by ``cortar``."""
     return _FILAS[df]

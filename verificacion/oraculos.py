@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from verificacion import bi
+from verificacion import bi, dimensiones
 
-ORACULOS: dict[str, str] = {**bi.ORACULOS}
+ORACULOS: dict[str, str] = {**bi.ORACULOS, **dimensiones.ORACULOS}
