@@ -11,10 +11,8 @@ from balanza.functions.tasas import tasa_almacen
 from balanza.functions.texto import limpiar_texto
 from balanza.operators import dimensiones as dim
 from balanza.operators.frecuencias import LIMITE_VENTANA
-from balanza.sesion import cortar, cortar_varios, filas
+from balanza.sesion import cortar, cortar_varios, difundir, filas
 
-# Largest dimension, in rows, that is sent whole to every executor.
-LIMITE_DIFUSION = 200_000
 _CUBOS_CLAVE = 65_536
 
 
@@ -39,12 +37,6 @@ def con_clave(df: DataFrame, id_col: str, natural: list[str], limite: int | None
     return numerado.select((F.col("_n0") + F.col("_ra")).alias(id_col), *df.columns)
 
 
-def difundir(d: DataFrame, columnas: list[str] | None = None) -> DataFrame:
-    """Broadcast (columns of) a cut dimension only while its counted size is small."""
-    parte = d.select(*columnas) if columnas else d
-    return F.broadcast(parte) if filas(d) <= LIMITE_DIFUSION else parte
-
-
 # Key column and natural key of each dimension table.
 CLAVES = {
     "dim_ubicaciones": ("id_ubicacion", ["ubigeo_pjfs", "departamento", "provincia", "distrito"]),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from balanza.sesion import cortar, filas
+from balanza.sesion import cortar, difundir, filas
 
 CUBOS_POR_OCTAVA = 4096
 _DESPLAZAMIENTO = 1100 * CUBOS_POR_OCTAVA
@@ -175,6 +175,72 @@ def cuantiles(
     )
 
 
+def unir_por_grupo(
+    freq: DataFrame, grupos: DataFrame, claves: Sequence[str], columnas: Sequence[str]
+) -> DataFrame:
+    """Attach per-group columns (one row per group) to a frequency table.
+
+    The group table is cut and, being small, broadcast: the rows of a large group
+    stay where they are instead of meeting in one task.
+    """
+    cond = reduce(Column.__and__, iguales(claves))
+    g = difundir(cortar(grupos.select(*claves, *columnas)))
+    return freq.alias("a").join(g.alias("b"), cond).select("a.*", *[f"b.{c}" for c in columnas])
+
+
+def momentos(
+    freq: DataFrame, claves: Sequence[str], valor: str = "valor", n: str = "n"
+) -> DataFrame:
+    """Per group: ``conteo, suma, media, minimo, maximo, m2, m3, m4, ceros, negativos``.
+
+    ``m2..m4`` are sums of powers of deviations from the mean (two passes over the
+    frequency table, so nothing cancels).
+    """
+    freq = cortar(freq).filter(F.col(valor).isNotNull())
+    v, k = F.col(valor).cast("double"), F.col(n)
+    g = freq.groupBy(*claves).agg(
+        F.sum(k).alias("conteo"),
+        F.sum(v * k).alias("suma"),
+        F.min(v).alias("minimo"),
+        F.max(v).alias("maximo"),
+        F.coalesce(F.sum(F.when(v == 0, k)), F.lit(0)).alias("ceros"),
+        F.coalesce(F.sum(F.when(v < 0, k)), F.lit(0)).alias("negativos"),
+    )
+    g = cortar(g.withColumn("media", F.col("suma") / F.col("conteo")))
+    d = v - F.col("media")
+    desv = (
+        unir_por_grupo(freq, g, claves, ["media"])
+        .groupBy(*claves)
+        .agg(
+            F.sum(k * d * d).alias("m2"),
+            F.sum(k * d * d * d).alias("m3"),
+            F.sum(k * d * d * d * d).alias("m4"),
+        )
+    )
+    cond = reduce(Column.__and__, iguales(claves))
+    return (
+        g.alias("a").join(desv.alias("b"), cond).select("a.*", "b.m2", "b.m3", "b.m4")
+    )
+
+
+def std_muestral() -> Column:
+    return F.when(F.col("conteo") > 1, F.sqrt(F.col("m2") / (F.col("conteo") - 1)))
+
+
+def std_poblacional() -> Column:
+    return F.sqrt(F.col("m2") / F.col("conteo"))
+
+
+def asimetria() -> Column:
+    s2 = F.col("m2") / F.col("conteo")
+    return F.when(s2 > 0, F.col("m3") / F.col("conteo") / (s2 * F.sqrt(s2)))
+
+
+def curtosis_exceso() -> Column:
+    s2 = F.col("m2") / F.col("conteo")
+    return F.when(s2 > 0, F.col("m4") / F.col("conteo") / (s2 * s2) - 3)
+
+
 def gini_agregado(valor: str = "valor", n: str = "n") -> Column:
     """Gini of the value vector, off ``acumular``'s columns (positions start at 1)."""
     v = F.col(valor).cast("double")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balanza.operators import bi, calidad, dimensiones, estrella
+from balanza.operators import bi, calidad, dimensiones, estrella, limpieza
 from balanza.operators.vista import vista_desde_casos
-from balanza.sources.demo import casos
+from balanza.sources.demo import casos, casos_sucios
 
 Consulta = Callable[[SparkSession, str], DataFrame]
 
@@ -98,5 +98,32 @@ def _consultas_dimension() -> dict[str, Consulta]:
     return salida
 
 
+def _seis(df: DataFrame, *columnas: str) -> DataFrame:
+    """Six decimals on floating-point columns, the precision results are compared at."""
+    return df.withColumns({c: F.round(c, 6) for c in columnas})
+
+
+def _consultas_limpieza() -> dict[str, Consulta]:
+    lim = limpieza
+
+    def limpia(s: SparkSession, d: str) -> DataFrame:
+        return lim.limpiar(casos_sucios(s, d))
+
+    return {
+        "limpieza": limpia,
+        "perfil_calidad": lambda s, d: lim.perfil_calidad(casos_sucios(s, d)),
+        "perfil_categorico": lambda s, d: lim.perfil_categorico(limpia(s, d)),
+        "top_valores": lambda s, d: lim.top_valores(limpia(s, d)),
+        "perfil_numerico": lambda s, d: _seis(lim.perfil_numerico(limpia(s, d)), "media", "std"),
+        "perfil_fechas": lambda s, d: lim.perfil_fechas(casos_sucios(s, d)),
+        "cambios_texto": lambda s, d: lim.cambios_texto(
+            lim.convertir_tipos(lim.quitar_duplicados(lim.limpiar_nulos(casos_sucios(s, d))))
+        ),
+        "reporte_limpieza": lambda s, d: lim.reporte_limpieza(casos_sucios(s, d)),
+        "outliers_limpieza": lambda s, d: lim.outliers_limpieza(limpia(s, d)),
+        "dispersion_zscore": lambda s, d: lim.dispersion_zscore(limpia(s, d)),
+    }
+
+
 def consultas() -> dict[str, Consulta]:
-    return {**_consultas_bi(), **_consultas_dimension()}
+    return {**_consultas_bi(), **_consultas_dimension(), **_consultas_limpieza()}

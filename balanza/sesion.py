@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def asegurar_checkpoint(spark: SparkSession) -> None:
@@ -57,6 +58,16 @@ def filas(df: DataFrame) -> int:
     return _FILAS[df]
 
 
+# Largest frame, in rows, that is sent whole to every executor.
+LIMITE_DIFUSION = 200_000
+
+
+def difundir(d: DataFrame, columnas: Sequence[str] | None = None) -> DataFrame:
+    """Broadcast (columns of) a cut frame only while its counted size is small."""
+    parte = d.select(*columnas) if columnas else d
+    return F.broadcast(parte) if filas(d) <= LIMITE_DIFUSION else parte
+
+
 # Split counts of scans by path, so that a session plans each scan once.
 _CORTES: dict[str, int] = {}
 

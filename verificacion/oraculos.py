@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from verificacion import bi, dimensiones
+from verificacion import bi, dimensiones, limpieza
 
-ORACULOS: dict[str, str] = {**bi.ORACULOS, **dimensiones.ORACULOS}
+ORACULOS: dict[str, str] = {**bi.ORACULOS, **dimensiones.ORACULOS, **limpieza.ORACULOS}
