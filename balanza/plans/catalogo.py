@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balanza.operators import bi, calidad, dimensiones, estrella, limpieza
+from balanza.esquema import ROLES
+from balanza.operators import bi, calidad, descriptiva, dimensiones, estrella, limpieza
 from balanza.operators.vista import vista_desde_casos
 from balanza.sources.demo import casos, casos_sucios
 
@@ -125,5 +126,91 @@ def _consultas_limpieza() -> dict[str, Consulta]:
     }
 
 
+def _pares(spark: SparkSession, d: str) -> DataFrame:
+    return descriptiva.pares_medidas(casos(spark, d, _MEDIDAS))
+
+
+def _consultas_descriptivas() -> dict[str, Consulta]:
+    de = descriptiva
+    matrices = {"pearson": de.correlacion_pearson, "spearman": de.correlacion_spearman}
+
+    def fuertes(s: SparkSession, d: str) -> DataFrame:
+        p = _pares(s, d)
+        partes = [
+            de.correlaciones_fuertes(_seis(m(p), "r")).withColumn("metodo", F.lit(n))
+            for n, m in matrices.items()
+        ]
+        return partes[0].unionByName(partes[1])
+
+    return {
+        "resumen_inicial": lambda s, d: _seis(
+            de.resumen_inicial(casos(s, d, ("anio", "distrito_fiscal", "materia", *_MEDIDAS))),
+            "tasa_global_pct",
+            "sin_ingreso_pct",
+            "sin_atencion_pct",
+            "sobreatendidos_pct",
+        ),
+        "resumen_general": lambda s, d: _seis(
+            de.resumen_general(casos(s, d)), "tasa_atencion_global", "completitud_datos"
+        ),
+        "perfil_eda_numerico": lambda s, d: _seis(
+            de.perfil_numerico(casos(s, d, ("anio", *_MEDIDAS))),
+            "mean",
+            "std",
+            "coefficient_variation",
+            "skewness",
+            "kurtosis",
+            "zeros_percentage",
+            "missing_percentage",
+            "normalidad_p",
+            "concentracion_top10",
+        ),
+        "normalidad": lambda s, d: _seis(
+            de.normalidad(casos(s, d, ("anio", *_MEDIDAS))).withColumn("jb", F.round("jb", 4)),
+            "skewness",
+            "kurtosis",
+            "p_valor",
+        ),
+        "perfil_eda_categorico": lambda s, d: _seis(
+            de.perfil_categorico(casos(s, d, ROLES.categoricas)),
+            "missing_percentage",
+            "mode_percentage",
+            "entropy",
+            "gini_concentration",
+            "top_3_percentage",
+        ),
+        "metricas_eficiencia": lambda s, d: _seis(
+            de.metricas_eficiencia(_pares(s, d)),
+            "tasa_atencion_promedio",
+            "tasa_atencion_mediana",
+            "casos_eficiencia_perfecta_pct",
+            "casos_baja_eficiencia_pct",
+        ),
+        "metricas_volumen": lambda s, d: _seis(
+            de.metricas_volumen(casos(s, d, ("distrito_fiscal", "ingresado"))),
+            "concentracion_top_10_distritos",
+        ),
+        "metricas_temporales": lambda s, d: _seis(
+            de.metricas_temporales(casos(s, d, ("anio", *_MEDIDAS))).withColumns(
+                {c: F.round(c, 4) for c in ("pendiente", "variabilidad_anual")}
+            ),
+            "r_cuadrado",
+            "p_valor",
+            "crecimiento_total",
+        ),
+        "correlacion_pearson": lambda s, d: _seis(de.correlacion_pearson(_pares(s, d)), "r"),
+        "correlacion_spearman": lambda s, d: _seis(de.correlacion_spearman(_pares(s, d)), "r"),
+        "correlaciones_fuertes": fuertes,
+        "mapa_correlacion": lambda s, d: _seis(
+            de.triangulo_inferior(de.correlacion_pearson(_pares(s, d))), "r"
+        ),
+    }
+
+
 def consultas() -> dict[str, Consulta]:
-    return {**_consultas_bi(), **_consultas_dimension(), **_consultas_limpieza()}
+    return {
+        **_consultas_bi(),
+        **_consultas_dimension(),
+        **_consultas_limpieza(),
+        **_consultas_descriptivas(),
+    }

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from verificacion import bi, dimensiones, limpieza
+from verificacion import bi, descriptiva, dimensiones, limpieza
 
-ORACULOS: dict[str, str] = {**bi.ORACULOS, **dimensiones.ORACULOS, **limpieza.ORACULOS}
+ORACULOS: dict[str, str] = {**bi.ORACULOS, **dimensiones.ORACULOS, **limpieza.ORACULOS, **descriptiva.ORACULOS}
