@@ -184,7 +184,7 @@ def unir_por_grupo(
     stay where they are instead of meeting in one task.
     """
     cond = reduce(Column.__and__, iguales(claves))
-    g = difundir(cortar(grupos.select(*claves, *columnas)))
+    g = difundir(cortar(grupos), [*claves, *columnas])
     return freq.alias("a").join(g.alias("b"), cond).select("a.*", *[f"b.{c}" for c in columnas])
 
 

@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from balanza.esquema import ROLES
-from balanza.operators import bi, calidad, descriptiva, dimensiones, estrella, limpieza
+from balanza.operators import (
+    atipicos,
+    bi,
+    calidad,
+    descriptiva,
+    dimensiones,
+    estrella,
+    graficos,
+    limpieza,
+    patrones,
+)
+from balanza.functions.tasas import derivar_metricas
 from balanza.operators.vista import vista_desde_casos
 from balanza.sources.demo import casos, casos_sucios
 
@@ -207,10 +218,123 @@ def _consultas_descriptivas() -> dict[str, Consulta]:
     }
 
 
+def _derivada(spark: SparkSession, d: str, *columnas: str) -> DataFrame:
+    return derivar_metricas(casos(spark, d, (*columnas, *_MEDIDAS)))
+
+
+def _redondear(df: DataFrame, decimales: int = 6) -> DataFrame:
+    """Round every floating-point column."""
+    return df.withColumns(
+        {c: F.round(c, decimales) for c, t in df.dtypes if t in ("double", "float")}
+    )
+
+
+def _consultas_patrones() -> dict[str, Consulta]:
+    pa = patrones
+    por_filas = {
+        "concentracion_departamental": (pa.concentracion_departamental, ("dpto_pjfs",)),
+        "disparidad_departamental": (pa.disparidad_departamental, ("dpto_pjfs",)),
+        "anios_atipicos": (pa.anios_atipicos, ("anio",)),
+        "estadisticas_anuales": (pa.estadisticas_anuales, ("anio",)),
+        "dominancia_materia": (pa.dominancia_materia, ("materia",)),
+        "eficiencia_tipo_fiscalia": (pa.eficiencia_tipo_fiscalia, ("tipo_fiscalia",)),
+        "efecto_especializacion": (pa.efecto_especializacion, ("especializada",)),
+    }
+    salida: dict[str, Consulta] = {
+        nombre: (lambda s, d, f=f, cols=cols: _redondear(f(_derivada(s, d, *cols))))
+        for nombre, (f, cols) in por_filas.items()
+    }
+    salida["sesgo_temporal"] = lambda s, d: _redondear(
+        pa.sesgo_temporal(_derivada(s, d, "anio")).withColumn("pendiente", F.round("pendiente", 4))
+    )
+    salida["anomalias"] = lambda s, d: _redondear(pa.anomalias(_pares(s, d)))
+    salida["filas_anomalas"] = lambda s, d: pa.filas_anomalas(
+        casos(s, d, ("anio", "distrito_fiscal", "materia", *_MEDIDAS))
+    )
+    return salida
+
+
+def _consultas_atipicos() -> dict[str, Consulta]:
+    at = atipicos
+    numericas = ("anio", *_MEDIDAS)
+    return {
+        "outliers_iqr": lambda s, d: _redondear(at.outliers_iqr(casos(s, d, numericas))),
+        "outliers_mad": lambda s, d: _redondear(at.outliers_mad(casos(s, d, numericas))),
+        "outliers_resumen": lambda s, d: _redondear(at.resumen_univariado(casos(s, d, numericas))),
+        "outliers_contextuales": lambda s, d: _redondear(at.outliers_contextuales(_pares(s, d))),
+        "casos_contextuales": lambda s, d: _redondear(
+            at.casos_contextuales(
+                _derivada(s, d, "distrito_fiscal", "materia", "especializada"), _pares(s, d)
+            )
+        ),
+    }
+
+
+def _consultas_graficas() -> dict[str, Consulta]:
+    gr = graficos
+    sobre_pares = {
+        "histograma": gr.histograma,
+        "marcadores_histograma": gr.marcadores,
+        "boxplot": gr.boxplot,
+        "boxplot_p99": gr.boxplot_p99,
+        "forma_distribucion": gr.forma,
+        "categorias_eficiencia": gr.categorias_eficiencia,
+        "recta_registros": gr.recta_registros,
+        "dispersion_registros": gr.dispersion_registros,
+    }
+    sobre_filas = {
+        "boxplot_anual": (gr.boxplot_anual, ("anio",)),
+        "participacion_materia": (lambda df: gr.participacion(df, "materia"), ("materia",)),
+        "participacion_tipo_fiscalia": (
+            lambda df: gr.participacion(df, "tipo_fiscalia"),
+            ("tipo_fiscalia",),
+        ),
+        "top_distritos": (gr.top_distritos, ("distrito_fiscal",)),
+        "tasa_departamento": (gr.tasa_departamento, ("dpto_pjfs",)),
+        "participacion_departamentos": (gr.participacion_departamentos, ("dpto_pjfs",)),
+        "dispersion_distrito": (gr.dispersion_distrito, ("distrito_fiscal",)),
+        "resumen_geografico": (gr.resumen_geografico, ("distrito_fiscal", "dpto_pjfs")),
+        "evolucion_anual": (descriptiva.evolucion_anual, ("anio",)),
+        "pivot_anio_materia": (gr.pivot_anio_materia, ("anio", "materia")),
+        "variacion_anual": (gr.variacion_anual, ("anio",)),
+        "resumen_periodo": (gr.resumen_periodo, ("anio",)),
+        "eficiencia_materia": (gr.eficiencia_materia, ("materia",)),
+        "barras_tipo_fiscalia": (gr.barras_tipo_fiscalia, ("tipo_fiscalia",)),
+    }
+    salida: dict[str, Consulta] = {
+        nombre: (lambda s, d, f=f: _redondear(f(_pares(s, d)))) for nombre, f in sobre_pares.items()
+    }
+    salida |= {
+        nombre: (lambda s, d, f=f, cols=cols: _redondear(f(_derivada(s, d, *cols))))
+        for nombre, (f, cols) in sobre_filas.items()
+    }
+    salida["kde"] = lambda s, d: _seis(
+        gr.kde(_pares(s, d)).withColumn("densidad", F.round("densidad", 9)), "x"
+    )
+    salida["regresion_distrito"] = lambda s, d: _seis(
+        gr.regresion_distrito(casos(s, d, ("distrito_fiscal", *_MEDIDAS))).withColumn(
+            "pendiente", F.round("pendiente", 12)
+        ),
+        "intercepto",
+        "r",
+        "r_cuadrado",
+    )
+    salida["regresion_registros"] = lambda s, d: _seis(
+        gr.regresion_registros(_pares(s, d)).withColumn("pendiente", F.round("pendiente", 9)),
+        "intercepto",
+        "r",
+        "r_cuadrado",
+    )
+    return salida
+
+
 def consultas() -> dict[str, Consulta]:
     return {
         **_consultas_bi(),
         **_consultas_dimension(),
         **_consultas_limpieza(),
         **_consultas_descriptivas(),
+        **_consultas_patrones(),
+        **_consultas_atipicos(),
+        **_consultas_graficas(),
     }
