@@ -33,9 +33,9 @@ q AS (
   SELECT variable, COUNT(v) AS c, avg(v) AS media, stddev_samp(v) AS s, min(v) AS mn, max(v) AS mx, SUM(v) AS suma,
     quantile_cont(v, 0.05) AS q05, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50,
     quantile_cont(v, 0.75) AS q75, quantile_cont(v, 0.95) AS q95,
-    count_if(v = 0) AS ceros, count_if(v < 0) AS neg, count_if(v IS NULL) AS nulos, COUNT(*) AS filas
+    COUNT(*) FILTER (v = 0) AS ceros, COUNT(*) FILTER (v < 0) AS neg, COUNT(*) FILTER (v IS NULL) AS nulos, COUNT(*) AS filas
   FROM l GROUP BY variable),
-ex AS (SELECT variable, count_if(v > q95) AS altos, count_if(v < q05) AS bajos FROM l JOIN q USING (variable) GROUP BY variable),
+ex AS (SELECT variable, COUNT(*) FILTER (v > q95) AS altos, COUNT(*) FILTER (v < q05) AS bajos FROM l JOIN q USING (variable) GROUP BY variable),
 md AS (SELECT variable, v AS moda FROM (SELECT variable, v, row_number() OVER (PARTITION BY variable ORDER BY COUNT(*) DESC, v) AS k
   FROM l WHERE v IS NOT NULL GROUP BY variable, v) WHERE k = 1),
 tp AS (SELECT variable, SUM(v) AS top FROM (SELECT variable, v, row_number() OVER (PARTITION BY variable ORDER BY v DESC) AS k FROM l) WHERE k <= 10 GROUP BY variable)
@@ -138,10 +138,10 @@ ORACULOS = {
   COUNT(DISTINCT distrito_fiscal) AS distritos, COUNT(DISTINCT materia) AS materias,
   CAST(SUM(ingresado) AS BIGINT) AS total_ingresados, CAST(SUM(atendido) AS BIGINT) AS total_atendidos,
   round(SUM(atendido)::DOUBLE / SUM(ingresado)::DOUBLE * 100, 6) AS tasa_global_pct,
-  count_if(ingresado = 0) AS sin_ingreso, round(count_if(ingresado = 0) / COUNT(*)::DOUBLE * 100, 6) AS sin_ingreso_pct,
-  count_if(atendido = 0) AS sin_atencion, round(count_if(atendido = 0) / COUNT(*)::DOUBLE * 100, 6) AS sin_atencion_pct,
-  count_if(atendido > ingresado) AS sobreatendidos,
-  round(count_if(atendido > ingresado) / COUNT(*)::DOUBLE * 100, 6) AS sobreatendidos_pct FROM d""",
+  COUNT(*) FILTER (ingresado = 0) AS sin_ingreso, round(COUNT(*) FILTER (ingresado = 0) / COUNT(*)::DOUBLE * 100, 6) AS sin_ingreso_pct,
+  COUNT(*) FILTER (atendido = 0) AS sin_atencion, round(COUNT(*) FILTER (atendido = 0) / COUNT(*)::DOUBLE * 100, 6) AS sin_atencion_pct,
+  COUNT(*) FILTER (atendido > ingresado) AS sobreatendidos,
+  round(COUNT(*) FILTER (atendido > ingresado) / COUNT(*)::DOUBLE * 100, 6) AS sobreatendidos_pct FROM d""",
     ),
     "resumen_general": con(
         DERIVADA,
@@ -164,18 +164,18 @@ SELECT variable, n AS conteo, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis
         DERIVADA,
         """SELECT round(avg(tasa_atencion), 6) AS tasa_atencion_promedio,
   round(quantile_cont(tasa_atencion, 0.5), 6) AS tasa_atencion_mediana,
-  count_if(tasa_atencion >= 1) AS casos_eficiencia_perfecta,
-  round(count_if(tasa_atencion >= 1) / COUNT(*)::DOUBLE * 100, 6) AS casos_eficiencia_perfecta_pct,
-  count_if(tasa_atencion < 0.5) AS casos_baja_eficiencia,
-  round(count_if(tasa_atencion < 0.5) / COUNT(*)::DOUBLE * 100, 6) AS casos_baja_eficiencia_pct
+  COUNT(*) FILTER (tasa_atencion >= 1) AS casos_eficiencia_perfecta,
+  round(COUNT(*) FILTER (tasa_atencion >= 1) / COUNT(*)::DOUBLE * 100, 6) AS casos_eficiencia_perfecta_pct,
+  COUNT(*) FILTER (tasa_atencion < 0.5) AS casos_baja_eficiencia,
+  round(COUNT(*) FILTER (tasa_atencion < 0.5) / COUNT(*)::DOUBLE * 100, 6) AS casos_baja_eficiencia_pct
 FROM d WHERE tasa_atencion IS NOT NULL""",
     ),
     "metricas_volumen": con(
         DERIVADA,
-        """SELECT count_if(volumen_ingresado = 'Muy Bajo') AS muy_bajo, count_if(volumen_ingresado = 'Bajo') AS bajo,
-  count_if(volumen_ingresado = 'Medio') AS medio, count_if(volumen_ingresado = 'Alto') AS alto,
-  count_if(volumen_ingresado = 'Muy Alto') AS muy_alto, count_if(ingresado > 1000) AS casos_alto_volumen,
-  count_if(ingresado <= 10) AS casos_bajo_volumen,
+        """SELECT COUNT(*) FILTER (volumen_ingresado = 'Muy Bajo') AS muy_bajo, COUNT(*) FILTER (volumen_ingresado = 'Bajo') AS bajo,
+  COUNT(*) FILTER (volumen_ingresado = 'Medio') AS medio, COUNT(*) FILTER (volumen_ingresado = 'Alto') AS alto,
+  COUNT(*) FILTER (volumen_ingresado = 'Muy Alto') AS muy_alto, COUNT(*) FILTER (ingresado > 1000) AS casos_alto_volumen,
+  COUNT(*) FILTER (ingresado <= 10) AS casos_bajo_volumen,
   round((SELECT SUM(t) FROM (SELECT SUM(ingresado) AS t FROM d GROUP BY distrito_fiscal ORDER BY t DESC LIMIT 10))::DOUBLE
         / SUM(ingresado)::DOUBLE * 100, 6) AS concentracion_top_10_distritos FROM d""",
     ),

@@ -73,9 +73,9 @@ def _dq() -> str:
 
     partes = []
     for t, cols in no_nulos.items():
-        partes += [fila("NOT NULL", t, c, f"count_if({c} IS NULL)", t) for c in cols]
+        partes += [fila("NOT NULL", t, c, f"COUNT(*) FILTER ({c} IS NULL)", t) for c in cols]
     for t, cols in longitudes.items():
-        partes += [fila(f"LONGITUD {n}", t, c, f"count_if(length({c}) > {n})", t) for c, n in cols.items()]
+        partes += [fila(f"LONGITUD {n}", t, c, f"COUNT(*) FILTER (length({c}) > {n})", t) for c, n in cols.items()]
     for t, cols in unicos.items():
         texto = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
         sub = f"(SELECT {texto} AS k FROM {t} GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1)"
@@ -93,11 +93,11 @@ def _dq() -> str:
         "fecha_descarga": "fecha_descarga",
         "fecha_corte": "fecha_corte",
     }
-    partes += [fila("NOT NULL", hechos, k, f"count_if({c} IS NULL)", "casos") for k, c in claves.items()]
+    partes += [fila("NOT NULL", hechos, k, f"COUNT(*) FILTER ({c} IS NULL)", "casos") for k, c in claves.items()]
     partes += [
-        fila("CHECK", hechos, "chk_casos_positivos", "count_if(ingresado < 0 OR atendido < 0)", "casos"),
-        fila("CHECK", hechos, "chk_casos_logicos", "count_if(atendido > ingresado)", "casos"),
-        fila("CHECK", hechos, "chk_fechas_logicas", "count_if(fecha_corte < fecha_descarga)", "casos"),
+        fila("CHECK", hechos, "chk_casos_positivos", "COUNT(*) FILTER (ingresado < 0 OR atendido < 0)", "casos"),
+        fila("CHECK", hechos, "chk_casos_logicos", "COUNT(*) FILTER (atendido > ingresado)", "casos"),
+        fila("CHECK", hechos, "chk_fechas_logicas", "COUNT(*) FILTER (fecha_corte < fecha_descarga)", "casos"),
     ]
     fks = {
         "id_tiempo": ("anio", "dim_tiempo"),

@@ -82,7 +82,7 @@ _CALIDAD = f"""
 , m AS (
   SELECT CAST(anio AS INTEGER) AS anio, COUNT(*) AS filas,
     COUNT(*) - COUNT(DISTINCT ({_LISTA})) AS duplicados,
-    {', '.join(f'count_if({c} IS NULL) AS n_{c}' for c in _PLANAS)}
+    {', '.join(f'COUNT(*) FILTER ({c} IS NULL) AS n_{c}' for c in _PLANAS)}
   FROM sucio GROUP BY 1)
 SELECT anio, 'filas' AS metrica, CAST(NULL AS VARCHAR) AS columna, filas AS valor FROM m
 UNION ALL SELECT anio, 'columnas', NULL, CAST(16 AS BIGINT) FROM m
@@ -101,16 +101,16 @@ _REPORTE = f"""
 , cruda AS (
   SELECT CAST(anio AS INTEGER) AS anio, COUNT(*) AS filas, COUNT(DISTINCT ({_LISTA})) AS distintas,
     CAST(SUM({' + '.join(f'CAST({c} IS NULL AS INTEGER)' for c in _PLANAS)}) AS BIGINT) AS nulos,
-    count_if(ingresado IS NULL OR ingresado IN ('', ' ')) AS zi,
-    count_if(atendido IS NULL OR atendido IN ('', ' ')) AS za,
-    count_if({_VALIDA}) AS validas
+    COUNT(*) FILTER (ingresado IS NULL OR ingresado IN ('', ' ')) AS zi,
+    COUNT(*) FILTER (atendido IS NULL OR atendido IN ('', ' ')) AS za,
+    COUNT(*) FILTER ({_VALIDA}) AS validas
   FROM sucio GROUP BY 1),
 fin AS (
   SELECT anio, COUNT(*) AS finales, COUNT(*) - COUNT(DISTINCT ({_LISTA}, "año_descarga")) AS dup,
     CAST(SUM({' + '.join(f'CAST({c} IS NULL AS INTEGER)' for c in _PLANAS)} + CAST("año_descarga" IS NULL AS INTEGER)) AS BIGINT) AS nulos_f,
-    count_if(exceso) AS exceso,
-    count_if("año_descarga" IS DISTINCT FROM anio + 1) AS desfase,
-    count_if(ingresado < 0 OR atendido < 0) AS neg, count_if(ingresado = 0 AND atendido > 0) AS sin
+    COUNT(*) FILTER (exceso) AS exceso,
+    COUNT(*) FILTER ("año_descarga" IS DISTINCT FROM anio + 1) AS desfase,
+    COUNT(*) FILTER (ingresado < 0 OR atendido < 0) AS neg, COUNT(*) FILTER (ingresado = 0 AND atendido > 0) AS sin
   FROM limpio GROUP BY 1),
 j AS (SELECT * FROM cruda JOIN fin USING (anio)),
 t AS (
@@ -133,9 +133,9 @@ FROM t"""
 
 _OUT = """
 SELECT v.anio, '{c}' AS columna, any_value(li) AS limite_inferior, any_value(ls) AS limite_superior,
-  count_if({c} < li OR {c} > ls) AS iqr_conteo, count_if(abs({c} - m) > 3 * s) AS z_conteo,
-  count_if({c} < li OR {c} > ls) / CAST(COUNT(*) AS DOUBLE) * 100 AS iqr_porcentaje,
-  count_if(abs({c} - m) > 3 * s) / CAST(COUNT(*) AS DOUBLE) * 100 AS z_porcentaje
+  COUNT(*) FILTER ({c} < li OR {c} > ls) AS iqr_conteo, COUNT(*) FILTER (abs({c} - m) > 3 * s) AS z_conteo,
+  COUNT(*) FILTER ({c} < li OR {c} > ls) / CAST(COUNT(*) AS DOUBLE) * 100 AS iqr_porcentaje,
+  COUNT(*) FILTER (abs({c} - m) > 3 * s) / CAST(COUNT(*) AS DOUBLE) * 100 AS z_porcentaje
 FROM limpio v JOIN (
   SELECT anio, avg({c}) AS m, stddev_pop({c}) AS s,
     quantile_cont(CAST({c} AS DOUBLE), 0.25) - CAST(1.5 AS DOUBLE) * (quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS li,
@@ -172,8 +172,8 @@ FROM o WHERE puesto <= 10""",
             """SELECT anio, '{c}' AS columna, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
   round(avg({c}), 6) AS media, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS mediana,
   round(stddev_samp({c}), 6) AS std, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25,
-  quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, count_if({c} = 0) AS valores_cero,
-  count_if({c} < 0) AS valores_negativos FROM limpio GROUP BY anio""",
+  quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, COUNT(*) FILTER ({c} = 0) AS valores_cero,
+  COUNT(*) FILTER ({c} < 0) AS valores_negativos FROM limpio GROUP BY anio""",
             _NUMERICAS,
         ),
     ),
@@ -183,7 +183,7 @@ FROM o WHERE puesto <= 10""",
             """SELECT CAST(anio AS INTEGER) AS anio, '{c}' AS columna,
   CAST(min(try_strptime({c}, '%d/%m/%Y')) AS TIMESTAMP) AS fecha_min,
   CAST(max(try_strptime({c}, '%d/%m/%Y')) AS TIMESTAMP) AS fecha_max,
-  count_if(try_strptime({c}, '%d/%m/%Y') IS NULL) AS fechas_invalidas FROM sucio GROUP BY 1""",
+  COUNT(*) FILTER (try_strptime({c}, '%d/%m/%Y') IS NULL) AS fechas_invalidas FROM sucio GROUP BY 1""",
             ["fecha_descarga", "fecha_corte"],
         ),
     ),

@@ -38,7 +38,7 @@ q2 AS (SELECT variable, any_value(med) AS med, quantile_cont(abs(v - med), 0.5)
 m AS (SELECT variable, v, abs(CAST(0.6745 AS DOUBLE) * (v - med) / mad) > 3.5 AS fuera FROM l JOIN q2 USING (variable) WHERE mad > 0)"""
 
 _RESUMEN = """
-, t AS (SELECT variable, COUNT(*) AS total_valores, count_if(fuera) AS conteo FROM m GROUP BY variable),
+, t AS (SELECT variable, COUNT(*) AS total_valores, COUNT(*) FILTER (fuera) AS conteo FROM m GROUP BY variable),
 x AS (SELECT variable, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ', ' ORDER BY v DESC) AS valores_extremos
   FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY v DESC) AS k FROM m WHERE fuera) WHERE k <= 5 GROUP BY variable)
 """
@@ -71,7 +71,7 @@ def _cajas(origen: str, claves: str) -> str:
 w AS (SELECT *, q1 - 1.5::DOUBLE * (q3 - q1) AS li, q3 + 1.5::DOUBLE * (q3 - q1) AS ls FROM q)
 SELECT {claves}, round(any_value(q1), 6) AS q1, round(any_value(mediana), 6) AS mediana, round(any_value(q3), 6) AS q3,
   round(min(v) FILTER (v >= li AND v <= ls), 6) AS bigote_inferior, round(max(v) FILTER (v >= li AND v <= ls), 6) AS bigote_superior,
-  count_if(v < li OR v > ls) AS outliers, round(count_if(v < li OR v > ls) / COUNT(*)::DOUBLE * 100, 6) AS outliers_pct
+  COUNT(*) FILTER (v < li OR v > ls) AS outliers, round(COUNT(*) FILTER (v < li OR v > ls) / COUNT(*)::DOUBLE * 100, 6) AS outliers_pct
 FROM {origen} JOIN w USING ({claves}) GROUP BY {claves}"""
 
 
@@ -98,7 +98,7 @@ ORACULOS = {
 SELECT (SELECT string_agg(dpto_pjfs || ': ' || total, '; ' ORDER BY k) FROM o WHERE k <= 3) AS top_3_departamentos,
   {r6('SUM(total) FILTER (k <= 3)::DOUBLE / SUM(total)::DOUBLE * 100')} AS concentracion_top_3,
   {r6('2 * SUM(i * total)::DOUBLE / (COUNT(*) * SUM(total))::DOUBLE - (COUNT(*) + 1) / COUNT(*)::DOUBLE')} AS coeficiente_gini,
-  count_if(total::DOUBLE < (SELECT quantile_cont(total::DOUBLE, 0.5) FROM dep) * 0.1::DOUBLE) AS departamentos_bajo_volumen FROM o""",
+  COUNT(*) FILTER (total::DOUBLE < (SELECT quantile_cont(total::DOUBLE, 0.5) FROM dep) * 0.1::DOUBLE) AS departamentos_bajo_volumen FROM o""",
     ),
     "disparidad_departamental": con(
         DERIVADA,
@@ -155,8 +155,8 @@ SELECT {r6('a')} AS eficiencia_con_especializacion, {r6('b')} AS eficiencia_sin_
     ),
     "anomalias": con(
         DERIVADA,
-        f""", e AS (SELECT count_if(atendido > ingresado * 1.5) AS s, count_if(ingresado > 0 AND atendido = 0) AS n,
-  count_if(atendido > ingresado * 1.5 OR (ingresado > 0 AND atendido = 0)) AS t, COUNT(*) AS c FROM d)
+        f""", e AS (SELECT COUNT(*) FILTER (atendido > ingresado * 1.5) AS s, COUNT(*) FILTER (ingresado > 0 AND atendido = 0) AS n,
+  COUNT(*) FILTER (atendido > ingresado * 1.5 OR (ingresado > 0 AND atendido = 0)) AS t, COUNT(*) AS c FROM d)
 SELECT t AS total_anomalias, {r6('t / c::DOUBLE * 100')} AS porcentaje_dataset, s AS sobre_atencion_extrema,
   n AS sin_atencion_con_casos FROM e""",
     ),
@@ -175,7 +175,7 @@ WHERE atendido > ingresado * 1.5 OR (ingresado > 0 AND atendido = 0)""",
     "outliers_resumen": con(
         DERIVADA,
         _IQR + _RESUMEN
-        + f", t2 AS (SELECT variable, abs(CAST(0.6745 AS DOUBLE) * (v - med) / mad) > 3.5 AS f FROM l JOIN (SELECT variable, any_value(med) AS med, quantile_cont(abs(v - med), 0.5) AS mad FROM l JOIN (SELECT variable, quantile_cont(v, 0.5) AS med FROM l GROUP BY 1) USING (variable) GROUP BY variable) USING (variable) WHERE mad > 0), t3 AS (SELECT variable, COUNT(*) AS total_valores, count_if(f) AS conteo FROM t2 GROUP BY 1)\n"
+        + f", t2 AS (SELECT variable, abs(CAST(0.6745 AS DOUBLE) * (v - med) / mad) > 3.5 AS f FROM l JOIN (SELECT variable, any_value(med) AS med, quantile_cont(abs(v - med), 0.5) AS mad FROM l JOIN (SELECT variable, quantile_cont(v, 0.5) AS med FROM l GROUP BY 1) USING (variable) GROUP BY variable) USING (variable) WHERE mad > 0), t3 AS (SELECT variable, COUNT(*) AS total_valores, COUNT(*) FILTER (f) AS conteo FROM t2 GROUP BY 1)\n"
         + f"SELECT variable, 'IQR' AS metodo, conteo, {r6(_PCT)} AS porcentaje, {_ETI_IQR} AS interpretacion FROM t WHERE variable <> 'anio' "
         + f"UNION ALL SELECT variable, 'Z_Score_Modificado', conteo, {r6(_PCT)}, {_ETI_MAD} FROM t3 WHERE variable <> 'anio'",
     ),
@@ -223,7 +223,7 @@ g2 AS (SELECT variable, v FROM g JOIN p USING (variable) WHERE v <= p99 AND vari
     "forma_distribucion": con(
         DERIVADA,
         ", g AS (" + union("SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS v FROM d WHERE {c} IS NOT NULL", ["ingresado", "atendido", "tasa_atencion"]) + ")"
-        + f""", mu AS (SELECT variable, avg(v) AS m, COUNT(*) AS n, count_if(v > 1.2) AS k FROM g GROUP BY variable),
+        + f""", mu AS (SELECT variable, avg(v) AS m, COUNT(*) AS n, COUNT(*) FILTER (v > 1.2) AS k FROM g GROUP BY variable),
 mo AS (SELECT variable, any_value(n) AS n, any_value(k) AS k, SUM((v - m) ** 2) AS m2, SUM((v - m) ** 3) AS m3, SUM((v - m) ** 4) AS m4
   FROM g JOIN mu USING (variable) GROUP BY variable)
 SELECT variable, {r6('(m3 / n) / ((m2 / n) * sqrt(m2 / n))')} AS asimetria, {r6('(m4 / n) / ((m2 / n) ** 2) - 3')} AS curtosis,
