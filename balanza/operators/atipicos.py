@@ -61,9 +61,11 @@ def _resumir(marcada: DataFrame, fuera: Column, k: int = K_EXTREMOS) -> DataFram
     )
 
 
-def outliers_iqr(df: DataFrame, variables: Sequence[str] = ROLES.numericas) -> DataFrame:
+def outliers_iqr(
+    df: DataFrame, variables: Sequence[str] = ROLES.numericas, peso: str | None = None
+) -> DataFrame:
     """Values outside the quartile fences, per variable."""
-    freq = cortar(tabla_larga(df, variables))
+    freq = cortar(tabla_larga(df, variables, peso=peso))
     con = unir_por_grupo(
         freq.filter(F.col("valor").isNotNull()),
         limites_iqr(freq, _G),
@@ -81,9 +83,11 @@ def outliers_iqr(df: DataFrame, variables: Sequence[str] = ROLES.numericas) -> D
     )
 
 
-def outliers_mad(df: DataFrame, variables: Sequence[str] = ROLES.numericas) -> DataFrame:
+def outliers_mad(
+    df: DataFrame, variables: Sequence[str] = ROLES.numericas, peso: str | None = None
+) -> DataFrame:
     """Modified z-score on the median absolute deviation; skipped where that is 0."""
-    freq = cortar(tabla_larga(df, variables).filter(F.col("valor").isNotNull()))
+    freq = cortar(tabla_larga(df, variables, peso=peso).filter(F.col("valor").isNotNull()))
     med = acumular(freq, _G).groupBy(*_G).agg(cuantil_agregado(0.5).alias("mediana"))
     con = cortar(unir_por_grupo(freq, med, _G, ["mediana"]))
     desvio = F.abs(F.col("valor") - F.col("mediana"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from balanza.esquema import ROLES, RolesColumnas
+from balanza.esquema import ROLES, SENTINELA
 from balanza.functions.clases import (
     clase_volumen_fila,
     direccion_tendencia,
@@ -62,6 +62,31 @@ def pares_medidas(df: DataFrame) -> DataFrame:
     )
 
 
+def cubo_casos(df: DataFrame) -> DataFrame:
+    """Sums by year, district, department, subject and speciality.
+
+    A pre-aggregate in place of the rows for everything that only needs sums by some
+    of these keys; ``suma_tasa / n_tasa`` gives the mean row rate.
+    """
+    t = tasa_nula(F.col("ingresado"), F.col("atendido"))
+    esp = ~F.col("especializada").eqNullSafe(F.lit(SENTINELA))
+    return cortar(
+        df.groupBy(
+            "anio",
+            "distrito_fiscal",
+            "dpto_pjfs",
+            "materia",
+            esp.cast("int").alias("tiene_especializacion"),
+        ).agg(
+            suma("ingresado").alias("ingresado"),
+            suma("atendido").alias("atendido"),
+            F.sum(t).alias("suma_tasa"),
+            F.count(t).alias("n_tasa"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+
+
 # ------------------------------------------------------------------------ summaries
 
 
@@ -117,9 +142,10 @@ def perfil_numerico(
     variables: Sequence[str] = ROLES.numericas,
     metricas: Sequence[str] = ROLES.metricas,
     k_top: int = 10,
+    peso: str | None = None,
 ) -> DataFrame:
     """Centre, spread, shape, special values and normality of each numeric column."""
-    freq = cortar(tabla_larga(df, variables))
+    freq = cortar(tabla_larga(df, variables, peso=peso))
     g = ["variable"]
     acc = cortar(acumular(freq, g))
     v, n = F.col("valor"), F.col("n")

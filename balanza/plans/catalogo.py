@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from balanza.esquema import ROLES
+from balanza.functions.tasas import derivar_metricas
 from balanza.operators import (
     atipicos,
     bi,
+    bosque,
     calidad,
     descriptiva,
     dimensiones,
     estrella,
     graficos,
+    grupos,
+    hallazgos,
     limpieza,
     patrones,
 )
-from balanza.functions.tasas import derivar_metricas
 from balanza.operators.vista import vista_desde_casos
 from balanza.sources.demo import casos, casos_sucios
 
@@ -328,6 +331,38 @@ def _consultas_graficas() -> dict[str, Consulta]:
     return salida
 
 
+def _consultas_modelos() -> dict[str, Consulta]:
+    """Seeded models and the findings."""
+
+    def marcados(s: SparkSession, d: str) -> DataFrame:
+        return bosque.marcar_multivariados(_pares(s, d))
+
+    return {
+        "clusters_perfil": lambda s, d: grupos.clusters_perfil(_pares(s, d)),
+        "outliers_multivariados": lambda s, d: bosque.outliers_multivariados(marcados(s, d)),
+        "casos_multivariados": lambda s, d: bosque.casos_multivariados(
+            casos(s, d, ("distrito_fiscal", "materia", *_MEDIDAS)), marcados(s, d)
+        ),
+        "dispersion_multivariada": lambda s, d: bosque.dispersion_multivariada(marcados(s, d)),
+        "hallazgos": lambda s, d: _redondear(
+            hallazgos.hallazgos(
+                casos(
+                    s,
+                    d,
+                    (
+                        "anio",
+                        "distrito_fiscal",
+                        "dpto_pjfs",
+                        "materia",
+                        "especializada",
+                        *_MEDIDAS,
+                    ),
+                )
+            ).drop("texto")
+        ),
+    }
+
+
 def consultas() -> dict[str, Consulta]:
     return {
         **_consultas_bi(),
@@ -337,4 +372,5 @@ def consultas() -> dict[str, Consulta]:
         **_consultas_patrones(),
         **_consultas_atipicos(),
         **_consultas_graficas(),
+        **_consultas_modelos(),
     }

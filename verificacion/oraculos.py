@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from verificacion import bi, descriptiva, dimensiones, limpieza, patrones
+from verificacion import bi, descriptiva, dimensiones, hallazgos, limpieza, patrones
 
-ORACULOS: dict[str, str] = {**bi.ORACULOS, **dimensiones.ORACULOS, **limpieza.ORACULOS, **descriptiva.ORACULOS, **patrones.ORACULOS}
+ORACULOS: dict[str, str] = {**bi.ORACULOS, **dimensiones.ORACULOS, **limpieza.ORACULOS, **descriptiva.ORACULOS, **patrones.ORACULOS, **hallazgos.ORACULOS}
