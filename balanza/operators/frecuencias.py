@@ -52,7 +52,7 @@ def cubo(c: Column) -> Column:
     """Monotone bucket number of a numeric value (0 stays alone)."""
     x = c.cast("double")
     k = F.floor(F.log2(F.abs(x)) * F.lit(float(CUBOS_POR_OCTAVA))) + F.lit(_DESPLAZAMIENTO)
-    return F.when(x > 0, k).when(x < 0, -k).otherwise(F.lit(0).cast("long"))
+    return F.when(x > 0, k).when(x < 0, -k).when(x == 0, F.lit(0).cast("long"))
 
 
 def iguales(claves: Sequence[str], izq: str = "a", der: str = "b") -> list[Column]:
