@@ -35,6 +35,12 @@ FALTANTES = (
 # Upper-cased text that means "no speciality".
 SIN_ESPECIALIDAD = ("NAN", "NONE", "NULL", "", "NA", ",,")
 
+# Every character counted as white space at the ends of a name.
+ESPACIOS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 FORMATOS_FECHA = ("dd/MM/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd")
 
 _NUMERO = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -46,7 +52,7 @@ def faltante_a_nulo(c: Column, faltantes: Sequence[str] = FALTANTES) -> Column:
 
 def limpiar_texto(c: Column) -> Column:
     """Upper case without leading and trailing white space of any kind."""
-    return F.upper(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.upper(F.trim(c, F.lit(ESPACIOS)))
 
 
 def a_numero(c: Column) -> Column:

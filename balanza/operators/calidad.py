@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from balanza.operators.frecuencias import tabla_larga
 from balanza.sesion import cortar
 
 # Constraints of the warehouse tables.
@@ -84,20 +83,54 @@ def _chequeos() -> dict[str, Column]:
     }
 
 
+def _filas_regla(tabla: str, reglas: Mapping[tuple[str, str], Column]) -> Column:
+    """Rows of the violations table for counts held in columns ``_0, _1, ...``."""
+    return F.inline(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(regla).alias("regla"),
+                    F.lit(tabla).alias("tabla"),
+                    F.lit(clave).alias("clave"),
+                    F.coalesce(F.col(f"_{i}"), F.lit(0)).alias("violaciones"),
+                    F.lit(None).cast("string").alias("ejemplo"),
+                )
+                for i, (regla, clave) in enumerate(reglas)
+            ]
+        )
+    )
+
+
 def contar_reglas(df: DataFrame, tabla: str, reglas: Mapping[tuple[str, str], Column]) -> DataFrame:
     """Evaluate many row conditions in one pass; keys are ``(rule, column)``."""
     conteos = [F.count_if(cond).alias(f"_{i}") for i, cond in enumerate(reglas.values())]
-    filas = [
-        F.struct(
-            F.lit(regla).alias("regla"),
-            F.lit(tabla).alias("tabla"),
-            F.lit(clave).alias("clave"),
-            F.col(f"_{i}").alias("violaciones"),
-            F.lit(None).cast("string").alias("ejemplo"),
+    return df.agg(*conteos).select(_filas_regla(tabla, reglas))
+
+
+def _pasada_hechos(
+    hechos: DataFrame, reglas: Mapping[tuple[str, str], Column]
+) -> DataFrame:
+    """The only pass over the fact: used foreign keys and rule counts together.
+
+    Every fact row appears once per foreign key; the rule conditions are counted on
+    its first appearance only.
+    """
+    claves = list(FORANEAS_HECHOS)
+    celdas = F.array(
+        *[
+            F.struct(F.lit(k).alias("variable"), F.col(k).cast("long").alias("valor"))
+            for k in claves
+        ]
+    )
+    marcas = [cond.alias(f"_m{i}") for i, cond in enumerate(reglas.values())]
+    largo = hechos.select(*marcas, F.inline(celdas))
+    primera = F.col("variable") == claves[0]
+    return cortar(
+        largo.groupBy("variable", "valor").agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.count_if(primera & F.col(f"_m{i}")).alias(f"_{i}") for i in range(len(marcas))],
         )
-        for i, (regla, clave) in enumerate(reglas)
-    ]
-    return df.agg(*conteos).select(F.inline(F.array(*filas)))
+    )
 
 
 def _fila(regla: str, tabla: str, clave: str, malos: DataFrame, n: Column, ejemplo: Column) -> DataFrame:
@@ -142,9 +175,10 @@ def violaciones(dims: Mapping[str, DataFrame], hechos: DataFrame) -> DataFrame:
         )
     reglas = {("NOT NULL", c): F.col(c).isNull() for c in NO_NULOS_HECHOS}
     reglas |= {("CHECK", k): cond for k, cond in _chequeos().items()}
-    partes.append(contar_reglas(hechos, HECHOS, reglas))
-    # All foreign keys of the fact in one pass, then anti-joins on distinct keys only.
-    claves = cortar(tabla_larga(hechos, list(FORANEAS_HECHOS), tipo="long"))
+    claves = _pasada_hechos(hechos, reglas)
+    sumas = [F.sum(f"_{i}").alias(f"_{i}") for i in range(len(reglas))]
+    partes.append(claves.agg(*sumas).select(_filas_regla(HECHOS, reglas)))
+    # Anti-joins run on the distinct keys only.
     for fk, t in FORANEAS_HECHOS.items():
         usadas = claves.filter((F.col("variable") == fk) & F.col("valor").isNotNull())
         malas = usadas.join(dims[t], usadas["valor"] == dims[t][fk], "left_anti")

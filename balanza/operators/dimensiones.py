@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from balanza.functions import clases
 from balanza.functions.texto import limpiar_texto
-from balanza.sesion import cortar
+from balanza.sesion import cortar, filas
 
 # Fixed value: share of rows from which a subject counts as a main one.
 UMBRAL_PRINCIPAL = 0.05
@@ -26,10 +26,13 @@ _GRUPOS = {
 }
 
 
-def compactar(df: DataFrame, region: Column | None = None) -> dict[str, DataFrame]:
+def compactar(
+    df: DataFrame, region: Column | None = None
+) -> tuple[dict[str, DataFrame], int]:
     """Distinct natural keys of every dimension, counted in a single pass over the rows.
 
-    Each table feeds the functions below in place of the rows themselves.
+    Each table feeds the functions below in place of the rows themselves.  The number
+    returned is the size of all tables together, a bound for each dimension.
     """
     grupos = dict(_GRUPOS)
     if region is not None:
@@ -47,7 +50,7 @@ def compactar(df: DataFrame, region: Column | None = None) -> dict[str, DataFram
     largo = df.select(F.inline(F.array(*[fila(g, c) for g, c in grupos.items()])))
     largo = cortar(largo.groupBy(*largo.columns).agg(F.count(F.lit(1)).alias(PESO)))
     enteros = {"ubigeo_pjfs", "anio"}
-    return {
+    tablas = {
         g: largo.filter(F.col("_grupo") == g).select(
             *[
                 F.col(f"_k{i}").cast("int" if c in enteros else "string").alias(c)
@@ -57,6 +60,7 @@ def compactar(df: DataFrame, region: Column | None = None) -> dict[str, DataFram
         )
         for g, columnas in grupos.items()
     }
+    return tablas, filas(largo)
 
 
 def _conteo(df: DataFrame) -> Column:
@@ -183,11 +187,11 @@ def distritos_por_departamento(distritos: DataFrame) -> DataFrame:
 def especializacion(df: DataFrame) -> DataFrame:
     """Rows with and without a specialised-office value (the sentinel is a value)."""
     con = F.count("especializada")
-    filas = F.count(F.lit(1))
+    todas = F.count(F.lit(1))
     return df.agg(
         con.alias("casos_especializados"),
-        (filas - con).alias("casos_generales"),
-        (con / filas * 100).alias("porcentaje_especializacion"),
+        (todas - con).alias("casos_generales"),
+        (con / todas * 100).alias("porcentaje_especializacion"),
     )
 
 

@@ -16,15 +16,21 @@ from balanza.sesion import cortar, cortar_varios, difundir, filas
 _CUBOS_CLAVE = 65_536
 
 
-def con_clave(df: DataFrame, id_col: str, natural: list[str], limite: int | None = None) -> DataFrame:
-    """Add a surrogate key 1..n to a cut frame, in natural-key order while it is small.
+def con_clave(
+    df: DataFrame, id_col: str, natural: list[str], cota: int | None = None, limite: int | None = None
+) -> DataFrame:
+    """Add a surrogate key 1..n, in natural-key order while the dimension is small.
+
+    ``cota`` is a known bound on its rows; without one the frame is cut and counted.
 
     A large dimension is numbered inside hash buckets after a running sum over the
     (fixed number of) bucket sizes, so that no task numbers it whole.
     """
     limite = LIMITE_VENTANA if limite is None else limite
-    df = cortar(df)
-    if filas(df) <= limite:
+    if cota is None or cota > limite:
+        df = cortar(df)
+        cota = filas(df)
+    if cota <= limite:
         n = F.row_number().over(Window.orderBy(*natural))
         return df.select(n.cast("int").alias(id_col), "*")
     base = df.withColumn("_cubo", F.pmod(F.xxhash64(*natural), F.lit(_CUBOS_CLAVE)))
@@ -50,16 +56,15 @@ CLAVES = {
 }
 
 
-def _numerar(tablas: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    cortadas = cortar_varios(tablas)
-    return cortar_varios({t: con_clave(d, *CLAVES[t]) for t, d in cortadas.items()})
+def _numerar(tablas: dict[str, DataFrame], cota: int) -> dict[str, DataFrame]:
+    return cortar_varios({t: con_clave(d, *CLAVES[t], cota) for t, d in tablas.items()})
 
 
 def construir_dimensiones(
     df: DataFrame, region: Column | None = None, sentinela_como_fila: bool = True
 ) -> dict[str, DataFrame]:
     """The eight dimension tables of a clean flat table, from one pass over it."""
-    g = dim.compactar(df, region)
+    g, cota = dim.compactar(df, region)
     nulo_int, nulo_txt = F.lit(None).cast("int"), F.lit(None).cast("string")
     dada = None if region is None else F.col("_region")
     fiscalias = dim.dim_fiscalias_especializadas(g["especializada"]).select(
@@ -81,7 +86,8 @@ def construir_dimensiones(
             ),
             "dim_fiscalias_especializadas": fiscalias,
             "dim_tiempo": dim.dim_tiempo(g["tiempo"]),
-        }
+        },
+        cota,
     )
     especialidades = dim.dim_especialidades(g["especialidad"]).withColumnRenamed(
         "materia_asociada", "materia"
@@ -95,7 +101,8 @@ def construir_dimensiones(
             .join(difundir(dims["dim_ubicaciones"], ["id_ubicacion", "ubigeo_pjfs"]), "ubigeo_pjfs")
             .select("distrito_fiscal", "id_ubicacion", F.lit(True).alias("estado_activo"))
             .distinct(),
-        }
+        },
+        cota,
     )
     return {**dims, **con_padre}
 

@@ -12,7 +12,7 @@ from balanza.sinks import salidas
 def analizar_dimensiones(df: DataFrame) -> dict[str, DataFrame]:
     """The eight dimension analyses and their class counts, from one pass over the rows."""
     dim = dimensiones
-    g = dim.compactar(df)
+    g, _ = dim.compactar(df)
     tipos_caso = dim.dim_tipos_caso(g["tipo_caso"])
     fiscalias = dim.dim_fiscalias_especializadas(g["especializada"])
     especialidades = dim.dim_especialidades(g["especialidad"])
