@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from balanza.functions.clases import clase_eficiencia, clase_volumen, clase_volumen_total
 from balanza.functions.redondeo import porcentaje, promedio, razon, variacion
-from balanza.operators.frecuencias import acumular, rangos_densos, tabla
+from balanza.operators.frecuencias import acumular, rangos_densos, tabla, unir_por_grupo
 from balanza.sesion import cortar
 
 # Fixed values of the reports.
@@ -47,6 +47,13 @@ def _dividir(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
 
+def _con_total(base: DataFrame, claves: list[str]) -> DataFrame:
+    """Attach the filed cases of the whole group, without gathering a group in one task."""
+    base = cortar(base)
+    totales = base.groupBy(*claves).agg(F.sum("casos_ingresados").alias("_total"))
+    return unir_por_grupo(base, totales, claves, ["_total"])
+
+
 def resumen_ejecutivo(vista: DataFrame) -> DataFrame:
     """Yearly summary."""
     efic, vol = clase_eficiencia(F.col(_TASA)), clase_volumen(F.col(_ING))
@@ -118,11 +125,15 @@ def analisis_materia(vista: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("registros"),
         F.countDistinct("distrito_fiscal").alias("distritos_con_materia"),
     )
-    total = F.sum("casos_ingresados").over(Window.partitionBy("anio"))
-    return base.select(
-        "*",
-        razon(F.col("casos_atendidos"), F.col("casos_ingresados")).alias("tasa_atencion"),
-        porcentaje(F.col("casos_ingresados"), total).alias("porcentaje_casos_del_año"),
+    return (
+        _con_total(base, ["anio"])
+        .withColumns(
+            {
+                "tasa_atencion": razon(F.col("casos_atendidos"), F.col("casos_ingresados")),
+                "porcentaje_casos_del_año": porcentaje(F.col("casos_ingresados"), F.col("_total")),
+            }
+        )
+        .drop("_total")
     ).orderBy(F.desc("anio"), F.desc("casos_ingresados"), "especialidad")
 
 
@@ -198,11 +209,15 @@ def fiscalias_especializadas(vista: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("registros"),
         F.countDistinct("distrito_fiscal").alias("distritos"),
     )
-    total = F.sum("casos_ingresados").over(Window.partitionBy("anio", "materia"))
-    return base.select(
-        "*",
-        porcentaje(F.col("casos_ingresados"), total).alias("porcentaje_casos_materia"),
-        razon(F.col("casos_atendidos"), F.col("casos_ingresados")).alias("tasa_atencion"),
+    return (
+        _con_total(base, ["anio", "materia"])
+        .withColumns(
+            {
+                "porcentaje_casos_materia": porcentaje(F.col("casos_ingresados"), F.col("_total")),
+                "tasa_atencion": razon(F.col("casos_atendidos"), F.col("casos_ingresados")),
+            }
+        )
+        .drop("_total")
     ).orderBy(F.desc("anio"), F.desc("casos_ingresados"), "tipo_fiscalia_especializada")
 
 

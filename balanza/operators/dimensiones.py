@@ -159,10 +159,13 @@ def dim_tipos_fiscalia(df: DataFrame) -> DataFrame:
 
 def dim_tiempo(df: DataFrame) -> DataFrame:
     """Years with a period text, whole-year months and days of the year."""
+    # Distinct pairs first: a minimum of text is only taken over those few rows.
     return (
         df.filter(F.col("anio").isNotNull())
+        .select("anio", F.trim("periodo").alias("periodo"))
+        .distinct()
         .groupBy("anio")
-        .agg(F.min(F.trim("periodo")).alias("periodo"))
+        .agg(F.min("periodo").alias("periodo"))
         .withColumns(
             {
                 "mes_inicio": F.lit(1),

@@ -105,3 +105,53 @@ def test_percentil_redondea_al_par(spark):
     v = spark.createDataFrame(filas, "distrito_fiscal string, casos_ingresados int, casos_atendidos int")
     r = {x["distrito_fiscal"]: x["percentil"] for x in bi.calcular_percentil_eficiencia(v).collect()}
     assert r == {"a": 0, "b": 33, "c": 33, "d": 100}
+
+
+def test_dimensiones_publicadas(spark):
+    from balanza.sources.referencia import dimensiones_publicadas
+
+    d = dimensiones_publicadas(spark)
+    tamanos = {k: v.count() for k, v in d.items()}
+    assert tamanos == {
+        "dim_ubicaciones": 34,
+        "dim_distritos_fiscales": 34,
+        "dim_tipos_fiscalia": 3,
+        "dim_materias": 5,
+        "dim_especialidades": 10,
+        "dim_tipos_caso": 15,
+        "dim_fiscalias_especializadas": 14,
+        "dim_tiempo": 5,
+    }
+    regiones = {r["region_geografica"]: r["count"] for r in d["dim_ubicaciones"].groupBy("region_geografica").count().collect()}
+    assert regiones == {"NORTE": 7, "CENTRO": 15, "SUR": 7, "SELVA": 5}
+    noroeste = (
+        d["dim_distritos_fiscales"]
+        .join(d["dim_ubicaciones"], "id_ubicacion")
+        .filter("distrito_fiscal = 'LIMA NOROESTE'")
+        .first()
+    )
+    assert noroeste["departamento"] == "CALLAO"
+    # a case table with these names finds all its keys
+    fila = {
+        "anio": 2020,
+        "periodo": "ENERO - DICIEMBRE",
+        "ubigeo_pjfs": 70106,
+        "distrito_fiscal": "LIMA NOROESTE",
+        "tipo_fiscalia": "PROVINCIAL",
+        "materia": "PENAL",
+        "especialidad": "PENAL",
+        "tipo_caso": "DENUNCIA",
+        "especializada": "TURISMO",
+        "ingresado": 3,
+        "atendido": 2,
+        "fecha_descarga": "2021-01-31",
+        "fecha_corte": "2020-12-31",
+    }
+    h = estrella.construir_hechos(spark.createDataFrame([fila]), d)
+    v = estrella.vista_casos_completo(d, h).first()
+    assert (v["region_geografica"], v["categoria_caso"], v["area_especializacion"]) == (
+        "CENTRO",
+        "INGRESO",
+        "Turismo",
+    )
+    assert str(v["tasa_atencion"]) == "0.6667"
