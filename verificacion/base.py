@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from balanza.functions.clases import AREAS
+from balanza.functions.clases import CATEGORIAS_CASO as CATEGORIAS
+
 CASOS = """
 casos AS (
   SELECT
@@ -64,6 +67,7 @@ def regla(col: str, reglas, resto: str) -> str:
     return f"CASE WHEN {col} IS NULL THEN NULL {' '.join(ramas)} ELSE '{resto}' END"
 
 
+# Cuts and labels of the classes.
 EFICIENCIA = (
     "CASE WHEN {c} >= 0.95 THEN 'Excelente' WHEN {c} >= 0.85 THEN 'Bueno' "
     "WHEN {c} >= 0.70 THEN 'Regular' ELSE 'Deficiente' END"
@@ -82,24 +86,6 @@ TRAMO_EFICIENCIA = (
     "WHEN {c} <= 1.2 THEN 'Excelente (1.0-1.2)' ELSE 'Excepcional (>1.2)' END"
 )
 
-AREAS = [
-    ("Anticorrupción", [("CORRUPCION",)]),
-    ("Medio Ambiente", [("AMBIENTAL",), ("AMBIENTE",)]),
-    ("Crimen Organizado", [("CRIMINALIDAD",)]),
-    ("Trafico ilicito de drogas", [("DROGAS",), ("TRAFICO",)]),
-    ("Violencia de Género", [("VIOLENCIA", "MUJER")]),
-    ("Lavado de Activos", [("LAVADO", "ACTIVOS")]),
-    ("Propiedad Intelectual", [("ADUANEROS",), ("PROPIEDAD INTELECTUAL",)]),
-    ("Trata de Personas", [("TRATA", "PERSONAS")]),
-    ("Tránsito y Seguridad Vial", [("TRANSITO",), ("VIAL",)]),
-    ("Tributario", [("TRIBUTARIOS",)]),
-    ("Turismo", [("TURISMO",)]),
-]
-CATEGORIAS = [
-    ("INGRESO", [("DENUNCIA",)]),
-    ("RECURSO", [("APELACION",), ("QUEJA",)]),
-    ("PROCESO_FORMAL", [("PROCESO",)]),
-]
 NIVEL = (
     "CAST(CASE WHEN {c} IS NULL THEN NULL WHEN contains(upper({c}), 'SUPREMA') THEN 1 "
     "WHEN contains(upper({c}), 'SUPERIOR') THEN 2 "

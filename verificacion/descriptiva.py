@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from verificacion.base import DERIVADA, TRAMO_VOLUMEN, con
+from balanza.functions.clases import CONCENTRACION, RESTO_CONCENTRACION
+from verificacion.base import DERIVADA, con
 
 _NUM = ["anio", "ingresado", "atendido"]
 _CAT = [
@@ -50,6 +51,7 @@ SELECT variable, c AS count, round(media, 6) AS mean, q50 AS median, moda AS mod
   CASE WHEN variable <> 'anio' THEN round(top / suma * 100, 6) END AS concentracion_top10
 FROM q JOIN fo USING (variable) JOIN ex USING (variable) JOIN md USING (variable) JOIN tp USING (variable)"""
 
+_NIVELES = " ".join(f"WHEN tres * 100 >= {c} * tot THEN '{t}'" for c, t in CONCENTRACION)
 _CATEG = f"""
 , f AS ({union("SELECT '{c}' AS variable, {c} AS v, COUNT(*) AS n FROM d GROUP BY {c}", _CAT)}),
 g AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY n DESC, v) AS k,
@@ -68,10 +70,7 @@ SELECT variable, u AS unique_values, CAST(nulos AS BIGINT) AS missing_count,
   round(fm / CAST(filas AS DOUBLE) * 100, 6) AS mode_percentage,
   round(CASE WHEN u > 1 THEN ent ELSE 0 END, 6) AS entropy, round(gini, 6) AS gini_concentration, txt AS top_3_values,
   round(CAST(tres AS DOUBLE) / CAST(filas AS DOUBLE) * 100, 6) AS top_3_percentage,
-  CASE WHEN tres >= 0.8 * tot THEN 'Muy alta concentración - dominada por pocas categorías'
-       WHEN tres >= 0.6 * tot THEN 'Alta concentración - algunas categorías dominantes'
-       WHEN tres >= 0.4 * tot THEN 'Concentración moderada - distribución desbalanceada'
-       ELSE 'Baja concentración - distribución relativamente balanceada' END AS interpretacion_concentracion
+  CASE {_NIVELES} ELSE '{RESTO_CONCENTRACION}' END AS interpretacion_concentracion
 FROM t JOIN e USING (variable) JOIN a USING (variable)"""
 
 # Two-sided p of a slope over seven yearly points (five degrees of freedom).

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
+from balanza.functions.clases import REGIONES
 from verificacion.base import AREAS, CASOS, CATEGORIAS, NIVEL, VISTA, con, regla
 
-_REGIONES = [
-    ("NORTE", ["TUMBES", "PIURA", "LAMBAYEQUE", "LA LIBERTAD", "CAJAMARCA", "AMAZONAS"]),
-    ("CENTRO", ["ANCASH", "LIMA", "CALLAO", "ICA", "HUANCAVELICA", "JUNIN", "PASCO"]),
-    ("SUR", ["AREQUIPA", "MOQUEGUA", "TACNA", "CUSCO", "APURIMAC", "AYACUCHO", "PUNO"]),
-    ("SELVA", ["LORETO", "UCAYALI", "MADRE DE DIOS", "SAN MARTIN", "HUANUCO"]),
-]
-_REGION = regla("dpto_pjfs", [(r, [(d,) for d in ds]) for r, ds in _REGIONES], "REGION_NO_CLASIFICADA")
+_REGION = regla("dpto_pjfs", [(r, [(d,) for d in ds]) for r, ds in REGIONES], "REGION_NO_CLASIFICADA")
 _CUENTA = "COUNT(*) AS frecuencia, COUNT(*) / CAST((SELECT COUNT(*) FROM casos) AS DOUBLE) * 100 AS porcentaje"
 
 

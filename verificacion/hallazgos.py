@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from balanza.operators.hallazgos import REGLAS
 from verificacion.descriptiva import ORACULOS as DES
 from verificacion.patrones import ORACULOS as PAT
 
@@ -45,57 +46,7 @@ _FUENTES = [
 ]
 
 
-def _formas(m: str) -> list[tuple]:
-    return [
-        ("graficos", f"cola_derecha_{m}", f"forma.{m}.asimetria", ">", 0.5),
-        ("graficos", f"cola_izquierda_{m}", f"forma.{m}.asimetria", "<", -0.5),
-        ("graficos", f"leptocurtica_{m}", f"forma.{m}.curtosis", ">", 3),
-        ("graficos", f"platicurtica_{m}", f"forma.{m}.curtosis", "<", -3),
-    ]
-
-
-def _medida(m: str) -> list[tuple]:
-    return [
-        ("estadisticas", f"asimetria_{m}", f"numerica.{m}.skewness", "abs>", 1),
-        ("estadisticas", f"variabilidad_{m}", f"numerica.{m}.coefficient_variation", ">", 1),
-        ("estadisticas", f"concentracion_{m}", f"numerica.{m}.concentracion_top10", ">", 50),
-        ("estadisticas", f"ceros_{m}", f"numerica.{m}.zeros_percentage", ">", 5),
-        ("outliers", f"iqr_moderado_{m}", f"iqr.{m}.porcentaje", ">", 5),
-        ("outliers", f"iqr_alto_{m}", f"iqr.{m}.porcentaje", ">", 10),
-        ("outliers", f"mad_moderado_{m}", f"mad.{m}.porcentaje", ">", 5),
-        ("outliers", f"mad_alto_{m}", f"mad.{m}.porcentaje", ">", 15),
-        *_formas(m),
-    ]
-
-
-_REGLAS = [
-    ("estadisticas", "tasa_global", "resumen.tasa_atencion_global", ">", 0.8),
-    *_medida("ingresado"),
-    *_medida("atendido"),
-    *_formas("tasa_atencion"),
-    ("estadisticas", "eficiencia_perfecta", "eficiencia.casos_eficiencia_perfecta_pct", ">", 20),
-    ("estadisticas", "eficiencia_baja", "eficiencia.casos_baja_eficiencia_pct", ">", 30),
-    ("estadisticas", "tendencia_ingresados", "temporal.ingresado.p_valor", "<", 0.05),
-    ("patrones", "gini_departamental", "geografia.coeficiente_gini", ">", 0.5),
-    ("patrones", "concentracion_departamental", "geografia.concentracion_top_3", ">", 0),
-    ("patrones", "materia_dominante", "materia.participacion", ">", 40),
-    ("patrones", "efecto_especializacion", "especializacion.diferencia", ">", 0),
-    ("patrones", "anomalias", "anomalias.total_anomalias", ">", 0),
-    ("outliers", "sobre_atencion_extrema", "contextual.sobre_atencion_extrema.conteo", ">", 0),
-    ("outliers", "volumen_extremo", "contextual.volumen_extremo.conteo", ">", 0),
-    ("outliers", "sin_atencion_alto_volumen", "contextual.sin_atencion_alto_volumen.conteo", ">", 0),
-    ("graficos", "tasa_media", "marcadores.tasa_atencion.media", ">", 1),
-    ("graficos", "correlacion_muy_fuerte", "correlacion.ingresado.atendido", ">", 0.8),
-    ("graficos", "correlacion_fuerte", "correlacion.ingresado.atendido", ">", 0.6),
-    ("graficos", "saturacion", "correlacion.tasa_atencion.ingresado", "<", -0.3),
-    ("graficos", "economias_escala", "correlacion.tasa_atencion.ingresado", ">", 0.3),
-    ("graficos", "concentracion_geografica", "lugar.concentracion_top_5", ">", 50),
-    ("graficos", "volumen_eficiencia_distrito", "lugar.r_volumen_tasa", "abs>", 0.3),
-    ("graficos", "crecimiento", "periodo.crecimiento_total", "abs>", 20),
-    ("graficos", "cambio_eficiencia", "periodo.cambio_eficiencia", "abs>", 0.1),
-    ("graficos", "variabilidad_temporal", "periodo.cv_temporal", ">", 0.15),
-    ("graficos", "regresion_registros", "registros.r", "abs>", 0.2),
-]
+_REGLAS = [(r.seccion, r.regla, r.metrica, r.operador, r.umbral) for r in REGLAS]
 
 
 def _consulta() -> str:
