@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from balanza.operators import atipicos, descriptiva, graficos, patrones
 from balanza.operators.descriptiva import pct
-from balanza.sesion import cortar_varios
+from balanza.sesion import construir, cortar
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ def metricas(pares: DataFrame, cubo: DataFrame) -> DataFrame:
         F.concat_ws(".", "var1", "var2").alias("par"), "r"
     )
     partes = {
-        "resumen": largo(
+        "resumen": lambda: largo(
             pares.agg(
                 F.try_divide(
                     F.sum(F.col("atendido") * F.col("n")), F.sum(F.col("ingresado") * F.col("n"))
@@ -125,46 +125,48 @@ def metricas(pares: DataFrame, cubo: DataFrame) -> DataFrame:
             "resumen",
             ["tasa_atencion_global"],
         ),
-        "numerica": largo(
+        "numerica": lambda: largo(
             de.perfil_numerico(pares, medidas, peso="n"),
             "numerica",
             ["skewness", "coefficient_variation", "concentracion_top10", "zeros_percentage"],
             "variable",
         ),
-        "eficiencia": largo(
+        "eficiencia": lambda: largo(
             de.metricas_eficiencia(pares),
             "eficiencia",
             ["casos_eficiencia_perfecta_pct", "casos_baja_eficiencia_pct"],
         ),
-        "temporal": largo(de.metricas_temporales(cubo), "temporal", ["p_valor"], "variable"),
-        "geografia": largo(
+        "temporal": lambda: largo(de.metricas_temporales(cubo), "temporal", ["p_valor"], "variable"),
+        "geografia": lambda: largo(
             pa.concentracion_departamental(cubo),
             "geografia",
             ["coeficiente_gini", "concentracion_top_3"],
         ),
-        "materia": largo(_cuota_mayor(cubo, "materia"), "materia", ["participacion"]),
-        "especializacion": largo(_efecto(cubo), "especializacion", ["diferencia"]),
-        "anomalias": largo(pa.anomalias(pares), "anomalias", ["total_anomalias"]),
-        "iqr": largo(at.outliers_iqr(pares, medidas, "n"), "iqr", ["porcentaje"], "variable"),
-        "mad": largo(at.outliers_mad(pares, medidas, "n"), "mad", ["porcentaje"], "variable"),
-        "contextual": largo(at.outliers_contextuales(pares), "contextual", ["conteo"], "tipo"),
-        "marcadores": largo(gr.marcadores(pares), "marcadores", ["media"], "variable"),
-        "forma": largo(gr.forma(pares), "forma", ["asimetria", "curtosis"], "variable"),
-        "correlacion": pearson.select(
+        "materia": lambda: largo(_cuota_mayor(cubo, "materia"), "materia", ["participacion"]),
+        "especializacion": lambda: largo(_efecto(cubo), "especializacion", ["diferencia"]),
+        "anomalias": lambda: largo(pa.anomalias(pares), "anomalias", ["total_anomalias"]),
+        "iqr": lambda: largo(at.outliers_iqr(pares, medidas, "n"), "iqr", ["porcentaje"], "variable"),
+        "mad": lambda: largo(at.outliers_mad(pares, medidas, "n"), "mad", ["porcentaje"], "variable"),
+        "contextual": lambda: largo(at.outliers_contextuales(pares), "contextual", ["conteo"], "tipo"),
+        "marcadores": lambda: largo(gr.marcadores(pares), "marcadores", ["media"], "variable"),
+        "forma": lambda: largo(gr.forma(pares), "forma", ["asimetria", "curtosis"], "variable"),
+        "correlacion": lambda: pearson.select(
             F.concat_ws(".", F.lit("correlacion"), "par").alias("metrica"),
             F.col("r").alias("valor"),
         ),
-        "lugar": largo(
+        "lugar": lambda: largo(
             gr.resumen_geografico(cubo), "lugar", ["concentracion_top_5", "r_volumen_tasa"]
         ),
-        "periodo": largo(
+        "periodo": lambda: largo(
             gr.resumen_periodo(cubo),
             "periodo",
             ["crecimiento_total", "cambio_eficiencia", "cv_temporal"],
         ),
-        "registros": largo(gr.regresion_registros(pares), "registros", ["r"]),
+        "registros": lambda: largo(gr.regresion_registros(pares), "registros", ["r"]),
     }
-    return reduce(DataFrame.unionByName, cortar_varios(partes).values())
+    # Each part is cut, so that the rules read sixteen small tables.
+    cortadas = construir({k: (lambda f=f: cortar(f())) for k, f in partes.items()})
+    return reduce(DataFrame.unionByName, cortadas.values())
 
 
 def tabla_reglas(spark: SparkSession, reglas: Sequence[Regla] = REGLAS) -> DataFrame:

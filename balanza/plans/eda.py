@@ -3,101 +3,112 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from balanza.functions.tasas import derivar_metricas
 from balanza.operators import atipicos, bosque, descriptiva, graficos, grupos, hallazgos, patrones
+from balanza.sesion import construir
 from balanza.sinks import salidas
 from balanza.sources.crudo import leer_limpio, tipar_limpio
 
 
-def estadisticas(plana: DataFrame, df: DataFrame, pares: DataFrame) -> dict[str, DataFrame]:
+def estadisticas(plana: DataFrame, df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     """``plana`` is the table before the derived columns of ``df``."""
     de = descriptiva
     pearson, spearman = de.correlacion_pearson(pares), de.correlacion_spearman(pares)
     return {
-        "resumen_inicial": de.resumen_inicial(df),
-        "resumen_general": de.resumen_general(plana),
-        "variables_numericas": de.perfil_numerico(df),
-        "normalidad": de.normalidad(df),
-        "variables_categoricas": de.perfil_categorico(df),
-        "metricas_eficiencia": de.metricas_eficiencia(pares),
-        "metricas_volumen": de.metricas_volumen(df),
-        "metricas_temporales": de.metricas_temporales(df),
-        "matriz_pearson": pearson,
-        "matriz_spearman": spearman,
-        "correlaciones_fuertes_pearson": de.correlaciones_fuertes(pearson),
-        "correlaciones_fuertes_spearman": de.correlaciones_fuertes(spearman),
+        "resumen_inicial": lambda: de.resumen_inicial(df),
+        "resumen_general": lambda: de.resumen_general(plana),
+        "variables_numericas": lambda: de.perfil_numerico(df),
+        "normalidad": lambda: de.normalidad(df),
+        "variables_categoricas": lambda: de.perfil_categorico(df),
+        "metricas_eficiencia": lambda: de.metricas_eficiencia(pares),
+        "metricas_volumen": lambda: de.metricas_volumen(df),
+        "metricas_temporales": lambda: de.metricas_temporales(df),
+        "matriz_pearson": lambda: pearson,
+        "matriz_spearman": lambda: spearman,
+        "correlaciones_fuertes_pearson": lambda: de.correlaciones_fuertes(pearson),
+        "correlaciones_fuertes_spearman": lambda: de.correlaciones_fuertes(spearman),
     }
 
 
-def patrones_y_sesgos(df: DataFrame, pares: DataFrame, reinicios: int) -> dict[str, DataFrame]:
+def patrones_y_sesgos(df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     pa = patrones
-    salida = {
-        "concentracion_departamental": pa.concentracion_departamental(df),
-        "disparidad_departamental": pa.disparidad_departamental(df),
-        "estadisticas_anuales": pa.estadisticas_anuales(df),
-        "anios_atipicos": pa.anios_atipicos(df),
-        "sesgo_temporal": pa.sesgo_temporal(df),
-        "dominancia_materia": pa.dominancia_materia(df),
-        "eficiencia_tipo_fiscalia": pa.eficiencia_tipo_fiscalia(df),
-        "efecto_especializacion": pa.efecto_especializacion(df),
-        "anomalias": pa.anomalias(pares),
+    return {
+        "concentracion_departamental": lambda: pa.concentracion_departamental(df),
+        "disparidad_departamental": lambda: pa.disparidad_departamental(df),
+        "estadisticas_anuales": lambda: pa.estadisticas_anuales(df),
+        "anios_atipicos": lambda: pa.anios_atipicos(df),
+        "sesgo_temporal": lambda: pa.sesgo_temporal(df),
+        "dominancia_materia": lambda: pa.dominancia_materia(df),
+        "eficiencia_tipo_fiscalia": lambda: pa.eficiencia_tipo_fiscalia(df),
+        "efecto_especializacion": lambda: pa.efecto_especializacion(df),
+        "anomalias": lambda: pa.anomalias(pares),
     }
-    perfil = grupos.clusters_perfil(pares, reinicios)
-    if perfil is not None:
-        salida["agrupaciones"] = perfil
-        salida["hallazgos_agrupaciones"] = hallazgos.hallazgos_grupos(perfil)
-    return salida
 
 
-def outliers(df: DataFrame, pares: DataFrame) -> dict[str, DataFrame]:
-    salida = {
-        "outliers_iqr": atipicos.outliers_iqr(df),
-        "outliers_mad": atipicos.outliers_mad(df),
-        "outliers_contextuales": atipicos.outliers_contextuales(pares),
-        "casos_contextuales": atipicos.casos_contextuales(df, pares),
+def outliers(df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    return {
+        "outliers_iqr": lambda: atipicos.outliers_iqr(df),
+        "outliers_mad": lambda: atipicos.outliers_mad(df),
+        "outliers_contextuales": lambda: atipicos.outliers_contextuales(pares),
+        "casos_contextuales": lambda: atipicos.casos_contextuales(df, pares),
     }
+
+
+def agrupaciones(pares: DataFrame, reinicios: int) -> dict[str, DataFrame]:
+    """Natural groups, when there are rows enough."""
+    perfil = grupos.clusters_perfil(pares, reinicios)
+    if perfil is None:
+        return {}
+    return {"agrupaciones": perfil, "hallazgos_agrupaciones": hallazgos.hallazgos_grupos(perfil)}
+
+
+def multivariados(df: DataFrame, pares: DataFrame) -> dict[str, DataFrame]:
+    """Multivariate outliers, when there are rows enough; the forest is grown once."""
     marcados = bosque.marcar_multivariados(pares)
-    if marcados is not None:
-        salida["outliers_multivariados"] = bosque.outliers_multivariados(marcados)
-        salida["casos_multivariados"] = bosque.casos_multivariados(df, marcados)
-        salida["dispersion_multivariada"] = bosque.dispersion_multivariada(marcados)
-    return salida
+    if marcados is None:
+        return {}
+    return {
+        "outliers_multivariados": bosque.outliers_multivariados(marcados),
+        "casos_multivariados": bosque.casos_multivariados(df, marcados),
+        "dispersion_multivariada": bosque.dispersion_multivariada(marcados),
+    }
 
 
-def datos_graficos(df: DataFrame, pares: DataFrame) -> dict[str, DataFrame]:
+def datos_graficos(df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     gr = graficos
     return {
-        "histograma": gr.histograma(pares),
-        "marcadores": gr.marcadores(pares),
-        "kde": gr.kde(pares),
-        "boxplot": gr.boxplot(pares),
-        "boxplot_p99": gr.boxplot_p99(pares),
-        "forma_distribucion": gr.forma(pares),
-        "mapa_pearson": descriptiva.triangulo_inferior(descriptiva.correlacion_pearson(pares)),
-        "mapa_spearman": descriptiva.triangulo_inferior(descriptiva.correlacion_spearman(pares)),
-        "participacion_materia": gr.participacion(df, "materia"),
-        "participacion_tipo_fiscalia": gr.participacion(df, "tipo_fiscalia"),
-        "top_distritos": gr.top_distritos(df),
-        "tasa_departamento": gr.tasa_departamento(df),
-        "participacion_departamentos": gr.participacion_departamentos(df),
-        "dispersion_distrito": gr.dispersion_distrito(df),
-        "regresion_distrito": gr.regresion_distrito(df),
-        "resumen_geografico": gr.resumen_geografico(df),
-        "evolucion_anual": descriptiva.evolucion_anual(df),
-        "pivot_anio_materia": gr.pivot_anio_materia(df),
-        "variacion_anual": gr.variacion_anual(df),
-        "resumen_periodo": gr.resumen_periodo(df),
-        "categorias_eficiencia": gr.categorias_eficiencia(pares),
-        "eficiencia_materia": gr.eficiencia_materia(df),
-        "barras_tipo_fiscalia": gr.barras_tipo_fiscalia(df),
-        "regresion_registros": gr.regresion_registros(pares),
-        "recta_registros": gr.recta_registros(pares),
-        "dispersion_registros": gr.dispersion_registros(pares),
-        "outliers_resumen": atipicos.resumen_univariado(df),
+        "histograma": lambda: gr.histograma(pares),
+        "marcadores": lambda: gr.marcadores(pares),
+        "kde": lambda: gr.kde(pares),
+        "boxplot": lambda: gr.boxplot(pares),
+        "boxplot_p99": lambda: gr.boxplot_p99(pares),
+        "forma_distribucion": lambda: gr.forma(pares),
+        "mapa_pearson": lambda: descriptiva.triangulo_inferior(descriptiva.correlacion_pearson(pares)),
+        "mapa_spearman": lambda: descriptiva.triangulo_inferior(descriptiva.correlacion_spearman(pares)),
+        "participacion_materia": lambda: gr.participacion(df, "materia"),
+        "participacion_tipo_fiscalia": lambda: gr.participacion(df, "tipo_fiscalia"),
+        "top_distritos": lambda: gr.top_distritos(df),
+        "tasa_departamento": lambda: gr.tasa_departamento(df),
+        "participacion_departamentos": lambda: gr.participacion_departamentos(df),
+        "dispersion_distrito": lambda: gr.dispersion_distrito(df),
+        "regresion_distrito": lambda: gr.regresion_distrito(df),
+        "resumen_geografico": lambda: gr.resumen_geografico(df),
+        "evolucion_anual": lambda: descriptiva.evolucion_anual(df),
+        "pivot_anio_materia": lambda: gr.pivot_anio_materia(df),
+        "variacion_anual": lambda: gr.variacion_anual(df),
+        "resumen_periodo": lambda: gr.resumen_periodo(df),
+        "categorias_eficiencia": lambda: gr.categorias_eficiencia(pares),
+        "eficiencia_materia": lambda: gr.eficiencia_materia(df),
+        "barras_tipo_fiscalia": lambda: gr.barras_tipo_fiscalia(df),
+        "regresion_registros": lambda: gr.regresion_registros(pares),
+        "recta_registros": lambda: gr.recta_registros(pares),
+        "dispersion_registros": lambda: gr.dispersion_registros(pares),
+        "outliers_resumen": lambda: atipicos.resumen_univariado(df),
     }
 
 
@@ -105,12 +116,15 @@ def ejecutar_eda(df: DataFrame, reinicios: int = grupos.REINICIOS) -> dict[str,
     """Every section of the analysis over one clean table."""
     base = derivar_metricas(tipar_limpio(df))
     pares = descriptiva.pares_medidas(base)
-    salida = {
-        **estadisticas(df, base, pares),
-        **patrones_y_sesgos(base, pares, reinicios),
-        **outliers(base, pares),
-        **datos_graficos(base, pares),
-    }
+    salida = construir(
+        {
+            **estadisticas(df, base, pares),
+            **patrones_y_sesgos(base, pares),
+            **outliers(base, pares),
+            **datos_graficos(base, pares),
+        }
+    )
+    salida |= agrupaciones(pares, reinicios) | multivariados(base, pares)
     metricas = hallazgos.metricas(pares, descriptiva.cubo_casos(base))
     salida["hallazgos"] = hallazgos.evaluar(metricas)
     return salida

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def asegurar_checkpoint(spark: SparkSession) -> None:
     """Make sure a reliable checkpoint folder is known to the context.
@@ -53,6 +56,12 @@ def cortar_varios(marcos: Mapping[str, DataFrame], hilos: int = 8) -> dict[str,
         return dict(zip(marcos, grupo.map(cortar, marcos.values())))
 
 
+def construir(partes: Mapping[str, Callable[[], T]], hilos: int = 8) -> dict[str, T]:
+    """Call independent builders side by side: their small jobs share the cluster."""
+    with ThreadPoolExecutor(hilos) as grupo:
+        return dict(zip(partes, grupo.map(lambda f: f(), partes.values())))
+
+
 def filas(df: DataFrame) -> int:
     """Exact row count of a frame returned by ``cortar``."""
     return _FILAS[df]
