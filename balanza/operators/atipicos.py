@@ -99,10 +99,12 @@ def outliers_mad(
     return r.withColumn("interpretacion", etiqueta_z(F.col("porcentaje")))
 
 
-def resumen_univariado(df: DataFrame, variables: Sequence[str] = ROLES.metricas) -> DataFrame:
+def resumen_univariado(
+    pares: DataFrame, variables: Sequence[str] = ROLES.metricas
+) -> DataFrame:
     """Both methods side by side for the main measures."""
-    iqr = outliers_iqr(df, variables).withColumn("metodo", F.lit("IQR"))
-    mad = outliers_mad(df, variables).withColumn("metodo", F.lit("Z_Score_Modificado"))
+    iqr = outliers_iqr(pares, variables, "n").withColumn("metodo", F.lit("IQR"))
+    mad = outliers_mad(pares, variables, "n").withColumn("metodo", F.lit("Z_Score_Modificado"))
     return iqr.unionByName(mad).select(
         "variable", "metodo", "conteo", "porcentaje", "interpretacion"
     )

@@ -234,9 +234,15 @@ def regresion_distrito(df: DataFrame) -> DataFrame:
 
 def resumen_geografico(df: DataFrame) -> DataFrame:
     """Share of the five largest districts, gap between departments, volume/rate r."""
-    p = cortar(dispersion_distrito(df))
+    # One pass: both groupings below only need sums of these sums.
+    base = cortar(
+        df.groupBy("distrito_fiscal", "dpto_pjfs").agg(
+            suma("ingresado").alias("ingresado"), suma("atendido").alias("atendido")
+        )
+    )
+    p = cortar(dispersion_distrito(base))
     cinco = p.orderBy(F.desc("ingresado"), "distrito_fiscal").limit(5).agg(F.sum("ingresado"))
-    dep = cortar(tasa_departamento(df))
+    dep = cortar(tasa_departamento(base))
     pos = F.struct("tasa_atencion", "dpto_pjfs")
     extremos = dep.filter(F.col("tasa_atencion").isNotNull()).agg(
         F.struct(

@@ -263,7 +263,7 @@ def _consultas_atipicos() -> dict[str, Consulta]:
     return {
         "outliers_iqr": lambda s, d: _redondear(at.outliers_iqr(casos(s, d, numericas))),
         "outliers_mad": lambda s, d: _redondear(at.outliers_mad(casos(s, d, numericas))),
-        "outliers_resumen": lambda s, d: _redondear(at.resumen_univariado(casos(s, d, numericas))),
+        "outliers_resumen": lambda s, d: _redondear(at.resumen_univariado(_pares(s, d))),
         "outliers_contextuales": lambda s, d: _redondear(at.outliers_contextuales(_pares(s, d))),
         "casos_contextuales": lambda s, d: _redondear(
             at.casos_contextuales(

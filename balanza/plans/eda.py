@@ -108,7 +108,7 @@ def datos_graficos(df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], Da
         "regresion_registros": lambda: gr.regresion_registros(pares),
         "recta_registros": lambda: gr.recta_registros(pares),
         "dispersion_registros": lambda: gr.dispersion_registros(pares),
-        "outliers_resumen": lambda: atipicos.resumen_univariado(df),
+        "outliers_resumen": lambda: atipicos.resumen_univariado(pares),
     }
 
 
