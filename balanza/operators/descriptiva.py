@@ -415,34 +415,42 @@ def _matriz(
     Values are shifted by a centre close to their mean before the sums are taken, so
     that the textbook formula does not cancel.
     """
-    n = F.col(peso).cast("double")
     x = {v: F.col(v).cast("double") - centro[v] for v in variables}
-    pares = [(a, b) for i, a in enumerate(variables) for b in variables[i:]]
-    sumas = []
-    for i, (a, b) in enumerate(pares):
-        ok = x[a].isNotNull() & x[b].isNotNull()
-        for nombre, e in {
-            "n": n,
-            "x": n * x[a],
-            "y": n * x[b],
-            "xx": n * x[a] * x[a],
-            "yy": n * x[b] * x[b],
-            "xy": n * x[a] * x[b],
-        }.items():
-            sumas.append(F.sum(F.when(ok, e)).alias(f"{nombre}_{i}"))
-
-    def r(i: int) -> Column:
-        s = {k: F.col(f"{k}_{i}") for k in ("n", "x", "y", "xx", "yy", "xy")}
-        vx = s["xx"] - s["x"] * s["x"] / s["n"]
-        vy = s["yy"] - s["y"] * s["y"] / s["n"]
-        cov = s["xy"] - s["x"] * s["y"] / s["n"]
-        return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-
-    filas = []
-    for i, (a, b) in enumerate(pares):
-        for p, q in {(a, b), (b, a)}:
-            filas.append(F.struct(F.lit(p).alias("var1"), F.lit(q).alias("var2"), r(i).alias("r")))
-    return datos.agg(*sumas).select(F.inline(F.array(*filas)))
+    celdas = [
+        F.struct(
+            F.lit(a).alias("a"), F.lit(b).alias("b"), x[a].alias("x"), x[b].alias("y")
+        )
+        for i, a in enumerate(variables)
+        for b in variables[i:]
+    ]
+    largo = datos.select(F.col(peso).cast("double").alias("n"), F.inline(F.array(*celdas)))
+    c = F.col
+    s = (
+        # A pair without complete rows keeps its place in the matrix, with a null r.
+        largo.withColumn("n", F.when(c("x").isNotNull() & c("y").isNotNull(), c("n")))
+        .groupBy("a", "b")
+        .agg(
+            F.sum("n").alias("sn"),
+            F.sum(c("n") * c("x")).alias("sx"),
+            F.sum(c("n") * c("y")).alias("sy"),
+            F.sum(c("n") * c("x") * c("x")).alias("sxx"),
+            F.sum(c("n") * c("y") * c("y")).alias("syy"),
+            F.sum(c("n") * c("x") * c("y")).alias("sxy"),
+        )
+    )
+    vx = c("sxx") - c("sx") * c("sx") / c("sn")
+    vy = c("syy") - c("sy") * c("sy") / c("sn")
+    cov = c("sxy") - c("sx") * c("sy") / c("sn")
+    r = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+
+    def fila(p: str, q: str) -> Column:
+        return F.struct(c(p).alias("var1"), c(q).alias("var2"))
+
+    # Both triangles; the diagonal once.
+    lados = F.when(c("a") == c("b"), F.array(fila("a", "b"))).otherwise(
+        F.array(fila("a", "b"), fila("b", "a"))
+    )
+    return s.select(r.alias("r"), F.inline(lados)).select("var1", "var2", "r")
 
 
 def correlacion_pearson(

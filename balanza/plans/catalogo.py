@@ -36,7 +36,7 @@ def _vista(spark: SparkSession, d: str, *columnas: str) -> DataFrame:
     return vista_desde_casos(casos(spark, d, (*columnas, *_MEDIDAS)))
 
 
-def _consultas_bi() -> dict[str, Consulta]:
+def _consultas_informes() -> dict[str, Consulta]:
     return {
         "resumen_ejecutivo": lambda s, d: bi.resumen_ejecutivo(
             _vista(s, d, "anio", "distrito_fiscal", "materia")
@@ -365,7 +365,7 @@ def _consultas_modelos() -> dict[str, Consulta]:
 
 def consultas() -> dict[str, Consulta]:
     return {
-        **_consultas_bi(),
+        **_consultas_informes(),
         **_consultas_dimension(),
         **_consultas_limpieza(),
         **_consultas_descriptivas(),

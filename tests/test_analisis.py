@@ -162,3 +162,10 @@ def test_analisis_completo_en_disco(spark, tmp_path):
     assert {"resumen_general", "variables_numericas", "agrupaciones", "hallazgos", "kde"} <= secciones
     n = r.filter("seccion = 'resumen_general' and metrica = 'total_registros'").first()["valor_num"]
     assert n == casos(spark, DATOS, ("ingresado",)).count()
+
+
+def test_matriz_sin_pares_completos(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (0, 3)], "ingresado int, atendido int")
+    r = {(x["var1"], x["var2"]): x["r"] for x in descriptiva.correlacion_pearson(descriptiva.pares_medidas(df)).collect()}
+    assert len(r) == 16
+    assert r["tasa_atencion", "atendido"] is None and r["atendido", "atendido"] == pytest.approx(1)
