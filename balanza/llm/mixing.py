@@ -166,6 +166,11 @@ def mix(docs: DataFrame, blocks: Blocks = Blocks(), weights: tuple[int, ...] = W
     return out.unionByName(rest)
 
 
+def numbered(key: str, order: Column) -> Column:
+    """1, 2, ... within the rows of one key."""
+    return F.row_number().over(Window.partitionBy(key).orderBy(order))
+
+
 def mixed_texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mix as documents: the columns of ``docs``, one row for each whole pass and one for each further span of words.
 
@@ -174,9 +179,11 @@ def mixed_texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
     not take are left out.  doc_id tells which document a row comes from.
     """
     ship(docs.sparkSession)
-    spans = taken.filter("taken > 0").select(F.col("doc_id").alias("of"), "passes", "spans")
-    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
     schema = docs.schema
+    # Rows that share an id are told apart by their size and a number; the shuffle is by the id alone.
+    spans = taken.select(F.col("doc_id").alias("of"), "taken", "passes", "spans", numbered("doc_id", F.col("size")).alias("m"))
+    rows = docs.select("*", numbered("doc_id", n_words(F.col("text"))).alias("n"))
+    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("n") - F.col("m") == 0)).filter("taken > 0")
     words = re.compile(WORD)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,20 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).drop("passes", "spans")
 
 
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from balanza.llm.pieces import encoded
+
+    return encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from balanza.llm.topk import top_k
+
+    return top_k(table(spark, folder, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,17 +45,68 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op10_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    """Renderings with the loss mask as a list "start-end" for each learnt span, which both engines can show."""
+    from pyspark.sql import functions as F
+
+    from balanza.llm.chat import perspectives
+
+    shown = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return perspectives(table(spark, folder, "conversations")).withColumn("mask", shown).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_mixing,
+        op6_pieces,
+        op7_exact_top_k,
         op8_token_counts,
         op9_exact_dedup,
+        op10_chat_perspectives,
     )
 }
 
 #: The same results in DuckDB's SQL, where SQL can express them.
 ORACLES: dict[str, str] = {
+    "op7_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT * FROM r WHERE rank <= 5
+    """,
+    "op10_chat_perspectives": """
+        WITH t AS (
+            SELECT conv_id, CAST(coalesce(floor(turn / 1024), 0) AS BIGINT) AS part, turn,
+                   replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS role,
+                   replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text
+            FROM conversations
+        ), p AS (
+            SELECT DISTINCT conv_id AS of, role AS perspective FROM t WHERE role <> 'system'
+        ), r AS (
+            SELECT conv_id, perspective, part, turn, role, text, role = perspective AS own,
+                   '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
+                                          ELSE 'user name=' || role END || chr(10) AS head,
+                   text || '<|im_end|>' || chr(10) AS body
+            FROM t JOIN p ON conv_id IS NOT DISTINCT FROM of
+        ), o AS (
+            SELECT *, sum(length(head) + length(body)) OVER w AS stop
+            FROM r WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+        )
+        SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_turns,
+               string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+               coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY stop) FILTER (own), '') AS mask
+        FROM o GROUP BY ALL
+    """,
     "op9_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
