@@ -30,11 +30,13 @@ class ExactDedup:
 
     ``digest_chars``: hex digits of the SHA-256 used as state key; fewer digits only
     make collisions, which the byte check resolves.  ``batch_bytes`` bounds the
-    landed bytes of one micro-batch.
+    landed bytes of one micro-batch.  The state has ``state_partitions`` partitions for
+    good; by default one for each million rows of the first documents, 8 at least.
     """
 
-    def __init__(self, spark: SparkSession, digest_chars: int = 64, batch_bytes: int = 8 << 30):
+    def __init__(self, spark: SparkSession, digest_chars: int = 64, batch_bytes: int = 8 << 30, state_partitions: int | None = None):
         self.spark, self.digest_chars, self.batch_bytes = spark, digest_chars, batch_bytes
+        self.state_partitions = state_partitions
         self.scratch = Scratch(spark, "exact-dedup")
 
     def _digest(self) -> Column:
@@ -51,7 +53,11 @@ class ExactDedup:
         self._advance(rows.schema)
 
     def _advance(self, schema) -> None:
-        spark, before = self.spark, {k: self.spark.conf.get(k, None) for k in STATE}
+        spark = self.spark
+        if self.state_partitions is None:
+            self.state_partitions = max(8, -(-self.landed().count() // 1_000_000))
+        settings = STATE | {"spark.sql.shuffle.partitions": str(self.state_partitions)}
+        before = {k: spark.conf.get(k, None) for k in settings}
         updates = self.scratch.path("updates")
 
         def write(batch: DataFrame, number: int) -> None:
@@ -59,7 +65,7 @@ class ExactDedup:
             batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
         try:
-            for k, v in STATE.items():
+            for k, v in settings.items():
                 spark.conf.set(k, v)
             landed = spark.readStream.schema(schema).option("maxBytesPerTrigger", self.batch_bytes).parquet(self.scratch.path("landed"))
             state = landed.groupBy(self._digest().alias("digest")).agg(
@@ -135,3 +141,10 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
     run = ExactDedup(docs.sparkSession, digest_chars)
     run.ingest(docs)
     return run.result(docs)
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, columns unchanged; rows repeated with one id and text stay once."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.sha2(lower_ascii(F.col("text")), 256) == F.col("sha"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"])

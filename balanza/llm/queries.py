@@ -11,6 +11,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    from balanza.llm.html import main_text
+
+    return main_text(table(spark, folder, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from balanza.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from balanza.llm.mixing import mix
 
@@ -58,6 +70,8 @@ def op10_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_main_text,
+        op3_toxicity,
         op4_mixing,
         op6_pieces,
         op7_exact_top_k,
