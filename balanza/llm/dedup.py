@@ -145,6 +145,12 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged; rows repeated with one id and text stay once."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.sha2(lower_ascii(F.col("text")), 256) == F.col("sha"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+    scratch = Scratch(docs.sparkSession, "kept")
+    kept = scratch.keep(exact_dedup(docs).filter("kept").groupBy("doc_id", "text_sha256").count(), "kept")
+    sha = F.sha2(lower_ascii(F.col("text")), 256)
+    of, kept_sha = kept["doc_id"], kept["text_sha256"]
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(of) & (sha == kept_sha), "left_semi")
+    if kept.filter("count > 1").isEmpty():
+        return out
+    # Only here are whole rows shuffled once more.
+    return out.withColumn("_norm", lower_ascii(F.col("text"))).dropDuplicates(["doc_id", "_norm"]).drop("_norm")

@@ -11,6 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from balanza.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
     from balanza.llm.html import main_text
 
@@ -70,6 +76,7 @@ def op10_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_near_duplicates,
         op2_main_text,
         op3_toxicity,
         op4_mixing,
