@@ -35,6 +35,12 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).drop("passes", "spans")
 
 
+def op5_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    from balanza.llm.suffix import repeated_spans
+
+    return repeated_spans(table(spark, folder, "documents")).drop("spans", "kept")
+
+
 def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_main_text,
         op3_toxicity,
         op4_mixing,
+        op5_repeated_spans,
         op6_pieces,
         op7_exact_top_k,
         op8_token_counts,
