@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,11 +37,14 @@ SIGN, JUNK, SHORTER = 1.5, 6.0, 0.7
 
 _SIGNS = "".join(map(re.escape, LEET))
 _L = "a-z" + ACCENTED
+#: Spans inside a token: letters with single separators, signs between letters, letters drawn out.
 SPANS = re.compile(
-    rf"(?<![{_L}{_SIGNS}])[{_L}{_SIGNS}](?:(?:[ .\-_*]|​)[{_L}{_SIGNS}]){{2,}}(?![{_L}{_SIGNS}])"  # spaced out
-    rf"|[{_L}]+(?:[{_SIGNS}\-_.*​]+[{_L}]+)+|[{_SIGNS}]+[{_L}]+(?:[{_SIGNS}]*[{_L}]+)*"  # signs between letters
-    rf"|[{_L}]*([{_L}])\1\1[{_L}]*"  # drawn out
+    rf"(?<![{_L}{_SIGNS}])[{_L}{_SIGNS}](?:[.\-_*\u200b][{_L}{_SIGNS}]){{2,}}(?![{_L}{_SIGNS}])"
+    rf"|[{_L}]+(?:[{_SIGNS}\-_.*\u200b]+[{_L}]+)+|[{_SIGNS}]+[{_L}]+(?:[{_SIGNS}]*[{_L}]+)*"
+    rf"|[{_L}]*([{_L}])\1\1[{_L}]*"
 )
+#: Three or more single characters with a space between each.
+SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 CHAR_MAP = np.zeros(0x250, np.uint8)
 CHAR_MAP[[ord(c) for c in LETTERS if ord(c) < 0x250]] = [i + 1 for i, c in enumerate(LETTERS) if ord(c) < 0x250]
 
@@ -127,63 +131,72 @@ def squeezed(word: str) -> str:
 
 _RUN = re.compile(r"(.)\1+", re.S)
 WORD = re.compile(rf"[{_L}]+")
-#: Lengths of word beginnings that are features beside whole words, for stems with many endings.
-STEMS = (4, 5, 6)
+#: Lengths of word beginnings that are features beside whole words, for stems with many endings, and how many
+#: distinct words of one beginning are told apart.
+STEMS, SEVERAL = (3, 4, 5, 6, 7, 8), 3
+
+
+def stems(word: str) -> list[str]:
+    return [word[:n] for n in STEMS if len(word) > n]
+
+
+def named(words: set[str]) -> set[str]:
+    """Features of a text: its words, and word beginnings marked by "~" once for each word that has them, up to SEVERAL."""
+    counts = Counter(s for w in words for s in stems(w))
+    return words | {s + "~" * k for s, c in counts.items() for k in range(1, min(c, SEVERAL) + 1)}
 
 
 class Reader:
-    """Features of texts: which words and stems of interest occur in the restored text."""
+    """Features of texts: which words and beginnings of interest occur in the restored text."""
 
     def __init__(self, counts: np.ndarray, features: dict[str, int] | None = None, bound: int = 1_000_000):
         self.channel = Channel(counts)
-        self.features, self.bound = features, bound
+        self.features, self.bound = features or {}, bound
+        self.stems = {f.rstrip("~") for f in self.features}
         self.seen: set[str] = set()
-        self.hot: dict[str, tuple[int, ...]] = {}
+        self.hot: dict[str, list[str]] = {}
 
-    def words(self, text: str) -> set[str]:
-        """Distinct words of the lower-case text, with those restored from obfuscated spans."""
-        text = text.lower()
-        found = set(WORD.findall(text))
-        restore = self.channel.restore
-        for span in {m[0] for m in SPANS.finditer(text)}:
-            if len(span) <= 64:
-                found.add(restore(span))
-            else:
-                # A very long span is decoded in pieces at its junk, so that no lattice path grows without bound.
-                found.update(restore(p) for p in re.findall(r".{1,64}", span, re.S))
-        return found
+    def of_token(self, token: str) -> set[str]:
+        """Words of a lower-case token, obfuscated spans restored, runs of a letter as one."""
+        words = set(WORD.findall(token))
+        for m in SPANS.finditer(token):
+            # A very long span is decoded in pieces, so that no lattice path grows without bound.
+            words.update(self.channel.restore(m[0][i : i + 64]) for i in range(0, len(m[0]), 64))
+        return set(map(squeezed, words))
 
-    @staticmethod
-    def of_word(word: str) -> set[str]:
-        w = squeezed(word)
-        return {w, *(w[:n] + "~" for n in STEMS if len(w) > n)}
+    def spaced(self, text: str) -> set[str]:
+        """Words restored from letters that are spaced out."""
+        return {squeezed(self.channel.restore(m[0][:64])) for m in SPACED.finditer(text)}
 
     def names(self, text: str) -> set[str]:
-        return set().union(*map(self.of_word, self.words(text)))
+        text = text.lower()
+        return named(set().union(*map(self.of_token, set(text.split())), self.spaced(text)))
 
     def numbers(self, text: str) -> list[int]:
         """Numbers of the chosen features that occur."""
-        words = self.words(text)
+        text = text.lower()
+        tokens = set(text.split())
         if len(self.seen) > self.bound:
             self.seen.clear()
             self.hot.clear()
-        new = words - self.seen
-        for w in new:
-            at = tuple(self.features[f] for f in self.of_word(w) if f in self.features)
-            if at:
-                self.hot[w] = at
+        new = tokens - self.seen
+        for t in new:
+            words = [w for w in self.of_token(t) if w in self.stems or any(s in self.stems for s in stems(w))]
+            if words:
+                self.hot[t] = words
         self.seen |= new
-        return sorted({f for w in words & self.hot.keys() for f in self.hot[w]})
+        words = self.spaced(text).union(*(self.hot[t] for t in tokens & self.hot.keys()))
+        return sorted(self.features[n] for n in named(words) if n in self.features)
 
 
 @dataclass(frozen=True)
 class Training:
     """Bounds of the fit: labelled rows in the sample, features chosen, pull towards 0, steps."""
 
-    rows: int = 20_000
+    rows: int = 12_000
     features: int = 2_000
-    ridge: float = 1e-3
-    steps: int = 300
+    ridge: float = 1e-4
+    steps: int = 600
     seed: int = 11
 
 
@@ -218,8 +231,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:
     """Language model over all of ``docs``; classifier on a bounded sample of the rows with a label.
 
-    Rows whose crc32 of the id as text is divisible by 5 are held out.  Distinct texts
-    of smallest hash are the sample.  Features are those whose presence is the surest sign of toxicity.
+    Rows whose crc32 of the id as text is divisible by 5 are held out.  The sample is
+    the labelled ids of smallest hash, as many of each kind, with each text once.  Features are those whose presence is the surest sign of toxicity.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -230,12 +243,11 @@ def fit(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:
         counts[r["trigram"]] = r["n"]
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out("doc_id")).select(F.col("doc_id").alias("of"), (F.col("toxic") == 1).alias("toxic"))
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("of")).select("text", "toxic", F.xxhash64(F.lit(t.seed), "text").alias("h"))
-    per_class = t.rows // 2
-    chosen = None
-    for label in (True, False):
-        part = rows.filter(F.col("toxic") == label).orderBy("h").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    seeded = F.xxhash64(F.lit(t.seed), "of")
+    halves = [known.filter(kind).orderBy(seeded, "of").limit(t.rows // 2) for kind in (F.col("toxic"), ~F.col("toxic"))]
+    # At most t.rows ids: the documents are not shuffled to find their texts.
+    ids = F.broadcast(halves[0].unionByName(halves[1]))
+    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("of")).select("text", "toxic", F.xxhash64("text").alias("h"))
     shared = spark.sparkContext.broadcast(counts)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:
             names = [sorted(reader.names(x or "")) for x in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("h"), b.column("toxic"), pa.array(names, pa.list_(pa.string()))], ["h", "toxic", "names"])
 
-    spread = chosen.repartition(64, "h").dropDuplicates(["h", "toxic"])
-    sample = scratch.keep(spread.mapInArrow(read, "h long, toxic boolean, names array<string>"), "sample")
+    once = chosen.groupBy("h", "toxic").agg(F.first("text").alias("text"))
+    sample = scratch.keep(once.mapInArrow(read, "h long, toxic boolean, names array<string>"), "sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = sizes.get(True, 0), sizes.get(False, 0)
     if not pos or not neg:
@@ -265,8 +277,10 @@ def fit(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:
             yield pa.record_batch([b.column("toxic"), pa.array(at, pa.list_(pa.int32()))], ["toxic", "at"])
 
     data = sample.select("toxic", "names").mapInArrow(pick, "toxic boolean, at array<int>").collect()
-    # The classes are sampled to equal numbers; the intercept is left as for equal numbers, so 0.5 divides them.
     w, b = logistic([r["at"] for r in data], np.array([float(r["toxic"]) for r in data]), len(features), t)
+    # The kinds are sampled by themselves; the intercept is set to their shares among all labels.
+    known_pos, known_neg = (known.filter(kind).count() for kind in (F.col("toxic"), ~F.col("toxic")))
+    b += math.log(known_pos / known_neg) - math.log(pos / neg)
     scratch.drop("sample")
     return Model(counts, features, w, b)
 
