@@ -357,11 +357,12 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def trained(sample: list[str], copies: int = 5, epochs: int = 12, seed: int = 7) -> Labeller:
-    """A labeller fitted on sample pages, each also in ``copies`` varied forms."""
+    """A labeller fitted on sample pages, each also in ``copies`` varied forms, or more where there are few pages."""
     rng = np.random.default_rng(seed)
     pages = [[(b, rule(b)) for b in blocks(p)] for p in sample]
     pages = [p for p in pages if p] or [[(Block(("html", "body", "article", "p"), "Text of a page.", 0.0), True)]]
     pool = [b.text for p in pages for b, _ in p]
+    copies = max(copies, -(-800 // len(pages)))
     data = pages + [varied(p, pool, rng) for p in pages for _ in range(copies)]
     net = Labeller()
     net.fit([(vectors([b for b, _ in p]), np.array([y for _, y in p], np.float32)) for p in data], epochs)
