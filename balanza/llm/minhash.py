@@ -7,11 +7,10 @@ registers are likelier the more alike two sets are.  Bands of registers find
 candidates; a joint likelihood of the registers of two sets, whose sizes are known,
 estimates their similarity; full sets confirm each link.
 
-Each document of a bucket is compared by estimate with the bucket's smallest
-document, never with all others; buckets whose members are not yet in one candidate
-cluster go another round without those that are surely close to that document.  By
-the triangle inequality of the distance 1 - J, two linked documents end up in one
-cluster.  Clusters are then compared by full sets in blocks: a task holds two
+Each document of a bucket is first compared by estimate with the bucket's smallest
+document only.  Members that are not surely close to it, in buckets that hold several
+clusters so far, are then compared among each other in blocks.  By the triangle
+inequality of the distance 1 - J, two linked documents end up in one cluster.  Clusters are then compared by full sets in blocks: a task holds two
 blocks of one cluster and returns a spanning forest of the links it found.  A large
 cluster first meets a few of its own documents; only those that these leave outside
 the largest part are compared with all its blocks.
@@ -21,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -193,13 +192,15 @@ class Forest:
         self.parent[max(i, j)] = min(i, j)
 
 
-def compared(ids: np.ndarray, known: np.ndarray, side: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], s: Sketching) -> list[tuple[int, int]]:
-    """Links that connect what was not connected: side 0 with side 1, or within side 0 where there is no other.
+def connecting(
+    ids: np.ndarray, known: np.ndarray, side: np.ndarray, regs: np.ndarray, sizes: np.ndarray, s: Sketching, holds: Callable[[int, int], bool]
+) -> list[tuple[int, int]]:
+    """Pairs that connect what was not connected: side 0 with side 1, or within side 0 where there is no other.
 
     ``known`` is each row's component so far.  Pairs are tried by falling estimate;
-    pairs already connected are left out, as are those that an estimate surely rules out.
+    pairs already connected are left out, as are those that an estimate surely rules
+    out; ``holds`` decides on the others.
     """
-    sizes = np.array([len(x) for x in sets], np.float64)
     forest, first = Forest(len(ids)), {}
     for i, c in enumerate(known.tolist()):
         forest.join(first.setdefault(c, i), i)
@@ -212,7 +213,7 @@ def compared(ids: np.ndarray, known: np.ndarray, side: np.ndarray, regs: np.ndar
             guess = likeliest(regs[i][None], regs[near], np.full(len(near), sizes[i]), sizes[near], s.base)
             pairs += [(-g, int(i), int(j)) for g, j in zip(guess, near) if g >= s.least]
     for _, i, j in sorted(pairs):
-        if forest.find(i) != forest.find(j) and alike(sets[i], sets[j], s.percent):
+        if forest.find(i) != forest.find(j) and holds(i, j):
             forest.join(i, j)
             found.append((int(ids[i]), int(ids[j])))
     return found
@@ -277,32 +278,69 @@ def estimates(pairs: DataFrame, s: Sketching) -> DataFrame:
     return pairs.mapInArrow(guess, "a long, b long, guess double")
 
 
+def block_tasks(rows: DataFrame, group: list[str], payload: list[str], s: Sketching) -> DataFrame:
+    """Deal the rows (group, id, part, payload) of each group to tasks (group, x, y) of two blocks, as side 0 and side 1.
+
+    ``part`` is a row's component so far; rows of one part need no comparison.  A small
+    group is one task.  In a larger one the largest part makes blocks r .. r + m - 1 and
+    the rest blocks 0 .. r - 1; task (x, y), x <= y and x < r, compares block x with
+    block y, so that each pair with a row of the rest meets once.
+    """
+    counts = rows.groupBy(*group, "part").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy(*group).agg(F.sum("c").alias("size"), F.max(F.struct("c", "part")).alias("main")).filter("main.c < size")
+    one = F.col("size") <= s.block
+    main = F.when(one, F.lit(0)).otherwise(F.col("main.c"))
+    sizes = sizes.select(
+        *group,
+        F.ceil((F.col("size") - main) / s.block).alias("r"),
+        F.ceil(main / s.block).alias("m"),
+        F.when(~one, F.col("main.part")).alias("main"),
+    )
+    rows = rows.join(sizes, group).withColumn("outside", F.coalesce(F.col("part") != F.col("main"), F.lit(True)))
+    salt = F.xxhash64(F.lit(s.seed), "id")
+    rows = rows.withColumn("k", F.when(F.col("outside"), F.pmod(salt, F.col("r"))).otherwise(F.col("r") + F.pmod(salt, F.greatest("m", F.lit(1)))))
+    cells = [*group, "x", "y", "side", "id", "part", *payload]
+    left = rows.filter("outside").withColumns({"x": F.col("k"), "y": F.explode(F.expr("sequence(k, r + m - 1)")), "side": F.lit(0)})
+    right = rows.filter("k > 0").withColumns({"x": F.explode(F.expr("sequence(0L, least(k, r) - 1)")), "y": F.col("k"), "side": F.lit(1)})
+    keys = [*group, "x", "y"]
+    return left.select(*cells).unionByName(right.select(*cells)).repartition(*keys).sortWithinPartitions(*keys)
+
+
+def arrays(group: list[dict], *names: str) -> list[np.ndarray]:
+    return [np.array([r[c] for r in group], np.int64) for c in names]
+
+
 def candidate_clusters(nodes: DataFrame, s: Sketching, scratch: Scratch) -> DataFrame:
     """(id, root): documents that chains of near estimates within buckets connect.  ``nodes`` has id, n, registers, bands."""
     bands = nodes.select("id", F.posexplode("bands").alias("band", "value"))
     buckets = bands.groupBy("band", "value").agg(F.min("id").alias("least"), F.count("*").alias("m")).filter("m > 1")
     rows = bands.join(buckets, ["band", "value"]).filter("id <> least").select("band", "value", "id", "least")
-    rows = scratch.keep(rows, "members-0")
+    rows = scratch.keep(rows, "bucket-members")
+    pairs = rows.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     side = nodes.select("id", "n", "registers")
-    edges, step = None, 0
-    while True:
-        pairs = rows.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-        for c in "ab":
-            pairs = pairs.join(side.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("registers").alias(f"{c}_registers")), c)
-        guesses = scratch.keep(estimates(pairs, s), f"estimates-{step}")
-        near = guesses.filter(F.col("guess") >= s.least).select("a", "b")
-        edges = near if edges is None else edges.unionByName(near)
-        clusters = scratch.keep(components(edges, scratch, f"clusters-{step}"), f"clusters-{step}")
-        # Members not surely close to the smallest go on among themselves, where they are of several clusters.
-        far = guesses.filter(F.col("guess") < s.wanted).select(F.col("a").alias("id"), F.col("b").alias("least"))
-        rest = rows.join(far, ["id", "least"]).select("band", "value", "id")
-        rest = rest.join(clusters, "id", "left").select("band", "value", "id", F.coalesce("root", "id").alias("root"))
-        open_ = rest.groupBy("band", "value").agg(F.min("id").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-        rows = scratch.keep(rest.join(open_, ["band", "value"]).filter("id <> least").select("band", "value", "id", "least"), f"members-{step + 1}")
-        scratch.drop(f"members-{step}")
-        step += 1
-        if rows.isEmpty():
-            return clusters
+    for c in "ab":
+        pairs = pairs.join(side.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("registers").alias(f"{c}_registers")), c)
+    guesses = scratch.keep(estimates(pairs, s), "estimates")
+    stars = guesses.filter(F.col("guess") >= s.least).select("a", "b")
+    clusters = scratch.keep(components(stars, scratch, "stars"), "stars")
+    # Members not surely close to the smallest are compared among themselves, where they are of several clusters.
+    far = guesses.filter(F.col("guess") < s.wanted).select(F.col("a").alias("id"), F.col("b").alias("least"))
+    rest = rows.join(far, ["id", "least"]).join(clusters, "id", "left").select("band", "value", "id", F.coalesce("root", "id").alias("part"))
+    open_ = rest.groupBy("band", "value").agg(F.min("part").alias("r0"), F.max("part").alias("r1")).filter("r0 <> r1").select("band", "value")
+    rest = scratch.keep(rest.join(open_, ["band", "value"]), "bucket-rest")
+    scratch.drop("bucket-members")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["band", "value", "x", "y"]):
+            ids, part, at, n = arrays(group, "id", "part", "side", "n")
+            regs = np.stack([np.frombuffer(r["registers"], "<u2") for r in group])
+            yield edge_batch(connecting(ids, part, at, regs, n, s, lambda i, j: True))
+
+    tasks = block_tasks(rest.join(side, "id"), ["band", "value"], ["n", "registers"], s)
+    more = scratch.keep(tasks.mapInArrow(compare, "a long, b long"), "bucket-edges")
+    if more.isEmpty():
+        return clusters
+    return scratch.keep(components(stars.unionByName(more), scratch, "clusters"), "clusters")
 
 
 def confirmed_links(members: DataFrame, s: Sketching, scratch: Scratch) -> DataFrame:
@@ -331,32 +369,18 @@ def confirmed_links(members: DataFrame, s: Sketching, scratch: Scratch) -> DataF
     met = large.join(picked.select("cluster", F.array_distinct(F.array(*chosen)).alias("pivots")), "cluster")
     first = scratch.keep(met.select("id", "text", "pivots").mapInArrow(meet, "a long, b long"), "first-links")
     parts = scratch.keep(components(first, scratch, "parts"), "parts").select(F.col("id").alias("of"), F.col("root").alias("part"))
-    rows = members.join(parts, F.col("id") == F.col("of"), "left").withColumn("part", F.coalesce("part", "id")).drop("of")
-
-    # Blocks 0 .. r - 1 hold the rest of a cluster, blocks r .. r + m - 1 the largest part of a large one.
-    counts = rows.filter(F.col("size") > s.block).groupBy("cluster", "part").agg(F.count("*").alias("c"))
-    main = counts.groupBy("cluster").agg(F.max(F.struct("c", "part")).alias("main"))
-    rows = rows.join(main.select(F.col("cluster").alias("of"), F.col("main.c").alias("c"), F.col("main.part").alias("main")), F.col("cluster") == F.col("of"), "left")
-    rest = F.col("size") - F.coalesce("c", F.lit(0))
-    salt = F.xxhash64(F.lit(s.seed), "id")
-    rows = rows.withColumns({"r": F.ceil(rest / s.block), "m": F.ceil(F.coalesce("c", F.lit(0)) / s.block), "outside": F.coalesce(F.col("part") != F.col("main"), F.lit(True))})
-    rows = rows.filter("r > 0").withColumn("k", F.when(F.col("outside"), F.pmod(salt, F.col("r"))).otherwise(F.col("r") + F.pmod(salt, F.greatest("m", F.lit(1)))))
-    # Task (x, y), x <= y and x < r, compares block x with block y: each pair with a document of the rest meets once.
-    cells = ["cluster", "x", "y", "side", "id", "part", "registers", "text"]
-    left = rows.filter("outside").withColumns({"x": F.col("k"), "y": F.explode(F.expr("sequence(k, r + m - 1)")), "side": F.lit(0)})
-    right = rows.filter("k > 0").withColumns({"x": F.explode(F.expr("sequence(0L, least(k, r) - 1)")), "y": F.col("k"), "side": F.lit(1)})
-    tasks = left.select(*cells).unionByName(right.select(*cells))
+    rows = members.join(parts, F.col("id") == F.col("of"), "left").withColumn("part", F.coalesce("part", "id")).drop("of", "size")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["cluster", "x", "y"]):
-            if len(group) > 1:
-                ids, part, side = (np.array([r[c] for r in group], np.int64) for c in ("id", "part", "side"))
-                regs = np.stack([np.frombuffer(r["registers"], "<u2") for r in group])
-                yield edge_batch(compared(ids, part, side, regs, shingle_sets(pa.array([r["text"] for r in group], pa.string()), s.words), s))
-
-    keys = ["cluster", "x", "y"]
-    found = tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
-    return first.unionByName(scratch.keep(found, "links"))
+            ids, part, at = arrays(group, "id", "part", "side")
+            regs = np.stack([np.frombuffer(r["registers"], "<u2") for r in group])
+            sets = shingle_sets(pa.array([r["text"] for r in group], pa.string()), s.words)
+            n = np.array([len(x) for x in sets])
+            yield edge_batch(connecting(ids, part, at, regs, n, s, lambda i, j: alike(sets[i], sets[j], s.percent)))
+
+    tasks = block_tasks(rows, ["cluster"], ["registers", "text"], s)
+    return first.unionByName(scratch.keep(tasks.mapInArrow(compare, "a long, b long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, s: Sketching = Sketching()) -> DataFrame:
