@@ -46,7 +46,3 @@ def variacion(actual: Column, previo: Column) -> Column:
 def tres_decimales(c: Column) -> Column:
     """Three digits, half to even on the scaled double."""
     return F.rint(c * F.lit(1000.0)) / F.lit(1000.0)
-
-
-def seis(c: Column) -> Column:
-    return F.round(c, 6)

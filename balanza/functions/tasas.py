@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from balanza.esquema import SENTINELA
 from balanza.functions.clases import SIN_ESPECIALIZACION, clase_volumen_fila
-from balanza.functions.redondeo import razon
 
 
 def tasa_nula(ingresado: Column, atendido: Column) -> Column:
@@ -16,8 +15,14 @@ def tasa_nula(ingresado: Column, atendido: Column) -> Column:
 
 
 def tasa_almacen(ingresado: Column, atendido: Column) -> Column:
-    """Warehouse form of the rate: four digits, 0 when nothing was filed."""
-    return razon(atendido, ingresado, 4).cast("decimal(5,4)")
+    """Warehouse form of the rate: four digits, 0 when nothing was filed.
+
+    Whole-number arithmetic on longs, row by row.  A rate of 10 or more does not fit
+    and is null; the constraint check counts such rows.
+    """
+    ing, at = ingresado.cast("long"), atendido.cast("long")
+    diezmilesimos = F.call_function("div", F.lit(20_000) * at + ing, F.lit(2) * ing)
+    return F.when(ing > 0, diezmilesimos / F.lit(10_000.0)).otherwise(F.lit(0.0)).try_cast("decimal(5,4)")
 
 
 def derivar_metricas(df: DataFrame) -> DataFrame:

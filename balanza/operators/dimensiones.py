@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from balanza.functions import clases
 from balanza.functions.texto import limpiar_texto
-from balanza.sesion import cortar, filas
+from balanza.sesion import cortar
 
 # Fixed value: share of rows from which a subject counts as a main one.
 UMBRAL_PRINCIPAL = 0.05
@@ -28,11 +28,10 @@ _GRUPOS = {
 
 def compactar(
     df: DataFrame, region: Column | None = None
-) -> tuple[dict[str, DataFrame], int]:
+) -> dict[str, DataFrame]:
     """Distinct natural keys of every dimension, counted in a single pass over the rows.
 
-    Each table feeds the functions below in place of the rows themselves.  The number
-    returned is the size of all tables together, a bound for each dimension.
+    Each table feeds the functions below in place of the rows themselves.
     """
     grupos = dict(_GRUPOS)
     if region is not None:
@@ -60,7 +59,7 @@ def compactar(
         )
         for g, columnas in grupos.items()
     }
-    return tablas, filas(largo)
+    return tablas
 
 
 def _conteo(df: DataFrame) -> Column:
@@ -123,7 +122,7 @@ def dim_especialidades(df: DataFrame) -> DataFrame:
 
 
 def dim_ubicaciones(df: DataFrame, region: Column | None = None) -> DataFrame:
-    """Distinct locations with their region, inferred from the department unless given."""
+    """Distinct locations with their rows and region, inferred from the department unless given."""
     nombres = {"dpto_pjfs": "departamento", "prov_pjfs": "provincia", "dist_pjfs": "distrito"}
     if region is None:
         region = clases.region_geografica(limpiar_texto(F.col("dpto_pjfs")))
@@ -132,9 +131,11 @@ def dim_ubicaciones(df: DataFrame, region: Column | None = None) -> DataFrame:
             "ubigeo_pjfs",
             *[limpiar_texto(F.col(c)).alias(a) for c, a in nombres.items()],
             region.alias("region_geografica"),
+            (F.col(PESO) if PESO in df.columns else F.lit(1)).alias("registros"),
         )
         .dropna(subset=["ubigeo_pjfs", *nombres.values()])
-        .distinct()
+        .groupBy("ubigeo_pjfs", *nombres.values(), "region_geografica")
+        .agg(F.sum("registros").alias("registros"))
     )
 
 

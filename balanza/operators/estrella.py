@@ -4,43 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from balanza.esquema import SENTINELA
 from balanza.functions.tasas import tasa_almacen
 from balanza.functions.texto import limpiar_texto
 from balanza.operators import dimensiones as dim
-from balanza.operators.frecuencias import LIMITE_VENTANA
-from balanza.sesion import cortar, cortar_varios, difundir, filas
+from balanza.operators.frecuencias import numerar
+from balanza.sesion import construir, cortar, difundir
 
-_CUBOS_CLAVE = 65_536
-
-
-def con_clave(
-    df: DataFrame, id_col: str, natural: list[str], cota: int | None = None, limite: int | None = None
-) -> DataFrame:
-    """Add a surrogate key 1..n, in natural-key order while the dimension is small.
-
-    ``cota`` is a known bound on its rows; without one the frame is cut and counted.
-
-    A large dimension is numbered inside hash buckets after a running sum over the
-    (fixed number of) bucket sizes, so that no task numbers it whole.
-    """
-    limite = LIMITE_VENTANA if limite is None else limite
-    if cota is None or cota > limite:
-        df = cortar(df)
-        cota = filas(df)
-    if cota <= limite:
-        n = F.row_number().over(Window.orderBy(*natural))
-        return df.select(n.cast("int").alias(id_col), "*")
-    base = df.withColumn("_cubo", F.pmod(F.xxhash64(*natural), F.lit(_CUBOS_CLAVE)))
-    orden = Window.orderBy("_cubo").rowsBetween(Window.unboundedPreceding, -1)
-    inicio = base.groupBy("_cubo").agg(F.count(F.lit(1)).alias("_n"))
-    inicio = inicio.select("_cubo", F.coalesce(F.sum("_n").over(orden), F.lit(0)).alias("_n0"))
-    local = F.row_number().over(Window.partitionBy("_cubo").orderBy(*natural))
-    # At most _CUBOS_CLAVE rows are broadcast.
-    numerado = base.withColumn("_ra", local).join(F.broadcast(inicio), "_cubo")
-    return numerado.select((F.col("_n0") + F.col("_ra")).alias(id_col), *df.columns)
+def con_clave(df: DataFrame, id_col: str, natural: list[str]) -> DataFrame:
+    """Add a surrogate key 1..n (long) in natural-key order, by one rule for every size."""
+    return numerar(df, [F.col(c) for c in natural], id_col)
 
 
 # Key column and natural key of each dimension table.
@@ -56,15 +30,25 @@ CLAVES = {
 }
 
 
-def _numerar(tablas: dict[str, DataFrame], cota: int) -> dict[str, DataFrame]:
-    return cortar_varios({t: con_clave(d, *CLAVES[t], cota) for t, d in tablas.items()})
+def _numerar(tablas: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return construir({t: lambda t=t, d=d: cortar(con_clave(d, *CLAVES[t])) for t, d in tablas.items()})
+
+
+def ubicacion_por_codigo(ubicaciones: DataFrame) -> DataFrame:
+    """One surviving location for each code: the one with most rows, then by name.
+
+    A code with several spellings would otherwise double the rows of every fact that
+    has it; ``calidad.violaciones`` reports the others.
+    """
+    antes = F.struct(-F.col("registros"), "departamento", "provincia", "distrito", "id_ubicacion")
+    return ubicaciones.groupBy("ubigeo_pjfs").agg(F.min_by("id_ubicacion", antes).alias("id_ubicacion"))
 
 
 def construir_dimensiones(
     df: DataFrame, region: Column | None = None, sentinela_como_fila: bool = True
 ) -> dict[str, DataFrame]:
     """The eight dimension tables of a clean flat table, from one pass over it."""
-    g, cota = dim.compactar(df, region)
+    g = dim.compactar(df, region)
     nulo_int, nulo_txt = F.lit(None).cast("int"), F.lit(None).cast("string")
     dada = None if region is None else F.col("_region")
     fiscalias = dim.dim_fiscalias_especializadas(g["especializada"]).select(
@@ -86,24 +70,25 @@ def construir_dimensiones(
             ),
             "dim_fiscalias_especializadas": fiscalias,
             "dim_tiempo": dim.dim_tiempo(g["tiempo"]),
-        },
-        cota,
+        }
     )
     especialidades = dim.dim_especialidades(g["especialidad"]).withColumnRenamed(
         "materia_asociada", "materia"
     )
+    codigos = cortar(ubicacion_por_codigo(dims["dim_ubicaciones"]))
+    ubicaciones = dims["dim_ubicaciones"].drop("registros")
     con_padre = _numerar(
         {
             "dim_especialidades": especialidades.join(
                 difundir(dims["dim_materias"], ["id_materia", "materia"]), "materia"
             ).select("especialidad", "id_materia"),
             "dim_distritos_fiscales": dim.dim_distritos(g["lugar"])
-            .join(difundir(dims["dim_ubicaciones"], ["id_ubicacion", "ubigeo_pjfs"]), "ubigeo_pjfs")
+            .join(difundir(codigos), "ubigeo_pjfs")
             .select("distrito_fiscal", "id_ubicacion", F.lit(True).alias("estado_activo"))
             .distinct(),
-        },
-        cota,
+        }
     )
+    dims["dim_ubicaciones"] = cortar(ubicaciones)
     return {**dims, **con_padre}
 
 

@@ -5,10 +5,10 @@ fences.  A window over raw rows would send whole groups through one task, so the
 work goes in two steps that both stay spread over the cluster:
 
 1. ``tabla_larga`` / ``tabla`` count equal values (map-side combine, one shuffle);
-2. ``acumular`` gives every distinct value its position.  A table known to be small
-   is ordered by a window.  Otherwise values are cut into buckets by a fixed monotone
-   function, the bucket totals (a bounded number) are summed up in order, and the order
-   inside each bucket, 1/4096 of an octave, is found separately.
+2. ``acumular`` gives every distinct value its position: the table is range-partitioned
+   by group and value, so that the boundaries follow the data, the totals of each part
+   are summed up in order, and the order inside a part is found separately.  The same
+   steps serve a table of any size.
 """
 
 from __future__ import annotations
@@ -20,14 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from balanza.sesion import cortar, difundir, filas
-
-CUBOS_POR_OCTAVA = 4096
-_DESPLAZAMIENTO = 1100 * CUBOS_POR_OCTAVA
-CUBO_NULO = 2**62
-# Largest frequency table, in rows, that is ordered by a plain window.
-LIMITE_VENTANA = 1_000_000
-
+from balanza.sesion import construir, cortar, difundir
 
 def tabla(df: DataFrame, columnas: Sequence[str]) -> DataFrame:
     """Distinct combinations of ``columnas`` with their row count ``n``."""
@@ -48,86 +41,71 @@ def tabla_larga(
     return largo.groupBy(*claves, "variable", "valor").agg(n.alias("n"))
 
 
-def cubo(c: Column) -> Column:
-    """Monotone bucket number of a numeric value (0 stays alone)."""
-    x = c.cast("double")
-    k = F.floor(F.log2(F.abs(x)) * F.lit(float(CUBOS_POR_OCTAVA))) + F.lit(_DESPLAZAMIENTO)
-    return F.when(x > 0, k).when(x < 0, -k).when(x == 0, F.lit(0).cast("long"))
-
-
 def iguales(claves: Sequence[str], izq: str = "a", der: str = "b") -> list[Column]:
     """Null-safe equality of each key between two aliased frames."""
     return [F.col(f"{izq}.{k}").eqNullSafe(F.col(f"{der}.{k}")) for k in claves]
 
 
+def por_rangos(df: DataFrame, orden: Sequence[Column]) -> DataFrame:
+    """``df`` written in range partitions of ``orden``, with the partition's number in ``_parte``."""
+    return cortar(df.repartitionByRange(*orden).withColumn("_parte", F.spark_partition_id()))
+
+
+def numerar(df: DataFrame, orden: Sequence[Column], nombre: str) -> DataFrame:
+    """Number the rows 1..n (long) in a total order, without one task that holds them all."""
+    partes = por_rangos(df, orden)
+    # One row for each range partition goes through this window.
+    antes = Window.orderBy("_parte").rowsBetween(Window.unboundedPreceding, -1)
+    inicio = partes.groupBy("_parte").agg(F.count(F.lit(1)).alias("_n"))
+    inicio = inicio.select("_parte", F.coalesce(F.sum("_n").over(antes), F.lit(0)).alias("_n0"))
+    local = F.row_number().over(Window.partitionBy("_parte").orderBy(*orden))
+    numerado = partes.withColumn("_ra", local).join(inicio, "_parte")
+    return numerado.select((F.col("_n0") + F.col("_ra")).alias(nombre), *df.columns)
+
+
 def acumular(
     freq: DataFrame,
     claves: Sequence[str] = (),
     valor: str = "valor",
     n: str = "n",
     nulos: bool = False,
-    limite: int | None = None,
 ) -> DataFrame:
     """Positions of the distinct values inside each group of ``claves``.
 
     ``freq`` has one row per ``(claves, valor)``.  Added columns: ``previos`` (rows
     with a smaller value), ``orden`` (dense rank from 1), ``total`` (rows of the
     group) and ``total_valores``.  Rows with a null value are left out, or come
-    last when ``nulos`` is set.
+    last when ``nulos`` is set; NaN stands above all numbers.
 
-    The frequency table is cut, which tells its exact size.  Up to ``limite`` rows
-    (by default ``LIMITE_VENTANA``) one window does the work; beyond that the
-    positions are found bucket by bucket, so that no group is held in one task.
+    Values keep their type.  A group of any size is spread over the range partitions
+    it needs; only the totals of a group in each partition are summed up together.
     """
     claves = list(claves)
-    limite = LIMITE_VENTANA if limite is None else limite
-    freq = cortar(freq)
     base = freq if nulos else freq.filter(F.col(valor).isNotNull())
     base = base.select(*claves, F.col(valor), F.col(n))
-    if filas(freq) <= limite:
-        return _acumular_ventana(base, claves, valor, n)
-    return _acumular_cubos(base, claves, valor, n)
-
-
-def _antes(w) -> object:
-    return w.rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _acumular_ventana(base: DataFrame, claves: list[str], valor: str, n: str) -> DataFrame:
-    grupo = Window.partitionBy(*claves)
-    orden = grupo.orderBy(F.asc_nulls_last(valor))
-    return base.select(
-        "*",
-        F.coalesce(F.sum(n).over(_antes(orden)), F.lit(0)).alias("previos"),
-        F.row_number().over(orden).cast("long").alias("orden"),
-        F.sum(n).over(grupo).alias("total"),
-        F.count(F.lit(1)).over(grupo).alias("total_valores"),
-    )
-
-
-def _acumular_cubos(base: DataFrame, claves: list[str], valor: str, n: str) -> DataFrame:
-    base = base.withColumn("_cubo", F.coalesce(cubo(F.col(valor)), F.lit(CUBO_NULO)))
-    por_cubo = base.groupBy(*claves, "_cubo").agg(
+    base = por_rangos(base, [*map(F.col, claves), F.asc_nulls_last(valor)])
+    por_parte = base.groupBy(*claves, "_parte").agg(
         F.sum(n).alias("_n"), F.count(F.lit(1)).alias("_v")
     )
-    # Only bucket totals pass through these windows: their number does not grow with the data.
     grupo = Window.partitionBy(*claves)
-    orden = grupo.orderBy("_cubo")
-    inicio = por_cubo.select(
+    antes = grupo.orderBy("_parte").rowsBetween(Window.unboundedPreceding, -1)
+    inicio = por_parte.select(
         *claves,
-        "_cubo",
-        F.coalesce(F.sum("_n").over(_antes(orden)), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum("_v").over(_antes(orden)), F.lit(0)).alias("_v0"),
+        "_parte",
+        F.coalesce(F.sum("_n").over(antes), F.lit(0)).alias("_n0"),
+        F.coalesce(F.sum("_v").over(antes), F.lit(0)).alias("_v0"),
         F.sum("_n").over(grupo).alias("total"),
         F.sum("_v").over(grupo).alias("total_valores"),
     )
-    dentro = Window.partitionBy(*claves, "_cubo").orderBy(valor)
+    dentro = Window.partitionBy(*claves, "_parte").orderBy(F.asc_nulls_last(valor))
     local = base.select(
         "*",
-        F.coalesce(F.sum(n).over(_antes(dentro)), F.lit(0)).alias("_na"),
+        F.coalesce(
+            F.sum(n).over(dentro.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_na"),
         F.row_number().over(dentro).alias("_ra"),
     )
-    cond = reduce(Column.__and__, iguales([*claves, "_cubo"]))
+    cond = reduce(Column.__and__, iguales([*claves, "_parte"]))
     return (
         local.alias("a")
         .join(inicio.alias("b"), cond)
@@ -136,7 +114,7 @@ def _acumular_cubos(base: DataFrame, claves: list[str], valor: str, n: str) -> D
             F.col(f"a.{valor}").alias(valor),
             F.col(f"a.{n}").alias(n),
             (F.col("_n0") + F.col("_na")).alias("previos"),
-            (F.col("_v0") + F.col("_ra")).alias("orden"),
+            (F.col("_v0") + F.col("_ra")).cast("long").alias("orden"),
             "total",
             "total_valores",
         )
@@ -258,42 +236,34 @@ def rangos_densos(
     df: DataFrame,
     rangos: Mapping[str, tuple[str, bool]],
     claves: Sequence[str] = (),
-    limite: int | None = None,
+    vivo: bool = False,
 ) -> DataFrame:
     """Add dense ranks: ``rangos`` maps the new column to ``(column, descending)``.
 
-    Nulls come last in ascending order and first in descending order.  ``df`` is an
-    aggregate; it is cut, and small results are ranked by a window while large ones
-    get their ranks from frequency tables (exact for values below 2**53).
+    Nulls come last in ascending order and first in descending order; values are
+    compared in their own type.  ``df`` is an aggregate; it is cut, and the ranks come
+    from the frequency table of each column.  With ``vivo`` the result is a pure plan
+    instead, for views that must follow their tables: plain windows, same ranks.
     """
     claves = list(claves)
-    limite = LIMITE_VENTANA if limite is None else limite
-    df = cortar(df)
-    if filas(df) <= limite:
+    if vivo:
         grupo = Window.partitionBy(*claves)
         nuevos = {}
         for alias, (columna, desc) in rangos.items():
             o = F.desc_nulls_first(columna) if desc else F.asc_nulls_last(columna)
             nuevos[alias] = F.dense_rank().over(grupo.orderBy(o))
         return df.withColumns(nuevos)
+    salida = df = cortar(df)
     columnas = sorted({c for c, _ in rangos.values()})
-    acc = cortar(
-        acumular(
-            tabla_larga(df, columnas, claves), [*claves, "variable"], nulos=True, limite=limite
-        )
+    posiciones = construir(
+        {
+            c: lambda c=c: acumular(tabla(df, [*claves, c]), claves, c, nulos=True)
+            for c in columnas
+        }
     )
-    salida = df
     for alias, (columna, desc) in rangos.items():
         orden = F.col("total_valores") - F.col("orden") + 1 if desc else F.col("orden")
-        r = acc.filter(F.col("variable") == columna).select(
-            *claves, "valor", orden.cast("int").alias(alias)
-        )
-        cond = reduce(
-            Column.__and__,
-            [
-                *iguales(claves),
-                F.col(f"a.{columna}").cast("double").eqNullSafe(F.col("b.valor")),
-            ],
-        )
+        r = posiciones[columna].select(*claves, columna, orden.cast("int").alias(alias))
+        cond = reduce(Column.__and__, iguales([*claves, columna]))
         salida = salida.alias("a").join(r.alias("b"), cond, "left").select("a.*", f"b.{alias}")
     return salida

@@ -12,11 +12,11 @@ from balanza.sinks import salidas
 def analizar_dimensiones(df: DataFrame) -> dict[str, DataFrame]:
     """The eight dimension analyses and their class counts, from one pass over the rows."""
     dim = dimensiones
-    g, _ = dim.compactar(df)
+    g = dim.compactar(df)
     tipos_caso = dim.dim_tipos_caso(g["tipo_caso"])
     fiscalias = dim.dim_fiscalias_especializadas(g["especializada"])
     especialidades = dim.dim_especialidades(g["especialidad"])
-    ubicaciones = dim.dim_ubicaciones(g["lugar"])
+    ubicaciones = dim.dim_ubicaciones(g["lugar"]).drop("registros")
     distritos = dim.dim_distritos(g["lugar"])
     return {
         "tipos_caso": tipos_caso,

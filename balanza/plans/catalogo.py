@@ -87,7 +87,7 @@ def _consultas_dimension() -> dict[str, Consulta]:
         "dim_materias": (dim.dim_materias, ("materia",)),
         "dim_especialidades": (dim.dim_especialidades, ("especialidad", "materia")),
         "dim_ubicaciones": (
-            dim.dim_ubicaciones,
+            lambda df: dim.dim_ubicaciones(df).drop("registros"),
             ("ubigeo_pjfs", "dpto_pjfs", "prov_pjfs", "dist_pjfs"),
         ),
         "dim_distritos": (dim.dim_distritos, ("distrito_fiscal", "ubigeo_pjfs", "dpto_pjfs")),

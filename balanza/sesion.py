@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -25,14 +26,15 @@ def asegurar_checkpoint(spark: SparkSession) -> None:
         return
     carpeta = spark.conf.get("spark.checkpoint.dir", None)
     if not carpeta:
-        if not sc.master.startswith("local"):
+        # "local-cluster" has executors of its own.
+        if not re.match(r"local($|\[)", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
         carpeta = tempfile.mkdtemp(prefix="balanza-")
     sc.setCheckpointDir(carpeta)
 
 
-# Exact row counts of the frames returned by ``cortar``.
-_FILAS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+# Frames returned by ``cortar``, with their exact row count once it was asked for.
+_FILAS: WeakKeyDictionary[DataFrame, int | None] = WeakKeyDictionary()
 
 
 def cortar(df: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def cortar(df: DataFrame) -> DataFrame:
         return df
     asegurar_checkpoint(df.sparkSession)
     cortado = df.checkpoint(eager=True)
-    _FILAS[cortado] = cortado.count()
+    _FILAS[cortado] = None
     return cortado
 
 
@@ -63,8 +65,11 @@ def construir(partes: Mapping[str, Callable[[], T]], hilos: int = 8) -> dict[str
 
 
 def filas(df: DataFrame) -> int:
-    """Exact row count of a frame returned by ``cortar``."""
-    return _FILAS[df]
+    """Exact row count of a frame returned by ``cortar``, counted when first asked for."""
+    n = _FILAS[df]
+    if n is None:
+        n = _FILAS[df] = df.count()
+    return n
 
 
 # Largest frame, in rows, that is sent whole to every executor.
@@ -75,19 +80,3 @@ def difundir(d: DataFrame, columnas: Sequence[str] | None = None) -> DataFrame:
     """Broadcast (columns of) a cut frame only while its counted size is small."""
     parte = d.select(*columnas) if columnas else d
     return F.broadcast(parte) if filas(d) <= LIMITE_DIFUSION else parte
-
-
-# Split counts of scans by path, so that a session plans each scan once.
-_CORTES: dict[str, int] = {}
-
-
-def repartir_si_angosto(df: DataFrame, ruta: str, claves: Sequence[str]) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores.
-
-    A small file with a single row group would keep one core busy and leave the
-    others idle.  Data large enough to matter has many splits and is left alone.
-    """
-    nucleos = df.sparkSession.sparkContext.defaultParallelism
-    if ruta not in _CORTES:
-        _CORTES[ruta] = df.rdd.getNumPartitions()
-    return df if _CORTES[ruta] >= nucleos else df.repartition(nucleos, *claves)

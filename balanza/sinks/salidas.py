@@ -32,6 +32,7 @@ def escribir_csv_anuales(df: DataFrame, ruta: str) -> None:
         df.hint("rebalance", "anio")
         .write.mode("overwrite")
         .option("header", True)
+        .option("escape", '"')
         .partitionBy("anio")
         .csv(ruta)
     )

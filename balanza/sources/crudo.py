@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from balanza.esquema import ANIO_DESCARGA, COLUMNAS_PLANAS
 from balanza.functions.texto import FALTANTES, a_entero, a_fecha, a_numero, faltante_a_nulo
@@ -20,34 +21,78 @@ CONSOLIDADO = "casos_fiscales_consolidado"
 PATRON_LIMPIO = "*limpio.csv"
 
 
-def leer_csv(spark: SparkSession, ruta: str | Sequence[str], faltantes=FALTANTES) -> DataFrame:
-    """Text columns named by the header; missing-cell tokens become null.
-
-    Types are never inferred, so no pass over the data is spent on guessing them.
-    """
-    rutas = [ruta] if isinstance(ruta, str) else list(ruta)
-    df = spark.read.option("header", True).option("encoding", "UTF-8").csv(rutas)
-    return df.select(*[faltante_a_nulo(F.col(f"`{c}`"), faltantes).alias(c) for c in df.columns])
+# Quotes are doubled inside quoted cells, and a quoted cell may hold line breaks.
+_OPCIONES = {
+    "header": True,
+    "encoding": "UTF-8",
+    "quote": '"',
+    "escape": '"',
+    "multiLine": True,
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": "_rota",
+}
 
 
-def leer_crudos(spark: SparkSession, rutas: Mapping[int, str]) -> DataFrame:
-    """All yearly files as one table, columns aligned by name.
+def leer_csv(
+    spark: SparkSession, ruta: str, faltantes=FALTANTES, con_rotas: bool = False
+) -> DataFrame:
+    """One CSV file: text columns named by its own header; missing-cell tokens become null.
 
-    A year whose file cannot be opened is logged and left out; with no year left the
-    read fails.
+    Types are never inferred.  Rows with too many or too few cells keep the cells that
+    have a name; with ``con_rotas`` the text of such a row is given in ``_rota``.  As
+    cells may hold line breaks, a file is read by one task; years are read side by side.
     """
-    partes = []
+    columnas = spark.read.options(**_OPCIONES).csv(ruta).columns
+    esquema = StructType([StructField(c, StringType()) for c in (*columnas, "_rota")])
+    df = spark.read.options(**_OPCIONES).schema(esquema).csv(ruta)
+    extra = ["_rota"] if con_rotas else []
+    return df.select(
+        *[faltante_a_nulo(F.col(f"`{c}`"), faltantes).alias(c) for c in columnas], *extra
+    )
+
+
+def _abribles(spark: SparkSession, rutas: Mapping[int, str], con_rotas: bool) -> dict[int, DataFrame]:
+    partes = {}
     for anio, ruta in rutas.items():
         try:
-            partes.append(leer_csv(spark, ruta))
+            partes[anio] = leer_csv(spark, ruta, con_rotas=con_rotas)
         except AnalysisException as e:
             _LOG.error("year %s skipped: %s", anio, e.getCondition() or e)
     if not partes:
         raise FileNotFoundError("no yearly file could be read")
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), partes)
+    return partes
+
+
+def _juntar(partes: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), partes)
+
+
+def leer_crudos(spark: SparkSession, rutas: Mapping[int, str]) -> DataFrame:
+    """All yearly files as one table, columns aligned by name.
+
+    A year whose file cannot be opened is logged and left out; with no year left the
+    read fails.
+    """
+    df = _juntar(list(_abribles(spark, rutas, False).values()))
     return df.select(*[c for c in COLUMNAS_PLANAS if c in df.columns])
 
 
+def filas_rotas(spark: SparkSession, rutas: Mapping[int, str]) -> DataFrame:
+    """For each yearly file its rows and how many have too many or too few cells."""
+
+    def contar(anio: int, df: DataFrame) -> DataFrame:
+        # Spark refuses to read the text of broken rows alone, so a cell is read with it.
+        celda = F.coalesce(F.length(F.col(f"`{df.columns[0]}`")), F.lit(0))
+        conteos = df.agg(
+            F.sum(F.when(celda >= 0, 1)).alias("filas"), F.count("_rota").alias("filas_rotas")
+        )
+        return conteos.select(
+            F.lit(anio).alias("anio"), F.coalesce("filas", F.lit(0)).alias("filas"), "filas_rotas"
+        )
+
+    return _juntar([contar(a, df) for a, df in _abribles(spark, rutas, True).items()])
+
+
 def tipar_limpio(df: DataFrame) -> DataFrame:
     """Give a clean table read as text its types; typed columns pass unchanged."""
     tipos = dict(df.dtypes)
@@ -72,10 +117,16 @@ def leer_limpio(spark: SparkSession, ruta: str) -> DataFrame:
 
 def cargar_limpios(spark: SparkSession, carpeta: str) -> tuple[DataFrame, list[str]]:
     """The consolidated table of a folder, else its yearly clean files; with the files used."""
+
+    def anuales() -> DataFrame:
+        # Each file by its own header: the columns need not stand in the same order.
+        archivos = sorted(spark.read.text(f"{carpeta}/{PATRON_LIMPIO}").inputFiles())
+        return tipar_limpio(_juntar([leer_csv(spark, a) for a in archivos]))
+
     intentos = (
         lambda: spark.read.parquet(f"{carpeta}/{CONSOLIDADO}"),
         lambda: tipar_limpio(leer_csv(spark, f"{carpeta}/{CONSOLIDADO}.csv")),
-        lambda: tipar_limpio(leer_csv(spark, f"{carpeta}/{PATRON_LIMPIO}")),
+        anuales,
     )
     for leer in intentos:
         try:

@@ -15,10 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from balanza.esquema import ANIO_DESCARGA, COLUMNAS_PLANAS, SENTINELA
-from balanza.sesion import repartir_si_angosto
 
 # How the columns of the case table are read from the order tables.
 PERIODO = "ENERO - DICIEMBRE"
@@ -83,15 +81,8 @@ def _expresiones() -> dict[str, tuple[tuple[str, ...], Column]]:
     }
 
 
-# Schemas already read from file footers, so that a session reads each footer once.
-_ESQUEMAS: dict[str, StructType] = {}
-
-
 def leer_tabla(spark: SparkSession, carpeta: str, nombre: str) -> DataFrame:
-    ruta = f"{carpeta}/{nombre}.parquet"
-    if ruta not in _ESQUEMAS:
-        _ESQUEMAS[ruta] = spark.read.parquet(ruta).schema
-    return spark.read.schema(_ESQUEMAS[ruta]).parquet(ruta)
+    return spark.read.parquet(f"{carpeta}/{nombre}.parquet")
 
 
 TODAS = (*COLUMNAS_PLANAS, ANIO_DESCARGA, "region_geografica")
@@ -104,11 +95,7 @@ def casos(
     exprs = _expresiones()
     directas = {t for c in columnas for t in exprs[c][0]}
     necesarias = directas | {p for t in directas for p in _BUSQUEDAS[t][2]}
-    df = repartir_si_angosto(
-        leer_tabla(spark, carpeta, "lineitem"),
-        f"{carpeta}/lineitem.parquet",
-        ("l_orderkey", "l_partkey", "l_linenumber"),
-    )
+    df = leer_tabla(spark, carpeta, "lineitem")
     for nombre, (izq, der, _) in _BUSQUEDAS.items():
         if nombre in necesarias:
             otra = leer_tabla(spark, carpeta, nombre)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from balanza.esquema import SENTINELA
 from balanza.functions import clases
 from balanza.operators.estrella import CLAVES, con_clave
-from balanza.sesion import cortar_varios, difundir
+from balanza.sesion import construir, cortar, difundir
 
 # ---------------------------------------------------------------------------
 # The rows of each dimension.
@@ -145,8 +145,7 @@ def dimensiones_publicadas(spark: SparkSession) -> dict[str, DataFrame]:
             }
         ),
     }
-    cota = len(filas)
-    dims = cortar_varios({t: con_clave(d, *CLAVES[t], cota) for t, d in tablas.items()})
+    dims = construir({t: lambda t=t, d=d: cortar(con_clave(d, *CLAVES[t])) for t, d in tablas.items()})
     especialidades = spark.createDataFrame(
         [(e, m) for m, es in ESPECIALIDADES.items() for e in es],
         "especialidad string, materia string",
@@ -162,5 +161,5 @@ def dimensiones_publicadas(spark: SparkSession) -> dict[str, DataFrame]:
     }
     return {
         **dims,
-        **cortar_varios({t: con_clave(d, *CLAVES[t], cota) for t, d in hijas.items()}),
+        **construir({t: lambda t=t, d=d: cortar(con_clave(d, *CLAVES[t])) for t, d in hijas.items()}),
     }

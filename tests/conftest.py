@@ -24,13 +24,3 @@ def duck():
     from verificacion.comparar import conexion
 
     return conexion(DATOS)
-
-
-@pytest.fixture()
-def limite_cero(monkeypatch):
-    """Send every ordering through the bucket path that large data takes."""
-    import balanza.operators.estrella as estrella
-    import balanza.operators.frecuencias as frecuencias
-
-    monkeypatch.setattr(frecuencias, "LIMITE_VENTANA", 0)
-    monkeypatch.setattr(estrella, "LIMITE_VENTANA", 0)

@@ -155,3 +155,23 @@ def test_dimensiones_publicadas(spark):
         "Turismo",
     )
     assert str(v["tasa_atencion"]) == "0.6667"
+
+
+def test_hechos_conservan_filas_con_codigos_repetidos_y_tasas_altas(spark):
+    import datetime as dt
+
+    from balanza.operators import estrella
+
+    fecha = dt.datetime(2020, 1, 31)
+    base = dict(periodo="ENERO - DICIEMBRE", anio=2020, fecha_descarga=fecha, fecha_corte=fecha, distrito_fiscal="LIMA", tipo_fiscalia="SUPERIOR",
+                materia="PENAL", especialidad="PENAL", tipo_caso="DENUNCIA", especializada="TURISMO", ubigeo_pjfs=150101, dpto_pjfs="LIMA", prov_pjfs="LIMA")
+    filas = [{**base, "dist_pjfs": d, "ingresado": i, "atendido": a} for d, i, a in (("LIMA", 10, 5), ("CERCADO", 10, 5), ("LIMA", 1, 12))]
+    esquema = ("periodo string, anio int, fecha_descarga timestamp_ntz, fecha_corte timestamp_ntz, distrito_fiscal string, tipo_fiscalia string, materia string, "
+               "especialidad string, tipo_caso string, especializada string, ubigeo_pjfs int, dpto_pjfs string, prov_pjfs string, dist_pjfs string, ingresado int, atendido int")
+    df = spark.createDataFrame([tuple(f[c.split()[0]] for c in esquema.split(", ")) for f in filas], esquema)
+    dims = estrella.construir_dimensiones(df)
+    hechos = estrella.construir_hechos(df, dims).collect()
+    assert sorted((r["casos_ingresados"], r["casos_atendidos"], r["tasa_atencion"] is None) for r in hechos) == [(1, 12, True), (10, 5, False), (10, 5, False)]
+    assert {r["id_distrito_fiscal"] for r in hechos} == {1}
+    # LIMA has more rows than CERCADO.
+    assert dims["dim_ubicaciones"].filter("distrito = 'LIMA'").first()["id_ubicacion"] == dims["dim_distritos_fiscales"].first()["id_ubicacion"]

@@ -18,31 +18,6 @@ def test_consulta_igual_a_sql(spark, duck, nombre):
     assert bien, texto
 
 
-# Queries whose ordering takes another path on large data.
-ORDENADAS = [
-    "performance_distrito",
-    "top_performers",
-    "percentil_eficiencia",
-    "perfil_eda_numerico",
-    "perfil_eda_categorico",
-    "perfil_numerico",
-    "correlacion_spearman",
-    "concentracion_departamental",
-    "metricas_eficiencia",
-    "outliers_mad",
-    "outliers_limpieza",
-    "boxplot_anual",
-    "dq_violaciones",
-    "vista_completa",
-]
-
-
-@pytest.mark.parametrize("nombre", ORDENADAS)
-def test_orden_por_cubos(spark, duck, limite_cero, nombre):
-    bien, texto = comparar(CONSULTAS[nombre](spark, DATOS), duck, ORACULOS[nombre])
-    assert bien, texto
-
-
 def test_catalogo_y_oraculos_coinciden():
     sin_sql = set(CONSULTAS) - set(ORACULOS)
     assert set(ORACULOS) <= set(CONSULTAS)
