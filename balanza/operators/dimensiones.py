@@ -177,6 +177,16 @@ def dim_tiempo(df: DataFrame) -> DataFrame:
     )
 
 
+def rango_anios(df: DataFrame) -> DataFrame:
+    """The years covered as text, ``min-max``; null without a year."""
+    return df.agg(
+        F.when(
+            F.min("anio").isNotNull(),
+            F.concat_ws("-", F.min("anio").cast("string"), F.max("anio").cast("string")),
+        ).alias("rango")
+    )
+
+
 def conteo_por_clase(dim: DataFrame, clase: str) -> DataFrame:
     """How many dimension values fall in each class (category, area, region, subject)."""
     return dim.groupBy(clase).agg(F.count(F.lit(1)).alias("valores"))

@@ -154,6 +154,27 @@ def construir_hechos(
     )
 
 
+def control_hechos(df: DataFrame, dims: dict[str, DataFrame], hechos: DataFrame) -> DataFrame:
+    """Rows and both sums by year, in the flat table and in the fact: nothing is lost or doubled."""
+    planas = df.groupBy("anio").agg(
+        F.count(F.lit(1)).alias("filas"),
+        F.sum("ingresado").alias("ingresado"),
+        F.sum("atendido").alias("atendido"),
+    )
+    en_hechos = (
+        hechos.groupBy("id_tiempo")
+        .agg(
+            F.count(F.lit(1)).alias("filas_hechos"),
+            F.sum("casos_ingresados").alias("ingresado_hechos"),
+            F.sum("casos_atendidos").alias("atendido_hechos"),
+            F.count_if(F.col("tasa_atencion").isNull()).alias("tasas_fuera_de_rango"),
+        )
+        .join(difundir(dims["dim_tiempo"], ["id_tiempo", "anio"]), "id_tiempo")
+        .drop("id_tiempo")
+    )
+    return planas.join(en_hechos, "anio", "left")
+
+
 def vista_casos_completo(dims: dict[str, DataFrame], hechos: DataFrame) -> DataFrame:
     """The wide view: fact joined with all dimensions, the specialised office optional."""
     d = {k: difundir(v).alias(k) for k, v in dims.items()}

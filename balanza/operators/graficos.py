@@ -268,11 +268,13 @@ def resumen_geografico(df: DataFrame) -> DataFrame:
 def pivot_anio_materia(df: DataFrame, materias: Sequence[str] | None = None) -> DataFrame:
     """Filed cases by year (rows) and subject (columns), zeros filled in.
 
-    Without ``materias`` Spark looks the subjects up first; it refuses more of them
-    than ``spark.sql.pivotMaxValues``.
+    The rows are summed by year and subject in one pass and the sums are cut.  Without
+    ``materias`` Spark looks the subjects up among these; it refuses more of them than
+    ``spark.sql.pivotMaxValues``.
     """
-    g = df.groupBy("anio").pivot("materia", list(materias) if materias else None)
-    return g.agg(suma("ingresado")).na.fill(0)
+    sumas = cortar(df.groupBy("anio", "materia").agg(suma("ingresado").alias("_s")))
+    g = sumas.groupBy("anio").pivot("materia", list(materias) if materias else None)
+    return g.agg(F.sum("_s")).na.fill(0)
 
 
 def variacion_anual(df: DataFrame) -> DataFrame:

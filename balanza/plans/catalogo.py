@@ -24,7 +24,7 @@ from balanza.operators import (
     patrones,
 )
 from balanza.operators.vista import vista_desde_casos
-from balanza.sources.demo import casos, casos_sucios
+from balanza.sources.demo import TODAS, casos, casos_sucios
 
 Consulta = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,20 @@ def _estrella(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFr
     return dims, estrella.construir_hechos(df, dims)
 
 
+def _control_hechos(spark: SparkSession, d: str) -> DataFrame:
+    """Control on a variant with a second spelling for each location and with rates of 12."""
+    df = casos(spark, d, (*TODAS, "clave_orden"))
+    k, ing = F.col("clave_orden"), F.col("ingresado")
+    df = df.withColumns(
+        {
+            "prov_pjfs": F.when(k % 3 == 0, F.concat("prov_pjfs", F.lit(" B"))).otherwise(F.col("prov_pjfs")),
+            "atendido": F.when(k % 97 == 0, ing * 12).otherwise(F.col("atendido")),
+        }
+    )
+    dims = estrella.construir_dimensiones(df, region=F.col("region_geografica"))
+    return estrella.control_hechos(df, dims, estrella.construir_hechos(df, dims))
+
+
 def _vista_completa(spark: SparkSession, d: str) -> DataFrame:
     v = estrella.vista_casos_completo(*_estrella(spark, d))
     return v.drop("id_caso").withColumn("tasa_atencion", F.col("tasa_atencion").cast("double"))
@@ -108,6 +122,18 @@ def _consultas_dimension() -> dict[str, Consulta]:
     salida["especialidades_por_materia"] = lambda s, d: dim.conteo_por_clase(
         dim.dim_especialidades(casos(s, d, ("especialidad", "materia"))), "materia_asociada"
     )
+    salida["rango_anios"] = lambda s, d: dim.rango_anios(casos(s, d, ("anio",)))
+    salida["tipos_caso_frecuentes"] = lambda s, d: dim.mas_frecuentes(
+        dim.dim_tipos_caso(casos(s, d, ("tipo_caso",))), "tipo_caso"
+    )
+    salida["fiscalias_por_area"] = lambda s, d: dim.conteo_por_clase(
+        dim.dim_fiscalias_especializadas(casos(s, d, ("especializada",))), "area_especializacion"
+    )
+    salida["ubicaciones_por_region"] = lambda s, d: dim.conteo_por_clase(
+        dim.dim_ubicaciones(casos(s, d, ("ubigeo_pjfs", "dpto_pjfs", "prov_pjfs", "dist_pjfs"))),
+        "region_geografica",
+    )
+    salida["control_hechos"] = _control_hechos
     salida["vista_completa"] = _vista_completa
     salida["dq_violaciones"] = lambda s, d: calidad.violaciones(*_estrella(s, d))
     return salida

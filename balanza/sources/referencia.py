@@ -13,42 +13,42 @@ from balanza.sesion import construir, cortar, difundir
 # ---------------------------------------------------------------------------
 # The rows of each dimension.
 # (district, location code, department, province, place)
-DISTRITOS = """
-AMAZONAS|10101|AMAZONAS|CHACHAPOYAS|CHACHAPOYAS
-ANCASH|20101|ANCASH|HUARAZ|HUARAZ
-APURIMAC|30101|APURIMAC|ABANCAY|ABANCAY
-AREQUIPA|40101|AREQUIPA|AREQUIPA|AREQUIPA
-AYACUCHO|50110|AYACUCHO|HUAMANGA|SAN JUAN BAUTISTA
-CAJAMARCA|60101|CAJAMARCA|CAJAMARCA|CAJAMARCA
-CALLAO|70101|CALLAO|CALLAO|CALLAO
-CAÑETE|150501|LIMA|CAÑETE|SAN VICENTE DE CAÑETE
-CUSCO|80108|CUSCO|CUSCO|WANCHAQ
-HUANCAVELICA|90101|HUANCAVELICA|HUANCAVELICA|HUANCAVELICA
-HUANUCO|100101|HUANUCO|HUANUCO|HUANUCO
-HUAURA|150801|LIMA|HUAURA|HUACHO
-ICA|110101|ICA|ICA|ICA
-JUNIN|120114|JUNIN|HUANCAYO|EL TAMBO
-LA LIBERTAD|130101|LA LIBERTAD|TRUJILLO|TRUJILLO
-LAMBAYEQUE|140101|LAMBAYEQUE|CHICLAYO|CHICLAYO
-LIMA CENTRO|150101|LIMA|LIMA|LIMA
-LIMA ESTE|150137|LIMA|LIMA|SANTA ANITA
-LIMA NOROESTE|70106|CALLAO|CALLAO|VENTANILLA
-LIMA NORTE|150112|LIMA|LIMA|INDEPENDENCIA
-LIMA SUR|150142|LIMA|LIMA|VILLA EL SALVADOR
-LORETO|160101|LORETO|MAYNAS|IQUITOS
-MADRE DE DIOS|170101|MADRE DE DIOS|TAMBOPATA|TAMBOPATA
-MOQUEGUA|180101|MOQUEGUA|MARISCAL NIETO|MOQUEGUA
-PASCO|190113|PASCO|PASCO|YANACANCHA
-PIURA|200101|PIURA|PIURA|PIURA
-PUNO|210101|PUNO|PUNO|PUNO
-SAN MARTIN|220101|SAN MARTIN|MOYOBAMBA|MOYOBAMBA
-SANTA|21801|ANCASH|SANTA|CHIMBOTE
-SELVA CENTRAL|120301|JUNIN|CHANCHAMAYO|CHANCHAMAYO
-SULLANA|200601|PIURA|SULLANA|SULLANA
-TACNA|230101|TACNA|TACNA|TACNA
-TUMBES|240101|TUMBES|TUMBES|TUMBES
-UCAYALI|250101|UCAYALI|CORONEL PORTILLO|CALLERIA
-"""
+DISTRITOS = (
+    ("AMAZONAS", 10101, "AMAZONAS", "CHACHAPOYAS", "CHACHAPOYAS"),
+    ("ANCASH", 20101, "ANCASH", "HUARAZ", "HUARAZ"),
+    ("APURIMAC", 30101, "APURIMAC", "ABANCAY", "ABANCAY"),
+    ("AREQUIPA", 40101, "AREQUIPA", "AREQUIPA", "AREQUIPA"),
+    ("AYACUCHO", 50110, "AYACUCHO", "HUAMANGA", "SAN JUAN BAUTISTA"),
+    ("CAJAMARCA", 60101, "CAJAMARCA", "CAJAMARCA", "CAJAMARCA"),
+    ("CALLAO", 70101, "CALLAO", "CALLAO", "CALLAO"),
+    ("CAÑETE", 150501, "LIMA", "CAÑETE", "SAN VICENTE DE CAÑETE"),
+    ("CUSCO", 80108, "CUSCO", "CUSCO", "WANCHAQ"),
+    ("HUANCAVELICA", 90101, "HUANCAVELICA", "HUANCAVELICA", "HUANCAVELICA"),
+    ("HUANUCO", 100101, "HUANUCO", "HUANUCO", "HUANUCO"),
+    ("HUAURA", 150801, "LIMA", "HUAURA", "HUACHO"),
+    ("ICA", 110101, "ICA", "ICA", "ICA"),
+    ("JUNIN", 120114, "JUNIN", "HUANCAYO", "EL TAMBO"),
+    ("LA LIBERTAD", 130101, "LA LIBERTAD", "TRUJILLO", "TRUJILLO"),
+    ("LAMBAYEQUE", 140101, "LAMBAYEQUE", "CHICLAYO", "CHICLAYO"),
+    ("LIMA CENTRO", 150101, "LIMA", "LIMA", "LIMA"),
+    ("LIMA ESTE", 150137, "LIMA", "LIMA", "SANTA ANITA"),
+    ("LIMA NOROESTE", 70106, "CALLAO", "CALLAO", "VENTANILLA"),
+    ("LIMA NORTE", 150112, "LIMA", "LIMA", "INDEPENDENCIA"),
+    ("LIMA SUR", 150142, "LIMA", "LIMA", "VILLA EL SALVADOR"),
+    ("LORETO", 160101, "LORETO", "MAYNAS", "IQUITOS"),
+    ("MADRE DE DIOS", 170101, "MADRE DE DIOS", "TAMBOPATA", "TAMBOPATA"),
+    ("MOQUEGUA", 180101, "MOQUEGUA", "MARISCAL NIETO", "MOQUEGUA"),
+    ("PASCO", 190113, "PASCO", "PASCO", "YANACANCHA"),
+    ("PIURA", 200101, "PIURA", "PIURA", "PIURA"),
+    ("PUNO", 210101, "PUNO", "PUNO", "PUNO"),
+    ("SAN MARTIN", 220101, "SAN MARTIN", "MOYOBAMBA", "MOYOBAMBA"),
+    ("SANTA", 21801, "ANCASH", "SANTA", "CHIMBOTE"),
+    ("SELVA CENTRAL", 120301, "JUNIN", "CHANCHAMAYO", "CHANCHAMAYO"),
+    ("SULLANA", 200601, "PIURA", "SULLANA", "SULLANA"),
+    ("TACNA", 230101, "TACNA", "TACNA", "TACNA"),
+    ("TUMBES", 240101, "TUMBES", "TUMBES", "TUMBES"),
+    ("UCAYALI", 250101, "UCAYALI", "CORONEL PORTILLO", "CALLERIA"),
+)
 TIPOS_FISCALIA = ("PROVINCIAL", "SUPERIOR", "SUPREMA")
 MATERIAS = ("CIVIL", "CONTENCIOSO ADMINISTRATIVO", "CONTROL INTERNO", "FAMILIA", "PENAL")
 ESPECIALIDADES = {
@@ -109,9 +109,8 @@ def dimensiones_publicadas(spark: SparkSession) -> dict[str, DataFrame]:
     def lista(valores, esquema: str) -> DataFrame:
         return spark.createDataFrame([(v,) for v in valores], esquema)
 
-    filas = [tuple(r.split("|")) for r in DISTRITOS.strip().splitlines()]
     lugares = spark.createDataFrame(
-        [(d, int(u), *resto) for d, u, *resto in filas],
+        list(DISTRITOS),
         "distrito_fiscal string, ubigeo_pjfs int, departamento string, provincia string, "
         "distrito string",
     )

@@ -2,8 +2,31 @@
 
 from __future__ import annotations
 
-from balanza.functions.clases import AREAS
-from balanza.functions.clases import CATEGORIAS_CASO as CATEGORIAS
+# Word rules of the classes, stated here for themselves so that a wrong word in the library shows.
+CATEGORIAS = (
+    ("INGRESO", (("DENUNCIA",),)),
+    ("RECURSO", (("APELACION",), ("QUEJA",))),
+    ("PROCESO_FORMAL", (("PROCESO",),)),
+)
+AREAS = (
+    ("Anticorrupción", (("CORRUPCION",),)),
+    ("Medio Ambiente", (("AMBIENTAL",), ("AMBIENTE",))),
+    ("Crimen Organizado", (("CRIMINALIDAD",),)),
+    ("Trafico ilicito de drogas", (("DROGAS",), ("TRAFICO",))),
+    ("Violencia de Género", (("VIOLENCIA", "MUJER"),)),
+    ("Lavado de Activos", (("LAVADO", "ACTIVOS"),)),
+    ("Propiedad Intelectual", (("ADUANEROS",), ("PROPIEDAD INTELECTUAL",))),
+    ("Trata de Personas", (("TRATA", "PERSONAS"),)),
+    ("Tránsito y Seguridad Vial", (("TRANSITO",), ("VIAL",))),
+    ("Tributario", (("TRIBUTARIOS",),)),
+    ("Turismo", (("TURISMO",),)),
+)
+REGIONES = (
+    ("NORTE", ("TUMBES", "PIURA", "LAMBAYEQUE", "LA LIBERTAD", "CAJAMARCA", "AMAZONAS")),
+    ("CENTRO", ("ANCASH", "LIMA", "CALLAO", "ICA", "HUANCAVELICA", "JUNIN", "PASCO")),
+    ("SUR", ("AREQUIPA", "MOQUEGUA", "TACNA", "CUSCO", "APURIMAC", "AYACUCHO", "PUNO")),
+    ("SELVA", ("LORETO", "UCAYALI", "MADRE DE DIOS", "SAN MARTIN", "HUANUCO")),
+)
 
 CASOS = """
 casos AS (

