@@ -181,15 +181,22 @@ def mixed_texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     schema = docs.schema
     # Rows that share an id are told apart by their size and a number; the shuffle is by the id alone.
-    spans = taken.select(F.col("doc_id").alias("of"), "taken", "passes", "spans", numbered("doc_id", F.col("size")).alias("m"))
-    rows = docs.select("*", numbered("doc_id", n_words(F.col("text"))).alias("n"))
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("n") - F.col("m") == 0)).filter("taken > 0")
+    spans = taken.select(
+        F.col("doc_id").alias("_mix_of"),
+        numbered("doc_id", F.col("size")).alias("_mix_m"),
+        F.col("taken").alias("_mix_taken"),
+        F.col("passes").alias("_mix_passes"),
+        F.col("spans").alias("_mix_spans"),
+    )
+    rows = docs.select("*", numbered("doc_id", n_words(F.col("text"))).alias("_mix_n"))
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_of")) & (F.col("_mix_n") - F.col("_mix_m") == 0)
+    rows = rows.join(spans, same).filter("_mix_taken > 0")
     words = re.compile(WORD)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, texts = [], []
-            columns = (batch.column(c).to_pylist() for c in ("text", "passes", "spans"))
+            columns = (batch.column(c).to_pylist() for c in ("text", "_mix_passes", "_mix_spans"))
             for i, (text, passes, more) in enumerate(zip(*columns)):
                 index += [i] * (passes + len(more))
                 texts += [text] * passes
