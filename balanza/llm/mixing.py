@@ -146,7 +146,9 @@ def mix(docs: DataFrame, blocks: Blocks = Blocks(), weights: tuple[int, ...] = W
         ),
         "quotas",
     )
+    # By rows, so that repeated rows stand one after the other.
     seeded = Window.partitionBy("g", "p").orderBy(F.xxhash64(F.lit(blocks.seed + 1), "doc_id"), "doc_id", "size")
+    seeded = seeded.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.filter("size > 0").withColumn("b", F.sum("size").over(seeded)).withColumn("a", F.col("b") - F.col("size"))
     placed = placed.join(quotas, ["g", "p"])
 
