@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from balanza.llm.common import Scratch, pieces_of, ship
@@ -322,10 +322,14 @@ def candidate_clusters(nodes: DataFrame, s: Sketching, scratch: Scratch) -> Data
         pairs = pairs.join(side.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("registers").alias(f"{c}_registers")), c)
     guesses = scratch.keep(estimates(pairs, s), "estimates")
     stars = guesses.filter(F.col("guess") >= s.least).select("a", "b")
-    clusters = scratch.keep(components(stars, scratch, "stars"), "stars")
-    # Members not surely close to the smallest are compared among themselves, where they are of several clusters.
+    # Each document's smallest near one, and that one's, tells most of what is connected already.
+    near = stars.groupBy("a").agg(F.min("b").alias("near"))
+    further = near.select(F.col("a").alias("of"), F.col("near").alias("further"))
+    near = near.join(further, F.col("near") == F.col("of"), "left").select(F.col("a").alias("id"), F.coalesce("further", "near").alias("near"))
+    near = scratch.keep(near, "near")
+    # Members not surely close to the smallest are compared among themselves, where they are of several parts.
     far = guesses.filter(F.col("guess") < s.wanted).select(F.col("a").alias("id"), F.col("b").alias("least"))
-    rest = rows.join(far, ["id", "least"]).join(clusters, "id", "left").select("band", "value", "id", F.coalesce("root", "id").alias("part"))
+    rest = rows.join(far, ["id", "least"]).join(near, "id", "left").select("band", "value", "id", F.coalesce("near", "id").alias("part"))
     open_ = rest.groupBy("band", "value").agg(F.min("part").alias("r0"), F.max("part").alias("r1")).filter("r0 <> r1").select("band", "value")
     rest = scratch.keep(rest.join(open_, ["band", "value"]), "bucket-rest")
     scratch.drop("bucket-members")
@@ -338,8 +342,6 @@ def candidate_clusters(nodes: DataFrame, s: Sketching, scratch: Scratch) -> Data
 
     tasks = block_tasks(rest.join(side, "id"), ["band", "value"], ["n", "registers"], s)
     more = scratch.keep(tasks.mapInArrow(compare, "a long, b long"), "bucket-edges")
-    if more.isEmpty():
-        return clusters
     return scratch.keep(components(stars.unionByName(more), scratch, "clusters"), "clusters")
 
 
@@ -352,23 +354,36 @@ def confirmed_links(members: DataFrame, s: Sketching, scratch: Scratch) -> DataF
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[np.ndarray]] = {}
         for b in pieces_of(batches, "text", 500_000):
-            out = []
-            ids = b.column("id").to_pylist()
-            for at, x, pivots in zip(ids, shingle_sets(b.column("text"), s.words), b.column("pivots").to_pylist()):
+            masks = []
+            for x, pivots in zip(shingle_sets(b.column("text"), s.words), b.column("pivots").to_pylist()):
                 key = tuple(p["id"] for p in pivots)
                 if key not in held:
                     held = {key: shingle_sets(pa.array([p["text"] for p in pivots], pa.string()), s.words)}
-                out += [(at, p["id"]) for p, o in zip(pivots, held[key]) if p["id"] != at and alike(x, o, s.percent)]
-            yield edge_batch(out)
+                masks.append(sum(1 << i for i, o in enumerate(held[key]) if alike(x, o, s.percent)))
+            yield pa.record_batch([b.column("id"), b.column("cluster"), pa.array(masks, pa.int32())], ["id", "cluster", "mask"])
 
     # A few documents of each large cluster, by seeded order, meet all others of it.
     picked = large.groupBy("cluster").agg(
         *(F.min(F.struct(F.xxhash64(F.lit(s.seed + k), "id").alias("h"), "id", "text")).alias(f"p{k}") for k in range(s.pivots))
     )
     chosen = (F.struct(F.col(f"p{k}.id").alias("id"), F.col(f"p{k}.text").alias("text")) for k in range(s.pivots))
-    met = large.join(picked.select("cluster", F.array_distinct(F.array(*chosen)).alias("pivots")), "cluster")
-    first = scratch.keep(met.select("id", "text", "pivots").mapInArrow(meet, "a long, b long"), "first-links")
-    parts = scratch.keep(components(first, scratch, "parts"), "parts").select(F.col("id").alias("of"), F.col("root").alias("part"))
+    picked = scratch.keep(picked.select("cluster", F.array(*chosen).alias("pivots")), "pivots")
+    met = large.join(picked, "cluster").select("id", "cluster", "text", "pivots")
+    met = scratch.keep(met.mapInArrow(meet, "id long, cluster long, mask int"), "met")
+    # Pivots that some document links with both are connected; the number of masks is bounded by that of the pivots.
+    masks = met.filter("mask > 0").groupBy("cluster").agg(F.collect_set("mask").alias("masks"))
+
+    def grown(mask: Column) -> Column:
+        return F.aggregate("masks", mask, lambda m, x: F.when(m.bitwiseAND(x) != 0, m.bitwiseOR(x)).otherwise(m))
+
+    linked = met.filter("mask > 0").join(masks, "cluster")
+    for _ in range(s.pivots):
+        linked = linked.withColumn("mask", grown(F.col("mask")))
+    # The first pivot of a connected set names the part, which its own document belongs to.
+    first_pivot = F.log2(F.col("mask").bitwiseAND(-F.col("mask"))).cast("int")
+    linked = linked.join(picked.select("cluster", F.transform("pivots", lambda p: p["id"]).alias("p")), "cluster")
+    parts = scratch.keep(linked.select(F.col("id").alias("of"), F.get("p", first_pivot).alias("part")), "parts")
+    first = parts.filter("of <> part").select(F.col("of").alias("a"), F.col("part").alias("b"))
     rows = members.join(parts, F.col("id") == F.col("of"), "left").withColumn("part", F.coalesce("part", "id")).drop("of", "size")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
