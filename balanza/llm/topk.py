@@ -23,6 +23,7 @@ from balanza.llm.common import Scratch, ship
 BLOCK, SHARD, QUERIES = 128, 4096, 256
 #: Integers below this are exact in a double.
 EXACT = 1 << 53
+LONG = (1 << 63) - 1
 
 
 def packed(ids: np.ndarray, rows: np.ndarray) -> dict:
@@ -64,11 +65,13 @@ FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", p
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in integers; by floating point only where every sum is exact."""
-    largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """a @ b.T in integers: by floating point where every sum is exact, by unbounded integers, cut off to a long, where one could overflow."""
+    largest = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
     if largest < EXACT:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if largest < 2.0**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -LONG - 1, LONG).astype(np.int64)
 
 
 def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -76,10 +79,11 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     starts = np.arange(0, len(ids), block)
     high, low = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
     above, below = np.maximum(queries, 0), np.minimum(queries, 0)
-    bounds = products(above, high) + products(below, low)
+    # Both products as one, so that their sum is cut off as a score is.
+    bounds = products(np.concatenate([above, below], axis=1), np.concatenate([high, low], axis=1))
     for q in range(len(query_ids)):
         best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-        for at in np.argsort(-bounds[q], kind="stable"):
+        for at in np.argsort(~bounds[q], kind="stable"):
             # A block whose bound equals the k-th score may still hold a smaller id.
             if len(best) >= k and bounds[q, at] < best[-1]:
                 break
@@ -89,7 +93,7 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
             if len(best) >= k:
                 use &= scores >= best[-1]
             best_ids, best = np.concatenate([best_ids, ids[s][use]]), np.concatenate([best, scores[use]])
-            order = np.lexsort((best_ids, -best))[:k]
+            order = np.lexsort((best_ids, ~best))[:k]
             best_ids, best = best_ids[order], best[order]
         yield query_ids[q], best_ids, best
 
@@ -115,7 +119,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     Only vectors of the query's width are its candidates.  Null ids, null vectors and
     vectors with a null or non-finite component take no part; an empty vector scores 0
     with other empty ones.  Of rows repeated with one id, the first in the order of
-    their components is the vector of that id.  Fewer candidates than k give fewer rows; an
+    their components is the vector of that id.  A score beyond a long counts as the nearest long.  Fewer candidates than k give fewer rows; an
     empty table gives none.  Other columns are ignored.
     """
     ship(vectors.sparkSession)

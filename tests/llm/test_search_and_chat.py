@@ -34,7 +34,7 @@ def brute(rows, k=5):
     out = []
     for q, v in ok.items():
         if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok.items() if i != q and len(w) == len(v))
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in ok.items() if i != q and len(w) == len(v))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -43,7 +43,7 @@ def test_ties_nulls_and_widths(spark):
     rng = random.Random(8)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)]
     rows += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 400)]
-    rows += [(450, [1.0, 2.0]), (451, [1.0, 1.0]), (500, []), (501, []), (550, None), (600, [1.0, None, 0.0, 0.0]), (650, [float("nan")] * 4), (700, [float("inf"), 0, 0, 0]), (None, [1.0] * 4), (-50, [1e15, -1e15, 0.0, 1.0])]
+    rows += [(450, [1.0, 2.0]), (451, [1.0, 1.0]), (500, []), (501, []), (550, None), (600, [1.0, None, 0.0, 0.0]), (650, [float("nan")] * 4), (700, [float("inf"), 0, 0, 0]), (None, [1.0] * 4), (-50, [1e15, -1e15, 0.0, 1.0]), (-51, [1e15, 0.0, 0.0, 0.0])]
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     df = spark.createDataFrame([(i, v, 0, 0, 0) for i, v in rows], "vec_id long, embedding array<float>, label int, score long, id long")
     assert sorted(map(tuple, top_k(df).collect())) == brute(rows)
