@@ -2,8 +2,10 @@
 
 Each function takes the wide view (or just the columns it needs) and returns one
 aggregate.  Rounded ratios use exact integer arithmetic on the aggregated rows.
-The number of places may grow with the data, so ranks over places use a window only
-while the aggregate is known to be small: see ``rangos_densos``.
+The number of places may grow with the data, so ranks over places come from range
+partitions: see ``rangos_densos``.  With ``vivo`` a function returns a pure plan, which
+a view needs to follow its tables; ranks and group totals are then plain windows over
+the aggregate, with the same results.
 """
 
 from __future__ import annotations
@@ -47,8 +49,11 @@ def _dividir(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
 
-def _con_total(base: DataFrame, claves: list[str]) -> DataFrame:
-    """Attach the filed cases of the whole group, without gathering a group in one task."""
+def _con_total(base: DataFrame, claves: list[str], vivo: bool) -> DataFrame:
+    """Attach the filed cases of the whole group; only a view gathers a group's aggregates in one task."""
+    if vivo:
+        total = F.sum("casos_ingresados").over(Window.partitionBy(*claves))
+        return base.withColumn("_total", total)
     base = cortar(base)
     totales = base.groupBy(*claves).agg(F.sum("casos_ingresados").alias("_total"))
     return unir_por_grupo(base, totales, claves, ["_total"])
@@ -79,7 +84,7 @@ def resumen_ejecutivo(vista: DataFrame) -> DataFrame:
     )
 
 
-def performance_distrito(vista: DataFrame) -> DataFrame:
+def performance_distrito(vista: DataFrame, vivo: bool = False) -> DataFrame:
     """District by year, with two dense ranks inside the year."""
     base = vista.groupBy("distrito_fiscal", "departamento", "region_geografica", "anio").agg(
         _suma(_ING).alias("total_ingresados"),
@@ -94,6 +99,7 @@ def performance_distrito(vista: DataFrame) -> DataFrame:
         base,
         {"ranking_volumen": ("total_ingresados", True), "ranking_eficiencia": ("_razon", True)},
         ["anio"],
+        vivo,
     )
     return r.select(
         "distrito_fiscal",
@@ -112,7 +118,7 @@ def performance_distrito(vista: DataFrame) -> DataFrame:
     ).orderBy(F.desc("anio"), F.desc("tasa_atencion_distrito"), "distrito_fiscal")
 
 
-def analisis_materia(vista: DataFrame) -> DataFrame:
+def analisis_materia(vista: DataFrame, vivo: bool = False) -> DataFrame:
     """Subject and speciality by year, with the share of the year."""
     base = vista.groupBy("materia", "especialidad", "anio").agg(
         _suma(_ING).alias("casos_ingresados"),
@@ -126,7 +132,7 @@ def analisis_materia(vista: DataFrame) -> DataFrame:
         F.countDistinct("distrito_fiscal").alias("distritos_con_materia"),
     )
     return (
-        _con_total(base, ["anio"])
+        _con_total(base, ["anio"], vivo)
         .withColumns(
             {
                 "tasa_atencion": razon(F.col("casos_atendidos"), F.col("casos_ingresados")),
@@ -137,7 +143,9 @@ def analisis_materia(vista: DataFrame) -> DataFrame:
     ).orderBy(F.desc("anio"), F.desc("casos_ingresados"), "especialidad")
 
 
-def top_performers(vista: DataFrame, minimo: int = VOLUMEN_MINIMO) -> DataFrame:
+def top_performers(
+    vista: DataFrame, minimo: int = VOLUMEN_MINIMO, vivo: bool = False
+) -> DataFrame:
     """Districts over all years with enough volume, ranked three ways."""
     base = (
         vista.groupBy("distrito_fiscal", "departamento", "region_geografica")
@@ -161,6 +169,7 @@ def top_performers(vista: DataFrame, minimo: int = VOLUMEN_MINIMO) -> DataFrame:
             "ranking_volumen": ("total_ingresados", True),
             "ranking_consistencia": ("consistencia_tasa", False),
         },
+        vivo=vivo,
     )
     return r.withColumns(
         {
@@ -194,7 +203,7 @@ def evolucion_temporal(vista: DataFrame) -> DataFrame:
     )
 
 
-def fiscalias_especializadas(vista: DataFrame) -> DataFrame:
+def fiscalias_especializadas(vista: DataFrame, vivo: bool = False) -> DataFrame:
     """Specialised offices and areas by year and subject, with the share of the subject."""
     base = vista.groupBy(
         F.coalesce("fiscalia_especializada", F.lit(NO_ESPECIALIZADA)).alias(
@@ -210,7 +219,7 @@ def fiscalias_especializadas(vista: DataFrame) -> DataFrame:
         F.countDistinct("distrito_fiscal").alias("distritos"),
     )
     return (
-        _con_total(base, ["anio", "materia"])
+        _con_total(base, ["anio", "materia"], vivo)
         .withColumns(
             {
                 "porcentaje_casos_materia": porcentaje(F.col("casos_ingresados"), F.col("_total")),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from balanza.operators import bi, calidad, dimensiones, estrella
-from balanza.sesion import cortar
 from balanza.sinks import salidas
 
 
@@ -57,7 +58,7 @@ def cargar_almacen(
 def abrir_almacen(spark: SparkSession, base: str) -> DataFrame:
     """Wide view over a written star schema."""
     dims, hechos = salidas.leer_estrella(spark, base, list(estrella.CLAVES))
-    return estrella.vista_casos_completo({k: cortar(v) for k, v in dims.items()}, hechos)
+    return estrella.vista_casos_completo(dims, hechos)
 
 
 def revisar_almacen(spark: SparkSession, base: str) -> DataFrame:
@@ -69,11 +70,11 @@ def revisar_almacen(spark: SparkSession, base: str) -> DataFrame:
 VISTA = "v_casos_fiscales_completo"
 VISTAS_BI = {
     "v_resumen_ejecutivo": bi.resumen_ejecutivo,
-    "v_performance_distrito": bi.performance_distrito,
-    "v_analisis_materia": bi.analisis_materia,
-    "v_top_performers": bi.top_performers,
+    "v_performance_distrito": partial(bi.performance_distrito, vivo=True),
+    "v_analisis_materia": partial(bi.analisis_materia, vivo=True),
+    "v_top_performers": partial(bi.top_performers, vivo=True),
     "v_evolucion_temporal": bi.evolucion_temporal,
-    "v_fiscalias_especializadas": bi.fiscalias_especializadas,
+    "v_fiscalias_especializadas": partial(bi.fiscalias_especializadas, vivo=True),
     "v_metricas_regionales": bi.metricas_regionales,
 }
 
@@ -105,10 +106,16 @@ RETURN
 def publicar_vistas(vista: DataFrame) -> None:
     """Register the wide view, the seven report views and the percentile table function.
 
-    The two ranked views are computed when they are published, because their ranks
-    depend on the size of the aggregate; the others stay lazy.
+    All are pure plans over the written tables.  After the tables were written again,
+    ``refrescar_vistas`` makes them look for the new files.
     """
     vista.createOrReplaceTempView(VISTA)
     for nombre, f in VISTAS_BI.items():
         f(vista).createOrReplaceTempView(nombre)
     vista.sparkSession.sql(_FUNCION)
+
+
+def refrescar_vistas(spark: SparkSession) -> None:
+    """Let the published views see tables that were written after they were published."""
+    for nombre in (VISTA, *VISTAS_BI):
+        spark.catalog.refreshTable(nombre)

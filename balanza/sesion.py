@@ -77,6 +77,11 @@ LIMITE_DIFUSION = 200_000
 
 
 def difundir(d: DataFrame, columnas: Sequence[str] | None = None) -> DataFrame:
-    """Broadcast (columns of) a cut frame only while its counted size is small."""
+    """Broadcast (columns of) a cut frame only while its counted size is small.
+
+    A frame that was not cut is left to Spark, which knows the size of its files.
+    """
     parte = d.select(*columnas) if columnas else d
+    if d not in _FILAS:
+        return parte
     return F.broadcast(parte) if filas(d) <= LIMITE_DIFUSION else parte

@@ -175,3 +175,30 @@ def test_hechos_conservan_filas_con_codigos_repetidos_y_tasas_altas(spark):
     assert {r["id_distrito_fiscal"] for r in hechos} == {1}
     # LIMA has more rows than CERCADO.
     assert dims["dim_ubicaciones"].filter("distrito = 'LIMA'").first()["id_ubicacion"] == dims["dim_distritos_fiscales"].first()["id_ubicacion"]
+
+
+def test_vistas_siguen_a_sus_tablas(spark, tmp_path):
+    df = casos(spark, DATOS)
+    ruta = str(tmp_path / "almacen")
+
+    def registros() -> dict[str, tuple]:
+        return {v: tuple(spark.table(v).agg(F.count(F.lit(1)), F.sum(c)).first()) for v, c in columnas.items()}
+
+    columnas = {
+        "v_casos_fiscales_completo": "casos_ingresados",
+        "v_resumen_ejecutivo": "total_ingresados",
+        "v_performance_distrito": "total_ingresados",
+        "v_analisis_materia": "casos_ingresados",
+        "v_top_performers": "total_ingresados",
+        "v_evolucion_temporal": "ingresados",
+        "v_fiscalias_especializadas": "casos_ingresados",
+        "v_metricas_regionales": "total_ingresados",
+    }
+    almacen.publicar_vistas(almacen.cargar_almacen(df.filter("anio <= 1995"), ruta))
+    antes = registros()
+    vista = almacen.cargar_almacen(df, ruta)
+    almacen.refrescar_vistas(spark)
+    despues = registros()
+    assert all(antes[v] != despues[v] for v in columnas)
+    almacen.publicar_vistas(vista)
+    assert registros() == despues
