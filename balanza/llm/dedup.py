@@ -22,6 +22,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # A store is closed when its task has committed: open ones would each hold memory and 4 MB of local disk.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
