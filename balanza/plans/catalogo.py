@@ -241,9 +241,15 @@ def _consultas_descriptivas() -> dict[str, Consulta]:
         "correlacion_pearson": lambda s, d: _seis(de.correlacion_pearson(_pares(s, d)), "r"),
         "correlacion_spearman": lambda s, d: _seis(de.correlacion_spearman(_pares(s, d)), "r"),
         "correlaciones_fuertes": fuertes,
+        "correlaciones_principales": lambda s, d: hallazgos.correlaciones_principales(
+            _seis(de.correlacion_pearson(_pares(s, d)), "r")
+        ),
         "mapa_correlacion": lambda s, d: _seis(
             de.triangulo_inferior(de.correlacion_pearson(_pares(s, d))), "r"
         ),
+        "mapa_correlacion_spearman": lambda s, d: _seis(
+            de.triangulo_inferior(de.correlacion_spearman(_pares(s, d))), "r"
+        ),
     }
 
 

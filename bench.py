@@ -43,6 +43,9 @@ TITULARES = (
     "histograma",
     "kde",
     "outliers_multivariados",
+    "vista_completa",
+    "hallazgos",
+    "clusters_perfil",
 )
 
 

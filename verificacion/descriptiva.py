@@ -192,6 +192,16 @@ SELECT variable, round(b, 4) AS pendiente, round(r2, 6) AS r_cuadrado, round(p,
         _spearman() + ", pe AS (" + _pearson() + ")" + _FUERTES.format(metodo="pearson", m="pe")
         + " UNION ALL " + _FUERTES.format(metodo="spearman", m="sp").split("t(v, k))", 1)[1],
     ),
+    "correlaciones_principales": con(
+        DERIVADA,
+        ", pe AS (" + _pearson() + ")" + _FUERTES.format(metodo="pearson", m="pe").replace("'pearson' AS metodo, ", "")
+        + " ORDER BY abs(correlacion) DESC, variable1, variable2 LIMIT 3",
+    ),
+    "mapa_correlacion_spearman": con(
+        DERIVADA,
+        _spearman() + """, o AS (SELECT * FROM (VALUES ('ingresado', 1), ('atendido', 2), ('tasa_atencion', 3), ('casos_pendientes', 4)) t(v, k))
+SELECT var1, var2, r FROM sp JOIN o a ON a.v = var1 JOIN o b ON b.v = var2 WHERE a.k > b.k""",
+    ),
     "mapa_correlacion": con(
         DERIVADA,
         f""", pe AS ({_pearson()}), o AS (SELECT * FROM (VALUES ('ingresado', 1), ('atendido', 2), ('tasa_atencion', 3), ('casos_pendientes', 4)) t(v, k))
