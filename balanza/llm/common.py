@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -77,6 +78,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def tidy(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished jobs: it does so when the driver's JVM collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
