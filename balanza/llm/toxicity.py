@@ -2,15 +2,17 @@
 
 Suspicious spans (letters mixed with look-alike signs, letters spaced out, letters
 drawn out) become character lattices: each sign may stand for one of several
-letters or be junk, a drawn-out letter may stand for one or two.  A Viterbi search
-under a character language model, counted over the whole corpus, restores the
-likeliest word.  A logistic model over words and word beginnings of the restored
-text gives the score.
+letters or be junk, a drawn-out letter may stand for one or two, a separator may be
+a border between words.  A Viterbi search under a character language model, counted
+over the whole corpus, restores the likeliest word of a span and the likeliest words
+where it is split at separators.  A logistic model over words and word beginnings of
+the restored text gives the score.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +34,10 @@ ACCENTED = "äöüßàâæçéèêëîïôœùûÿñáíóúãõåø"
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + ACCENTED
 #: Code 0 is a border: anything but a letter.
 CODES = len(LETTERS) + 1
+BORDER = " "
+CODE = {BORDER: 0} | {c: i + 1 for i, c in enumerate(LETTERS)}
+#: Spans up to so many characters are remembered; in longer ones, settled letters leave the search every so many columns.
+SHORT = 64
 #: Costs in nats: a look-alike sign, a junk sign, a letter less in a drawn-out run.
 SIGN, JUNK, SHORTER = 1.5, 6.0, 0.7
 
@@ -45,6 +51,8 @@ SPANS = re.compile(
 )
 #: Three or more single characters with a space between each.
 SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+#: What may be a border inside a span: anything but letters and signs, and the star.
+SEPARATOR = re.compile(rf"[^{_L}{_SIGNS}]|\*")
 CHAR_MAP = np.zeros(0x250, np.uint8)
 CHAR_MAP[[ord(c) for c in LETTERS if ord(c) < 0x250]] = [i + 1 for i, c in enumerate(LETTERS) if ord(c) < 0x250]
 
@@ -83,46 +91,78 @@ class Channel:
         self.memo: dict[str, str] = {}
         self.bound = bound
 
-    def lattice(self, span: str) -> list[list[tuple[str, float]]]:
-        """One column for each run of equal characters: (letters, channel cost); no letters where the run is junk."""
+    def lattice(self, span: str, borders: bool = False) -> list[list[tuple[str, float]]]:
+        """One column for each run of equal characters: (letters, channel cost); no letters where the run is junk.
+
+        With ``borders``, a separator may also end a word.
+        """
         spaced = not re.search(rf"[{_L}]{{2}}", span)
         columns = []
         for m in re.finditer(r"(.)\1*", span, re.S):
             c, k = m[1], len(m[0])
             if c in LETTERS:
                 columns.append([(c * j, SHORTER * (k - j)) for j in range(max(1, min(k, 2) - 1), min(k, 2) + 1)])
-            elif c in LEET:
+                continue
+            if c in LEET:
                 ways = [(x * j, SIGN * k) for x in LEET[c] for j in range(1, min(k, 2) + 1)]
                 columns.append([*ways, ("", JUNK if c not in "*|" else SIGN)])
             else:
                 columns.append([("", 0.0 if spaced else SIGN)])
+            if borders and (c == "*" or c not in LEET):
+                columns[-1].append((BORDER, SIGN if c == "*" else 0.0))
         return columns
 
-    def restore(self, span: str) -> str:
-        """The likeliest word, by Viterbi over states of the last two letters."""
-        if span in self.memo:
-            return self.memo[span]
-        if len(self.memo) >= self.bound:
-            self.memo.clear()
+    def search(self, columns: list[list[tuple[str, float]]]) -> str:
+        """The likeliest letters and borders, by Viterbi over states of the last two.
+
+        All of the columns are searched in one go.  What every state's path begins with is
+        settled and set aside from time to time, so that paths stay short.
+        """
         cost = self.cost
+        settled: list[str] = []
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for column in self.lattice(span):
+        for k, column in enumerate(columns, 1):
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (paid, word) in states.items():
                 for letters, price in column:
                     x, y, total = a, b, paid + price
                     for c in letters:
-                        z = LETTERS.index(c) + 1
+                        z = CODE[c]
                         total += cost[x, y, z]
                         x, y = y, z
                     if (x, y) not in after or total < after[x, y][0]:
                         after[x, y] = total, word + letters
             states = after
-        # The word ends at a border.
-        best = min(states.items(), key=lambda s: (s[1][0] + cost[s[0][0], s[0][1], 0], s[1][1]))[1][1]
-        self.memo[span] = best
+            if k % SHORT == 0:
+                same = os.path.commonprefix([word for _, word in states.values()])
+                settled.append(same)
+                states = {s: (paid, word[len(same) :]) for s, (paid, word) in states.items()}
+        # The last word ends at a border.
+        settled.append(min(states.items(), key=lambda s: (s[1][0] + cost[s[0][0], s[0][1], 0], s[1][1]))[1][1])
+        return "".join(settled)
+
+    def remembered(self, span: str, borders: bool) -> str:
+        key = (BORDER if borders else "") + span
+        if key in self.memo:
+            return self.memo[key]
+        if len(self.memo) >= self.bound:
+            self.memo.clear()
+        best = self.search(self.lattice(span, borders))
+        if len(span) <= SHORT:
+            self.memo[key] = best
         return best
 
+    def restore(self, span: str) -> str:
+        """The likeliest word."""
+        return self.remembered(span, False)
+
+    def words(self, span: str) -> set[str]:
+        """The likeliest word, and the likeliest words where the span has separators to split it at."""
+        found = {self.restore(span)}
+        if SEPARATOR.search(span):
+            found.update(self.remembered(span, True).split(BORDER))
+        return found - {""}
+
 
 def squeezed(word: str) -> str:
     """Runs of a letter as one letter, so that a doubled letter makes no other feature."""
@@ -160,13 +200,12 @@ class Reader:
         """Words of a lower-case token, obfuscated spans restored, runs of a letter as one."""
         words = set(WORD.findall(token))
         for m in SPANS.finditer(token):
-            # A very long span is decoded in pieces, so that no lattice path grows without bound.
-            words.update(self.channel.restore(m[0][i : i + 64]) for i in range(0, len(m[0]), 64))
+            words.update(self.channel.words(m[0]))
         return set(map(squeezed, words))
 
     def spaced(self, text: str) -> set[str]:
         """Words restored from letters that are spaced out."""
-        return {squeezed(self.channel.restore(m[0][:64])) for m in SPACED.finditer(text)}
+        return {squeezed(w) for m in SPACED.finditer(text) for w in self.channel.words(m[0])}
 
     def names(self, text: str) -> set[str]:
         text = text.lower()

@@ -164,6 +164,32 @@ def test_toxicity_on_held_out_and_obfuscated_texts(spark, docs, toxic):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, t in truth.items() if not t} | {2002, 2003, 2004, 2005}
 
 
+def counted(texts):
+    from balanza.llm.toxicity import codes
+
+    x = codes(" " + "  ".join(texts)).astype(int)
+    return np.bincount((x[:-2] * CODES + x[1:-1]) * CODES + x[2:], minlength=CODES**3)
+
+
+def test_long_and_joined_spaced_runs_are_read_whole(spark, docs, toxic):
+    rows, labels = toxic
+    plain = [(i, t + " a") for i, t in rows]
+    words = "there on the redone in here then an inner on there".split()
+    long = " ".join("".join([*words, "stupid"]))
+    assert len(long) > 64
+    c = Channel(counted([t for _, t in plain]))
+    assert {"a", "moron"} <= c.words("a m o r o n")
+    assert "stupid" in c.words(long) and c.restore(long) == "".join([*words, "stupid"])
+    assert "stupid" in c.words(long.replace(" ", ".")) and "scum" in c.words("p4thet1c-scum")
+    # Carried states: a span of any length is one search.
+    far = "st" + "4" + "n-" * 40 + "m0r0n"
+    assert c.restore(far).endswith("moron") and c.restore("m0ron" * 400) == "moron" * 400
+    hard = [(3000, long), (3001, "on a m o r o n an a s t u p i d"), (3002, long.replace(" ", ".")), (3003, " ".join("".join(words)))]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity(docs(plain + hard), frame, Training(rows=400)).collect() if r["doc_id"] >= 3000}
+    assert got == {3000: 1, 3001: 1, 3002: 1, 3003: 0}
+
+
 def test_labels_of_one_kind_and_empty_tables(spark, docs):
     frame = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")
     got = toxicity(docs([(i, f"text {i}") for i in range(20)]), frame).collect()
