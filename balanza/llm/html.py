@@ -33,6 +33,8 @@ INLINE = {
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 FURNITURE = {"nav", "footer", "header", "aside", "form", "menu", "button", "select", "dialog"}
 MAIN = {"article", "main"}
+#: What may stand in the head of a page; anything else, text too, ends an open head.
+HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -66,7 +68,8 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order: white space is one space, references are decoded, empty blocks are left out.
 
     Markup may be broken: an end tag without a start is ignored, an item or paragraph
-    ends where the next begins, a tag cut off at the end of the page is no text.
+    ends where the next begins, a head ends where the body or its text begins, a tag cut
+    off at the end of the page is no text.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -81,12 +84,21 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(tuple(x for _, ns in stack for x in ns), text, min(1.0, leaf.linked / len(raw))))
             leaf = _Leaf()
 
+    def end_head() -> None:
+        for i, (t, _) in enumerate(stack):
+            if t == "head":
+                end()
+                del stack[i:]
+                break
+
     while at < n:
         m = TOKEN.search(page, at)
         stop = m.start() if m else n
         if stop > at:
             piece = page[at:stop]
             piece = html.unescape(piece) if "&" in piece else piece
+            if not piece.isspace():
+                end_head()
             leaf.parts.append(piece)
             leaf.linked += len(piece) * (links > 0)
         if not m:
@@ -95,6 +107,8 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), m[1] == "/"
+        if tag not in HEAD and not closing:
+            end_head()
         if tag in RAW and not closing:
             if not m[3].endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(page, at)
@@ -127,8 +141,7 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         stack.append((tag, names(tag, m[3])))
     end()
-    # What stands in the head of a page is no block.
-    return [b for b in out if "head" not in b.path]
+    return out
 
 
 # Names that page furniture and article containers go by, for the varied training pages.

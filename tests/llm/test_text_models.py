@@ -68,6 +68,12 @@ def test_blocks_of_broken_markup():
     got = pages.blocks("<p>a &amp; b&nbsp;c<b>d<br>e<p>f<ul><li>g<li>h</ul>i<script>if (a</p>b)</script>&am<!-- x --><div cla")
     assert [b.text for b in got] == ["a & b cd e", "f", "g", "h", "i&am"]
     assert pages.blocks("") == [] and pages.blocks("<p>  </p>") == []
+    # A head without its end tag ends where the body, another element or text begins.
+    head = "<html><head><meta charset=utf-8><title>t</title><style>p{}</style><link rel=x>\n"
+    for rest in ("<body><article><h1>a</h1><p>b</p></article>", "<article><h1>a</h1><p>b", "</head><body><article><h1>a</h1><p>b</article>"):
+        got = pages.blocks(head + rest)
+        assert [b.text for b in got] == ["a", "b"] and not any("head" in b.path for b in got)
+    assert [b.text for b in pages.blocks(head + "a<p>b")] == ["a", "b"] and [b.text for b in pages.blocks("<p>a<head>b<p>c")] == ["a", "b", "c"]
 
 
 def test_labeller_on_held_out_varied_pages(spark):
