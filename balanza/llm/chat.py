@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from balanza.llm.common import Scratch
+from balanza.llm.mixing import ranked
+
 
 @dataclass(frozen=True)
 class Template:
@@ -30,8 +33,39 @@ def escaped(text: Column, template: Template) -> Column:
     return text
 
 
+def dialogues(rows: DataFrame, template: Template) -> DataFrame:
+    """conv_id, part, earlier, turns: the turns of each part in order, and the system turns of the parts before it.
+
+    Only the turns of dialogues of more than one part are numbered, by range partitions; the others are one group each.
+    """
+    turn = F.struct("turn", "role", "text")
+    ordered = F.sort_array(F.collect_list(turn))
+    scratch = Scratch(rows.sparkSession, "chat")
+    sizes = rows.groupBy("conv_id").count().filter(F.col("count") > template.part_turns)
+    long = scratch.keep(sizes.select(F.col("conv_id").alias("of")), "long")
+    of_long = F.col("conv_id").eqNullSafe(F.col("of"))
+    none = F.array().cast("array<struct<turn: bigint, role: string, text: string>>")
+    whole = F.lit(0).cast("long").alias("part"), none.alias("earlier")
+    if long.isEmpty():
+        return rows.groupBy("conv_id").agg(ordered.alias("turns")).select("conv_id", *whole, "turns")
+    short = rows.join(long, of_long, "left_anti").groupBy("conv_id").agg(ordered.alias("turns")).select("conv_id", *whole, "turns")
+
+    # The last key tells equal turns apart, so that many of them do not share a range.
+    split = rows.join(long, of_long, "left_semi").withColumn("tie", F.monotonically_increasing_id())
+    placed = scratch.keep(ranked(split, [F.col(c) for c in ("conv_id", "turn", "role", "text", "tie")], "at", scratch, "ranges").drop("tie"), "places")
+    first = scratch.keep(placed.groupBy(F.col("conv_id").alias("of")).agg(F.min("at").alias("first")), "first")
+    part = F.floor((F.col("at") - F.col("first")) / template.part_turns).cast("long")
+    placed = placed.join(first, of_long).select("conv_id", part.alias("part"), "turn", "role", "text")
+    parts = placed.groupBy("conv_id", "part").agg(ordered.alias("turns"))
+    system = placed.filter(F.col("role") == template.system).select(F.col("conv_id").alias("of"), F.col("part").alias("before"), "turn", "role", "text")
+    later = placed.select("conv_id", "part").distinct().join(system, of_long & (F.col("before") < F.col("part")))
+    later = later.groupBy(F.col("conv_id").alias("of"), F.col("part").alias("of_part")).agg(ordered.alias("earlier"))
+    parts = parts.join(later, of_long & (F.col("part") == F.col("of_part")), "left")
+    return short.unionByName(parts.select("conv_id", "part", F.coalesce("earlier", none).alias("earlier"), "turns"))
+
+
 def perspectives(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """conv_id, perspective, part, n_turns, text, spans for each participant of each dialogue.
+    """conv_id, perspective, part, n_turns, carried, text, spans for each participant of each dialogue.
 
     ``turns`` has conv_id, turn, role and text.  Participants are the roles of a dialogue
     but the system's.  ``spans`` are the [start, end) characters (code points) of ``text`` that the
@@ -41,18 +75,17 @@ def perspectives(turns: DataFrame, template: Template = Template()) -> DataFrame
     first, rows with a null conv_id form one dialogue.  A dialogue of system turns only has
     no participant and gives no row; an empty table gives none.  Other columns are ignored.
 
-    A dialogue of more than ``part_turns`` turn numbers is rendered in parts, each a
-    row, so that no task holds an unbounded dialogue: part is turn div part_turns.
+    A dialogue of more than ``part_turns`` turns is rendered in parts, each a row, so that no task
+    holds an unbounded dialogue: turns are counted off by their place, whatever their numbers.
+    A later part begins with the system turns of the parts before it: ``carried`` is the length of
+    that beginning.  ``n_turns`` counts the part's own turns.  Every participant has every part, so
+    that the parts of a perspective in order, each without its beginning, are the whole rendering.
     """
     role = F.coalesce(F.col("role"), F.lit("unknown"))
-    part = F.coalesce(F.floor(F.col("turn") / template.part_turns), F.lit(0)).cast("long")
-    rows = turns.select("conv_id", part.alias("part"), F.col("turn").cast("long").alias("turn"), role.alias("role"), escaped(F.coalesce("text", F.lit("")), template).alias("text"))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), escaped(F.coalesce("text", F.lit("")), template).alias("text"))
     rows = rows.withColumn("role", escaped(F.col("role"), template))
     speakers = rows.filter(F.col("role") != template.system).select(F.col("conv_id").alias("of"), F.col("role").alias("perspective")).distinct()
-
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    dialogues = rows.groupBy("conv_id", "part").agg(ordered.alias("turns"))
-    views = dialogues.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    views = dialogues(rows, template).join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
 
     def rendered(t: Column) -> Column:
         own = t["role"] == F.col("perspective")
@@ -61,7 +94,7 @@ def perspectives(turns: DataFrame, template: Template = Template()) -> DataFrame
         body = F.concat(t["text"], F.lit(template.end))
         return F.struct(head.alias("head"), body.alias("body"), own.alias("own"))
 
-    views = views.withColumn("shown", F.transform("turns", rendered))
+    views = views.withColumn("shown", F.transform(F.concat("earlier", "turns"), rendered))
     place = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"))
 
     def step(acc: Column, t: Column) -> Column:
@@ -73,4 +106,7 @@ def perspectives(turns: DataFrame, template: Template = Template()) -> DataFrame
 
     spans = F.aggregate("shown", place, step, lambda acc: acc["spans"])
     text = F.array_join(F.transform("shown", lambda t: F.concat(t["head"], t["body"])), "")
-    return views.select("conv_id", "perspective", "part", F.size("turns").alias("n_turns"), text.alias("text"), spans.alias("spans"))
+    carried = F.aggregate(F.slice("shown", 1, F.size("earlier")), F.lit(0), lambda n, t: n + F.char_length(t["head"]) + F.char_length(t["body"]))
+    return views.select(
+        "conv_id", "perspective", "part", F.size("turns").alias("n_turns"), carried.cast("long").alias("carried"), text.alias("text"), spans.alias("spans")
+    )

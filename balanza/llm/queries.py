@@ -70,13 +70,17 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
-    """Renderings with the loss mask as a list "start-end" for each learnt span, which both engines can show."""
+    """Renderings with the loss mask as a list "start-end" for each learnt span, which both engines can show.
+
+    The SQL cuts dialogues by turn number and carries nothing over; the operator, by place: they agree where no
+    dialogue has more than 1,024 turns or a turn number beyond 1,023.
+    """
     from pyspark.sql import functions as F
 
     from balanza.llm.chat import perspectives
 
     shown = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return perspectives(table(spark, folder, "conversations")).withColumn("mask", shown).drop("spans")
+    return perspectives(table(spark, folder, "conversations")).withColumn("mask", shown).drop("spans", "carried")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -89,3 +89,24 @@ def test_long_dialogues_come_in_parts(spark):
     df = spark.createDataFrame([(1, t, "ab"[t % 2], f"t{t}") for t in range(10)], "conv_id long, turn long, role string, text string")
     got = perspectives(df, Template(part_turns=4)).collect()
     assert sorted((r["perspective"], r["part"], r["n_turns"]) for r in got) == [(p, k, n) for p in "ab" for k, n in ((0, 4), (1, 4), (2, 2))]
+
+
+def test_parts_go_by_place_and_make_up_the_whole(spark):
+    rows = [(1, 0, "a", "x"), (1, 4096, "b", "y"), (2, 1_700_000_000, "a", "x"), (2, 1_700_009_000, "b", "y")]
+    rows += [(3, 10 * t, "system" if t in (0, 5) else "abc"[t % 2 if t < 8 else 2], f"t{t}") for t in range(11)]
+    rows += [(None, None, "ab"[t % 2], "same") for t in range(9)] + [(4, 7, "a", "again")] * 6
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["perspective"]): r for r in perspectives(df).collect()}
+    cut = {}
+    for r in sorted(perspectives(df, Template(part_turns=4)).collect(), key=lambda r: r["part"]):
+        cut.setdefault((r["conv_id"], r["perspective"]), []).append(r)
+    assert set(cut) == set(whole)
+    assert {k: [r["n_turns"] for r in v] for k, v in cut.items()} == {k: {1: [2], 2: [2], 3: [4, 4, 3], None: [4, 4, 1], 4: [4, 2]}[k[0]] for k in whole}
+    for k, parts in cut.items():
+        text, spans = "", []
+        for r in parts:
+            spans += [(a - r["carried"] + len(text), b - r["carried"] + len(text)) for a, b in r["spans"]]
+            text += r["text"][r["carried"] :]
+        assert text == whole[k]["text"] and spans == [tuple(s) for s in whole[k]["spans"]]
+    system = [f"<|im_start|>system\n{t}<|im_end|>\n" for t in ("t0", "t5")]
+    assert [r["text"][: r["carried"]] for r in cut[3, "c"]] == ["", system[0], "".join(system)]
