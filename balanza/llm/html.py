@@ -369,12 +369,29 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return x, mask, y
 
 
+def composed(pool: list[str], rng: np.random.Generator) -> Labelled:
+    """An article of headings, paragraphs, items and cells with the words of ``pool``, for tables whose pages have no structural label."""
+    out: Labelled = []
+    for i in range(int(rng.integers(2, 25))):
+        leaf = ("h1",) if i == 0 else ("p",) if rng.random() < 0.5 else LEAVES[rng.integers(len(LEAVES))]
+        words = pool[rng.integers(len(pool))].split()
+        if leaf != ("p",) or rng.random() < 0.3:
+            words = words[: int(rng.integers(1, 12))]
+        out.append((Block(("html", "body", "article", *leaf), " ".join(words)), True))
+    return out
+
+
 def trained(sample: list[str], copies: int = 5, epochs: int = 12, seed: int = 7) -> Labeller:
-    """A labeller fitted on sample pages, each also in ``copies`` varied forms, or more where there are few pages."""
+    """A labeller fitted on sample pages, each also in ``copies`` varied forms, or more where there are few pages.
+
+    Only pages with an article or main element have labels to fit on; where none has,
+    articles composed of the sample's texts take their place.
+    """
     rng = np.random.default_rng(seed)
-    pages = [[(b, rule(b)) for b in blocks(p)] for p in sample]
-    pages = [p for p in pages if p] or [[(Block(("html", "body", "article", "p"), "Text of a page.", 0.0), True)]]
-    pool = [b.text for p in pages for b, _ in p]
+    read = [p for p in map(blocks, sample) if p]
+    pool = [b.text for p in read for b in p] or ["Text of a page."]
+    pages = [[(b, rule(b)) for b in p] for p in read if any(set(b.path) & MAIN and rule(b) for b in p)]
+    pages = pages or [composed(pool, rng) for _ in range(100)]
     copies = max(copies, -(-800 // len(pages)))
     data = pages + [varied(p, pool, rng) for p in pages for _ in range(copies)]
     net = Labeller()
@@ -386,14 +403,16 @@ def main_text(pages: DataFrame, sample_pages: int = 160) -> DataFrame:
     """page_id, url, text, n_chars: the content blocks of each page in order, joined by line breaks.
 
     ``pages`` has page_id, url and html.  The network is fitted on ``sample_pages``
-    pages, those of smallest hash; every page is then read whole.  Null and empty html
+    pages, those of smallest hash, pages with an article or main element first; every
+    page is then read whole.  Null and empty html
     give an empty text and 0 characters, as do pages without a content block; null
     ids and urls and repeated rows stay as they are; other columns are ignored; an
     empty table gives none.
     """
     ship(pages.sparkSession)
-    chosen = pages.filter(F.length("html") > 0).select("html", F.xxhash64("page_id", "url").alias("h"))
-    net = trained([r[0] for r in chosen.orderBy("h", "html").limit(sample_pages).collect()])
+    labelled = F.col("html").rlike(r"(?i)<(?:article|main)\b")
+    chosen = pages.filter(F.length("html") > 0).select("html", labelled.alias("labelled"), F.xxhash64("page_id", "url").alias("h"))
+    net = trained([r[0] for r in chosen.orderBy(F.desc("labelled"), "h", "html").limit(sample_pages).collect()])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches, "html", 4_000_000):

@@ -88,6 +88,26 @@ def test_labeller_on_held_out_varied_pages(spark):
     assert wrong <= 0.02 * sum(map(len, cases))
 
 
+DIV_PAGE = """<html><body><div class="site-header"><a href=/>Home</a> <a href=/n>News</a></div><div class="%s"><h1>The harbour of %s</h1>
+<p>The harbour was built in the year %s, when the old quay could no longer hold the ships that came in from the north.</p><h2>Trade</h2>
+<ul><li>salt</li><li>dried fish</li></ul><table><tr><td>Ships</td><td>%s</td></tr></table><p>It is still open.</p></div>
+<div class="sidebar"><a href=/a>More of the same kind of page for you</a></div><div class="footer">All rights reserved</div></body></html>"""
+
+
+def test_articles_in_plain_containers_are_kept_whole(spark):
+    places = ["Varde", "Holm", "Lund", "Tarm", "Skive", "Ribe", "Hobro", "Nakskov"]
+    rows, want = [], {}
+    for i, place in enumerate(places):
+        rows.append((i, "u", DIV_PAGE % (("content", "entry-content", "post", "story")[i % 4], place, 1700 + i, 40 + i)))
+        want[i] = "\n".join([
+            f"The harbour of {place}",
+            f"The harbour was built in the year {1700 + i}, when the old quay could no longer hold the ships that came in from the north.",
+            "Trade", "salt", "dried fish", "Ships", str(40 + i), "It is still open.",
+        ])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in pages.main_text(df).collect()} == want
+
+
 def test_gradients_follow_differences():
     rng = np.random.default_rng(2)
     net = pages.Labeller(width=5, hidden=3)
