@@ -25,11 +25,16 @@ from balanza.llm.common import pieces_of, ship
 
 # Element names by their role in a page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp"}
+RAW = {"script", "style", "title", "textarea", "template", "iframe", "svg", "xmp"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "noscript", "object", "canvas", "math", "annotation", "annotation-xml", "maction", "menclose", "merror", "mfenced", "mfrac", "mi",
+    "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub",
+    "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none", "semantics",
 }
+#: Inline elements that part words.
+SPACING = {"br", "mtd", "noscript", "object", "canvas"}
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 FURNITURE = {"nav", "footer", "header", "aside", "form", "menu", "button", "select", "dialog"}
 MAIN = {"article", "main"}
@@ -117,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1
-            elif tag == "br":
+            elif tag in SPACING:
                 leaf.parts.append(" ")
             continue
         end()

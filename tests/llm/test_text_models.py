@@ -76,6 +76,14 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in pages.blocks(head + "a<p>b")] == ["a", "b"] and [b.text for b in pages.blocks("<p>a<head>b<p>c")] == ["a", "b", "c"]
 
 
+def test_formulas_and_fallback_text_are_blocks():
+    got = pages.blocks(
+        "<head><noscript><style>p{}</style></noscript><body><p>area <math><mi>a</mi><mo>=</mo><msup><mi>r</mi><mn>2</mn></msup></math> of it"
+        "<p><object data=x>a <b>map</b></object><canvas>drawn<p>below</canvas><noscript>plain</noscript><p>open <math><mi>b</mi><p>last"
+    )
+    assert [b.text for b in got] == ["area a=r2 of it", "a map drawn", "below plain", "open b", "last"]
+
+
 def test_labeller_on_held_out_varied_pages(spark):
     rows = [r[0] for r in spark.read.parquet(f"{DATOS}/pages.parquet").select("html").collect()]
     net = pages.trained(rows[:100])
