@@ -118,16 +118,17 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     divisible by ``every``; candidates are all rows but those of the query's own id.
     Only vectors of the query's width are its candidates.  Null ids, null vectors and
     vectors with a null or non-finite component take no part; an empty vector scores 0
-    with other empty ones.  Of rows repeated with one id, the first in the order of
-    their components is the vector of that id.  A score beyond a long counts as the nearest long.  Fewer candidates than k give fewer rows; an
+    with other empty ones.  Rows that share an id are each a query and a candidate, and
+    the best k are those of all queries of one id together; rows alike in id and vector
+    count once.  A score beyond a long counts as the nearest long.  Fewer candidates than k give fewer rows; an
     empty table gives none.  Other columns are ignored.
     """
     ship(vectors.sparkSession)
     scratch = Scratch(vectors.sparkSession, "top-k")
-    rows = scratch.keep(quantised(vectors).groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
+    rows = scratch.keep(quantised(vectors).distinct(), "vectors")
     record = "ids binary, vectors binary, n int, width int"
     n_rows, n_asked = rows.count(), rows.filter(F.col("id") % every == 0).count()
-    shards = rows.repartitionByRange(max(1, -(-n_rows // SHARD)), F.col("id")).mapInArrow(lambda bs: pack(bs, SHARD), record)
+    shards = rows.repartitionByRange(max(1, -(-n_rows // SHARD)), F.col("id"), F.xxhash64("vector")).mapInArrow(lambda bs: pack(bs, SHARD), record)
     shards = scratch.keep(shards.withColumn("shard", F.monotonically_increasing_id()), "shards")
     asked = rows.filter(F.col("id") % every == 0).repartition(max(1, -(-n_asked // QUERIES)))
     asked = scratch.keep(asked.mapInArrow(lambda bs: pack(bs, QUERIES), record), "queries")

@@ -110,3 +110,14 @@ def test_parts_go_by_place_and_make_up_the_whole(spark):
         assert text == whole[k]["text"] and spans == [tuple(s) for s in whole[k]["spans"]]
     system = [f"<|im_start|>system\n{t}<|im_end|>\n" for t in ("t0", "t5")]
     assert [r["text"][: r["carried"]] for r in cut[3, "c"]] == ["", system[0], "".join(system)]
+
+
+def test_vectors_that_share_an_id_all_take_part(spark):
+    rng = random.Random(9)
+    rows = [(i % 120, [rng.randint(-400, 400) / 256 for _ in range(4)]) for i in range(360)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    ok, said = comparar(top_k(df), con, ORACLES["op7_exact_top_k"])
+    assert ok, said
