@@ -83,6 +83,24 @@ def op10_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return perspectives(table(spark, folder, "conversations")).withColumn("mask", shown).drop("spans", "carried")
 
 
+def op11_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    from balanza.llm.subtrees import repeated_windows
+
+    return repeated_windows(table(spark, folder, "documents")).drop("spans", "kept")
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    from balanza.llm.dualtree import ranked_search
+
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from balanza.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_exact_dedup,
         op10_chat_perspectives,
+        op11_repeated_windows,
+        op12_ranked_search,
+        op13_collocations,
     )
 }
 
@@ -145,4 +166,76 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op11_repeated_windows": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), w AS (
+            SELECT r, doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS win
+            FROM (SELECT r, doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM t)
+        ), first AS (
+            SELECT win, min(doc_id) AS least FROM w GROUP BY win
+        ), gone AS (
+            SELECT DISTINCT r, unnest(generate_series(i, i + 49)) AS k FROM w JOIN first USING (win) WHERE least < doc_id
+        ), each AS (
+            SELECT r, unnest(generate_series(1, len(words))) AS k, unnest(words) AS word FROM t
+        ), kept AS (
+            SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM each ANTI JOIN gone USING (r, k) GROUP BY r
+        )
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM t LEFT JOIN kept USING (r)
+    """,
+    "op12_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), i AS (
+            SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), c AS (
+            SELECT count(*) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM d WHERE len(terms) > 0
+        ), m AS (
+            SELECT r, doc_id, 75 + ((25 * len(terms) * big_n) // big_l) AS m FROM d, c WHERE len(terms) > 0
+        ), tf AS (
+            SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, c GROUP BY term
+        ), s AS (
+            SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY q, item_id, r, doc_id
+        ), ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+        )
+        SELECT * FROM ranked WHERE rank <= 20
+    """,
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), total AS (
+            SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM p GROUP BY lang
+        ), grams AS (
+            SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, words[i:i + k - 1] AS words
+            FROM (SELECT lang, words, k, unnest(generate_series(1, len(words) - k + 1)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k))
+        ), f AS (
+            SELECT lang, k, phrase, any_value(words) AS words, CAST(count(*) AS BIGINT) AS a FROM grams GROUP BY lang, k, phrase
+        ), cand AS (
+            SELECT * FROM f WHERE k > 1 AND a >= 10
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.k, c.words, c.a, h AS cut, x.a AS l, y.a AS r,
+                   CAST((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+            FROM (SELECT *, unnest(generate_series(1, k - 1)) AS h FROM cand) c
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:h], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[h + 1:k], ' ')
+        ), best AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ), inside AS (
+            SELECT lang, array_to_string(words[1:2], ' ') AS phrase, a AS longer FROM cand WHERE k = 3
+            UNION ALL SELECT lang, array_to_string(words[2:3], ' '), a FROM cand WHERE k = 3
+        ), kept AS (
+            SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.longer >= 50 * b.a)
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+    """,
 }
