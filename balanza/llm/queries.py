@@ -226,7 +226,7 @@ ORACLES: dict[str, str] = {
                    CAST((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
             FROM (SELECT *, unnest(generate_series(1, k - 1)) AS h FROM cand) c
             JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:h], ' ')
-            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[h + 1:k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[h + 1:c.k], ' ')
         ), best AS (
             SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
         ), inside AS (
