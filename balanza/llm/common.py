@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -115,6 +116,29 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
         yield batch.slice(start)
 
 
+class Remembered(dict):
+    """Results for short strings that a worker has met; what it holds changes speed only.
+
+    It begins anew at about ``most`` bytes.  Keys of more than ``longest`` characters
+    are not kept: their results are worked out each time.
+    """
+
+    def __init__(self, most: int = 24 << 20, longest: int = 64):
+        super().__init__()
+        self.most, self.longest, self.size = most, longest, 0
+
+    def keep(self, key: str, value, value_bytes: int = 32):
+        """Keep the value if the key is short, and return it."""
+        if len(key) <= self.longest:
+            # Key and value objects and their place in the table.
+            self.size += sys.getsizeof(key) + value_bytes + 110
+            if self.size > self.most:
+                self.clear()
+                self.size = 0
+            self[key] = value
+        return value
+
+
 def same_columns(docs: DataFrame, df: DataFrame) -> DataFrame:
     """``df`` with exactly the columns of ``docs``, in their order."""
     return df.select(*docs.columns)

@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balanza.llm.common import pieces_of, ship
+from balanza.llm.common import Remembered, pieces_of, ship
 
 SPACE = "▁"
 
 
 class Pieces:
-    """Vocabulary of one model file, with encoder and decoder; ``bound`` limits what a worker remembers."""
+    """Vocabulary of one model file, with encoder and decoder; ``most`` bounds the bytes that a worker remembers of words and of pairs."""
 
-    def __init__(self, path: str, bound: int = 900_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,11 +52,12 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.ids):
             raise ValueError("a piece spans two marked words")
         self.words = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
-        self.pair: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.bound = bound
-        # Pieces that their own merges give; no other piece can occur.
-        self.whole = {p for p in self.ids if len(p) > 1 and len(self.merged(p)) == 1}
+        #: Whether a piece may follow another, by both numbers; an entry takes some 140 bytes, and they get half of ``most``.
+        self.pair: dict[int, bool] = {}
+        self.most_pairs = most // 280
+        self.known = Remembered(most)
+        # Pieces that their own merges give, with their numbers; no other piece can occur.
+        self.whole = {p: i for p, i in self.ids.items() if len(p) > 1 and len(self.merged(p)) == 1}
 
     def merged(self, text: str) -> list[str]:
         """Symbols of a short string after all merges, best score first, leftmost among equals."""
@@ -73,38 +74,46 @@ class Pieces:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def follows(self, a: str, b: str) -> bool:
+    def number(self, character: str) -> int:
+        """Number of a single character: its piece's, or one beyond all pieces."""
+        i = self.ids.get(character)
+        return self.size + ord(character) if i is None else i
+
+    def follows(self, a: str, b: str, key: int) -> bool:
         """Whether piece b may follow piece a: the merges of both together keep the border."""
-        key = (a, b)
-        ok = self.pair.get(key)
-        if ok is None:
-            if len(self.pair) > self.bound:
-                self.pair.clear()
-            ok = self.pair[key] = self.merged(a + b) == [a, b]
+        if len(self.pair) > self.most_pairs:
+            self.pair.clear()
+        ok = self.pair[key] = self.merged(a + b) == [a, b]
         return ok
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, identifiers) of distinct words, in the order of their trie."""
-        last: list[str] = [""]  # last[i]: the last piece of the best path over the first i characters
-        before, ids, whole, longest, pair = "", self.ids, self.whole, self.longest, self.pair
+        # last[i]: the last piece of the best path over the first i characters; numbers[i]: its number.
+        last: list[str] = [""]
+        numbers: list[int] = [0]
+        before, ids, whole, longest, pair = "", self.ids, self.whole.get, self.longest, self.pair
         for word in sorted(words):
             n, i = len(word), 0
             shared = min(n, len(before))
             while i < shared and word[i] == before[i]:
                 i += 1
-            del last[i + 1 :]
+            del last[i + 1 :], numbers[i + 1 :]
             for end in range(i + 1, n + 1):
                 for start in range(end - longest if end > longest else 0, end - 1):
                     piece = word[start:end]
-                    if piece in whole:
+                    number = whole(piece)
+                    if number is not None:
                         if not start:
                             break
-                        ok = pair.get((last[start], piece))
-                        if ok or ok is None and self.follows(last[start], piece):
+                        key = numbers[start] << 32 | number
+                        ok = pair.get(key)
+                        if ok or ok is None and self.follows(last[start], piece, key):
                             break
                 else:
                     piece = word[end - 1]
+                    number = self.number(piece)
                 last.append(piece)
+                numbers.append(number)
             before = word
             out: list[int] = []
             end = n
@@ -133,12 +142,13 @@ class Pieces:
         """Identifiers of each text."""
         cut = [self.marked(t) for t in texts]
         distinct = set().union(*cut)
-        if len(self.known) + len(distinct) > self.bound:
-            self.known.clear()
         known = self.known
-        for word, ids in self.encode_words(distinct.difference(known)):
-            known[word] = struct.pack(f"<{len(ids)}i", *ids)
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<i4") for ws in cut]
+        # Words of this call stay at hand until its end, also where the memory begins anew.
+        here = {w: known[w] for w in distinct if w in known}
+        for word, ids in self.encode_words(distinct.difference(here)):
+            packed = struct.pack(f"<{len(ids)}i", *ids)
+            here[word] = known.keep(word, packed, 33 + len(packed))
+        return [np.frombuffer(b"".join(map(here.__getitem__, ws)), "<i4") for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text: bytes of all pieces, without the mark put before the first word; broken bytes become U+FFFD."""

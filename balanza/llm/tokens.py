@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balanza.llm.common import ship
+from balanza.llm.common import Remembered, ship
 
 #: Fixed value: the pre-tokenization pattern of the byte-level scheme.  White space is the Unicode property.
 PATTERN = (
@@ -90,24 +90,21 @@ def merged_length(symbols: list[int], ranks: dict[int, int]) -> int:
     return left
 
 
-class Memo(dict):
-    """Results of ``work`` met so far; it starts anew at ``bound`` keys, which changes speed only."""
+class Memo(Remembered):
+    """Results of ``work`` met so far."""
 
-    def __init__(self, work: Callable[[str], int], bound: int):
-        super().__init__()
-        self.work, self.bound = work, bound
+    def __init__(self, work: Callable[[str], int], most: int):
+        super().__init__(most)
+        self.work = work
 
     def __missing__(self, key: str) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        n = self[key] = self.work(key)
-        return n
+        return self.keep(key, self.work(key))
 
 
 class TokenCounter:
-    """Token counts of texts by one tokenizer file; ``bound`` limits what a worker remembers."""
+    """Token counts of texts by one tokenizer file; ``most`` bounds the bytes that a worker remembers."""
 
-    def __init__(self, path: str, bound: int = 1_200_000):
+    def __init__(self, path: str, most: int = 96 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ranks = pair_ranks([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]])
@@ -116,8 +113,8 @@ class TokenCounter:
         self.findall = regex.compile(PATTERN).findall
         self.latin_findall = re.compile(LATIN_PATTERN).findall
         self.beyond_latin = re.compile("[^\\x00-\u024f]").search
-        self.pieces = Memo(lambda piece: merged_length(list(piece.encode("utf-8", "surrogatepass")), self.ranks), bound)
-        self.after_space = Memo(lambda word: self.plain(" " + word), bound // 2)
+        self.pieces = Memo(lambda piece: merged_length(list(piece.encode("utf-8", "surrogatepass")), self.ranks), most // 2)
+        self.after_space = Memo(lambda word: self.plain(" " + word), most // 2)
         self.odd_space = re.compile(r" (?:\s|$)").search
 
     def plain(self, text: str) -> int:

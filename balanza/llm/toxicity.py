@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balanza.llm.common import Scratch, pieces_of, ship
+from balanza.llm.common import Remembered, Scratch, pieces_of, ship
 
 # What a sign may stand for; accented letters of the language model beside a-z.
 LEET = {
@@ -36,7 +36,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz" + ACCENTED
 CODES = len(LETTERS) + 1
 BORDER = " "
 CODE = {BORDER: 0} | {c: i + 1 for i, c in enumerate(LETTERS)}
-#: Spans up to so many characters are remembered; in longer ones, settled letters leave the search every so many columns.
+#: Spans up to so many characters are remembered, tokens too; in longer ones, settled letters leave the search every so many columns.
 SHORT = 64
 #: Costs in nats: a look-alike sign, a junk sign, a letter less in a drawn-out run.
 SIGN, JUNK, SHORTER = 1.5, 6.0, 0.7
@@ -80,16 +80,15 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 
 class Channel:
-    """Restores obfuscated spans under a trigram model of letters; ``bound`` limits what a worker remembers."""
+    """Restores obfuscated spans under a trigram model of letters; ``most`` bounds the bytes that a worker remembers."""
 
-    def __init__(self, counts: np.ndarray, bound: int = 200_000):
+    def __init__(self, counts: np.ndarray, most: int = 24 << 20):
         n = counts.reshape(CODES, CODES, CODES).astype(np.float64)
         n2, n1 = n.sum(2, keepdims=True), n.sum((0, 1))
         uni = (n1 + 1) / (n1.sum() + CODES)
         bi = (n.sum(0) + 2 * uni) / (n.sum(0).sum(1, keepdims=True) + 2)
         self.cost = -np.log((n + 2 * bi[None]) / (n2 + 2))
-        self.memo: dict[str, str] = {}
-        self.bound = bound
+        self.memo = Remembered(most, SHORT)
 
     def lattice(self, span: str, borders: bool = False) -> list[list[tuple[str, float]]]:
         """One column for each run of equal characters: (letters, channel cost); no letters where the run is junk.
@@ -145,12 +144,8 @@ class Channel:
         key = (BORDER if borders else "") + span
         if key in self.memo:
             return self.memo[key]
-        if len(self.memo) >= self.bound:
-            self.memo.clear()
         best = self.search(self.lattice(span, borders))
-        if len(span) <= SHORT:
-            self.memo[key] = best
-        return best
+        return self.memo.keep(key, best, 56 + len(best))
 
     def restore(self, span: str) -> str:
         """The likeliest word."""
@@ -189,12 +184,12 @@ def named(words: set[str]) -> set[str]:
 class Reader:
     """Features of texts: which words and beginnings of interest occur in the restored text."""
 
-    def __init__(self, counts: np.ndarray, features: dict[str, int] | None = None, bound: int = 1_000_000):
+    def __init__(self, counts: np.ndarray, features: dict[str, int] | None = None, most: int = 64 << 20):
         self.channel = Channel(counts)
-        self.features, self.bound = features or {}, bound
+        self.features = features or {}
         self.stems = {f.rstrip("~") for f in self.features}
-        self.seen: set[str] = set()
-        self.hot: dict[str, list[str]] = {}
+        #: The words of interest of each token met.
+        self.seen = Remembered(most, SHORT)
 
     def of_token(self, token: str) -> set[str]:
         """Words of a lower-case token, obfuscated spans restored, runs of a letter as one."""
@@ -215,16 +210,15 @@ class Reader:
         """Numbers of the chosen features that occur."""
         text = text.lower()
         tokens = set(text.split())
-        if len(self.seen) > self.bound:
-            self.seen.clear()
-            self.hot.clear()
-        new = tokens - self.seen
-        for t in new:
-            words = [w for w in self.of_token(t) if w in self.stems or any(s in self.stems for s in stems(w))]
-            if words:
-                self.hot[t] = words
-        self.seen |= new
-        words = self.spaced(text).union(*(self.hot[t] for t in tokens & self.hot.keys()))
+        words = self.spaced(text)
+        seen = self.seen
+        for t in tokens:
+            found = seen.get(t)
+            if found is None:
+                found = tuple(w for w in self.of_token(t) if w in self.stems or any(s in self.stems for s in stems(w)))
+                seen.keep(t, found, 120 * len(found))
+            if found:
+                words.update(found)
         return sorted(self.features[n] for n in named(words) if n in self.features)
 
 
