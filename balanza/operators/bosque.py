@@ -1,20 +1,24 @@
-"""Isolation forest over (filed, attended, rate).
+"""Isolation forest over (filed, attended, rate), grown level by level.
 
-Trees are grown on small samples, one task per tree; every distinct pair of measures
-is scored once, in Arrow batches, with the forest shipped as a broadcast variable.
+Rows are drawn for each tree by position, all trees grow together with one aggregate
+for each level, and every distinct pair of measures is scored once, in Arrow batches.
+Draws come from whole-number arithmetic and path lengths are added up in millionths,
+so the result depends neither on the order of rows nor on the engine.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from balanza.functions.azar import PRIMO, sorteo, sorteo_de
 from balanza.operators.frecuencias import acumular, cuantil_agregado
+from balanza.operators.graficos import BARRAS, rejilla
 from balanza.sesion import cortar, difundir
 
 # Fixed values of the forest.
@@ -23,124 +27,128 @@ CONTAMINACION = 0.05
 MINIMO_FILAS = 50
 ARBOLES, MUESTRA, SEMILLA = 100, 256, 42
 K_CASOS = 3
-
-
-def _muestras(validos: DataFrame, filas: int, arboles: int, muestra: int, semilla: int) -> DataFrame:
-    """``muestra`` distinct rows for each tree, as (arbol, measures).
-
-    Rows have positions 0..N-1 through the running counts of the pairs; positions
-    are drawn without replacement per tree (a fixed number of integers), and each
-    batch of pairs picks out the draws that fall into its intervals.
+# A tree draws at most so many numbers for each row of its sample.
+SORTEOS = 16
+ESCALA = 1_000_000
+
+
+def posiciones(filas: int, arboles: int, muestra: int, semilla: int) -> list[tuple[int, int]]:
+    """(position, tree) of the rows of each sample, ascending: the first distinct numbers drawn, or every row of few."""
+    if filas <= muestra:
+        return [(p, a) for p in range(filas) for a in range(arboles)]
+    salida = []
+    for a in range(arboles):
+        vistas: set[int] = set()
+        for j in range(SORTEOS * muestra):
+            vistas.add(sorteo_de(semilla, a, j) % filas)
+            if len(vistas) == muestra:
+                break
+        salida += [(p, a) for p in vistas]
+    return sorted(salida)
+
+
+def muestras(validos: DataFrame, filas: int, arboles: int, muestra: int, semilla: int) -> DataFrame:
+    """Up to ``muestra`` distinct rows for each tree, as (arbol, measures).
+
+    Rows have positions 0..N-1 through the running counts of the pairs; each batch of
+    pairs picks out the draws (a fixed number of integers) that fall into its intervals.
     """
-    rng = random.Random(semilla)
-    tam = min(muestra, filas)
-    sorteo = sorted((p, a) for a in range(arboles) for p in rng.sample(range(filas), tam))
-    posiciones = np.array([p for p, _ in sorteo], dtype=np.int64)
-    duenos = np.array([a for _, a in sorteo], dtype=np.int32)
-    ancho = 2**31
-    codigo = F.col("ingresado").cast("long") * ancho + F.col("atendido")
-    acc = acumular(validos.select(codigo.alias("codigo"), "n"), valor="codigo")
+    lugares, duenos = (np.array(x, dtype=np.int64) for x in zip(*posiciones(filas, arboles, muestra, semilla)))
+    par = F.struct(F.col("ingresado").cast("long").alias("ingresado"), F.col("atendido").cast("long").alias("atendido"))
+    acc = acumular(validos.select(par.alias("par"), "n"), valor="par")
 
     def elegir(lotes: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lote in lotes:
-            desde = np.searchsorted(posiciones, lote["previos"].to_numpy())
-            hasta = np.searchsorted(posiciones, (lote["previos"] + lote["n"]).to_numpy())
+            desde = np.searchsorted(lugares, lote["previos"].to_numpy())
+            hasta = np.searchsorted(lugares, (lote["previos"] + lote["n"]).to_numpy())
             veces = hasta - desde
             fila = np.repeat(np.arange(len(lote)), veces)
             indice = np.arange(veces.sum()) - np.repeat(np.cumsum(veces) - veces, veces)
-            cod = lote["codigo"].to_numpy()[fila]
-            yield pd.DataFrame({"arbol": duenos[desde[fila] + indice], "codigo": cod})
-
-    elegidas = acc.select("codigo", "previos", "n").mapInPandas(elegir, "arbol int, codigo long")
-    ing = F.floor(F.col("codigo") / ancho).cast("long")
-    at = F.col("codigo") - ing * ancho
-    return elegidas.select(
-        "arbol",
-        ing.cast("double").alias("ingresado"),
-        at.cast("double").alias("atendido"),
-        (at / ing).alias("tasa_atencion"),
+            medidas = {c: lote[c].to_numpy()[fila] for c in VARIABLES[:2]}
+            yield pd.DataFrame({"arbol": duenos[desde[fila] + indice], **medidas})
+
+    elegidas = acc.select("par.ingresado", "par.atendido", "previos", "n").mapInPandas(
+        elegir, "arbol int, ingresado long, atendido long"
     )
+    ing, at = F.col("ingresado").cast("double"), F.col("atendido").cast("double")
+    return elegidas.select("arbol", ing.alias("ingresado"), at.alias("atendido"), (at / ing).alias("tasa_atencion"))
 
 
-_NODOS = "arbol int, nodo int, variable int, corte double, izquierdo int, derecho int, tamano int, nivel int"
-
-
-def _crecer(muestras: DataFrame, muestra: int, semilla: int) -> DataFrame:
-    """Node table of all trees; each group holds one tree's sample (``muestra`` rows)."""
-    columnas = list(VARIABLES)
-
-    def crecer(clave: tuple, datos: pd.DataFrame) -> pd.DataFrame:
-        arbol = int(clave[0])
-        rng = np.random.default_rng([semilla, arbol])
-        x = datos.sort_values(columnas)[columnas].to_numpy(dtype=float)
-        tope = int(np.ceil(np.log2(max(len(x), 2))))
-        nodos: list[list] = [[arbol, 0, -1, 0.0, -1, -1, len(x), 0]]
-        pendientes = [(0, x)]
-        while pendientes:
-            i, parte = pendientes.pop()
-            bajo, alto = parte.min(axis=0), parte.max(axis=0)
-            utiles = np.flatnonzero(alto > bajo)
-            if nodos[i][7] >= tope or len(parte) <= 1 or len(utiles) == 0:
-                continue
-            v = int(rng.choice(utiles))
-            corte = float(rng.uniform(bajo[v], alto[v]))
-            lado = parte[:, v] <= corte
-            hijos = []
-            for sub in (parte[lado], parte[~lado]):
-                hijos.append(len(nodos))
-                nodos.append([arbol, len(nodos), -1, 0.0, -1, -1, len(sub), nodos[i][7] + 1])
-                if len(sub):
-                    pendientes.append((hijos[-1], sub))
-            nodos[i][2:6] = [v, corte, *hijos]
-        nombres = [c.split()[0] for c in _esquema.split(", ")]
-        return pd.DataFrame(nodos, columns=nombres)
-
-    _esquema = _NODOS
-    return muestras.groupBy("arbol").applyInPandas(crecer, _NODOS)
-
-
-def _puntuar(validos: DataFrame, nodos: pd.DataFrame, muestra: int) -> DataFrame:
-    """Anomaly score 2^(-E[path] / c(sample)) of every pair."""
-
-    def c(n: np.ndarray) -> np.ndarray:
-        n = np.asarray(n, dtype=float)
-        m = np.maximum(n - 1, 1)
-        largo = 2 * (np.log(m) + np.euler_gamma) - 2 * m / np.maximum(n, 1)
-        return np.where(n > 2, largo, np.where(n == 2, 1.0, 0.0))
-
-    # Trees laid end to end: child numbers become positions in the whole table.
-    nodos = nodos.sort_values(["arbol", "nodo"]).reset_index(drop=True)
-    raices = nodos.index[nodos["nodo"] == 0].to_numpy()
-    base = raices[nodos["arbol"].rank(method="dense").astype(int).to_numpy() - 1]
-    hoja = nodos["variable"].to_numpy() < 0
-    aqui = np.arange(len(nodos))
-    bosque = {
-        "raices": raices,
-        "variable": np.where(hoja, 0, nodos["variable"].to_numpy()),
-        "corte": nodos["corte"].to_numpy(),
-        "izq": np.where(hoja, aqui, base + nodos["izquierdo"].to_numpy()),
-        "der": np.where(hoja, aqui, base + nodos["derecho"].to_numpy()),
-        "largo": nodos["nivel"].to_numpy() + c(nodos["tamano"].to_numpy()),
-        "niveles": int(nodos["nivel"].max()),
-        "norma": float(c(np.array([muestra]))[0]),
-    }
-    compartido = validos.sparkSession.sparkContext.broadcast(bosque)
+def crecer(sorteadas: DataFrame, muestra: int, semilla: int) -> DataFrame:
+    """Node table (arbol, nodo, variable, corte, tamano, nivel) of all trees; a leaf has no variable.
+
+    The children of node i are 2 i + 1 (up to the cut) and 2 i + 2.  A node that is not
+    at the last level and whose rows differ is cut at a drawn point between the least
+    and the largest value of a drawn variable.
+    """
+    tope = max(1, int(np.ceil(np.log2(max(muestra, 2)))))
+    filas = sorteadas.withColumn("nodo", F.lit(0).cast("long"))
+    partes = []
+    for nivel in range(tope + 1):
+        extremos = [f(v).alias(f"{n}_{v}") for v in VARIABLES for n, f in (("min", F.min), ("max", F.max))]
+        nodos = filas.groupBy("arbol", "nodo").agg(F.count(F.lit(1)).alias("tamano"), *extremos)
+        utiles = F.array_compact(
+            F.array(*[F.when(F.col(f"max_{v}") > F.col(f"min_{v}"), F.lit(i)) for i, v in enumerate(VARIABLES)])
+        )
+        divide = (F.size("utiles") > 0) if nivel < tope else F.lit(False)
+        cual = (sorteo(semilla, F.col("arbol"), F.col("nodo"), F.lit(0)) % F.size("utiles")).cast("int")
+        parte = sorteo(semilla, F.col("arbol"), F.col("nodo"), F.lit(1)) / F.lit(PRIMO + 1.0)
+
+        def de(prefijo: str) -> Column:
+            return F.get(F.array(*[F.col(f"{prefijo}_{v}") for v in VARIABLES]), F.col("variable"))
+
+        nodos = nodos.withColumn("utiles", utiles).withColumn("variable", F.when(divide, F.get("utiles", cual)))
+        corte = de("min") + (de("max") - de("min")) * parte
+        nodos = cortar(
+            nodos.select("arbol", "nodo", "variable", corte.alias("corte"), "tamano", F.lit(nivel).alias("nivel"))
+        )
+        partes.append(nodos)
+        divididos = nodos.filter(F.col("variable").isNotNull()).select("arbol", "nodo", "variable", "corte")
+        valor = F.get(F.array(*map(F.col, VARIABLES)), F.col("variable"))
+        hijo = 2 * F.col("nodo") + 1 + (valor > F.col("corte")).cast("long")
+        filas = filas.join(divididos, ["arbol", "nodo"]).select("arbol", hijo.alias("nodo"), *VARIABLES)
+    return reduce(DataFrame.unionByName, partes)
+
+
+def _media_de_caminos(n: np.ndarray) -> np.ndarray:
+    """Mean path length of an unsuccessful search among n rows."""
+    n = np.asarray(n, dtype=float)
+    m = np.maximum(n - 1, 1)
+    largo = 2 * (np.log(m) + np.euler_gamma) - 2 * m / np.maximum(n, 1)
+    return np.where(n > 2, largo, np.where(n == 2, 1.0, 0.0))
+
+
+def puntuar(validos: DataFrame, nodos: pd.DataFrame, arboles: int, muestra: int) -> DataFrame:
+    """Anomaly score 2^(-E[path] / c(sample)) of every pair, to nine digits."""
+    # Trees as one table of all possible nodes; a child without rows is a leaf of size 0.
+    niveles = int(nodos["nivel"].max()) + 1
+    ancho = 2 ** (niveles + 1) - 1
+    lugar = nodos["arbol"].to_numpy() * ancho + nodos["nodo"].to_numpy()
+    variable, corte, tamano = np.full(arboles * ancho, -1), np.zeros(arboles * ancho), np.zeros(arboles * ancho)
+    variable[lugar] = nodos["variable"].fillna(-1).to_numpy(int)
+    corte[lugar], tamano[lugar] = nodos["corte"].fillna(0).to_numpy(), nodos["tamano"].to_numpy()
+    nivel = np.floor(np.log2(np.arange(1, ancho + 1)))
+    largo = np.floor((np.tile(nivel, arboles) + _media_de_caminos(tamano)) * ESCALA + 0.5).astype(np.int64)
+    norma = float(_media_de_caminos(np.array([muestra]))[0])
+    compartido = validos.sparkSession.sparkContext.broadcast((variable, corte, largo))
 
     @F.pandas_udf("double")
     def puntaje(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
-        f = compartido.value
+        variable, corte, largo = compartido.value
         x = np.column_stack([a.to_numpy(float), b.to_numpy(float), t.to_numpy(float)])
         filas = np.arange(len(x))
-        suma = np.zeros(len(x))
-        for raiz in f["raices"]:
-            pos = np.full(len(x), raiz)
-            for _ in range(f["niveles"]):
-                baja = x[filas, f["variable"][pos]] <= f["corte"][pos]
-                pos = np.where(baja, f["izq"][pos], f["der"][pos])
-            suma += f["largo"][pos]
-        return pd.Series(np.exp2(-suma / len(f["raices"]) / f["norma"]))
+        suma = np.zeros(len(x), np.int64)
+        for raiz in range(0, len(variable), ancho):
+            nodo = np.zeros(len(x), np.int64)
+            for _ in range(niveles):
+                v = variable[raiz + nodo]
+                sigue = v >= 0
+                hijo = 2 * nodo + 1 + (x[filas, np.maximum(v, 0)] > corte[raiz + nodo])
+                nodo = np.where(sigue, hijo, nodo)
+            suma += largo[raiz + nodo]
+        return pd.Series(np.exp2(-(suma / ESCALA) / arboles / norma))
 
-    return validos.withColumn("puntaje", puntaje(*VARIABLES))
+    return validos.withColumn("puntaje", F.round(puntaje(*VARIABLES), 9))
 
 
 def marcar_multivariados(
@@ -159,9 +167,10 @@ def marcar_multivariados(
     filas = validos.agg(F.sum("n")).first()[0] or 0
     if filas < MINIMO_FILAS:
         return None
-    m = _muestras(validos, filas, arboles, muestra, semilla)
-    nodos = _crecer(m, muestra, semilla).toPandas()  # at most 2 * sample nodes per tree
-    con = cortar(_puntuar(validos, nodos, min(muestra, filas)))
+    tam = min(muestra, filas)
+    m = cortar(muestras(validos, filas, arboles, muestra, semilla))
+    nodos = crecer(m, tam, semilla).toPandas()  # at most 2 * sample nodes per tree
+    con = cortar(puntuar(validos, nodos, arboles, tam))
     freq = con.groupBy("puntaje").agg(F.sum("n").alias("n"))
     corte = acumular(freq, valor="puntaje").agg(cuantil_agregado(1 - contaminacion, "puntaje"))
     return cortar(con.withColumn("es_outlier", F.col("puntaje") > corte.scalar()))
@@ -194,9 +203,7 @@ def casos_multivariados(df: DataFrame, marcados: DataFrame, k: int = K_CASOS) ->
     )
 
 
-def dispersion_multivariada(marcados: DataFrame) -> DataFrame:
-    """Points of the filed/attended chart with the flag and the end of the diagonal."""
+def dispersion_multivariada(marcados: DataFrame, celdas: int = BARRAS) -> DataFrame:
+    """The filed/attended chart as counts on a grid of cells, flagged rows apart, with the end of the diagonal."""
     tope = marcados.agg(F.greatest(F.max("ingresado"), F.max("atendido")) * 1.1).scalar()
-    return marcados.select(
-        "ingresado", "atendido", "n", "es_outlier", tope.alias("fin_diagonal")
-    )
+    return rejilla(marcados, "ingresado", "atendido", celdas, "es_outlier").withColumn("fin_diagonal", tope)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -84,7 +84,7 @@ def _chequeos() -> dict[str, Column]:
 
 
 def _filas_regla(tabla: str, reglas: Mapping[tuple[str, str], Column]) -> Column:
-    """Rows of the violations table for counts held in columns ``_0, _1, ...``."""
+    """Rows of the violations table for counts and examples held in columns ``_0, _e0, _1, ...``."""
     return F.inline(
         F.array(
             *[
@@ -92,8 +92,8 @@ def _filas_regla(tabla: str, reglas: Mapping[tuple[str, str], Column]) -> Column
                     F.lit(regla).alias("regla"),
                     F.lit(tabla).alias("tabla"),
                     F.lit(clave).alias("clave"),
-                    F.coalesce(F.col(f"_{i}"), F.lit(0)).alias("violaciones"),
-                    F.lit(None).cast("string").alias("ejemplo"),
+                    F.coalesce(F.col(f"_{i}"), F.lit(0)).cast("long").alias("violaciones"),
+                    F.col(f"_e{i}").cast("string").alias("ejemplo"),
                 )
                 for i, (regla, clave) in enumerate(reglas)
             ]
@@ -101,12 +101,49 @@ def _filas_regla(tabla: str, reglas: Mapping[tuple[str, str], Column]) -> Column
     )
 
 
+def _texto(columnas: Sequence[str]) -> Column:
+    """The cells of a row as one text, a missing one empty."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columnas])
+
+
 def contar_reglas(df: DataFrame, tabla: str, reglas: Mapping[tuple[str, str], Column]) -> DataFrame:
-    """Evaluate many row conditions in one pass; keys are ``(rule, column)``."""
-    conteos = [F.count_if(cond).alias(f"_{i}") for i, cond in enumerate(reglas.values())]
+    """Evaluate many row conditions in one pass; keys are ``(rule, column)``.
+
+    The example is the smallest offending value, or for a missing one the row's other
+    cells.
+    """
+    resto = [c for c in df.columns if not c.startswith("id_") and c != "created_at"]
+    conteos = []
+    for i, ((regla, clave), cond) in enumerate(reglas.items()):
+        muestra = _texto([c for c in resto if c != clave]) if regla == "NOT NULL" else F.col(clave)
+        conteos += [F.count_if(cond).alias(f"_{i}"), F.min(F.when(cond, muestra)).alias(f"_e{i}")]
     return df.agg(*conteos).select(_filas_regla(tabla, reglas))
 
 
+# Cells that stand for a fact row in an example.
+MUESTRA_HECHOS = ("casos_ingresados", "casos_atendidos", "fecha_descarga", "fecha_corte")
+
+
+def _reglas_hechos(
+    hechos: DataFrame, claves: DataFrame, reglas: Mapping[tuple[str, str], Column]
+) -> DataFrame:
+    """Rule counts summed up from the used keys; an example is looked up only for rules that some row breaks."""
+    sumas = claves.agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(len(reglas))]).first()
+    rotas = {i: cond for i, cond in enumerate(reglas.values()) if sumas[f"_{i}"]}
+    ejemplos = {}
+    if rotas:
+        texto = _texto(MUESTRA_HECHOS)
+        malas = hechos.filter(reduce(Column.__or__, rotas.values()))
+        ejemplos = malas.agg(*[F.min(F.when(c, texto)).alias(f"_e{i}") for i, c in rotas.items()]).first().asDict()
+    filas = [
+        (regla, HECHOS, clave, int(sumas[f"_{i}"] or 0), ejemplos.get(f"_e{i}"))
+        for i, (regla, clave) in enumerate(reglas)
+    ]
+    return hechos.sparkSession.createDataFrame(
+        filas, "regla string, tabla string, clave string, violaciones long, ejemplo string"
+    )
+
+
 def _pasada_hechos(
     hechos: DataFrame, reglas: Mapping[tuple[str, str], Column]
 ) -> DataFrame:
@@ -176,8 +213,7 @@ def violaciones(dims: Mapping[str, DataFrame], hechos: DataFrame) -> DataFrame:
     reglas = {("NOT NULL", c): F.col(c).isNull() for c in NO_NULOS_HECHOS}
     reglas |= {("CHECK", k): cond for k, cond in _chequeos().items()}
     claves = _pasada_hechos(hechos, reglas)
-    sumas = [F.sum(f"_{i}").alias(f"_{i}") for i in range(len(reglas))]
-    partes.append(claves.agg(*sumas).select(_filas_regla(HECHOS, reglas)))
+    partes.append(_reglas_hechos(hechos, claves, reglas))
     # Anti-joins run on the distinct keys only.
     for fk, t in FORANEAS_HECHOS.items():
         usadas = claves.filter((F.col("variable") == fk) & F.col("valor").isNotNull())

@@ -17,7 +17,13 @@ from balanza.functions.clases import (
     nivel_concentracion,
     signo_correlacion,
 )
-from balanza.functions.estadistica import jarque_bera, p_jarque_bera, p_valor_pendiente
+from balanza.functions.estadistica import (
+    jarque_bera,
+    normal_acumulada,
+    p_jarque_bera,
+    p_lilliefors,
+    p_valor_pendiente,
+)
 from balanza.functions.tasas import derivar_metricas, tasa_nula
 from balanza.operators.frecuencias import (
     acumular,
@@ -212,15 +218,28 @@ def perfil_numerico(
 
 
 def normalidad(df: DataFrame, variables: Sequence[str] = ROLES.numericas) -> DataFrame:
-    """Jarque-Bera test on all rows: statistic, exact tail and verdict."""
-    m = momentos(tabla_larga(df, variables), ["variable"])
-    m = m.withColumns({"skewness": asimetria(), "kurtosis": curtosis_exceso()})
+    """Two tests of normality on all rows: Jarque-Bera on the moments, Lilliefors on the whole distribution.
+
+    ``ks`` is the largest distance between the distribution of the rows, before and at
+    each distinct value, and the normal one with their mean and sample deviation.
+    """
+    g = ["variable"]
+    freq = cortar(tabla_larga(df, variables))
+    m = momentos(freq, g).withColumns({"skewness": asimetria(), "kurtosis": curtosis_exceso(), "_std": std_muestral()})
+    m = cortar(m.filter(F.col("conteo") >= 3))
+    con = unir_por_grupo(acumular(freq, g), m.select("variable", "media", "_std"), g, ["media", "_std"])
+    teorica = normal_acumulada((F.col("valor") - F.col("media")) / F.col("_std"))
+    antes, hasta = F.col("previos") / F.col("total"), (F.col("previos") + F.col("n")) / F.col("total")
+    lejos = F.greatest(F.abs(antes - teorica), F.abs(hasta - teorica))
+    ks = con.groupBy(*g).agg(F.max(F.when(F.col("_std") > 0, lejos)).alias("ks"))
     jb = jarque_bera(F.col("conteo"), F.col("skewness"), F.col("kurtosis"))
     return (
-        m.filter(F.col("conteo") >= 3)
-        .select("variable", "conteo", "skewness", "kurtosis", jb.alias("jb"))
+        m.select("variable", "conteo", "skewness", "kurtosis", jb.alias("jb"))
         .withColumn("p_valor", p_jarque_bera(F.col("jb")))
         .withColumn("es_normal", F.col("p_valor") > NIVEL_SIGNIFICANCIA)
+        .join(ks, g, "left")
+        .withColumn("ks_p", p_lilliefors(F.col("ks"), F.col("conteo")))
+        .withColumn("es_normal_ks", F.col("ks_p") > NIVEL_SIGNIFICANCIA)
     )
 
 

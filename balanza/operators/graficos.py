@@ -426,16 +426,15 @@ def recta_registros(pares: DataFrame, puntos: int = PUNTOS) -> DataFrame:
     )
 
 
-def dispersion_registros(pares: DataFrame, celdas: int = BARRAS) -> DataFrame:
-    """Volume/rate scatter as counts on a grid of cells."""
-    validos = pares.filter(F.col("tasa_atencion").isNotNull())
+def rejilla(pares: DataFrame, x: str, y: str, celdas: int, *claves: str) -> DataFrame:
+    """Rows counted on a grid of ``celdas`` by ``celdas`` cells between the extremes of both columns."""
     lim = cortar(
-        validos.agg(
+        pares.agg(
             F.struct(
-                F.min("ingresado").cast("double").alias("x0"),
-                F.max("ingresado").cast("double").alias("x1"),
-                F.min("tasa_atencion").alias("y0"),
-                F.max("tasa_atencion").alias("y1"),
+                F.min(x).cast("double").alias("x0"),
+                F.max(x).cast("double").alias("x1"),
+                F.min(y).cast("double").alias("y0"),
+                F.max(y).cast("double").alias("y1"),
             ).alias("l")
         )
     ).scalar()
@@ -445,7 +444,11 @@ def dispersion_registros(pares: DataFrame, celdas: int = BARRAS) -> DataFrame:
         pos = F.when(b > a, (F.col(c) - a) * celdas / (b - a)).otherwise(0.0)
         return F.least(F.floor(pos), F.lit(celdas - 1)).cast("int")
 
-    return validos.groupBy(
-        celda("ingresado", "x0", "x1").alias("celda_x"),
-        celda("tasa_atencion", "y0", "y1").alias("celda_y"),
-    ).agg(F.sum("n").alias("registros"))
+    return pares.groupBy(*claves, celda(x, "x0", "x1").alias("celda_x"), celda(y, "y0", "y1").alias("celda_y")).agg(
+        F.sum("n").alias("registros")
+    )
+
+
+def dispersion_registros(pares: DataFrame, celdas: int = BARRAS) -> DataFrame:
+    """Volume/rate scatter as counts on a grid of cells."""
+    return rejilla(pares.filter(F.col("tasa_atencion").isNotNull()), "ingresado", "tasa_atencion", celdas)

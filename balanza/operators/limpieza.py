@@ -115,7 +115,10 @@ def limpiar(
 
 
 def perfil_calidad(df: DataFrame, claves: Sequence[str] = ("anio",)) -> DataFrame:
-    """Rows, columns, duplicate rows and nulls per column, in long form."""
+    """Rows, columns, duplicate rows, and nulls and type per column, in long form.
+
+    Counts are in ``valor``, types in ``texto``.
+    """
     columnas = df.columns
     copias = df.groupBy(*columnas).agg(F.count(F.lit(1)).alias("_n"))
     agregados = [
@@ -131,14 +134,17 @@ def perfil_calidad(df: DataFrame, claves: Sequence[str] = ("anio",)) -> DataFram
     g = copias.groupBy(*[anio_de_fila(F.col(k)).alias(f"_{k}") for k in claves]).agg(*agregados)
     filas = [(m, None, m) for m in ("filas", "columnas", "duplicados")]
     filas += [("nulos", c, f"nulos_{i}") for i, c in enumerate(columnas)]
+    celdas = [(m, c, F.col(origen), None) for m, c, origen in filas]
+    celdas += [("tipo", c, F.lit(None), tipo) for c, tipo in df.dtypes]
     largo = F.array(
         *[
             F.struct(
                 F.lit(m).alias("metrica"),
                 F.lit(c).cast("string").alias("columna"),
-                F.col(origen).alias("valor"),
+                valor.cast("long").alias("valor"),
+                F.lit(texto).cast("string").alias("texto"),
             )
-            for m, c, origen in filas
+            for m, c, valor, texto in celdas
         ]
     )
     return g.select(*[F.col(f"_{k}").alias(k) for k in claves], F.inline(largo))

@@ -81,6 +81,11 @@ def disparidad_departamental(df: DataFrame) -> DataFrame:
             F.try_divide(suma("atendido"), suma("ingresado")).alias("_tasa"),
         )
     )
+    return comparar_extremos(dep)
+
+
+def comparar_extremos(dep: DataFrame) -> DataFrame:
+    """First and last department of (dpto_pjfs, _media, _tasa) by the mean, with their rates and the gap."""
     mas, alta, menos, baja = _extremos(dep, "dpto_pjfs", "_media", "_tasa")
     return dep.agg(
         mas.alias("departamento_mas_eficiente"),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from balanza.operators import bi, calidad, dimensiones, estrella
+from balanza.sesion import cortar_varios
 from balanza.sinks import salidas
+from balanza.sources import referencia
 
 
 def analizar_dimensiones(df: DataFrame) -> dict[str, DataFrame]:
@@ -47,14 +51,41 @@ def cargar_almacen(
     base: str,
     region: Column | None = None,
     sentinela_a_nulo: bool = True,
+    publicadas: bool = False,
 ) -> DataFrame:
-    """Build and write the star schema of a clean table; return the wide view over it."""
-    dims = estrella.construir_dimensiones(df, region)
+    """Build and write the star schema of a clean table; return the wide view over it.
+
+    With ``publicadas`` the dimension tables begin with the published rows.
+    """
+    previas = referencia.dimensiones_publicadas(df.sparkSession) if publicadas else None
+    dims = estrella.construir_dimensiones(df, region, previas=previas)
     hechos = estrella.construir_hechos(df, dims, sentinela_a_nulo)
     salidas.escribir_estrella(dims, hechos, base)
     return abrir_almacen(df.sparkSession, base)
 
 
+def agregar_anios(
+    df: DataFrame,
+    base: str,
+    region: Column | None = None,
+    sentinela_a_nulo: bool = True,
+) -> DataFrame:
+    """Load the years of ``df`` into a written star schema; return the wide view over it.
+
+    Keys given before stay; values not met before get the keys after them.  The facts of
+    the years in ``df`` are replaced, all others stay, so loading a year twice is the
+    same as loading it once.
+    """
+    spark = df.sparkSession
+    claves = {t: id_col for t, (id_col, _) in estrella.CLAVES.items()}
+    previas, _ = salidas.leer_estrella(spark, base, list(claves))
+    previas = cortar_varios({t: d.drop("created_at") for t, d in previas.items()})
+    dims = estrella.construir_dimensiones(df, region, previas=previas)
+    hechos = estrella.construir_hechos(df, dims, sentinela_a_nulo)
+    salidas.agregar_estrella(dims, previas, claves, hechos, base)
+    return abrir_almacen(spark, base)
+
+
 def abrir_almacen(spark: SparkSession, base: str) -> DataFrame:
     """Wide view over a written star schema."""
     dims, hechos = salidas.leer_estrella(spark, base, list(estrella.CLAVES))
@@ -103,19 +134,58 @@ RETURN
 """
 
 
-def publicar_vistas(vista: DataFrame) -> None:
+# Views whose ranks or shares need whole groups: with a folder they are tables, and the year each row belongs to.
+TABLAS_BI = {
+    "v_performance_distrito": (bi.performance_distrito, "anio"),
+    "v_analisis_materia": (bi.analisis_materia, "anio"),
+    "v_fiscalias_especializadas": (bi.fiscalias_especializadas, "anio"),
+    "v_top_performers": (bi.top_performers, None),
+}
+
+
+def _escribir_tablas(vista: DataFrame, base: str, anios: Sequence[int] | None) -> None:
+    """Ranks and shares of the given years (of all without ``anios``), by range partitions; a table over all years is written whole."""
+    propias = vista if anios is None else vista.filter(F.col("anio").isin(*anios))
+    for nombre, (f, clave) in TABLAS_BI.items():
+        df = f(propias if clave else vista)
+        escritor = df.write.mode("overwrite")
+        if clave:
+            escritor = escritor.partitionBy(clave)
+            if anios is not None:
+                escritor = escritor.option("partitionOverwriteMode", "dynamic")
+        escritor.parquet(f"{base}/vistas/{nombre}")
+
+
+def publicar_vistas(vista: DataFrame, base: str | None = None) -> None:
     """Register the wide view, the seven report views and the percentile table function.
 
-    All are pure plans over the written tables.  After the tables were written again,
-    ``refrescar_vistas`` makes them look for the new files.
+    Without ``base`` all are pure plans over the written tables; ranks and shares are
+    then plain windows, one task for a group of the aggregate.  With the folder of the
+    star schema, the views that need whole groups are tables below it, ranked by range
+    partitions.  After the tables were written again, ``refrescar_vistas`` makes the
+    views follow.
     """
+    spark = vista.sparkSession
     vista.createOrReplaceTempView(VISTA)
+    if base is not None:
+        _escribir_tablas(vista, base, None)
     for nombre, f in VISTAS_BI.items():
-        f(vista).createOrReplaceTempView(nombre)
-    vista.sparkSession.sql(_FUNCION)
+        if base is not None and nombre in TABLAS_BI:
+            orden = f(vista).columns
+            spark.read.parquet(f"{base}/vistas/{nombre}").select(*orden).createOrReplaceTempView(nombre)
+        else:
+            f(vista).createOrReplaceTempView(nombre)
+    spark.sql(_FUNCION)
 
 
-def refrescar_vistas(spark: SparkSession) -> None:
-    """Let the published views see tables that were written after they were published."""
-    for nombre in (VISTA, *VISTAS_BI):
+def refrescar_vistas(spark: SparkSession, base: str | None = None, anios: Sequence[int] | None = None) -> None:
+    """Let the published views see tables that were written after they were published.
+
+    With ``base`` the tables of ``publicar_vistas`` are renewed, for ``anios`` only where
+    a row belongs to one year.
+    """
+    spark.catalog.refreshTable(VISTA)
+    if base is not None:
+        _escribir_tablas(abrir_almacen(spark, base), base, anios)
+    for nombre in VISTAS_BI:
         spark.catalog.refreshTable(nombre)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from balanza.esquema import ROLES
@@ -13,6 +13,7 @@ from balanza.operators import (
     atipicos,
     bi,
     bosque,
+    bosquejos,
     calidad,
     descriptiva,
     dimensiones,
@@ -24,7 +25,10 @@ from balanza.operators import (
     patrones,
 )
 from balanza.operators.vista import vista_desde_casos
-from balanza.sources.demo import TODAS, casos, casos_sucios
+from balanza.plans import almacen
+from balanza.sesion import carpeta_nueva, cortar, cortar_varios
+from balanza.sinks import salidas
+from balanza.sources.demo import TODAS, casos, casos_publicados, casos_sucios
 
 Consulta = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +73,8 @@ def _consultas_informes() -> dict[str, Consulta]:
 
 
 def _estrella(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    df = casos(spark, d)
+    # Read twice, for the dimensions and for the facts: the lookups of the source run once.
+    df = cortar(casos(spark, d))
     dims = estrella.construir_dimensiones(df, region=F.col("region_geografica"))
     return dims, estrella.construir_hechos(df, dims)
 
@@ -88,6 +93,76 @@ def _control_hechos(spark: SparkSession, d: str) -> DataFrame:
     return estrella.control_hechos(df, dims, estrella.construir_hechos(df, dims))
 
 
+def _con_nuevos(df: DataFrame) -> DataFrame:
+    """A third of the orders after 1997 with values that sort before all earlier ones, and other spellings of places."""
+    nuevo = (F.col("anio") > 1997) & (F.col("clave_orden") % 3 == 0)
+    columnas = ("distrito_fiscal", "tipo_fiscalia", "materia", "especialidad", "tipo_caso", "especializada", "prov_pjfs")
+    return df.withColumns({c: F.when(nuevo, F.concat(F.lit("AA "), c)).otherwise(F.col(c)) for c in columnas})
+
+
+def _dos_cargas(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
+    """The rows, the dimension tables of a load up to 1997, and all tables after the rest was added twice."""
+    base = carpeta_nueva(spark, "almacen")
+    df, region = _con_nuevos(casos(spark, d, (*TODAS, "clave_orden"))), F.col("region_geografica")
+    almacen.cargar_almacen(df.filter("anio <= 1997"), base, region)
+    tablas = list(estrella.CLAVES)
+    antes = cortar_varios(salidas.leer_estrella(spark, base, tablas)[0])
+    for _ in range(2):
+        almacen.agregar_anios(df.filter("anio > 1997"), base, region)
+    return df, antes, *salidas.leer_estrella(spark, base, tablas)
+
+
+def _almacen_incremental(spark: SparkSession, d: str) -> DataFrame:
+    df, _, dims, hechos = _dos_cargas(spark, d)
+    ids = hechos.join(dims["dim_tiempo"].select("id_tiempo", "anio"), "id_tiempo")
+    ids = ids.groupBy("anio").agg(F.countDistinct("id_caso").alias("casos_distintos"))
+    return estrella.control_hechos(df, dims, hechos).join(ids, "anio")
+
+
+def _claves_duraderas(spark: SparkSession, d: str) -> DataFrame:
+    _, antes, dims, _ = _dos_cargas(spark, d)
+    return estrella.comparar_claves(antes, dims)
+
+
+def _sembradas(spark: SparkSession, d: str) -> DataFrame:
+    """Constraint check of tables that break every kind of rule."""
+    df = casos_publicados(spark, d, (*TODAS, "clave_orden"))
+    k = F.col("clave_orden")
+
+    def si(cond: Column, valor: Column, c: str) -> Column:
+        return F.when(cond, valor).otherwise(F.col(c))
+
+    nulo = F.lit(None)
+    df = df.withColumns(
+        {
+            "materia": si(k % 97 == 0, nulo, "materia"),
+            "especialidad": si(k % 89 == 0, nulo, "especialidad"),
+            "tipo_caso": si(k % 101 == 0, F.concat(F.lit("INCIDENTE "), F.repeat(F.lit("Z"), 60)), "tipo_caso"),
+            "prov_pjfs": si(k % 3 == 0, F.concat("prov_pjfs", F.lit(" B")), "prov_pjfs"),
+            "ingresado": si(k % 307 == 0, F.lit(-5), "ingresado"),
+            "fecha_corte": si(k % 113 == 0, nulo, "fecha_corte"),
+        }
+    )
+    df = cortar(df)
+    dims = estrella.construir_dimensiones(df, region=F.col("region_geografica"))
+    hechos = estrella.construir_hechos(df, dims)
+    dims["dim_tipos_caso"] = dims["dim_tipos_caso"].filter("tipo_caso <> 'CONSULTAS'")
+    dims["dim_materias"] = dims["dim_materias"].filter("materia <> 'PROMO'")
+    dims["dim_tiempo"] = dims["dim_tiempo"].withColumn("periodo", F.when(F.col("anio") > 1996, F.col("periodo")))
+    return calidad.violaciones(dims, hechos)
+
+
+def _bosquejos(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches stored year by year, merged for two spans and held against the rows."""
+    columnas = ("distrito_fiscal", "materia", "especialidad", "tipo_caso")
+    df = cortar(casos(spark, d, ("anio", *columnas, *_MEDIDAS)))
+    ruta = carpeta_nueva(spark, "bosquejos")
+    for parte in (F.col("anio") <= 1997, F.col("anio") > 1997):
+        bosquejos.guardar_bosquejos(bosquejos.bosquejar(df.filter(parte), columnas, _MEDIDAS), ruta)
+    guardados = spark.read.parquet(ruta)
+    return bosquejos.contraste(df, guardados, 1995, 2001).unionByName(bosquejos.contraste(df, guardados, 1997, 1998))
+
+
 def _vista_completa(spark: SparkSession, d: str) -> DataFrame:
     v = estrella.vista_casos_completo(*_estrella(spark, d))
     return v.drop("id_caso").withColumn("tasa_atencion", F.col("tasa_atencion").cast("double"))
@@ -134,7 +209,11 @@ def _consultas_dimension() -> dict[str, Consulta]:
         "region_geografica",
     )
     salida["control_hechos"] = _control_hechos
+    salida["almacen_incremental"] = _almacen_incremental
+    salida["claves_duraderas"] = _claves_duraderas
     salida["vista_completa"] = _vista_completa
+    salida["bosquejos_por_periodo"] = _bosquejos
+    salida["dq_sembradas"] = _sembradas
     salida["dq_violaciones"] = lambda s, d: calidad.violaciones(*_estrella(s, d))
     return salida
 
@@ -210,6 +289,8 @@ def _consultas_descriptivas() -> dict[str, Consulta]:
             "skewness",
             "kurtosis",
             "p_valor",
+            "ks",
+            "ks_p",
         ),
         "perfil_eda_categorico": lambda s, d: _seis(
             de.perfil_categorico(casos(s, d, ROLES.categoricas)),
@@ -370,12 +451,12 @@ def _consultas_modelos() -> dict[str, Consulta]:
         return bosque.marcar_multivariados(_pares(s, d))
 
     return {
-        "clusters_perfil": lambda s, d: grupos.clusters_perfil(_pares(s, d)),
-        "outliers_multivariados": lambda s, d: bosque.outliers_multivariados(marcados(s, d)),
+        "clusters_perfil": lambda s, d: _redondear(grupos.clusters_perfil(_pares(s, d))),
+        "outliers_multivariados": lambda s, d: _redondear(bosque.outliers_multivariados(marcados(s, d))),
         "casos_multivariados": lambda s, d: bosque.casos_multivariados(
             casos(s, d, ("distrito_fiscal", "materia", *_MEDIDAS)), marcados(s, d)
         ),
-        "dispersion_multivariada": lambda s, d: bosque.dispersion_multivariada(marcados(s, d)),
+        "dispersion_multivariada": lambda s, d: _redondear(bosque.dispersion_multivariada(marcados(s, d))),
         "hallazgos": lambda s, d: _redondear(
             hallazgos.hallazgos(
                 casos(
@@ -390,13 +471,47 @@ def _consultas_modelos() -> dict[str, Consulta]:
                         *_MEDIDAS,
                     ),
                 )
-            ).drop("texto")
+            )
+        ),
+    }
+
+
+def _consultas_publicadas() -> dict[str, Consulta]:
+    """Rules on names and extreme measures, over rows that reach every branch."""
+    dim, at, pa = dimensiones, atipicos, patrones
+
+    def pares(s: SparkSession, d: str) -> DataFrame:
+        return descriptiva.pares_medidas(casos_publicados(s, d, _MEDIDAS))
+
+    def fuente(f: Callable[[DataFrame], DataFrame], *columnas: str) -> Consulta:
+        return lambda s, d: f(casos_publicados(s, d, columnas))
+
+    lugar = ("ubigeo_pjfs", "dpto_pjfs", "prov_pjfs", "dist_pjfs")
+    base = {
+        "dim_tipos_caso": fuente(dim.dim_tipos_caso, "tipo_caso"),
+        "tipos_caso_por_categoria": fuente(lambda df: dim.conteo_por_clase(dim.dim_tipos_caso(df), "categoria"), "tipo_caso"),
+        "dim_fiscalias_especializadas": fuente(dim.dim_fiscalias_especializadas, "especializada"),
+        "fiscalias_por_area": fuente(
+            lambda df: dim.conteo_por_clase(dim.dim_fiscalias_especializadas(df), "area_especializacion"), "especializada"
+        ),
+        "dim_ubicaciones": fuente(lambda df: dim.dim_ubicaciones(df).drop("registros"), *lugar),
+        "ubicaciones_por_region": fuente(lambda df: dim.conteo_por_clase(dim.dim_ubicaciones(df), "region_geografica"), *lugar),
+        "dim_tipos_fiscalia": fuente(dim.dim_tipos_fiscalia, "tipo_fiscalia"),
+        "filas_anomalas": fuente(pa.filas_anomalas, "anio", "distrito_fiscal", "materia", *_MEDIDAS),
+        "anomalias": lambda s, d: _redondear(pa.anomalias(pares(s, d))),
+        "outliers_contextuales": lambda s, d: _redondear(at.outliers_contextuales(pares(s, d))),
+        "casos_contextuales": lambda s, d: _redondear(
+            at.casos_contextuales(
+                derivar_metricas(casos_publicados(s, d, ("distrito_fiscal", "materia", "especializada", *_MEDIDAS))), pares(s, d)
+            )
         ),
     }
+    return {f"{nombre}_publicados": f for nombre, f in base.items()}
 
 
 def consultas() -> dict[str, Consulta]:
     return {
+        **_consultas_publicadas(),
         **_consultas_informes(),
         **_consultas_dimension(),
         **_consultas_limpieza(),

@@ -15,8 +15,10 @@ from balanza.sinks import salidas
 from balanza.sources.crudo import leer_limpio, tipar_limpio
 
 
-def estadisticas(plana: DataFrame, df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """``plana`` is the table before the derived columns of ``df``."""
+def estadisticas(
+    plana: DataFrame, df: DataFrame, pares: DataFrame, cubo: DataFrame
+) -> dict[str, Callable[[], DataFrame]]:
+    """``plana`` is the table before the derived columns of ``df``; sections of sums alone read ``cubo``."""
     de = descriptiva
     pearson, spearman = de.correlacion_pearson(pares), de.correlacion_spearman(pares)
     return {
@@ -27,7 +29,7 @@ def estadisticas(plana: DataFrame, df: DataFrame, pares: DataFrame) -> dict[str,
         "variables_categoricas": lambda: de.perfil_categorico(df),
         "metricas_eficiencia": lambda: de.metricas_eficiencia(pares),
         "metricas_volumen": lambda: de.metricas_volumen(df),
-        "metricas_temporales": lambda: de.metricas_temporales(df),
+        "metricas_temporales": lambda: de.metricas_temporales(cubo),
         "matriz_pearson": lambda: pearson,
         "matriz_spearman": lambda: spearman,
         "correlaciones_fuertes_pearson": lambda: de.correlaciones_fuertes(pearson),
@@ -35,14 +37,14 @@ def estadisticas(plana: DataFrame, df: DataFrame, pares: DataFrame) -> dict[str,
     }
 
 
-def patrones_y_sesgos(df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+def patrones_y_sesgos(df: DataFrame, pares: DataFrame, cubo: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     pa = patrones
     return {
-        "concentracion_departamental": lambda: pa.concentracion_departamental(df),
+        "concentracion_departamental": lambda: pa.concentracion_departamental(cubo),
         "disparidad_departamental": lambda: pa.disparidad_departamental(df),
         "estadisticas_anuales": lambda: pa.estadisticas_anuales(df),
-        "anios_atipicos": lambda: pa.anios_atipicos(df),
-        "sesgo_temporal": lambda: pa.sesgo_temporal(df),
+        "anios_atipicos": lambda: pa.anios_atipicos(cubo),
+        "sesgo_temporal": lambda: pa.sesgo_temporal(cubo),
         "dominancia_materia": lambda: pa.dominancia_materia(df),
         "eficiencia_tipo_fiscalia": lambda: pa.eficiencia_tipo_fiscalia(df),
         "efecto_especializacion": lambda: pa.efecto_especializacion(df),
@@ -67,9 +69,8 @@ def agrupaciones(pares: DataFrame, reinicios: int) -> dict[str, DataFrame]:
     return {"agrupaciones": perfil, "hallazgos_agrupaciones": hallazgos.hallazgos_grupos(perfil)}
 
 
-def multivariados(df: DataFrame, pares: DataFrame) -> dict[str, DataFrame]:
-    """Multivariate outliers, when there are rows enough; the forest is grown once."""
-    marcados = bosque.marcar_multivariados(pares)
+def multivariados(df: DataFrame, marcados: DataFrame | None) -> dict[str, DataFrame]:
+    """Multivariate outliers, when there are rows enough."""
     if marcados is None:
         return {}
     return {
@@ -79,7 +80,7 @@ def multivariados(df: DataFrame, pares: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def datos_graficos(df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+def datos_graficos(df: DataFrame, pares: DataFrame, cubo: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     gr = graficos
     return {
         "histograma": lambda: gr.histograma(pares),
@@ -92,16 +93,16 @@ def datos_graficos(df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], Da
         "mapa_spearman": lambda: descriptiva.triangulo_inferior(descriptiva.correlacion_spearman(pares)),
         "participacion_materia": lambda: gr.participacion(df, "materia"),
         "participacion_tipo_fiscalia": lambda: gr.participacion(df, "tipo_fiscalia"),
-        "top_distritos": lambda: gr.top_distritos(df),
-        "tasa_departamento": lambda: gr.tasa_departamento(df),
-        "participacion_departamentos": lambda: gr.participacion_departamentos(df),
-        "dispersion_distrito": lambda: gr.dispersion_distrito(df),
-        "regresion_distrito": lambda: gr.regresion_distrito(df),
-        "resumen_geografico": lambda: gr.resumen_geografico(df),
-        "evolucion_anual": lambda: descriptiva.evolucion_anual(df),
-        "pivot_anio_materia": lambda: gr.pivot_anio_materia(df),
-        "variacion_anual": lambda: gr.variacion_anual(df),
-        "resumen_periodo": lambda: gr.resumen_periodo(df),
+        "top_distritos": lambda: gr.top_distritos(cubo),
+        "tasa_departamento": lambda: gr.tasa_departamento(cubo),
+        "participacion_departamentos": lambda: gr.participacion_departamentos(cubo),
+        "dispersion_distrito": lambda: gr.dispersion_distrito(cubo),
+        "regresion_distrito": lambda: gr.regresion_distrito(cubo),
+        "resumen_geografico": lambda: gr.resumen_geografico(cubo),
+        "evolucion_anual": lambda: descriptiva.evolucion_anual(cubo),
+        "pivot_anio_materia": lambda: gr.pivot_anio_materia(cubo),
+        "variacion_anual": lambda: gr.variacion_anual(cubo),
+        "resumen_periodo": lambda: gr.resumen_periodo(cubo),
         "categorias_eficiencia": lambda: gr.categorias_eficiencia(pares),
         "eficiencia_materia": lambda: gr.eficiencia_materia(df),
         "barras_tipo_fiscalia": lambda: gr.barras_tipo_fiscalia(df),
@@ -115,17 +116,19 @@ def datos_graficos(df: DataFrame, pares: DataFrame) -> dict[str, Callable[[], Da
 def ejecutar_eda(df: DataFrame, reinicios: int = grupos.REINICIOS) -> dict[str, DataFrame]:
     """Every section of the analysis over one clean table."""
     base = derivar_metricas(tipar_limpio(df))
-    pares = descriptiva.pares_medidas(base)
+    pares, cubo = descriptiva.pares_medidas(base), descriptiva.cubo_casos(base)
     salida = construir(
         {
-            **estadisticas(df, base, pares),
-            **patrones_y_sesgos(base, pares),
+            **estadisticas(df, base, pares, cubo),
+            **patrones_y_sesgos(base, pares, cubo),
             **outliers(base, pares),
-            **datos_graficos(base, pares),
+            **datos_graficos(base, pares, cubo),
         }
     )
-    salida |= agrupaciones(pares, reinicios) | multivariados(base, pares)
-    metricas = hallazgos.metricas(pares, descriptiva.cubo_casos(base))
+    # The forest is grown once.
+    marcados = bosque.marcar_multivariados(pares)
+    salida |= agrupaciones(pares, reinicios) | multivariados(base, marcados)
+    metricas = hallazgos.metricas(pares, cubo, marcados)
     salida["hallazgos"] = hallazgos.evaluar(metricas)
     return salida
 

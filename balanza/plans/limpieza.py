@@ -10,7 +10,7 @@ from balanza.functions.texto import FORMATOS_FECHA
 from balanza.operators import limpieza as lim
 from balanza.sesion import cortar
 from balanza.sinks import salidas
-from balanza.sources.crudo import filas_rotas, leer_crudos
+from balanza.sources.crudo import ORIGEN, ROTA, contar_rotas, leer_crudos
 
 
 def reportes(crudo: DataFrame, limpio: DataFrame, formatos: Sequence[str] = FORMATOS_FECHA) -> dict[str, DataFrame]:
@@ -41,13 +41,14 @@ def ejecutar_limpieza(
 ) -> DataFrame:
     """Clean all years in one job, write the tables and the reports, return the clean table."""
     # The text is parsed once; everything below reads the written rows.
-    crudo = cortar(leer_crudos(spark, rutas))
+    leido = cortar(leer_crudos(spark, rutas, con_origen=True))
+    crudo = leido.drop(ORIGEN, ROTA)
     ruta = salidas.escribir_consolidado(lim.limpiar(crudo, formatos), carpeta)
     # From here on the written table is read, not the cleaning repeated.
     limpio = spark.read.parquet(ruta)
     if csv:
         salidas.escribir_csv_anuales(limpio, f"{carpeta}/csv")
-    informes = reportes(crudo, limpio, formatos) | {"filas_rotas": filas_rotas(spark, rutas)}
+    informes = reportes(crudo, limpio, formatos) | {"filas_rotas": contar_rotas(leido)}
     for nombre, df in informes.items():
         salidas.escribir_json(df, f"{carpeta_reportes}/{nombre}")
     return limpio

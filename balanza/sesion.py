@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
@@ -33,6 +34,12 @@ def asegurar_checkpoint(spark: SparkSession) -> None:
     sc.setCheckpointDir(carpeta)
 
 
+def carpeta_nueva(spark: SparkSession, nombre: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    asegurar_checkpoint(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{nombre}-{uuid.uuid4().hex}"
+
+
 # Frames returned by ``cortar``, with their exact row count once it was asked for.
 _FILAS: WeakKeyDictionary[DataFrame, int | None] = WeakKeyDictionary()
 

@@ -57,6 +57,36 @@ def escribir_estrella(dims: Mapping[str, DataFrame], hechos: DataFrame, base: st
     )
 
 
+def agregar_estrella(
+    dims: Mapping[str, DataFrame],
+    previas: Mapping[str, DataFrame],
+    claves: Mapping[str, str],
+    hechos: DataFrame,
+    base: str,
+) -> None:
+    """Add the dimension rows that ``previas`` lacks and replace the years that ``hechos`` has.
+
+    Dimension rows come first, and by key, so a load that broke off can be run again:
+    its new keys are found then and not given twice.  Only the folders of the years in
+    ``hechos`` are written anew; all other files stay.
+    """
+    ahora = F.current_timestamp().alias("created_at")
+    for nombre, d in dims.items():
+        clave = claves[nombre]
+        ultima = previas[nombre].agg(F.max(clave)).first()[0] or 0
+        nuevas = d.drop("created_at").filter(F.col(clave) > ultima)
+        if not nuevas.isEmpty():
+            nuevas.select("*", ahora).write.mode("append").parquet(f"{base}/{nombre}")
+    (
+        hechos.select("*", ahora)
+        .hint("rebalance", "id_tiempo")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("id_tiempo")
+        .parquet(f"{base}/{HECHOS}")
+    )
+
+
 def leer_estrella(
     spark: SparkSession, base: str, nombres: list[str]
 ) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from balanza.esquema import ANIO_DESCARGA, COLUMNAS_PLANAS
 from balanza.functions.texto import FALTANTES, a_entero, a_fecha, a_numero, faltante_a_nulo
+from balanza.sources.registros import leer_registros
 
 _LOG = logging.getLogger(__name__)
 
@@ -22,15 +22,8 @@ PATRON_LIMPIO = "*limpio.csv"
 
 
 # Quotes are doubled inside quoted cells, and a quoted cell may hold line breaks.
-_OPCIONES = {
-    "header": True,
-    "encoding": "UTF-8",
-    "quote": '"',
-    "escape": '"',
-    "multiLine": True,
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": "_rota",
-}
+_CELDAS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rota"}
+_CABECERA = {**_CELDAS, "header": True, "encoding": "UTF-8", "multiLine": True}
 
 
 def leer_csv(
@@ -39,23 +32,24 @@ def leer_csv(
     """One CSV file: text columns named by its own header; missing-cell tokens become null.
 
     Types are never inferred.  Rows with too many or too few cells keep the cells that
-    have a name; with ``con_rotas`` the text of such a row is given in ``_rota``.  As
-    cells may hold line breaks, a file is read by one task; years are read side by side.
+    have a name; with ``con_rotas`` the text of such a row is given in ``_rota``.  A file
+    is cut into records by many tasks, also where cells hold line breaks.
     """
-    columnas = spark.read.options(**_OPCIONES).csv(ruta).columns
-    esquema = StructType([StructField(c, StringType()) for c in (*columnas, "_rota")])
-    df = spark.read.options(**_OPCIONES).schema(esquema).csv(ruta)
+    columnas = spark.read.options(**_CABECERA).csv(ruta).columns
+    esquema = ", ".join(f"`{c}` STRING" for c in (*columnas, "_rota"))
+    celdas = F.from_csv("texto", esquema, _CELDAS)
+    df = leer_registros(spark, ruta).select(celdas.alias("c")).select("c.*")
     extra = ["_rota"] if con_rotas else []
     return df.select(
         *[faltante_a_nulo(F.col(f"`{c}`"), faltantes).alias(c) for c in columnas], *extra
     )
 
 
-def _abribles(spark: SparkSession, rutas: Mapping[int, str], con_rotas: bool) -> dict[int, DataFrame]:
+def _abribles(spark: SparkSession, rutas: Mapping[int, str]) -> dict[int, DataFrame]:
     partes = {}
     for anio, ruta in rutas.items():
         try:
-            partes[anio] = leer_csv(spark, ruta, con_rotas=con_rotas)
+            partes[anio] = leer_csv(spark, ruta, con_rotas=True)
         except AnalysisException as e:
             _LOG.error("year %s skipped: %s", anio, e.getCondition() or e)
     if not partes:
@@ -67,30 +61,35 @@ def _juntar(partes: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), partes)
 
 
-def leer_crudos(spark: SparkSession, rutas: Mapping[int, str]) -> DataFrame:
+# Columns that tell where a raw row comes from and whether its number of cells was wrong.
+ORIGEN, ROTA = "_anio_archivo", "_fila_rota"
+
+
+def leer_crudos(spark: SparkSession, rutas: Mapping[int, str], con_origen: bool = False) -> DataFrame:
     """All yearly files as one table, columns aligned by name.
 
     A year whose file cannot be opened is logged and left out; with no year left the
-    read fails.
+    read fails.  With ``con_origen`` the year of the file and a mark of broken rows come
+    along, so that ``contar_rotas`` needs no second reading.
     """
-    df = _juntar(list(_abribles(spark, rutas, False).values()))
-    return df.select(*[c for c in COLUMNAS_PLANAS if c in df.columns])
+    partes = [
+        df.withColumns({ORIGEN: F.lit(anio), ROTA: F.col("_rota").isNotNull()})
+        for anio, df in _abribles(spark, rutas).items()
+    ]
+    df = _juntar(partes)
+    extra = [ORIGEN, ROTA] if con_origen else []
+    return df.select(*[c for c in COLUMNAS_PLANAS if c in df.columns], *extra)
 
 
-def filas_rotas(spark: SparkSession, rutas: Mapping[int, str]) -> DataFrame:
+def contar_rotas(crudo: DataFrame) -> DataFrame:
     """For each yearly file its rows and how many have too many or too few cells."""
+    return crudo.groupBy(F.col(ORIGEN).alias("anio")).agg(
+        F.count(F.lit(1)).alias("filas"), F.count_if(ROTA).alias("filas_rotas")
+    )
+
 
-    def contar(anio: int, df: DataFrame) -> DataFrame:
-        # Spark refuses to read the text of broken rows alone, so a cell is read with it.
-        celda = F.coalesce(F.length(F.col(f"`{df.columns[0]}`")), F.lit(0))
-        conteos = df.agg(
-            F.sum(F.when(celda >= 0, 1)).alias("filas"), F.count("_rota").alias("filas_rotas")
-        )
-        return conteos.select(
-            F.lit(anio).alias("anio"), F.coalesce("filas", F.lit(0)).alias("filas"), "filas_rotas"
-        )
-
-    return _juntar([contar(a, df) for a, df in _abribles(spark, rutas, True).items()])
+def filas_rotas(spark: SparkSession, rutas: Mapping[int, str]) -> DataFrame:
+    return contar_rotas(leer_crudos(spark, rutas, con_origen=True))
 
 
 def tipar_limpio(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from balanza.esquema import ANIO_DESCARGA, COLUMNAS_PLANAS, SENTINELA
+from balanza.sources import referencia
 
 # How the columns of the case table are read from the order tables.
 PERIODO = "ENERO - DICIEMBRE"
@@ -145,3 +146,32 @@ def casos_sucios(spark: SparkSession, carpeta: str) -> DataFrame:
     sucio = df.withColumns(cambios)
     repetido = sucio.select("*", F.explode(F.sequence(F.lit(1), "copias")).alias("_copia"))
     return repetido.select(*[F.col(c).cast("string").alias(c) for c in COLUMNAS_PLANAS])
+
+
+def casos_publicados(
+    spark: SparkSession, carpeta: str, columnas: Sequence[str] = TODAS
+) -> DataFrame:
+    """The case table with published names, and with rows that meet every rule on names and measures.
+
+    Names follow from the order's number and the place; one order in 499 has ten times
+    the filed cases, one in 211 three times as many attended as filed.
+    """
+    df = casos(spark, carpeta, (*columnas, *[c for c in ("ubigeo_pjfs", "ingresado", "clave_orden") if c not in columnas]))
+    k = F.col("clave_orden")
+
+    def nombre(valores: Sequence[str], indice: Column) -> Column:
+        return F.get(F.array(*map(F.lit, valores)), indice.cast("int"))
+
+    departamentos = sorted({d[2] for d in referencia.DISTRITOS})
+    lugar = nombre(departamentos, F.floor(F.col("ubigeo_pjfs") / 10000) - 1)
+    ing = F.when(k % 499 == 0, F.col("ingresado") * 10).otherwise(F.col("ingresado"))
+    tipos = F.when(k % 10 == 0, F.lit("ESPECIAL")).otherwise(nombre(referencia.TIPOS_FISCALIA, k % 3))
+    cambios = {
+        "tipo_caso": nombre(referencia.TIPOS_CASO, k % len(referencia.TIPOS_CASO)),
+        "especializada": nombre(referencia.ESPECIALIZADAS, k % len(referencia.ESPECIALIZADAS)),
+        "tipo_fiscalia": F.concat(F.lit("FISCALIA "), tipos),
+        "dpto_pjfs": F.when(F.col("ubigeo_pjfs") % 7 == 0, F.lit("EXTERIOR")).otherwise(lugar),
+        "atendido": F.when(k % 211 == 0, ing * 3 + 1).otherwise(F.col("atendido")) if "atendido" in columnas else None,
+        "ingresado": ing,
+    }
+    return df.withColumns({c: v for c, v in cambios.items() if c in df.columns and v is not None}).select(*columnas)

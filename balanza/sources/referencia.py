@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from balanza.esquema import SENTINELA
 from balanza.functions import clases
-from balanza.operators.estrella import CLAVES, con_clave
-from balanza.sesion import construir, cortar, difundir
+from balanza.operators.estrella import numerar_tablas
+from balanza.sesion import difundir
 
 # ---------------------------------------------------------------------------
 # The rows of each dimension.
@@ -115,7 +115,6 @@ def dimensiones_publicadas(spark: SparkSession) -> dict[str, DataFrame]:
         "distrito string",
     )
     c = F.col
-    nulo_int, nulo_txt = F.lit(None).cast("int"), F.lit(None).cast("string")
     tablas = {
         "dim_ubicaciones": lugares.drop("distrito_fiscal").withColumn(
             "region_geografica", clases.region_geografica(c("departamento"))
@@ -123,17 +122,12 @@ def dimensiones_publicadas(spark: SparkSession) -> dict[str, DataFrame]:
         "dim_tipos_fiscalia": lista(TIPOS_FISCALIA, "tipo_fiscalia string").withColumn(
             "nivel_jerarquico", clases.nivel_jerarquico(c("tipo_fiscalia"))
         ),
-        "dim_materias": lista(MATERIAS, "materia string").withColumns(
-            {"area_derecho": nulo_txt, "prioridad_nacional": nulo_int}
+        "dim_materias": lista(MATERIAS, "materia string"),
+        "dim_tipos_caso": lista(TIPOS_CASO, "tipo_caso string").withColumn(
+            "categoria", clases.categoria_caso(c("tipo_caso"))
         ),
-        "dim_tipos_caso": lista(TIPOS_CASO, "tipo_caso string").withColumns(
-            {"categoria": clases.categoria_caso(c("tipo_caso")), "complejidad_promedio": nulo_int}
-        ),
-        "dim_fiscalias_especializadas": lista(ESPECIALIZADAS, "especializada string").withColumns(
-            {
-                "area_especializacion": clases.area_especializacion(c("especializada")),
-                "nivel_especialidad": nulo_int,
-            }
+        "dim_fiscalias_especializadas": lista(ESPECIALIZADAS, "especializada string").withColumn(
+            "area_especializacion", clases.area_especializacion(c("especializada"))
         ),
         "dim_tiempo": lista(ANIOS, "anio int").withColumns(
             {
@@ -144,7 +138,7 @@ def dimensiones_publicadas(spark: SparkSession) -> dict[str, DataFrame]:
             }
         ),
     }
-    dims = construir({t: lambda t=t, d=d: cortar(con_clave(d, *CLAVES[t])) for t, d in tablas.items()})
+    dims = numerar_tablas(tablas)
     especialidades = spark.createDataFrame(
         [(e, m) for m, es in ESPECIALIDADES.items() for e in es],
         "especialidad string, materia string",
@@ -154,11 +148,6 @@ def dimensiones_publicadas(spark: SparkSession) -> dict[str, DataFrame]:
     )
     hijas = {
         "dim_especialidades": especialidades.select("especialidad", "id_materia"),
-        "dim_distritos_fiscales": distritos.select(
-            "distrito_fiscal", "id_ubicacion", F.lit(True).alias("estado_activo")
-        ).distinct(),
-    }
-    return {
-        **dims,
-        **construir({t: lambda t=t, d=d: cortar(con_clave(d, *CLAVES[t])) for t, d in hijas.items()}),
+        "dim_distritos_fiscales": distritos.select("distrito_fiscal", "id_ubicacion").distinct(),
     }
+    return {**dims, **numerar_tablas(hijas)}

@@ -202,3 +202,99 @@ def test_vistas_siguen_a_sus_tablas(spark, tmp_path):
     assert all(antes[v] != despues[v] for v in columnas)
     almacen.publicar_vistas(vista)
     assert registros() == despues
+
+
+def claves(dims):
+    """Key of each natural key, for each dimension table."""
+    return {t: {tuple(r[c] for c in natural): r[k] for r in dims[t].collect()} for t, (k, natural) in estrella.CLAVES.items()}
+
+
+def test_claves_que_duran_y_anios_que_se_reemplazan(spark, tmp_path):
+    ruta = str(tmp_path / "almacen")
+    df = casos(spark, DATOS)
+    # Values of the second load that sort before all earlier ones, and another spelling of known places.
+    nuevas = {c: F.concat(F.lit("AA "), c) for c in ("materia", "especialidad", "tipo_caso", "prov_pjfs")}
+    despues = df.filter("anio = 1998").withColumns(nuevas)
+    almacen.cargar_almacen(df.filter("anio <= 1996"), ruta)
+    antes, hechos = almacen.salidas.leer_estrella(spark, ruta, list(estrella.CLAVES))
+    viejas, archivos = claves(antes), set(hechos.inputFiles())
+    casos_antes = {r[0] for r in hechos.select("id_caso").collect()}
+
+    vista = almacen.agregar_anios(despues, ruta)
+    dims, hechos = almacen.salidas.leer_estrella(spark, ruta, list(estrella.CLAVES))
+    ahora = claves(dims)
+    for t, mapa in viejas.items():
+        assert {k: v for k, v in ahora[t].items() if k in mapa} == mapa
+        assert sorted(ahora[t].values()) == list(range(1, len(ahora[t]) + 1))
+    assert min(v for k, v in ahora["dim_materias"].items() if k[0].startswith("AA ")) == len(viejas["dim_materias"]) + 1
+    # A district stays where it was, although its place now has a second spelling.
+    assert set(viejas["dim_distritos_fiscales"]) <= set(ahora["dim_distritos_fiscales"])
+    nuevos = {k for k in ahora["dim_distritos_fiscales"] if k not in viejas["dim_distritos_fiscales"]}
+    assert not {k[0] for k in nuevos} & {k[0] for k in viejas["dim_distritos_fiscales"]}
+    assert archivos <= set(hechos.inputFiles())
+    assert vista.filter("anio = 1998").count() == despues.count()
+
+    # The same year again is the same as once; a smaller one replaces it.
+    filas = sorted(map(tuple, vista.drop("id_caso").collect()), key=repr)
+    almacen.agregar_anios(despues, ruta)
+    otra = almacen.abrir_almacen(spark, ruta)
+    assert sorted(map(tuple, otra.drop("id_caso").collect()), key=repr) == filas
+    almacen.agregar_anios(despues.limit(10), ruta)
+    otra = almacen.abrir_almacen(spark, ruta)
+    assert otra.filter("anio = 1998").count() == 10
+    assert otra.select("id_caso").distinct().count() == otra.count()
+    assert casos_antes <= {r[0] for r in otra.select("id_caso").collect()}
+    assert claves(almacen.salidas.leer_estrella(spark, ruta, list(estrella.CLAVES))[0]) == ahora
+
+
+def test_anio_con_otro_periodo_no_se_duplica(spark, tmp_path):
+    ruta = str(tmp_path / "almacen")
+    df = casos(spark, DATOS).filter("anio = 1996")
+    almacen.cargar_almacen(df, ruta)
+    v = almacen.agregar_anios(df.withColumn("periodo", F.lit("ABRIL")), ruta)
+    assert v.count() == df.count() and {r[0] for r in v.select("periodo").distinct().collect()} == {"ENERO - DICIEMBRE"}
+
+
+def test_filas_publicadas_primero(spark, tmp_path):
+    ruta = str(tmp_path / "almacen")
+    df = casos(spark, DATOS).limit(50).withColumn("materia", F.lit("PENAL"))
+    almacen.cargar_almacen(df, ruta, publicadas=True)
+    dims, hechos = almacen.salidas.leer_estrella(spark, ruta, list(estrella.CLAVES))
+    assert {r["materia"]: r["id_materia"] for r in dims["dim_materias"].collect()}["PENAL"] == 5
+    assert {r[0] for r in hechos.select("id_materia").collect()} == {5}
+    assert min(r[0] for r in hechos.select("id_tipo_caso").collect()) > 15
+    especializadas = dims["dim_fiscalias_especializadas"]
+    assert {(r["requiere_capacitacion_especial"], r["descripcion"]) for r in especializadas.collect()} == {(True, None)}
+    assert {(r["trimestre"], r["es_periodo_completo"]) for r in dims["dim_tiempo"].collect()} == {(None, True)}
+    assert {"es_especializada", "gravedad_casos", "descripcion"} <= set(dims["dim_especialidades"].columns)
+
+
+def test_vistas_como_tablas(spark, tmp_path):
+    df = casos(spark, DATOS)
+    ruta = str(tmp_path / "almacen")
+    almacen.publicar_vistas(almacen.cargar_almacen(df.filter("anio <= 1997"), ruta), ruta)
+    vieja = spark.table("v_performance_distrito").count()
+    almacen.agregar_anios(df.filter("anio = 1998"), ruta)
+    almacen.refrescar_vistas(spark, ruta, [1998])
+    assert spark.table("v_performance_distrito").count() > vieja
+    vista = almacen.abrir_almacen(spark, ruta)
+    for nombre in almacen.VISTAS_BI:
+        f = almacen.VISTAS_BI[nombre]
+        tabla, directa = spark.table(nombre), f(vista)
+        assert tabla.columns == directa.columns
+        assert sorted(map(repr, tabla.collect())) == sorted(map(repr, directa.collect()))
+    for nombre in almacen.TABLAS_BI:
+        assert "Window" not in spark.table(nombre)._jdf.queryExecution().toString()
+
+
+def test_ejemplos_de_violaciones(spark, base):
+    dims, hechos = almacen.salidas.leer_estrella(spark, base, list(estrella.CLAVES))
+    dims["dim_materias"] = dims["dim_materias"].withColumn("materia", F.when(F.col("id_materia") > 1, F.repeat("materia", F.lit(9))))
+    r = {(x["regla"], x["tabla"], x["clave"]): (x["violaciones"], x["ejemplo"]) for x in calidad.violaciones(dims, hechos).collect()}
+    nulas, ejemplo = r["NOT NULL", "dim_materias", "materia"]
+    assert nulas == 1 and ejemplo == "||"
+    largas, ejemplo = r["LONGITUD 30", "dim_materias", "materia"]
+    assert largas > 0 and len(ejemplo) > 30
+    malas, ejemplo = r["CHECK", calidad.HECHOS, "chk_fechas_logicas"]
+    assert malas > 0 and len(ejemplo.split("|")) == 4
+    assert r["CHECK", calidad.HECHOS, "chk_casos_logicos"] == (0, None)

@@ -105,10 +105,10 @@ def test_bosque_encuentra_lo_sembrado(spark):
 def test_bosque_muestra_filas_sin_repetir(spark, pares):
     validos = pares.filter("tasa_atencion is not null")
     n = validos.agg(F.sum("n")).first()[0]
-    m = bosque._muestras(validos, n, 5, 256, 1)
+    m = bosque.muestras(validos, n, 5, 256, 1)
     assert {r["count"] for r in m.groupBy("arbol").count().collect()} == {256}
     # drawing every row gives back the table itself
-    todo = bosque._muestras(validos, n, 1, n, 1).groupBy("ingresado", "atendido").count()
+    todo = bosque.muestras(validos, n, 1, n, 1).groupBy("ingresado", "atendido").count()
     falta = todo.join(
         validos.select(F.col("ingresado").cast("double"), F.col("atendido").cast("double"), "n"),
         ["ingresado", "atendido"],

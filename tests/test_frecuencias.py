@@ -138,3 +138,27 @@ def test_rango_estrecho_se_reparte(spark):
     assert len(partes) == 8 and max(r["count"] for r in partes) < 50_000
     acc = fr.acumular(df).agg(F.max("orden"), F.count_if(F.col("previos") + 1 != F.col("orden"))).first()
     assert tuple(acc) == (200_000, 0)
+
+
+def test_bosquejos_guardados_y_unidos(spark, tmp_path):
+    from balanza.operators import bosquejos as b
+
+    filas = [(2000 + i % 5, f"d{i % 3000}", None if i % 7 == 0 else i % 1000) for i in range(30_000)]
+    df = spark.createDataFrame(filas, "anio int, distrito_fiscal string, ingresado int")
+    ruta = f"{tmp_path}/b"
+    b.guardar_bosquejos(b.bosquejar(df, ["distrito_fiscal"], ["ingresado"]), ruta)
+    # One year again: only its own sketches are replaced, and the result is the same.
+    b.guardar_bosquejos(b.bosquejar(df.filter("anio = 2001"), ["distrito_fiscal"], ["ingresado"]), ruta)
+    guardados = spark.read.parquet(ruta)
+    assert guardados.count() == 10
+    for desde, hasta in ((2000, 2004), (2001, 2002), (2003, 2003)):
+        r = b.contraste(df, guardados, desde, hasta).collect()
+        assert len(r) == 2 and all(x["dentro"] for x in r)
+    todo = b.unir_bosquejos(guardados)
+    assert abs(b.distintos_estimados(todo).first()["distintos"] - 3000) <= 4 * b.ERROR_DISTINTOS * 3000
+    q = b.cuantiles_estimados(todo).first()
+    assert q["filas"] == sum(f[2] is not None for f in filas) and abs(q["mediana"] - 500) <= 20 and q["q05"] < q["q25"] < q["q95"]
+    assert b.unir_bosquejos(guardados, 1990, 1991).count() == 0
+    # A column without a value has no sketch.
+    vacia = b.bosquejar(df.withColumn("ingresado", F.lit(None).cast("int")), ["distrito_fiscal"], ["ingresado"])
+    assert {x["clase"] for x in vacia.collect()} == {"distintos"}

@@ -169,3 +169,32 @@ def test_jarque_bera(spark):
     r = df.select(jb, estadistica.p_jarque_bera(jb)).first()
     assert r[0] == pytest.approx(100 / 6 * (0.25 + 0.25))
     assert r[1] == pytest.approx(math.exp(-r[0] / 2))
+
+
+def test_normal_acumulada_y_cola_de_lilliefors(spark):
+    import math
+
+    from balanza.functions.estadistica import normal_acumulada, p_lilliefors
+
+    zs = [x / 10 for x in range(-50, 51)]
+    r = spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_acumulada(F.col("z")).alias("f")).collect()
+    assert all(abs(x["f"] - 0.5 * math.erfc(-x["z"] / math.sqrt(2))) < 1e-6 for x in r)
+    # Critical values of the published table: (n, distance, level).
+    tabla = [(20, 0.192, 0.05), (30, 0.159, 0.05), (100, 0.0886, 0.05), (400, 0.0443, 0.05), (30, 0.185, 0.01), (25, 0.1602, 0.1)]
+    r = spark.createDataFrame(tabla, "n long, d double, p double").select("p", p_lilliefors(F.col("d"), F.col("n")).alias("q")).collect()
+    assert all(abs(x["q"] - x["p"]) < 0.25 * x["p"] for x in r)
+    extremos = spark.createDataFrame([(50, 0.01), (50, 0.6), (5000, 0.3)], "n long, d double").select(p_lilliefors(F.col("d"), F.col("n")).alias("q")).collect()
+    assert extremos[0]["q"] == 1.0 and extremos[1]["q"] < 1e-6 and extremos[2]["q"] < 1e-6
+
+
+def test_normalidad_de_muestras(spark):
+    import random
+
+    from balanza.operators.descriptiva import normalidad
+
+    rng = random.Random(6)
+    filas = [(rng.gauss(100, 15), rng.expovariate(0.1), 7.0) for _ in range(2000)]
+    r = {x["variable"]: x for x in normalidad(spark.createDataFrame(filas, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    assert r["a"]["es_normal_ks"] and r["a"]["ks"] < 0.03
+    assert not r["b"]["es_normal_ks"] and r["b"]["ks_p"] < 1e-6
+    assert r["c"]["ks"] is None and r["c"]["ks_p"] is None

@@ -168,3 +168,88 @@ def test_anuales_con_columnas_en_otro_orden(spark, tmp_path):
     df, archivos = crudo.cargar_limpios(spark, str(tmp_path))
     assert sorted((r["anio"], r["materia"], r["ingresado"]) for r in df.collect()) == [(2019, "CIVIL", 10), (2020, "PENAL", 30)]
     assert len(archivos) == 2
+
+
+@pytest.fixture
+def trozos_pequenos(spark):
+    """Files are split every few hundred bytes."""
+    claves = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "64"}
+    antes = {c: spark.conf.get(c, None) for c in claves}
+    for c, v in claves.items():
+        spark.conf.set(c, v)
+    yield
+    for c, v in antes.items():
+        spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+@pytest.mark.parametrize("salto", ["\n", "\r\n"])
+def test_csv_partido_da_las_mismas_filas(spark, tmp_path, trozos_pequenos, salto):
+    import csv
+    import random
+
+    from balanza.sources.registros import _lineas
+
+    rng = random.Random(4)
+    celda = lambda: "".join(rng.choice(["a", "é", ",", '"', "\n", "\n", " ", "x" * 30]) for _ in range(rng.randint(1, 12)))
+    filas = [(str(i), celda(), rng.choice(["z", celda(), "\n".join("linea larga" for _ in range(80))])) for i in range(300)]
+    with open(tmp_path / "a.csv", "w", encoding="utf-8", newline="") as f:
+        escritor = csv.writer(f, lineterminator=salto)
+        escritor.writerow(("id", "dos\npartes", "c"))
+        escritor.writerows(filas)
+        f.write(salto + "300,corta" + salto + "301,larga,4,5" + salto)
+    ruta = f"{tmp_path}/a.csv"
+    assert _lineas(spark, ruta).rdd.getNumPartitions() > 20
+    df = crudo.leer_csv(spark, ruta, faltantes=(), con_rotas=True)
+    assert df.columns == ["id", "dos\npartes", "c", "_rota"]
+    got = {r[0]: (r[1], r[2], r[3] is not None) for r in df.collect()}
+    limpia = lambda t: t.strip(" ") if False else t
+    esperado = {i: (limpia(a), limpia(b), False) for i, a, b in filas}
+    assert {k: v for k, v in got.items() if k not in ("300", "301")} == esperado
+    assert got["300"] == ("corta", None, True) and got["301"] == ("larga", "4", True)
+    assert df.count() == 302
+    assert [tuple(r) for r in crudo.filas_rotas(spark, {2019: ruta}).collect()] == [(2019, 302, 2)]
+
+
+def test_comilla_suelta_o_sin_cerrar(spark, tmp_path, trozos_pequenos):
+    # A quote inside a cell that is not quoted is a character; one that is never closed takes the rest of the file.
+    texto = "a,b\n" + "".join(f'{i},pulgada 5" larga\n' for i in range(60)) + '60,"abierta\n61,x\n62,y\n'
+    (tmp_path / "a.csv").write_text(texto, encoding="utf-8")
+    filas = {r["a"]: r["b"] for r in crudo.leer_csv(spark, f"{tmp_path}/a.csv").collect()}
+    assert len(filas) == 61 and filas["7"] == 'pulgada 5" larga'
+    assert filas["60"].startswith("abierta") or filas["60"].startswith('"abierta')
+
+
+def test_estado_tras_una_linea():
+    """Against a reader that goes character by character."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from balanza.sources.registros import DENTRO, INICIO, estado_tras
+
+    def plano(linea, estado):
+        inicio, dentro, i = estado == INICIO, estado == DENTRO, 0
+        while i < len(linea):
+            c = linea[i]
+            if dentro:
+                if c == '"' and linea[i + 1 : i + 2] == '"':
+                    i += 1
+                elif c == '"':
+                    dentro = False
+            elif c == '"' and inicio:
+                dentro = True
+            inicio = c == "," and not dentro
+            i += 1
+        return DENTRO if dentro else INICIO
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text('a",', max_size=14), st.sampled_from([INICIO, DENTRO]))
+    def probar(linea, estado):
+        assert estado_tras(linea, estado) == plano(linea, estado)
+
+    probar()
+
+
+def test_perfil_de_calidad_dice_los_tipos(spark):
+    filas = lim.perfil_calidad(lim.limpiar(tabla(spark, {}))).filter("metrica = 'tipo'").collect()
+    tipos = {r["columna"]: r["texto"] for r in filas}
+    assert tipos["anio"] == "int" and tipos["materia"] == "string" and tipos["fecha_corte"].startswith("timestamp")

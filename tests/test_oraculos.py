@@ -19,14 +19,7 @@ def test_consulta_igual_a_sql(spark, duck, nombre):
 
 
 def test_catalogo_y_oraculos_coinciden():
-    sin_sql = set(CONSULTAS) - set(ORACULOS)
-    assert set(ORACULOS) <= set(CONSULTAS)
-    assert sin_sql == {
-        "clusters_perfil",
-        "outliers_multivariados",
-        "casos_multivariados",
-        "dispersion_multivariada",
-    }
+    assert set(ORACULOS) == set(CONSULTAS)
 
 
 def test_orden_de_filas_no_cambia_resultados(spark, duck):

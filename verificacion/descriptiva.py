@@ -29,6 +29,10 @@ fo AS (
 """
 _JB = "(n / CAST(6 AS DOUBLE) * (sk * sk + ku * ku / CAST(4 AS DOUBLE)))"
 
+# Error function of x with t = 1 / (1 + 0.3275911 x), to 1.5e-7.
+_ERF = ("1 - ((((CAST(1.061405429 AS DOUBLE) * t - CAST(1.453152027 AS DOUBLE)) * t + CAST(1.421413741 AS DOUBLE)) * t - CAST(0.284496736 AS DOUBLE)) * t"
+        " + CAST(0.254829592 AS DOUBLE)) * t * exp(-x * x)")
+
 _PERFIL = f"""{_LARGA}{_MOM},
 q AS (
   SELECT variable, COUNT(v) AS c, avg(v) AS media, stddev_samp(v) AS s, min(v) AS mn, max(v) AS mx, SUM(v) AS suma,
@@ -154,9 +158,25 @@ ORACULOS = {
     "perfil_eda_numerico": con(DERIVADA, _PERFIL),
     "normalidad": con(
         DERIVADA,
-        f"""{_LARGA}{_MOM}
+        f"""{_LARGA}{_MOM},
+ds AS (
+  SELECT variable, v, SUM(k) OVER (PARTITION BY variable ORDER BY v) - k AS previos, k, SUM(k) OVER (PARTITION BY variable) AS total
+  FROM (SELECT variable, v, COUNT(*) AS k FROM l WHERE v IS NOT NULL GROUP BY variable, v)),
+zs AS (SELECT ds.*, (v - media) / s AS z FROM ds JOIN (SELECT variable, avg(v) AS media, stddev_samp(v) AS s FROM l GROUP BY variable) USING (variable)),
+ts AS (SELECT *, abs(z) / sqrt(CAST(2 AS DOUBLE)) AS x, 1 / (1 + CAST(0.3275911 AS DOUBLE) * abs(z) / sqrt(CAST(2 AS DOUBLE))) AS t FROM zs),
+es AS (SELECT *, {_ERF} AS erf FROM ts),
+fs AS (SELECT *, CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) * CASE WHEN z < 0 THEN -erf ELSE erf END AS fi FROM es),
+ks AS (SELECT variable, max(greatest(abs(previos / total - fi), abs((previos + k) / total - fi))) AS ks, any_value(total) AS total FROM fs GROUP BY variable),
+pl AS (SELECT variable, ks, total, least(total, 100) AS nd, CASE WHEN total > 100 THEN ks * pow(total / CAST(100 AS DOUBLE), 0.49) ELSE ks END AS dd,
+  (sqrt(total) - 0.01 + 0.85 / sqrt(total)) * ks AS kk FROM ks),
+pd AS (SELECT *, exp(-7.01256 * dd * dd * (nd + 2.78019) + 2.99587 * dd * sqrt(nd + 2.78019) - 0.122119 + 0.974598 / sqrt(nd) + 1.67997 / nd) AS p FROM pl),
+pk AS (SELECT *, CASE WHEN p <= 0.1 THEN p WHEN kk <= 0.302 THEN 1
+  WHEN kk <= 0.5 THEN 2.76773 - 19.828315 * kk + 80.709644 * kk ** 2 - 138.55152 * kk ** 3 + 81.218052 * kk ** 4
+  WHEN kk <= 0.9 THEN -4.901232 + 40.662806 * kk - 97.490286 * kk ** 2 + 94.029866 * kk ** 3 - 32.355711 * kk ** 4
+  WHEN kk <= 1.31 THEN 6.198765 - 19.558097 * kk + 23.186922 * kk ** 2 - 12.234627 * kk ** 3 + 2.423045 * kk ** 4 ELSE 0 END AS ks_p FROM pd)
 SELECT variable, n AS conteo, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis, round({_JB}, 4) AS jb,
-  round(exp(-{_JB} / 2), 6) AS p_valor, exp(-{_JB} / 2) > 0.05 AS es_normal FROM fo""",
+  round(exp(-{_JB} / 2), 6) AS p_valor, exp(-{_JB} / 2) > 0.05 AS es_normal, round(ks, 6) AS ks, round(ks_p, 6) AS ks_p, ks_p > 0.05 AS es_normal_ks
+FROM fo JOIN pk USING (variable)""",
     ),
     "perfil_eda_categorico": con(DERIVADA, _CATEG),
     "metricas_eficiencia": con(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verificacion.base import AREAS, CASOS, CATEGORIAS, NIVEL, REGIONES, VISTA, con, regla
+from verificacion.base import AREAS, CASOS, CATEGORIAS, NIVEL, PUBLICADOS, REGIONES, VISTA, con, regla
 
 _REGION = regla("dpto_pjfs", [(r, [(d,) for d in ds]) for r, ds in REGIONES], "REGION_NO_CLASIFICADA")
 _CUENTA = "COUNT(*) AS frecuencia, COUNT(*) / CAST((SELECT COUNT(*) FROM casos) AS DOUBLE) * 100 AS porcentaje"
@@ -24,8 +24,35 @@ e AS (
 """
 
 
-def _dq() -> str:
+def _clave_quitada(quitadas: dict[str, tuple[str, str]], tabla: str) -> str:
+    """Key of the row that a table lacks: its place among the values in order."""
+    if tabla not in quitadas:
+        return "CAST(NULL AS VARCHAR)"
+    c, v = quitadas[tabla]
+    return f"(SELECT CAST(COUNT(DISTINCT {c}) AS VARCHAR) FROM casos WHERE {c} <= '{v}')"
+
+
+# Rows that break every kind of rule.
+_SEMBRADOS = PUBLICADOS.replace("\ncasos AS (", "\npublicados AS (", 1) + """,
+casos AS (
+  SELECT * REPLACE (
+    CASE WHEN clave_orden % 97 <> 0 THEN materia END AS materia,
+    CASE WHEN clave_orden % 89 <> 0 THEN especialidad END AS especialidad,
+    CASE WHEN clave_orden % 101 = 0 THEN 'INCIDENTE ' || repeat('Z', 60) ELSE tipo_caso END AS tipo_caso,
+    CASE WHEN clave_orden % 3 = 0 THEN prov_pjfs || ' B' ELSE prov_pjfs END AS prov_pjfs,
+    CASE WHEN clave_orden % 307 = 0 THEN -5 ELSE ingresado END AS ingresado,
+    CASE WHEN clave_orden % 113 <> 0 THEN fecha_corte END AS fecha_corte)
+  FROM publicados
+)"""
+# Rows that the planted dimension tables lack, and years without a period text.
+_QUITADAS = {"dim_tipos_caso": ("tipo_caso", "CONSULTAS"), "dim_materias": ("materia", "PROMO")}
+_SIN_PERIODO = 1996
+_HECHO = "concat_ws('|', coalesce(CAST(ingresado AS VARCHAR), ''), coalesce(CAST(atendido AS VARCHAR), ''), coalesce(CAST(fecha_descarga AS VARCHAR), ''), coalesce(CAST(fecha_corte AS VARCHAR), ''))"
+
+
+def _dq(casos: str = CASOS, sembrada: bool = False) -> str:
     """Constraint counts; tables rebuilt with natural keys, as keys decide every count."""
+    quitadas = _QUITADAS if sembrada else {}
     tablas = {
         "dim_ubicaciones": "SELECT DISTINCT ubigeo_pjfs, dpto_pjfs AS departamento, prov_pjfs AS provincia, dist_pjfs AS distrito, region_geografica FROM casos",
         "dim_distritos_fiscales": "SELECT DISTINCT distrito_fiscal, ubigeo_pjfs FROM casos",
@@ -34,8 +61,10 @@ def _dq() -> str:
         "dim_especialidades": "SELECT DISTINCT especialidad FROM casos WHERE especialidad IS NOT NULL",
         "dim_tipos_caso": f"SELECT DISTINCT tipo_caso, {regla('tipo_caso', CATEGORIAS, 'PROCESO_GENERAL')} AS categoria FROM casos WHERE tipo_caso IS NOT NULL",
         "dim_fiscalias_especializadas": f"SELECT DISTINCT especializada, {regla('especializada', AREAS, 'General')} AS area_especializacion FROM casos",
-        "dim_tiempo": "SELECT anio, min(periodo) AS periodo FROM casos GROUP BY anio",
+        "dim_tiempo": f"SELECT anio, CASE WHEN anio > {_SIN_PERIODO if sembrada else 0} THEN min(periodo) END AS periodo FROM casos GROUP BY anio",
     }
+    for t, (c, v) in quitadas.items():
+        tablas[t] += f" AND {c} <> '{v}'"
     no_nulos = {
         "dim_ubicaciones": ["ubigeo_pjfs", "departamento", "provincia", "distrito"],
         "dim_distritos_fiscales": ["distrito_fiscal"],
@@ -57,7 +86,7 @@ def _dq() -> str:
     }
     unicos = {t: [next(iter(c))] for t, c in longitudes.items()}
     unicos |= {"dim_ubicaciones": ["ubigeo_pjfs"], "dim_tiempo": ["anio", "periodo"]}
-    ctes = CASOS + "".join(f",\n{t} AS ({q})" for t, q in tablas.items())
+    ctes = casos + "".join(f",\n{t} AS ({q})" for t, q in tablas.items())
 
     def fila(r, t, k, cuenta, origen, ejemplo="CAST(NULL AS VARCHAR)"):
         return (
@@ -66,13 +95,20 @@ def _dq() -> str:
         )
 
     partes = []
+    otros = "CAST(anio AS VARCHAR) || '|1|12|' || CAST(dayofyear(make_date(anio, 12, 31)) AS VARCHAR) || '||true'"
     for t, cols in no_nulos.items():
-        partes += [fila("NOT NULL", t, c, f"COUNT(*) FILTER ({c} IS NULL)", t) for c in cols]
+        for c in cols:
+            ejemplo = f"min({otros}) FILTER (periodo IS NULL)" if (t, c) == ("dim_tiempo", "periodo") else "CAST(NULL AS VARCHAR)"
+            partes.append(fila("NOT NULL", t, c, f"COUNT(*) FILTER ({c} IS NULL)", t, ejemplo))
     for t, cols in longitudes.items():
-        partes += [fila(f"LONGITUD {n}", t, c, f"COUNT(*) FILTER (length({c}) > {n})", t) for c, n in cols.items()]
+        partes += [
+            fila(f"LONGITUD {n}", t, c, f"COUNT(*) FILTER (length({c}) > {n})", t, f"min({c}) FILTER (length({c}) > {n})")
+            for c, n in cols.items()
+        ]
     for t, cols in unicos.items():
         texto = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
-        sub = f"(SELECT {texto} AS k FROM {t} GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1)"
+        con_valor = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+        sub = f"(SELECT {texto} AS k FROM {t} WHERE {con_valor} GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1)"
         partes.append(fila("UNIQUE", t, ",".join(cols), "COUNT(*)", sub, "min(k)"))
     hechos = "fact_casos_fiscales"
     claves = {
@@ -87,11 +123,13 @@ def _dq() -> str:
         "fecha_descarga": "fecha_descarga",
         "fecha_corte": "fecha_corte",
     }
-    partes += [fila("NOT NULL", hechos, k, f"COUNT(*) FILTER ({c} IS NULL)", "casos") for k, c in claves.items()]
+    malas = {("NOT NULL", k): f"{c} IS NULL" for k, c in claves.items()} | {
+        ("CHECK", "chk_casos_positivos"): "ingresado < 0 OR atendido < 0",
+        ("CHECK", "chk_casos_logicos"): "atendido > ingresado",
+        ("CHECK", "chk_fechas_logicas"): "fecha_corte < fecha_descarga",
+    }
     partes += [
-        fila("CHECK", hechos, "chk_casos_positivos", "COUNT(*) FILTER (ingresado < 0 OR atendido < 0)", "casos"),
-        fila("CHECK", hechos, "chk_casos_logicos", "COUNT(*) FILTER (atendido > ingresado)", "casos"),
-        fila("CHECK", hechos, "chk_fechas_logicas", "COUNT(*) FILTER (fecha_corte < fecha_descarga)", "casos"),
+        fila(r, hechos, k, f"COUNT(*) FILTER ({c})", "casos", f"min({_HECHO}) FILTER ({c})") for (r, k), c in malas.items()
     ]
     fks = {
         "id_tiempo": ("anio", "dim_tiempo"),
@@ -104,19 +142,69 @@ def _dq() -> str:
     }
     for k, (c, t) in fks.items():
         sub = f"(SELECT 1 FROM casos ANTI JOIN {t} USING ({c}) WHERE {c} IS NOT NULL)"
-        partes.append(fila("FOREIGN KEY", hechos, k, "COUNT(*)", sub))
+        partes.append(fila("FOREIGN KEY", hechos, k, "COUNT(*)", sub, _clave_quitada(quitadas, t)))
     partes.append(
         fila("FOREIGN KEY", "dim_distritos_fiscales", "id_ubicacion", "COUNT(*)",
              "(SELECT 1 FROM dim_distritos_fiscales ANTI JOIN dim_ubicaciones USING (ubigeo_pjfs))")
     )
     partes.append(
         fila("FOREIGN KEY", "dim_especialidades", "id_materia", "COUNT(*)",
-             "(SELECT 1 FROM (SELECT DISTINCT especialidad, materia FROM casos) ANTI JOIN dim_materias USING (materia))")
+             "(SELECT 1 FROM (SELECT DISTINCT especialidad, materia FROM casos WHERE especialidad IS NOT NULL AND materia IS NOT NULL) ANTI JOIN dim_materias USING (materia))",
+             _clave_quitada(quitadas, "dim_materias"))
     )
     return con(ctes, "\nUNION ALL ".join(partes))
 
 
+_NUEVAS = ("distrito_fiscal", "tipo_fiscalia", "materia", "especialidad", "tipo_caso", "especializada", "prov_pjfs")
+# The rows of two loads: a third of the orders after 1997 has values that the first load lacks.
+_CARGAS = CASOS + f""", v AS (
+  SELECT * REPLACE ({', '.join(f"CASE WHEN anio > 1997 AND clave_orden % 3 = 0 THEN 'AA ' ELSE '' END || {c} AS {c}" for c in _NUEVAS)})
+  FROM casos)
+"""
+
+
+def _claves() -> str:
+    """Distinct natural keys of both loads together and of the first one; no key moves, is lost or given twice."""
+    naturales = {
+        "dim_ubicaciones": "ubigeo_pjfs, dpto_pjfs, prov_pjfs, dist_pjfs",
+        "dim_tipos_fiscalia": "tipo_fiscalia",
+        "dim_materias": "materia",
+        "dim_tipos_caso": "tipo_caso",
+        "dim_fiscalias_especializadas": "especializada",
+        "dim_tiempo": "anio",
+        "dim_distritos_fiscales": "distrito_fiscal, ubigeo_pjfs",
+        "dim_especialidades": "especialidad",
+    }
+    filas = [
+        f"""SELECT '{t}' AS tabla, (SELECT COUNT(*) FROM (SELECT DISTINCT {c} FROM v WHERE anio <= 1997)) AS filas_antes,
+  (SELECT COUNT(*) FROM (SELECT DISTINCT {c} FROM v)) AS filas"""
+        for t, c in naturales.items()
+    ]
+    ceros = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("movidas", "perdidas", "repetidas"))
+    return con(_CARGAS, f"SELECT *, filas - filas_antes AS nuevas, {ceros}, filas AS ultima_clave FROM ({' UNION ALL '.join(filas)})")
+
+
+def _bosquejos() -> str:
+    partes = [
+        f"""SELECT '{c}' AS variable, '{clase}' AS clase, {desde} AS desde, {hasta} AS hasta, COUNT({c}) AS filas, COUNT(DISTINCT {c}) AS exactos, true AS dentro
+FROM casos WHERE anio BETWEEN {desde} AND {hasta}"""
+        for desde, hasta in ((1995, 2001), (1997, 1998))
+        for clase, columnas in (("distintos", ("distrito_fiscal", "materia", "especialidad", "tipo_caso")), ("cuantiles", ("ingresado", "atendido")))
+        for c in columnas
+    ]
+    return con(CASOS, " UNION ALL ".join(partes))
+
+
 ORACULOS = {
+    "bosquejos_por_periodo": _bosquejos(),
+    "claves_duraderas": _claves(),
+    "almacen_incremental": con(
+        _CARGAS,
+        """SELECT anio, COUNT(*) AS filas, CAST(sum(ingresado) AS BIGINT) AS ingresado, CAST(sum(atendido) AS BIGINT) AS atendido,
+  COUNT(*) AS filas_hechos, CAST(sum(ingresado) AS BIGINT) AS ingresado_hechos, CAST(sum(atendido) AS BIGINT) AS atendido_hechos,
+  COUNT(*) FILTER (ingresado > 0 AND atendido >= 10 * ingresado) AS tasas_fuera_de_rango, COUNT(*) AS casos_distintos
+FROM v GROUP BY anio""",
+    ),
     "dim_tipos_caso": _simple("tipo_caso", f", {regla('tipo_caso', CATEGORIAS, 'PROCESO_GENERAL')} AS categoria"),
     "dim_fiscalias_especializadas": con(
         CASOS,
@@ -192,4 +280,5 @@ FROM v GROUP BY anio""",
   tasa_e4 / CAST(10000 AS DOUBLE) AS tasa_atencion FROM vista""",
     ),
     "dq_violaciones": _dq(),
+    "dq_sembradas": _dq(_SEMBRADOS, True),
 }

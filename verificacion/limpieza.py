@@ -84,10 +84,11 @@ _CALIDAD = f"""
     COUNT(*) - COUNT(DISTINCT ({_LISTA})) AS duplicados,
     {', '.join(f'COUNT(*) FILTER ({c} IS NULL) AS n_{c}' for c in _PLANAS)}
   FROM sucio GROUP BY 1)
-SELECT anio, 'filas' AS metrica, CAST(NULL AS VARCHAR) AS columna, filas AS valor FROM m
-UNION ALL SELECT anio, 'columnas', NULL, CAST(16 AS BIGINT) FROM m
-UNION ALL SELECT anio, 'duplicados', NULL, duplicados FROM m
-UNION ALL {_union("SELECT anio, 'nulos', '{c}', CAST(n_{c} AS BIGINT) FROM m", _PLANAS)}
+SELECT anio, 'filas' AS metrica, CAST(NULL AS VARCHAR) AS columna, filas AS valor, CAST(NULL AS VARCHAR) AS texto FROM m
+UNION ALL SELECT anio, 'columnas', NULL, CAST(16 AS BIGINT), NULL FROM m
+UNION ALL SELECT anio, 'duplicados', NULL, duplicados, NULL FROM m
+UNION ALL {_union("SELECT anio, 'nulos', '{c}', CAST(n_{c} AS BIGINT), NULL FROM m", _PLANAS)}
+UNION ALL {_union("SELECT anio, 'tipo', '{c}', NULL, 'string' FROM m", _PLANAS)}
 """
 
 _TOP = f"""
