@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +74,10 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: Words of more bytes are hashed by themselves.
+LONG_WORD = 32
+
+
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: runs of ``words`` lower-cased words, or all words where there are fewer."""
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts.to_pylist()]
@@ -83,6 +88,9 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     stop = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
     w = mixed(range_hashes(prefix_sums(data), begin, stop) + (stop - begin).astype(np.uint64))
+    # The polynomial modulo 2 ** 64 tells apart short words only: some long ones of a regular make agree in it.
+    for i in np.flatnonzero(stop - begin > LONG_WORD):
+        w[i] = xxhash.xxh3_64_intdigest(data[begin[i] : stop[i]].tobytes())
     first = np.concatenate([[0], np.searchsorted(begin, ends)])
     runs = np.zeros(max(0, len(w) - words + 1), np.uint64)
     with np.errstate(over="ignore"):

@@ -89,3 +89,14 @@ def test_sketch_of_a_long_set_does_not_depend_on_the_cells():
     k = Sketcher(Sketching())
     sets = shingle_sets(pa.array(["a b c", " ".join(map(str, range(3000))), "z"]), 2)
     assert (k.minima(sets, 7) == k.minima(sets, 100_000)).all()
+
+
+def test_long_words_of_a_regular_make_are_told_apart(docs):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word + " y"), (2, other + " y"), (3, word + " y")]
+    one, two, three = shingle_sets(pa.array([t for _, t in rows]), 2)
+    assert one.tolist() == three.tolist() != two.tolist()
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(docs(rows)).collect()) == [(1, 1), (2, 2), (3, 1)]
