@@ -416,8 +416,14 @@ def main_text(pages: DataFrame, sample_pages: int = 160) -> DataFrame:
     """
     ship(pages.sparkSession)
     labelled = F.col("html").rlike(r"(?i)<(?:article|main)\b")
-    chosen = pages.filter(F.length("html") > 0).select("html", labelled.alias("labelled"), F.xxhash64("page_id", "url").alias("h"))
-    net = trained([r[0] for r in chosen.orderBy(F.desc("labelled"), "h", "html").limit(sample_pages).collect()])
+    hashed = pages.filter(F.length("html") > 0).select("html", F.xxhash64("page_id", "url").alias("h"), F.xxhash64("html").alias("g"))
+    # Two numbers for each page decide; only the chosen pages are read for their html.
+    chosen = hashed.select(labelled.alias("labelled"), "h", "g").distinct().orderBy(F.desc("labelled"), "h", "g").limit(sample_pages)
+    order = {(r["h"], r["g"]): i for i, r in enumerate(chosen.collect())}
+    wanted = F.col("h").isin([h for h, _ in order]) & F.col("g").isin([g for _, g in order])
+    found = hashed.filter(wanted).dropDuplicates(["h", "g"]).collect() if order else []
+    found = sorted((order[r["h"], r["g"]], r["html"]) for r in found if (r["h"], r["g"]) in order)
+    net = trained([html for _, html in found])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches, "html", 4_000_000):
