@@ -70,11 +70,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
-    """Renderings with the loss mask as a list "start-end" for each learnt span, which both engines can show.
-
-    The SQL cuts dialogues by turn number and carries nothing over; the operator, by place: they agree where no
-    dialogue has more than 1,024 turns or a turn number beyond 1,023.
-    """
+    """Renderings with the loss mask as a list "start-end" for each learnt span, which both engines can show."""
     from pyspark.sql import functions as F
 
     from balanza.llm.chat import perspectives
@@ -138,25 +134,30 @@ ORACLES: dict[str, str] = {
         SELECT * FROM r WHERE rank <= 5
     """,
     "op10_chat_perspectives": """
-        WITH t AS (
-            SELECT conv_id, CAST(coalesce(floor(turn / 1024), 0) AS BIGINT) AS part, turn,
+        WITH n AS (
+            SELECT conv_id, turn,
                    replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS role,
                    replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text
             FROM conversations
+        ), t AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place, place // 1024 AS part FROM n
+        ), q AS (
+            SELECT DISTINCT conv_id AS of, part AS of_part FROM t
         ), p AS (
             SELECT DISTINCT conv_id AS of, role AS perspective FROM t WHERE role <> 'system'
         ), r AS (
-            SELECT conv_id, perspective, part, turn, role, text, role = perspective AS own,
+            SELECT conv_id, perspective, of_part AS part, place, role = perspective AS own, t.part = of_part AS here,
                    '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
                                           ELSE 'user name=' || role END || chr(10) AS head,
                    text || '<|im_end|>' || chr(10) AS body
-            FROM t JOIN p ON conv_id IS NOT DISTINCT FROM of
+            FROM t JOIN q ON conv_id IS NOT DISTINCT FROM q.of AND (t.part = of_part OR (role = 'system' AND t.part < of_part))
+            JOIN p ON conv_id IS NOT DISTINCT FROM p.of
         ), o AS (
             SELECT *, sum(length(head) + length(body)) OVER w AS stop
-            FROM r WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+            FROM r WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY place ROWS UNBOUNDED PRECEDING)
         )
-        SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_turns,
-               string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+        SELECT conv_id, perspective, part, CAST(count(*) FILTER (here) AS INTEGER) AS n_turns,
+               string_agg(head || body, '' ORDER BY place) AS text,
                coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY stop) FILTER (own), '') AS mask
         FROM o GROUP BY ALL
     """,

@@ -121,3 +121,18 @@ def test_vectors_that_share_an_id_all_take_part(spark):
     con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
     ok, said = comparar(top_k(df), con, ORACLES["op7_exact_top_k"])
     assert ok, said
+
+
+def test_parts_equal_sql(spark):
+    """Long dialogues with system turns, turn numbers of any size, and one whose numbers pass 1,023 with two turns only."""
+    rows = [(1, 10 * t, "system" if t in (0, 700, 1500) else "ab"[t % 2], f"t{t} <|im_end|>") for t in range(2600)]
+    rows += [(2, 0, "a", "x"), (2, 4096, "b", "y"), (None, None, "a", None), (3, 5, "system", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="chat-")
+    df.coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    ok, said = comparar(QUERIES["op10_chat_perspectives"](spark, folder), con, ORACLES["op10_chat_perspectives"])
+    assert ok, said
