@@ -1,7 +1,7 @@
-"""Isolation forest over (filed, attended, rate), grown level by level.
+"""Isolation forest over (filed, attended, rate).
 
-Rows are drawn for each tree by position, all trees grow together with one aggregate
-for each level, and every distinct pair of measures is scored once, in Arrow batches.
+Rows are drawn for each tree by position, trees grow on their small samples, one group
+for each tree, and every distinct pair of measures is scored once, in Arrow batches.
 Draws come from whole-number arithmetic and path lengths are added up in millionths,
 so the result depends neither on the order of rows nor on the engine.
 """
@@ -9,14 +9,13 @@ so the result depends neither on the order of rows nor on the engine.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balanza.functions.azar import PRIMO, sorteo, sorteo_de
+from balanza.functions.azar import PRIMO, sorteo_de
 from balanza.operators.frecuencias import acumular, cuantil_agregado
 from balanza.operators.graficos import BARRAS, rejilla
 from balanza.sesion import cortar, difundir
@@ -74,40 +73,39 @@ def muestras(validos: DataFrame, filas: int, arboles: int, muestra: int, semilla
     return elegidas.select("arbol", ing.alias("ingresado"), at.alias("atendido"), (at / ing).alias("tasa_atencion"))
 
 
+_NODOS = "arbol int, nodo long, variable int, corte double, tamano long, nivel int"
+
+
 def crecer(sorteadas: DataFrame, muestra: int, semilla: int) -> DataFrame:
     """Node table (arbol, nodo, variable, corte, tamano, nivel) of all trees; a leaf has no variable.
 
     The children of node i are 2 i + 1 (up to the cut) and 2 i + 2.  A node that is not
     at the last level and whose rows differ is cut at a drawn point between the least
-    and the largest value of a drawn variable.
+    and the largest value of a drawn variable.  A group is one tree's sample, ``muestra``
+    rows at most.
     """
     tope = max(1, int(np.ceil(np.log2(max(muestra, 2)))))
-    filas = sorteadas.withColumn("nodo", F.lit(0).cast("long"))
-    partes = []
-    for nivel in range(tope + 1):
-        extremos = [f(v).alias(f"{n}_{v}") for v in VARIABLES for n, f in (("min", F.min), ("max", F.max))]
-        nodos = filas.groupBy("arbol", "nodo").agg(F.count(F.lit(1)).alias("tamano"), *extremos)
-        utiles = F.array_compact(
-            F.array(*[F.when(F.col(f"max_{v}") > F.col(f"min_{v}"), F.lit(i)) for i, v in enumerate(VARIABLES)])
-        )
-        divide = (F.size("utiles") > 0) if nivel < tope else F.lit(False)
-        cual = (sorteo(semilla, F.col("arbol"), F.col("nodo"), F.lit(0)) % F.size("utiles")).cast("int")
-        parte = sorteo(semilla, F.col("arbol"), F.col("nodo"), F.lit(1)) / F.lit(PRIMO + 1.0)
-
-        def de(prefijo: str) -> Column:
-            return F.get(F.array(*[F.col(f"{prefijo}_{v}") for v in VARIABLES]), F.col("variable"))
-
-        nodos = nodos.withColumn("utiles", utiles).withColumn("variable", F.when(divide, F.get("utiles", cual)))
-        corte = de("min") + (de("max") - de("min")) * parte
-        nodos = cortar(
-            nodos.select("arbol", "nodo", "variable", corte.alias("corte"), "tamano", F.lit(nivel).alias("nivel"))
-        )
-        partes.append(nodos)
-        divididos = nodos.filter(F.col("variable").isNotNull()).select("arbol", "nodo", "variable", "corte")
-        valor = F.get(F.array(*map(F.col, VARIABLES)), F.col("variable"))
-        hijo = 2 * F.col("nodo") + 1 + (valor > F.col("corte")).cast("long")
-        filas = filas.join(divididos, ["arbol", "nodo"]).select("arbol", hijo.alias("nodo"), *VARIABLES)
-    return reduce(DataFrame.unionByName, partes)
+
+    def un_arbol(clave: tuple, datos: pd.DataFrame) -> pd.DataFrame:
+        arbol, x = int(clave[0]), datos[list(VARIABLES)].to_numpy(float)
+        nodo, vive, notas = np.zeros(len(x), np.int64), np.ones(len(x), bool), []
+        for nivel in range(tope + 1):
+            for i in np.unique(nodo[vive]).tolist():
+                aqui = np.flatnonzero(vive & (nodo == i))
+                bajo, alto = x[aqui].min(axis=0), x[aqui].max(axis=0)
+                utiles = np.flatnonzero(alto > bajo).tolist() if nivel < tope else []
+                if not utiles:
+                    notas.append((arbol, i, None, None, len(aqui), nivel))
+                    vive[aqui] = False
+                    continue
+                v = utiles[sorteo_de(semilla, arbol, i, 0) % len(utiles)]
+                corte = float(bajo[v] + (alto[v] - bajo[v]) * (sorteo_de(semilla, arbol, i, 1) / (PRIMO + 1.0)))
+                notas.append((arbol, i, v, corte, len(aqui), nivel))
+                nodo[aqui] = 2 * i + 1 + (x[aqui, v] > corte)
+        tabla = pd.DataFrame(notas, columns=[c.split()[0] for c in _NODOS.split(", ")])
+        return tabla.astype({"variable": "Int32", "corte": "float64"})
+
+    return sorteadas.groupBy("arbol").applyInPandas(un_arbol, _NODOS)
 
 
 def _media_de_caminos(n: np.ndarray) -> np.ndarray:

@@ -197,7 +197,9 @@ def agrupar(
         return None
     if ks is None:
         ks = range(K_MINIMO, min(K_MAXIMO, filas // 10 - 1) + 1)
-    datos = cortar(tipificar(validos))
+    # Every step is a pass over these pairs; there may be few of them, so they are dealt out to all cores.
+    tareas = pares.sparkSession.sparkContext.defaultParallelism
+    datos = cortar(tipificar(validos).repartition(tareas))
     grupos = mejores(datos, ajustar(datos, [*ks] or [K_POR_DEFECTO], reinicios, semilla))
     valores = siluetas(datos, {k: v for k, v in grupos.items() if k in ks})
     if valores:

@@ -35,7 +35,8 @@ def leer_csv(
     have a name; with ``con_rotas`` the text of such a row is given in ``_rota``.  A file
     is cut into records by many tasks, also where cells hold line breaks.
     """
-    columnas = spark.read.options(**_CABECERA).csv(ruta).columns
+    # A line break inside a header cell can hide that lines end in two characters.
+    columnas = [c.removesuffix("\r") for c in spark.read.options(**_CABECERA).csv(ruta).columns]
     esquema = ", ".join(f"`{c}` STRING" for c in (*columnas, "_rota"))
     celdas = F.from_csv("texto", esquema, _CELDAS)
     df = leer_registros(spark, ruta).select(celdas.alias("c")).select("c.*")
