@@ -71,9 +71,14 @@ def unpacked(blob: bytes, kind: str = "<i8", ascending: bool = False) -> np.ndar
     return np.cumsum(x) if ascending else x
 
 
-def chunk_words(docs: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def encoded(docs: list[bytes | None]) -> pa.DictionaryArray:
+    """Words and breaks of some documents, each distinct one once."""
+    return pa.array([t for x in docs for t in tokens(x)], pa.binary()).dictionary_encode()
+
+
+def numbered_words(parts: list[pa.DictionaryArray]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Word numbers with -1 for a break, the distinct words and their counts."""
-    d = pa.array([t for x in docs for t in tokens(x)], pa.binary()).dictionary_encode()
+    d = pa.chunked_array(parts).unify_dictionaries().combine_chunks()
     codes, words = d.indices.to_numpy().astype(np.int64), d.dictionary.to_pylist()
     at = words.index(BREAK)
     codes = np.where(codes == at, -1, codes - (codes > at))
@@ -83,6 +88,10 @@ def chunk_words(docs: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.n
     return codes, words, np.bincount(codes[codes >= 0], minlength=len(words))
 
 
+def chunk_words(docs: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    return numbered_words([encoded(docs)])
+
+
 def cells(left: np.ndarray, right: np.ndarray, buckets: int, t: Tiles) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(tile, ascending codes, counts) of the id pairs; a code is left * 2 ** 32 + right, buckets of tiles have negative numbers."""
     codes, n = np.unique(left << np.int64(32) | right, return_counts=True)
@@ -282,23 +291,27 @@ def collocations(docs: DataFrame, t: Tiles = Tiles()) -> DataFrame:
     scratch = Scratch(spark, "collocations")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes | None]] = {}
+        # Texts become numbers slice by slice, so that few words are at hand as objects.
+        held: dict[str, list[pa.DictionaryArray]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
-                codes, words, counts = chunk_words(texts)
+            for lang, parts in held.items():
+                codes, words, counts = numbered_words(parts)
                 if words:
                     yield batch([(lang, packed(codes, "<i4"), [x.decode("utf-8", "replace") for x in words], counts.tolist())], CHUNKS)
             held.clear()
 
         for b in pieces_of(batches, "data"):
+            texts: dict[str, list[bytes | None]] = {}
             for lang, data in zip(b.column("lang").to_pylist(), b.column("data").to_pylist()):
-                held.setdefault(lang, []).append(data)
+                texts.setdefault(lang, []).append(data)
                 size += len(data or b"")
-                if size >= t.chunk_bytes:
-                    yield from flush()
-                    size = 0
+            for lang, own in texts.items():
+                held.setdefault(lang, []).append(encoded(own))
+            if size >= t.chunk_bytes:
+                yield from flush()
+                size = 0
         yield from flush()
 
     source = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("data"))
