@@ -18,7 +18,7 @@ from verificacion.comparar import comparar
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(DATOS, t)}.parquet'")
     return con
 

@@ -35,7 +35,7 @@ def test_token_counts_equal_the_library(docs):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert tuple(rows[i]) == (i, len((t or "").encode()), n, n > 512)
     assert token_counts(docs([]), path).collect() == []
-    c = TokenCounter(path, bound=10)
+    c = TokenCounter(path, most=4000)
     assert [c.count(t or "") for t in texts] == [rows[i]["n_tokens"] for i in range(len(texts))]
 
 
