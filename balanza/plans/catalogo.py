@@ -103,7 +103,8 @@ def _con_nuevos(df: DataFrame) -> DataFrame:
 def _dos_cargas(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
     """The rows, the dimension tables of a load up to 1997, and all tables after the rest was added twice."""
     base = carpeta_nueva(spark, "almacen")
-    df, region = _con_nuevos(casos(spark, d, (*TODAS, "clave_orden"))), F.col("region_geografica")
+    # Six passes read these rows; the lookups of the source run once.
+    df, region = cortar(_con_nuevos(casos(spark, d, (*TODAS, "clave_orden")))), F.col("region_geografica")
     almacen.cargar_almacen(df.filter("anio <= 1997"), base, region)
     tablas = list(estrella.CLAVES)
     antes = cortar_varios(salidas.leer_estrella(spark, base, tablas)[0])
