@@ -157,7 +157,8 @@ def top_performers(
 ) -> DataFrame:
     """Districts over all years with enough volume, ranked three ways."""
     base = (
-        vista.groupBy("distrito_fiscal", "departamento", "region_geografica")
+        _por_distrito(vista)
+        .groupBy("distrito_fiscal", "departamento", "region_geografica")
         .agg(
             _suma(_ING).alias("total_ingresados"),
             _suma(_AT).alias("total_atendidos"),

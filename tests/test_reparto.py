@@ -25,6 +25,12 @@ _INFORMES = {
         "materias_manejadas",
         "materia",
     ),
+    "top_performers": (
+        partial(bi.top_performers, vivo=True),
+        ("distrito_fiscal", "departamento", "region_geografica"),
+        "especialidades_manejadas",
+        "especialidad",
+    ),
 }
 
 
