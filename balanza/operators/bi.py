@@ -191,7 +191,7 @@ def top_performers(
 
 def evolucion_temporal(vista: DataFrame) -> DataFrame:
     """Year by subject and department against the previous year on record."""
-    base = vista.groupBy("anio", "materia", "departamento").agg(
+    base = _por_distrito(vista).groupBy("anio", "materia", "departamento").agg(
         _suma(_ING).alias("ingresados"),
         _suma(_AT).alias("atendidos"),
         _suma(_PEN).alias("pendientes"),
@@ -215,7 +215,7 @@ def evolucion_temporal(vista: DataFrame) -> DataFrame:
 
 def fiscalias_especializadas(vista: DataFrame, vivo: bool = False) -> DataFrame:
     """Specialised offices and areas by year and subject, with the share of the subject."""
-    base = vista.groupBy(
+    base = _por_distrito(vista).groupBy(
         F.coalesce("fiscalia_especializada", F.lit(NO_ESPECIALIZADA)).alias(
             "tipo_fiscalia_especializada"
         ),

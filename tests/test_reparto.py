@@ -31,6 +31,7 @@ _INFORMES = {
         "especialidades_manejadas",
         "especialidad",
     ),
+    "evolucion_temporal": (bi.evolucion_temporal, ("anio", "materia", "departamento"), "distritos_reportando", "distrito_fiscal"),
 }
 
 
