@@ -274,6 +274,12 @@ def cambios_texto(
     return g.withColumn("reduccion", F.col("valores_antes") - F.col("valores_despues"))
 
 
+def huella(columnas: Sequence[str], nombre: str) -> dict[str, Column]:
+    """Two 64-bit digests of the cells of a row, ``nombre`` with 0 and 1; a missing cell differs from every value."""
+    faltan = sum((F.col(c).isNull().cast("long") * 2**i for i, c in enumerate(columnas)), F.lit(0))
+    return {f"{nombre}{k}": F.xxhash64(F.lit(k), faltan, *columnas) for k in range(2)}
+
+
 def reporte_limpieza(
     df: DataFrame, formatos: Sequence[str] = FORMATOS_FECHA, roles: RolesColumnas = ROLES
 ) -> DataFrame:
@@ -281,7 +287,9 @@ def reporte_limpieza(
 
     Three nested groupings follow the life of a row: equal raw rows, equal rows after
     the null rules, equal rows after cleaning.  Each level carries the counts of the
-    level below, so copies collapse early and no row is counted in a second pass.
+    level below, so copies collapse early and no row is counted in a second pass.  Raw
+    rows meet by their cells; what each becomes is worked out then, and only digests
+    of it go on, to where equal clean rows meet: both later groupings find them there.
     """
     crudas = [c for c in COLUMNAS_PLANAS if c in df.columns]
     n1 = df.groupBy(*crudas).agg(F.count(F.lit(1)).alias("_copias"))
@@ -297,41 +305,43 @@ def reporte_limpieza(
             **{k: v * F.col("_copias") for k, v in convertidos.items()},
         }
     )
+    sin_nulos = medidas_a_numero(n1, roles)
+    sin_nulos = sin_nulos.withColumns(huella([*crudas, "_valida"], "_hn"))
+    tipada = convertir_tipos(sin_nulos, formatos)
+    ing, at = F.col("ingresado"), F.col("atendido")
+    marcas = {
+        "exceso": F.col("_valida") & (at > ing),
+        "desfase": F.col("_valida") & ~F.year("fecha_descarga").eqNullSafe(F.col("anio") + 1),
+        "negativos": F.col("_valida") & ((ing < 0) | (at < 0)),
+        "sin_ingreso": F.col("_valida") & (ing == 0) & (F.least("atendido", "ingresado") > 0),
+    }
+    final = validar_consistencia(normalizar_textos(tipada.withColumns(marcas), roles))
+    limpias = [*crudas, ANIO_DESCARGA]
+    nulos_finales = sum((F.col(c).isNull().cast("int") for c in limpias), F.lit(0))
+    final = final.withColumn("_nulos_fila", nulos_finales).withColumns(huella([*limpias, "_valida"], "_hf"))
+    fila_limpia = ["anio", "_valida", "_nulos_fila", "_hf0", "_hf1"]
     n2 = (
-        medidas_a_numero(n1, roles)
-        .groupBy(*crudas, "_valida")
+        final.select(*fila_limpia, "_hn0", "_hn1", *marcas, "_copias", "_nulos", *convertidos)
+        .repartition("_hf0", "_hf1")
+        .groupBy(*fila_limpia, "_hn0", "_hn1", *marcas)
         .agg(
             F.sum("_copias").alias("filas"),
             F.count(F.lit(1)).alias("distintas"),
             F.sum("_nulos").alias("nulos"),
             *[F.sum(k).alias(k) for k in convertidos],
         )
+        .withColumns({c: F.col(c).cast("long") for c in marcas})
     )
-    tipada = convertir_tipos(n2, formatos)
-    ing, at = F.col("ingresado"), F.col("atendido")
-    marcas = {
-        "exceso": (F.col("_valida") & (at > ing)).cast("long"),
-        "desfase": (
-            F.col("_valida") & ~F.year("fecha_descarga").eqNullSafe(F.col("anio") + 1)
-        ).cast("long"),
-        "negativos": (F.col("_valida") & ((ing < 0) | (at < 0))).cast("long"),
-        "sin_ingreso": (
-            F.col("_valida") & (ing == 0) & (F.least("atendido", "ingresado") > 0)
-        ).cast("long"),
-    }
-    final = validar_consistencia(normalizar_textos(tipada.withColumns(marcas), roles))
-    limpias = [*crudas, ANIO_DESCARGA]
-    nulos_finales = sum((F.col(c).isNull().cast("int") for c in limpias), F.lit(0))
     sumas = ["filas", "distintas", "nulos", *convertidos, *marcas]
     n3 = (
-        final.groupBy(*limpias, "_valida")
+        n2.groupBy(*fila_limpia)
         .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in sumas])
         .withColumns(
             {
                 "_finales": F.when(F.col("_valida"), F.col("_n")).otherwise(F.lit(0)),
                 "_dup_finales": F.when(F.col("_valida"), F.col("_n") - 1).otherwise(F.lit(0)),
                 "_validas": F.when(F.col("_valida"), F.col("filas")).otherwise(F.lit(0)),
-                "_nulos_finales": F.when(F.col("_valida"), nulos_finales * F.col("_n")).otherwise(
+                "_nulos_finales": F.when(F.col("_valida"), F.col("_nulos_fila") * F.col("_n")).otherwise(
                     F.lit(0)
                 ),
             }
