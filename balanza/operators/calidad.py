@@ -71,6 +71,8 @@ NO_NULOS_HECHOS = (
     "fecha_corte",
 )
 HECHOS = "fact_casos_fiscales"
+# Columns of the fact that the rules read.
+COLUMNAS_HECHOS = (*NO_NULOS_HECHOS, "id_fiscalia_especializada")
 
 
 def _chequeos() -> dict[str, Column]:
@@ -124,50 +126,25 @@ def contar_reglas(df: DataFrame, tabla: str, reglas: Mapping[tuple[str, str], Co
 MUESTRA_HECHOS = ("casos_ingresados", "casos_atendidos", "fecha_descarga", "fecha_corte")
 
 
-def _reglas_hechos(
-    hechos: DataFrame, claves: DataFrame, reglas: Mapping[tuple[str, str], Column]
-) -> DataFrame:
-    """Rule counts summed up from the used keys; an example is looked up only for rules that some row breaks."""
-    sumas = claves.agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(len(reglas))]).first()
-    rotas = {i: cond for i, cond in enumerate(reglas.values()) if sumas[f"_{i}"]}
-    ejemplos = {}
-    if rotas:
-        texto = _texto(MUESTRA_HECHOS)
-        malas = hechos.filter(reduce(Column.__or__, rotas.values()))
-        ejemplos = malas.agg(*[F.min(F.when(c, texto)).alias(f"_e{i}") for i, c in rotas.items()]).first().asDict()
-    filas = [
-        (regla, HECHOS, clave, int(sumas[f"_{i}"] or 0), ejemplos.get(f"_e{i}"))
-        for i, (regla, clave) in enumerate(reglas)
-    ]
-    return hechos.sparkSession.createDataFrame(
-        filas, "regla string, tabla string, clave string, violaciones long, ejemplo string"
-    )
-
+def _reglas_hechos(hechos: DataFrame, reglas: Mapping[tuple[str, str], Column]) -> DataFrame:
+    """Rule counts and examples of the fact, without a grouping; an example's text is made only for a row that breaks the rule."""
+    texto = _texto(MUESTRA_HECHOS)
+    agregados = []
+    for i, cond in enumerate(reglas.values()):
+        agregados += [F.count_if(cond).alias(f"_{i}"), F.min(F.when(cond, texto)).alias(f"_e{i}")]
+    return cortar(hechos.agg(*agregados)).select(_filas_regla(HECHOS, reglas))
 
-def _pasada_hechos(
-    hechos: DataFrame, reglas: Mapping[tuple[str, str], Column]
-) -> DataFrame:
-    """The only pass over the fact: used foreign keys and rule counts together.
 
-    Every fact row appears once per foreign key; the rule conditions are counted on
-    its first appearance only.
-    """
-    claves = list(FORANEAS_HECHOS)
+def _claves_usadas(hechos: DataFrame) -> DataFrame:
+    """The used foreign keys with their rows: every fact row appears once per foreign key."""
     celdas = F.array(
         *[
             F.struct(F.lit(k).alias("variable"), F.col(k).cast("long").alias("valor"))
-            for k in claves
+            for k in FORANEAS_HECHOS
         ]
     )
-    marcas = [cond.alias(f"_m{i}") for i, cond in enumerate(reglas.values())]
-    largo = hechos.select(*marcas, F.inline(celdas))
-    primera = F.col("variable") == claves[0]
-    return cortar(
-        largo.groupBy("variable", "valor").agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_if(primera & F.col(f"_m{i}")).alias(f"_{i}") for i in range(len(marcas))],
-        )
-    )
+    largo = hechos.select(F.inline(celdas))
+    return cortar(largo.groupBy("variable", "valor").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _fila(regla: str, tabla: str, clave: str, malos: DataFrame, n: Column, ejemplo: Column) -> DataFrame:
@@ -184,7 +161,10 @@ def _fila(regla: str, tabla: str, clave: str, malos: DataFrame, n: Column, ejemp
 
 
 def violaciones(dims: Mapping[str, DataFrame], hechos: DataFrame) -> DataFrame:
-    """Every constraint with its number of violations (0 included)."""
+    """Every constraint with its number of violations (0 included).
+
+    The fact is read twice: a plan with lookups is cut first, to ``COLUMNAS_HECHOS``.
+    """
     partes = []
     for t, d in dims.items():
         reglas = {("NOT NULL", c): F.col(c).isNull() for c in NO_NULOS_DIM.get(t, ())}
@@ -212,8 +192,8 @@ def violaciones(dims: Mapping[str, DataFrame], hechos: DataFrame) -> DataFrame:
         )
     reglas = {("NOT NULL", c): F.col(c).isNull() for c in NO_NULOS_HECHOS}
     reglas |= {("CHECK", k): cond for k, cond in _chequeos().items()}
-    claves = _pasada_hechos(hechos, reglas)
-    partes.append(_reglas_hechos(hechos, claves, reglas))
+    partes.append(_reglas_hechos(hechos, reglas))
+    claves = _claves_usadas(hechos)
     # Anti-joins run on the distinct keys only.
     for fk, t in FORANEAS_HECHOS.items():
         usadas = claves.filter((F.col("variable") == fk) & F.col("valor").isNotNull())

@@ -16,22 +16,30 @@ UMBRAL_PRINCIPAL = 0.05
 # Row count that a row of ``compactar``'s tables stands for.
 PESO = "_n"
 
+# Columns of few values are counted together: a row then stands for three keys instead of six.
 _GRUPOS = {
-    "tipo_caso": ("tipo_caso",),
-    "especializada": ("especializada",),
+    "caso": ("tipo_caso", "especializada", "tipo_fiscalia", "anio", "periodo"),
     "especialidad": ("especialidad", "materia"),
     "lugar": ("distrito_fiscal", "ubigeo_pjfs", "dpto_pjfs", "prov_pjfs", "dist_pjfs"),
-    "tipo_fiscalia": ("tipo_fiscalia",),
-    "tiempo": ("anio", "periodo"),
+}
+# Tables that are read off a group, and their columns.
+_TABLAS = {
+    "tipo_caso": ("caso", ("tipo_caso",)),
+    "especializada": ("caso", ("especializada",)),
+    "especialidad": ("especialidad", ("especialidad", "materia")),
+    "lugar": ("lugar", _GRUPOS["lugar"]),
+    "tipo_fiscalia": ("caso", ("tipo_fiscalia",)),
+    "tiempo": ("caso", ("anio", "periodo")),
 }
 
 
 def compactar(
     df: DataFrame, region: Column | None = None
 ) -> dict[str, DataFrame]:
-    """Distinct natural keys of every dimension, counted in a single pass over the rows.
+    """Natural keys of every dimension with their row counts, from a single pass over the rows.
 
-    Each table feeds the functions below in place of the rows themselves.
+    Each table feeds the functions below in place of the rows themselves.  A key may
+    come several times; its rows are the sum.
     """
     grupos = dict(_GRUPOS)
     if region is not None:
@@ -49,17 +57,14 @@ def compactar(
     largo = df.select(F.inline(F.array(*[fila(g, c) for g, c in grupos.items()])))
     largo = cortar(largo.groupBy(*largo.columns).agg(F.count(F.lit(1)).alias(PESO)))
     enteros = {"ubigeo_pjfs", "anio"}
-    tablas = {
-        g: largo.filter(F.col("_grupo") == g).select(
-            *[
-                F.col(f"_k{i}").cast("int" if c in enteros else "string").alias(c)
-                for i, c in enumerate(columnas)
-            ],
-            PESO,
+
+    def tabla(grupo: str, columnas: tuple[str, ...]) -> DataFrame:
+        celdas = {c: F.col(f"_k{grupos[grupo].index(c)}") for c in columnas}
+        return largo.filter(F.col("_grupo") == grupo).select(
+            *[k.cast("int" if c in enteros else "string").alias(c) for c, k in celdas.items()], PESO
         )
-        for g, columnas in grupos.items()
-    }
-    return tablas
+
+    return {t: tabla(g, grupos["lugar"] if t == "lugar" else columnas) for t, (g, columnas) in _TABLAS.items()}
 
 
 def _conteo(df: DataFrame) -> Column:
