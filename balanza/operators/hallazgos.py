@@ -245,7 +245,9 @@ def tabla_reglas(spark: SparkSession, reglas: Sequence[Regla] = REGLAS) -> DataF
 
 
 def evaluar(metricas_: DataFrame, reglas: Sequence[Regla] = REGLAS) -> DataFrame:
-    """One row per rule: value, threshold, outcome and text; no value, no row."""
+    """One row per rule: value, threshold, outcome and text; no value, no row.  ``metricas_`` may lack ``detalle``."""
+    if "detalle" not in metricas_.columns:
+        metricas_ = metricas_.withColumn("detalle", F.lit(None).cast("string"))
     v, u, op = F.col("valor"), F.col("umbral"), F.col("operador")
     cumple = (
         F.when(op == ">", v > u).when(op == "<", v < u).when(op == "abs>", F.abs(v) > u)
