@@ -22,15 +22,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balanza.llm.common import Remembered, pieces_of, ship
+from balanza.llm.common import kept, pieces_of, ship
 
 SPACE = "▁"
+#: Words of more characters than this are worked out each time.
+LONGEST = 64
+
+
+class State(dict):
+    """What the end of the characters read so far may still become: ``read`` is the longest end that some piece begins with.
+
+    ``ends`` are the pieces that end here, longest first, as (length, number, packed
+    identifiers).  Items are the states after one more character, found when first
+    asked for.
+    """
+
+    __slots__ = ("ends", "pieces", "read")
+
+    def __init__(self, pieces: Pieces, read: str):
+        self.pieces, self.read = pieces, read
+        found = (read[k:] for k in range(len(read) - 1))
+        self.ends = tuple((len(p), i, struct.pack("<i", i)) for p in found if (i := pieces.whole.get(p)) is not None)
+
+    def __missing__(self, character: str) -> State:
+        return self.pieces.step(self, character)
 
 
 class Pieces:
     """Vocabulary of one model file, with encoder and decoder; ``most`` bounds the bytes that a worker remembers of words and of pairs."""
 
-    def __init__(self, path: str, most: int = 64 << 20):
+    def __init__(self, path: str, most: int = 40 << 20):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,12 +73,23 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.ids):
             raise ValueError("a piece spans two marked words")
         self.words = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
-        #: Whether a piece may follow another, by both numbers; an entry takes some 140 bytes, and they get half of ``most``.
+        #: Text of each piece by number; numbers beyond are single characters without a piece.
+        self.text = [""] * self.size
+        for p, i in self.ids.items():
+            self.text[i] = p
+        #: Whether a piece may follow another, by both numbers; an entry takes some 100 bytes, and they get half of ``most``.
         self.pair: dict[int, bool] = {}
-        self.most_pairs = most // 280
-        self.known = Remembered(most)
+        self.most_pairs = most // 200
+        #: Packed identifiers of words met, and about how many bytes they take.
+        self.known: dict[str, bytes] = {}
+        self.most, self.held = most, 0
         # Pieces that their own merges give, with their numbers; no other piece can occur.
         self.whole = {p: i for p, i in self.ids.items() if len(p) > 1 and len(self.merged(p)) == 1}
+        self.beginnings = {p[:k] for p in self.whole for k in range(1, len(p) + 1)}
+        #: No more states than beginnings of pieces; steps between them take some 40 bytes each and get a quarter of ``most``.
+        self.states: dict[str, State] = {"": State(self, "")}
+        self.steps, self.most_steps = 0, most // 160
+        self.single = {c: (1, i, struct.pack("<i", i)) for c, i in self.ids.items() if len(c) == 1}
 
     def merged(self, text: str) -> list[str]:
         """Symbols of a short string after all merges, best score first, leftmost among equals."""
@@ -74,59 +106,72 @@ class Pieces:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def number(self, character: str) -> int:
-        """Number of a single character: its piece's, or one beyond all pieces."""
-        i = self.ids.get(character)
-        return self.size + ord(character) if i is None else i
+    def step(self, state: State, character: str) -> State:
+        """The state after one more character, kept with the state before."""
+        read = state.read + character
+        while read and read not in self.beginnings:
+            read = read[1:]
+        if self.steps >= self.most_steps:
+            for s in self.states.values():
+                s.clear()
+            self.steps = 0
+        self.steps += 1
+        if read not in self.states:
+            self.states[read] = State(self, read)
+        state[character] = after = self.states[read]
+        return after
+
+    def alone(self, character: str) -> tuple[int, int, bytes]:
+        """A character without a piece: a number beyond all pieces, the identifiers of its bytes."""
+        data = character.encode()
+        return 1, self.size + ord(character), struct.pack(f"<{len(data)}i", *(self.byte_ids[b] for b in data))
 
-    def follows(self, a: str, b: str, key: int) -> bool:
+    def follows(self, a: int, b: int, key: int) -> bool:
         """Whether piece b may follow piece a: the merges of both together keep the border."""
         if len(self.pair) > self.most_pairs:
             self.pair.clear()
-        ok = self.pair[key] = self.merged(a + b) == [a, b]
+        first = self.text[a] if a < self.size else chr(a - self.size)
+        ok = self.pair[key] = self.merged(first + self.text[b]) == [first, self.text[b]]
         return ok
 
-    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """(word, identifiers) of distinct words, in the order of their trie."""
-        # last[i]: the last piece of the best path over the first i characters; numbers[i]: its number.
-        last: list[str] = [""]
-        numbers: list[int] = [0]
-        before, ids, whole, longest, pair = "", self.ids, self.whole.get, self.longest, self.pair
+    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, identifiers as packed 32-bit integers) of distinct words, in the order of their trie."""
+        # best[i]: the last piece of the best path over the first i characters; states[i]: what they may still become.
+        best: list[tuple[int, int, bytes]] = [(0, 0, b"")]
+        states: list[State] = [self.states[""]]
+        before, single, pair = "", self.single.get, self.pair.get
         for word in sorted(words):
-            n, i = len(word), 0
-            shared = min(n, len(before))
-            while i < shared and word[i] == before[i]:
+            i = 0
+            for x, y in zip(word, before):
+                if x != y:
+                    break
                 i += 1
-            del last[i + 1 :], numbers[i + 1 :]
-            for end in range(i + 1, n + 1):
-                for start in range(end - longest if end > longest else 0, end - 1):
-                    piece = word[start:end]
-                    number = whole(piece)
-                    if number is not None:
-                        if not start:
-                            break
-                        key = numbers[start] << 32 | number
-                        ok = pair.get(key)
-                        if ok or ok is None and self.follows(last[start], piece, key):
-                            break
+            del best[i + 1 :], states[i + 1 :]
+            state, end = states[i], i
+            for character in word[i:]:
+                end += 1
+                state = state[character]
+                for piece in state.ends:
+                    start = end - piece[0]
+                    if not start:
+                        break
+                    last = best[start][1]
+                    key = last << 32 | piece[1]
+                    ok = pair(key)
+                    if ok or ok is None and self.follows(last, piece[1], key):
+                        break
                 else:
-                    piece = word[end - 1]
-                    number = self.number(piece)
-                last.append(piece)
-                numbers.append(number)
+                    piece = single(character) or self.alone(character)
+                best.append(piece)
+                states.append(state)
             before = word
-            out: list[int] = []
-            end = n
+            out: list[bytes] = []
             while end:
-                piece = last[end]
-                i = ids.get(piece)
-                if i is not None:
-                    out.append(i)
-                else:
-                    out += [self.byte_ids[b] for b in reversed(piece.encode())]
-                end -= len(piece)
+                piece = best[end]
+                out.append(piece[2])
+                end -= piece[0]
             out.reverse()
-            yield word, out
+            yield word, b"".join(out)
 
     def marked(self, text: str) -> list[str]:
         """Marked words of a text; where no mark stands beside another, the parts between spaces are those words."""
@@ -143,12 +188,27 @@ class Pieces:
         cut = [self.marked(t) for t in texts]
         distinct = set().union(*cut)
         known = self.known
-        # Words of this call stay at hand until its end, also where the memory begins anew.
-        here = {w: known[w] for w in distinct if w in known}
-        for word, ids in self.encode_words(distinct.difference(here)):
-            packed = struct.pack(f"<{len(ids)}i", *ids)
-            here[word] = known.keep(word, packed, 33 + len(packed))
-        return [np.frombuffer(b"".join(map(here.__getitem__, ws)), "<i4") for ws in cut]
+        new = dict(self.encode_words(distinct.difference(known)))
+        # Words of this call stay at hand until its end.
+        known.update(new)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<i4") for ws in cut]
+        self.forget(distinct, new)
+        return out
+
+    def forget(self, distinct: set[str], new: dict[str, bytes]) -> None:
+        """Hold what is remembered within its bound; where that is passed, words met before and again now stay."""
+        known = self.known
+        for word in [w for w in new if len(w) > LONGEST]:
+            del known[word], new[word]
+        self.held += weight(new)
+        if self.held > self.most:
+            again = {w: known[w] for w in distinct if w in known and w not in new}
+            known.clear()
+            self.held = weight(again)
+            if self.held > self.most // 2:
+                self.held = 0
+            else:
+                known.update(again)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text: bytes of all pieces, without the mark put before the first word; broken bytes become U+FFFD."""
@@ -156,14 +216,14 @@ class Pieces:
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
-_MODELS: dict[str, Pieces] = {}
+def weight(known: dict[str, bytes]) -> int:
+    """At least the bytes that words and their identifiers take, with their places in the table."""
+    return 220 * len(known) + 4 * sum(map(len, known)) + sum(map(len, known.values()))
 
 
 def model(path: str) -> Pieces:
-    """One model for each Python worker and file."""
-    if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+    """The model of a file, kept by the Python worker."""
+    return kept(f"pieces {path}", lambda: Pieces(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

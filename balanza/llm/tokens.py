@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balanza.llm.common import Remembered, ship
+from balanza.llm.common import Remembered, kept, ship
 
 #: Fixed value: the pre-tokenization pattern of the byte-level scheme.  White space is the Unicode property.
 PATTERN = (
@@ -134,14 +134,9 @@ class TokenCounter:
         return self.plain(first) + sum(map(self.after_space.__getitem__, rest))
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
-
-
 def counter(path: str) -> TokenCounter:
-    """One counter for each Python worker and file."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TokenCounter(path)
-    return _COUNTERS[path]
+    """The counter of a file, kept by the Python worker."""
+    return kept(f"tokens {path}", lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from balanza.llm import html as pages
-from balanza.llm.pieces import decoded, encoded
+from balanza.llm.pieces import Pieces, decoded, encoded
 from balanza.llm.pieces import model as pieces_model
 from balanza.llm.tokens import TokenCounter, token_counts
 from balanza.llm.toxicity import CODES, Channel, Training, fit, toxicity, without_toxic
@@ -61,6 +61,20 @@ def test_pieces_reuse_prefixes_in_any_batch():
     assert together == {w: dict(m.encode_words([w]))[w] for w in words}
 
 
+def test_pieces_try_only_what_ends_there_and_keep_words_met_again():
+    m = Pieces(public_tokenizers.path("piece_bpe_32k.model"), most=20_000)
+    assert [p[0] for p in m.states[""]["t"]["h"]["e"].ends] == sorted([k for k in (2, 3) if "the"[-k:] in m.whole], reverse=True)
+    assert m.states[""]["\x00"] is m.states[""]
+    often = [f"often{i}" for i in range(20)]
+    for k in range(40):
+        m.encode([" ".join(often + [f"w{k}x{i}" for i in range(10)] + ["y" * 500])])
+        assert m.held <= m.most and len(m.known) < m.most // 200
+    assert all("▁" + w in m.known for w in often) and not any(len(w) > 64 for w in m.known)
+    # The steps between states have a bound of their own.
+    m.encode([" ".join(chr(c) + chr(c + 1) for c in range(0x100, 0x300))])
+    assert 0 < m.steps <= m.most_steps and sum(map(len, m.states.values())) <= m.most_steps
+
+
 PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>Menu</a></nav>%s<footer>&copy; us</footer></body></html>"
 
 
