@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from balanza.llm.common import Scratch, pieces_of, ship
+from balanza.llm.common import Scratch, let_go, pieces_of, ship
 from balanza.llm.components import components
 from balanza.llm.hashing import mixed, prefix_sums, range_hashes
 
@@ -252,6 +252,7 @@ def sketches(docs: DataFrame, s: Sketching) -> DataFrame:
     """doc_id, n, digest (of the set), registers, bands for each row of ``docs`` (doc_id, text); nulls for empty sets."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sketcher = Sketcher(s)
         for b in pieces_of(batches, "text"):
             sets = shingle_sets(b.column("text"), s.words)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balanza.llm.common import Remembered, Scratch, pieces_of, ship
+from balanza.llm.common import Remembered, Renewed, Scratch, let_go, pieces_of, ship
 
 # What a sign may stand for; accented letters of the language model beside a-z.
 LEET = {
@@ -67,6 +67,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     """(trigram, n) over all texts: letters by code, words ending at borders.  At most CODES ** 3 rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros(CODES**3, np.int64)
         for b in pieces_of(batches, "text"):
             x = codes("  ".join(t for t in b.column("text").to_pylist() if t).lower()).astype(np.int32)
@@ -184,12 +185,12 @@ def named(words: set[str]) -> set[str]:
 class Reader:
     """Features of texts: which words and beginnings of interest occur in the restored text."""
 
-    def __init__(self, counts: np.ndarray, features: dict[str, int] | None = None, most: int = 64 << 20):
+    def __init__(self, counts: np.ndarray, features: dict[str, int] | None = None, most: int = 40 << 20):
         self.channel = Channel(counts)
         self.features = features or {}
         self.stems = {f.rstrip("~") for f in self.features}
         #: The words of interest of each token met.
-        self.seen = Remembered(most, SHORT)
+        self.seen = Renewed(most, SHORT)
 
     def of_token(self, token: str) -> set[str]:
         """Words of a lower-case token, obfuscated spans restored, runs of a letter as one."""
@@ -215,7 +216,9 @@ class Reader:
         for t in tokens:
             found = seen.get(t)
             if found is None:
-                found = tuple(w for w in self.of_token(t) if w in self.stems or any(s in self.stems for s in stems(w)))
+                found = seen.find(t)
+                if found is None:
+                    found = tuple(w for w in self.of_token(t) if w in self.stems or any(s in self.stems for s in stems(w)))
                 seen.keep(t, found, 120 * len(found))
             if found:
                 words.update(found)
@@ -284,6 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:
     shared = spark.sparkContext.broadcast(counts)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         reader = Reader(shared.value)
         for b in pieces_of(batches, "text"):
             names = [sorted(reader.names(x or "")) for x in b.column("text").to_pylist()]
@@ -328,6 +332,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = shared.value
         reader = Reader(m.counts, m.features)
         for b in pieces_of(batches, "text"):
@@ -361,6 +366,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = shared.value
         reader = Reader(m.counts, m.features)
         for b in pieces_of(batches, "text"):

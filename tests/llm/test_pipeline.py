@@ -1,6 +1,16 @@
 from __future__ import annotations
 
+import weakref
+
+import numpy as np
+import public_tokenizers
+
 import corpus_pipeline
+from balanza.llm import common
+from balanza.llm.minhash import Sketching, sketches
+from balanza.llm.mixing import mixed_texts
+from balanza.llm.pieces import Pieces
+from balanza.llm.toxicity import CODES, Model, scored, trigram_counts
 from tests.conftest import DATOS
 from tests.llm.conftest import normal
 from tests.llm.test_minhash import shingles
@@ -66,3 +76,34 @@ def test_nulls_repeats_and_clashing_columns_through_all_stages(spark, docs):
             assert sum(r["text"].startswith("word0 word1 ") for r in kept if r["text"]) == 1
             assert any(r["doc_id"] is None for r in kept)
     assert kept and all(r["lossless"] for r in kept)
+
+
+def test_a_stage_frees_what_others_keep_in_its_workers(spark, docs, monkeypatch):
+    rows = docs([(1, "a b"), (2, "c d")])
+    made = []
+    real = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema, *more: made.append(f) or real(self, f, schema, *more))
+    trigram_counts(rows)
+    scored(rows, Model(np.zeros(CODES**3), {}, np.zeros(0), 0.0))
+    sketches(rows, Sketching())
+    mixed_texts(rows, rows.selectExpr("doc_id", "1L AS size", "1L AS taken", "1 AS passes", "array(struct(0L AS lo, 1L AS hi)) AS spans").limit(0))
+    assert len(made) == 4
+    for f in made:
+        held = common.kept("model", lambda: Pieces(public_tokenizers.path("piece_bpe_32k.model")))
+        assert common.kept("model", lambda: None) is held
+        gone = weakref.ref(held)
+        del held
+        list(f(iter([])))
+        assert gone() is None
+    assert common.kept("one", lambda: 1) == 1 and common.kept("two", lambda: 2) == 2 and common.kept("one", lambda: 3) == 3
+    common.let_go()
+
+
+def test_results_asked_for_often_outlast_a_full_memory():
+    seen = common.Renewed(4000)
+    seen.keep("often", 1)
+    for i in range(500):
+        seen.keep(f"word {i}", i)
+        assert seen.find("often") == 1
+        seen.keep("often", 1) if "often" not in seen else None
+    assert len(seen) + len(seen.before) < 40 and seen.find("word 3") is None
