@@ -280,6 +280,40 @@ def huella(columnas: Sequence[str], nombre: str) -> dict[str, Column]:
     return {f"{nombre}{k}": F.xxhash64(F.lit(k), faltan, *columnas) for k in range(2)}
 
 
+# Stand between the cells of a packed row, and before a character that tells what is meant.
+_ENTRE, _MARCA = "\x1f", "\x1e"
+_VACIA = f"{_MARCA}2"
+
+
+def empacar(columnas: Sequence[str]) -> Column:
+    """The cells of text columns as one text, another one for every other row.
+
+    It is shuffled and compared in place of the cells: a row of sixteen cells brings as
+    many pairs of position and length, which take more room than the text itself.
+    """
+    marcadas = [
+        F.replace(F.replace(F.col(c), F.lit(_MARCA), F.lit(f"{_MARCA}0")), F.lit(_ENTRE), F.lit(f"{_MARCA}1"))
+        for c in columnas
+    ]
+    return F.concat_ws(_ENTRE, *[F.coalesce(c, F.lit(_VACIA)) for c in marcadas])
+
+
+def desempacar(df: DataFrame, empacada: str, columnas: Sequence[str]) -> DataFrame:
+    """The cells that ``empacar`` has put together."""
+    e, entre = F.col(empacada), F.lit(_ENTRE)
+    # Splitting would repair text that is not UTF-8; such cells are cut out byte by byte.
+    por_bytes = [F.substring_index(F.substring_index(e, _ENTRE, i + 1), _ENTRE, -1) for i in range(len(columnas))]
+    celdas = F.when(F.is_valid_utf8(e), F.split(e, _ENTRE)).otherwise(F.array(*por_bytes))
+    df = df.withColumn("_celdas", celdas)
+
+    def celda(i: int) -> Column:
+        c = F.get("_celdas", F.lit(i))
+        sin_marcas = F.replace(F.replace(c, F.lit(f"{_MARCA}1"), entre), F.lit(f"{_MARCA}0"), F.lit(_MARCA))
+        return F.when(c != _VACIA, sin_marcas)
+
+    return df.withColumns({c: celda(i) for i, c in enumerate(columnas)}).drop(empacada, "_celdas")
+
+
 def reporte_limpieza(
     df: DataFrame, formatos: Sequence[str] = FORMATOS_FECHA, roles: RolesColumnas = ROLES
 ) -> DataFrame:
@@ -288,11 +322,15 @@ def reporte_limpieza(
     Three nested groupings follow the life of a row: equal raw rows, equal rows after
     the null rules, equal rows after cleaning.  Each level carries the counts of the
     level below, so copies collapse early and no row is counted in a second pass.  Raw
-    rows meet by their cells; what each becomes is worked out then, and only digests
+    rows meet by their cells, packed; what each becomes is worked out then, and only digests
     of it go on, to where equal clean rows meet: both later groupings find them there.
     """
     crudas = [c for c in COLUMNAS_PLANAS if c in df.columns]
-    n1 = df.groupBy(*crudas).agg(F.count(F.lit(1)).alias("_copias"))
+    textos = [c for c in crudas if dict(df.dtypes)[c] == "string"]
+    empacada = "+".join(textos) or "_sin_textos"
+    empacadas = df.select(*[c for c in crudas if c not in textos], empacar(textos).alias(empacada))
+    n1 = empacadas.groupBy(*empacadas.columns).agg(F.count(F.lit(1)).alias("_copias"))
+    n1 = desempacar(n1, empacada, textos)
     nulos = sum((F.col(c).isNull().cast("int") for c in crudas), F.lit(0))
     convertidos = {
         f"ceros_{c}": (F.col(c).isNull() | F.col(c).isin("", " ")).cast("long")

@@ -92,3 +92,9 @@ def difundir(d: DataFrame, columnas: Sequence[str] | None = None) -> DataFrame:
     if d not in _FILAS:
         return parte
     return F.broadcast(parte) if filas(d) <= LIMITE_DIFUSION else parte
+
+
+def se_difunde(df: DataFrame) -> bool:
+    """Whether Spark would broadcast this frame by its own estimate of the size."""
+    limite = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limite

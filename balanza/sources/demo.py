@@ -6,7 +6,9 @@ lookup whose columns nobody asked for cannot change the rows.  That is what
 ``columnas`` is for: Catalyst prunes columns by itself but never drops a join.
 
 No broadcast is forced.  Spark broadcasts a lookup only when its measured size is
-under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.  As every
+shuffled lookup moves all lines once more, customers are looked up from the orders
+when these are shuffled anyway; lookups that add little come first, broadcast ones last.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from balanza.esquema import ANIO_DESCARGA, COLUMNAS_PLANAS, SENTINELA
+from balanza.sesion import se_difunde
 from balanza.sources import referencia
 
 # How the columns of the case table are read from the order tables.
@@ -25,12 +28,21 @@ SEGMENTOS_GENERALES = ("MACHINERY", "BUILDING")
 
 # Lookup -> (key in the rows so far, key of the table, lookups needed first).
 _BUSQUEDAS = {
+    "part": ("l_partkey", "p_partkey", ()),
+    "supplier": ("l_suppkey", "s_suppkey", ()),
     "orders": ("l_orderkey", "o_orderkey", ()),
     "customer": ("o_custkey", "c_custkey", ("orders",)),
-    "supplier": ("l_suppkey", "s_suppkey", ()),
     "nation": ("s_nationkey", "n_nationkey", ("supplier",)),
     "region": ("n_regionkey", "r_regionkey", ("supplier", "nation")),
-    "part": ("l_partkey", "p_partkey", ()),
+}
+# The columns that are read of a lookup; by these Spark measures it.
+_LEIDAS = {
+    "part": ("p_partkey", "p_type", "p_brand"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"),
+    "customer": ("c_custkey", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "region": ("r_regionkey", "r_name"),
 }
 
 
@@ -97,10 +109,18 @@ def casos(
     directas = {t for c in columnas for t in exprs[c][0]}
     necesarias = directas | {p for t in directas for p in _BUSQUEDAS[t][2]}
     df = leer_tabla(spark, carpeta, "lineitem")
-    for nombre, (izq, der, _) in _BUSQUEDAS.items():
-        if nombre in necesarias:
-            otra = leer_tabla(spark, carpeta, nombre)
-            df = df.join(otra, F.col(izq) == F.col(der), "left")
+    tablas = {t: leer_tabla(spark, carpeta, t).select(*_LEIDAS[t]) for t in _BUSQUEDAS if t in necesarias}
+    difundidas = {t for t, otra in tablas.items() if se_difunde(otra)}
+
+    def buscar(en: DataFrame, nombre: str) -> DataFrame:
+        izq, der, _ = _BUSQUEDAS[nombre]
+        return en.join(tablas.pop(nombre), F.col(izq) == F.col(der), "left")
+
+    if "customer" in tablas and "orders" not in difundidas:
+        tablas["orders"] = buscar(tablas["orders"], "customer")
+    # A lookup that needs another one is smaller, so it stays behind it.
+    for nombre in sorted(tablas, key=lambda t: t in difundidas or bool(_BUSQUEDAS[t][2])):
+        df = buscar(df, nombre)
     return df.select(*[exprs[c][1].alias(c) for c in columnas])
 
 
